@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import chat, line_dedup, mixing, simhash
 
 QUERIES = {
+    "op3_chat_format": chat.op3_chat_format,
+    "op8_mixing": mixing.op8_mixing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLES = {
+    "op3_chat_format": chat.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
 }
