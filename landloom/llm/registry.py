@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, langid, line_dedup, mixing, quality, simhash, toxicity
+from . import bpe, chat, langid, line_dedup, mixing, quality, simhash, toxicity, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op3_chat_format": chat.op3_chat_format,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_language_id": langid.op5_language_id,
@@ -17,6 +18,7 @@ QUERIES = {
 
 #: Only results that SQL expresses over whole tables; the tests hold the others against brute force.
 ORACLES = {
+    "op1_warc": warc.ORACLE,
     "op3_chat_format": chat.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
 }
