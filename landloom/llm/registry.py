@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, langid, line_dedup, mixing, quality, simhash, toxicity, warc
+from . import ann, bpe, chat, langid, line_dedup, mixing, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_nearest_neighbours": ann.op2_nearest_neighbours,
     "op3_chat_format": chat.op3_chat_format,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_language_id": langid.op5_language_id,
