@@ -211,8 +211,15 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFram
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     """Keep one document, the smallest ``doc_id``, of each near-duplicate component."""
-    first = near_duplicates(docs, words).where("doc_id <=> component_id").select(F.col("doc_id").alias("keep_id")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
+    first = near_duplicates(docs, words).where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("keep_id")).agg(F.count("*").alias("alike"))
+    first = materialise(first, "kept-ids")
+    same = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    kept = docs.join(first, same, "left_semi")
+    again = first.where("alike > 1").select("keep_id")
+    if again.isEmpty():
+        return kept
+    # rows that repeat an id are one document
+    return kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

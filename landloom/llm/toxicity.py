@@ -65,10 +65,11 @@ def fold(text: str) -> str:
         near = np.zeros_like(real)
         near[1:] |= real[:-1]
         near[:-1] |= real[1:]
-        trailing = np.zeros_like(real)
-        trailing[:-1] = ~(real[1:] | sign[1:])
         money = (cp == 36) | (cp == 64)
-        out = np.where(sign & (~near | (money & trailing)), np.uint32(32), out)
+        leads = np.zeros_like(real)  # a run of $ or @ that ends before a letter
+        for _ in range(3):
+            leads[:-1] = money[:-1] & (real[1:] | leads[1:])
+        out = np.where(sign & np.where(money, ~leads, ~near), np.uint32(32), out)
     return out.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
 
 

@@ -1,0 +1,316 @@
+"""The operators against brute force, round trips and held-out accuracy, and on awkward rows."""
+
+import collections
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from landloom.llm import ann, bpe, chat, langid, line_dedup, mixing, quality, simhash, toxicity, warc
+from landloom.llm.common import shared_path
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+SHARED = "this line is certainly longer than forty characters in all"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty and long texts, ties, repeated rows, a clashing extra column."""
+    rows = [
+        (1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, "  \n\t\n", None, None, 3), (4, "x" * 30000, "de", "b", 30000),
+        (5, "word " * 20000, "en", "a", 100000), (6, "one two three", "en", "b", 13), (6, "one two three", "en", "b", 13),
+        (None, "no id here at all", "en", None, None), (7, "123 456 !!", "fr", "c", 10),
+        *[(10 + i, f"{SHARED}\nown line {i}\n  {SHARED.upper()} ", "en", "c", 9) for i in range(6)],
+    ]
+    return spark.createDataFrame(rows, DOCS).withColumn("score", F.lit("clash")).withColumn("n_lines", F.lit(1))
+
+
+@pytest.fixture(scope="module")
+def documents(spark, data):
+    return spark.read.parquet(f"{data}/documents.parquet")
+
+
+def test_warc_round_trip(spark):
+    rows = [(1, "http://a", b"x" * 2000), (5, None, b"x" * 2000), (3, "u\r\nX: y", b"x" * 2000), (4, "u", b"s"), (7, "u", b"s"), (8, "u", None), (None, "n", b"x" * 2000), (5, None, b"x" * 2000)]
+    df = spark.createDataFrame(rows, "record_id long, uri string, payload binary").withColumn("size", F.lit(0))
+    path = shared_path(spark, "warc")
+    warc.write_archive(df, path)
+    found = warc.read_archive(spark, path).collect()
+    assert collections.Counter((r.record_id, r.record_type, r.refers_to) for r in found) == collections.Counter(
+        [(1, "revisit", 5), (3, "revisit", 5), (None, "revisit", 5), (5, "response", None), (5, "response", None), (4, "response", None), (7, "response", None), (8, "response", None)]
+    )
+    payload = {i: p or b"" for i, _, p in rows}
+    for r in found:
+        assert r.payload_digest == hashlib.sha1(payload[r.record_id]).hexdigest() and r.payload_bytes == len(payload[r.record_id])
+        ((header, block),) = warc.parse_warc(r.record)
+        assert block.endswith(payload[r.record_id]) or r.record_type == "revisit"
+    assert spark.read.parquet(f"{path}/payloads").count() == 3
+    empty = shared_path(spark, "warc")
+    warc.write_archive(df.limit(0), empty)
+    assert warc.read_archive(spark, empty).count() == 0
+
+
+def test_nearest_against_brute_force(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 16)) * rng.uniform(0.5, 2, (3000, 1))
+    x[100:160] = x[100]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, k=10).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    hits = 0
+    for q in range(0, 3000, 20):
+        s = (x * x[q]).sum(1)
+        want = [i for i in np.lexsort((np.arange(3000), -s)) if i != q][:10]
+        hits += len({v for v, _ in got[q]} & set(want))
+        assert all(abs(v - s[i]) < 1e-12 for i, v in got[q])
+    assert hits >= 0.9 * 10 * 150
+    assert [v for v, _ in got[120]][:3] == [v for v in range(100, 104) if v != 120][:3] or x[120] @ x[120] < max((x * x[120]).sum(1))
+
+
+def test_nearest_on_odd_rows(spark):
+    rows = [(i, [float(i % 3), 1.0]) for i in range(45)] + [(100, [0.0, 0.0]), (120, [float("nan"), 1.0]), (140, [1.0]), (None, [1.0, 2.0]), (160, None), (180, [None, 1.0]), (20, [2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [(r.query_id, r.rank, r.vec_id) for r in ann.nearest(df, F.col("vec_id") % 20 == 0, k=3).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (20, 1, 2), (20, 2, 5), (20, 3, 8), (40, 1, 2), (40, 2, 5), (40, 3, 8)]
+    assert ann.nearest(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_chat_round_trip_on_odd_rows(spark):
+    rows = [(1, 0, "user", "a<\\|b"), (1, 1, "assistant", "<|im_end|>\n<|im_start|>user\nx"), (2, None, None, None), (None, 3, "a\nb<|nl|>", "<|"), (3, 0, "assistant", "x"), (3, 0, "assistant", "x"), (4, 0, "assistant", "<\\\\|" * 3), (5, 1, "", "<|im_end"), (5, 2, "assistant", "|>")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.read_chats(chat.format_chats(df)).collect()}
+    want = collections.defaultdict(list)
+    for c, t, r, x in rows:
+        want[c].append((r or "", x or ""))
+    for c, turns in want.items():
+        assert [(t.role, t.text) for t in got[c].turns] == turns
+        assert got[c].loss_texts == [x for r, x in turns if r == "assistant"]
+        at = 0
+        for s in got[c].segments:
+            at += s.skip + s.size + len("<|im_end|>\n")
+        assert at == len(got[c].formatted)
+    assert got[3].escaped == 0 and got[1].escaped == 1
+    assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def brute_counts(t):
+    w = WORD.findall(t or "")
+    c = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    covered = {j for i in range(len(w) - 7) if c[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+    lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_counts_and_verdicts(spark, documents, odd, data):
+    for docs in (documents, odd):
+        texts = collections.defaultdict(list)
+        for r in docs.collect():
+            texts[r.doc_id].append(brute_counts(r.text))
+        for r in quality.judge(docs).collect():
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) in texts[r.doc_id]
+            assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
+            assert not (r.base_failed and r.kept)
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    judged = quality.judge(documents).join(labels, "doc_id").where("not base_failed").select("quality", "kept").collect()
+    assert np.mean([r.quality == int(r.kept) for r in judged]) > 0.93
+    assert quality.judge(documents.limit(0)).count() == 0
+
+
+def test_repeated_words_by_brute_force():
+    random.seed(3)
+    for _ in range(300):
+        t = " ".join(random.choice("ab" if random.random() < 0.5 else "abcdefgh") for _ in range(random.randint(0, 120)))
+        assert quality.repeated_words(t.encode().split()) == brute_counts(t)[4]
+
+
+def test_language_held_out(spark, documents, odd):
+    model = langid.train(documents.where(~langid.held_out()))
+    found = langid.identify(documents.where(langid.held_out()), model).collect()
+    assert np.mean([r.lang == r.lang_pred for r in found]) > 0.95
+    assert all(0 <= r.score <= 1 for r in found)
+    by = {(r.doc_id, r.text): r for r in langid.identify(odd, model).collect()}
+    assert by[(1, None)].lang_pred == by[(7, "123 456 !!")].lang_pred == "und" and by[(1, None)].ambiguous
+    none = langid.train(documents.limit(0))
+    assert {r.lang_pred for r in langid.identify(documents.limit(3), none).collect()} == {"und"}
+
+
+def test_codewords_are_apart():
+    for n in (2, 3, 4, 5, 12):
+        m = langid.codewords(n)
+        assert min((m[i] != m[j]).sum() for i in range(n) for j in range(i)) >= (1 if n < 4 else 4)
+
+
+def test_toxicity_held_out(spark, odd):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    lexicon = toxicity.learn(docs, labels.where(~langid.held_out()))
+    found = toxicity.score(docs.where(langid.held_out()).select("doc_id", "text"), lexicon).join(labels, "doc_id").collect()
+    assert np.mean([r.toxic == r.predicted for r in found]) > 0.93
+    scored = toxicity.score(odd, lexicon).collect()
+    assert len(scored) == odd.count() and all(0 <= r.score <= 1 for r in scored)
+    bare = toxicity.learn(docs.limit(0), labels.limit(0))
+    assert bare.score("you st0pid clown") < bare.score("you stup1d wоrthless moron")
+    assert bare.measures("a pond scum sample") == (0.0, 0.0)
+
+
+def test_fold():
+    assert toxicity.fold("1D10T $tupid п3т idiot$$$ 4785").split()[:4] == ["idiot", "stupid", "пet", "idiot"]
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def test_bpe_tree_concatenation(vocabulary):
+    c, al = bpe.codec(vocabulary), ["abcdefghijklmnopqrstuvwxyz", "the in an er on", "éàüß", "0123", "!?.,;:", "日本語", "İſǅ", "́\x1c\x85", "<|endoftext|>"]
+    random.seed(1)
+    for n in range(500):
+        s = "".join(random.choice(random.choice(al[:1] * 4 + al)) for _ in range(random.randint(1, 300)))
+        s = s.replace(" ", "") if n % 3 == 0 else s + "<|endoftext|>" + s[:20]
+        ids = []
+        for chunk in bpe.CHUNK.findall(s):
+            for w, special in c.words(chunk):
+                cut = bpe.halves(w, 3)
+                ids += [special] if special is not None else c.tree([c.encode_part(x, k + 1 == len(cut)) for k, x in enumerate(cut)])
+        want = c.whole.encode(s, add_special_tokens=False).ids
+        assert ids == want and c.decode(ids) == c.whole.decode(want, skip_special_tokens=False)
+
+
+def test_bpe_of_documents(spark, documents, odd, vocabulary):
+    c = bpe.codec(vocabulary)
+    extra = spark.createDataFrame([(90, "abc " * 10 + "x" * 30000 + " the end"), (91, "héllo" * 4000), (92, "<|endoftext|>" + "ab1" * 9000 + "<|startoftext|>, it's"), (93, "a" * 8192), (94, "a\x1cb c")], "doc_id long, text string")
+    for docs in (documents.select("doc_id", "text"), odd.select("doc_id", "text"), extra):
+        texts = {r.doc_id: r.text or "" for r in docs.collect()}
+        found = bpe.encode(docs, vocabulary).collect()
+        assert len(found) == docs.count()
+        for r in found:
+            want = c.whole.encode(texts[r.doc_id], add_special_tokens=False).ids
+            assert (r.ids, r.n_tokens) == (" ".join(map(str, want)), len(want))
+            assert r.decoded == c.whole.decode(want, skip_special_tokens=False)
+    assert bpe.encode(documents.limit(0), vocabulary).count() == 0
+
+
+def test_mixing_meets_targets(spark, documents, odd):
+    for docs in (documents, odd):
+        got = mixing.mix(docs).toPandas()
+        again = mixing.mix(docs).toPandas()
+        key = ["uid", "copies", "size"]
+        assert got[key].sort_values(key).values.tolist() == again[key].sort_values(key).values.tolist()
+        assert len(got) == docs.count() and got.copies.between(0, 2).all()
+        assert sorted(got["size"]) == sorted(len(WORD.findall(r.text or "")) for r in docs.collect())
+        sources = docs.groupBy("source").agg(F.collect_list(F.coalesce("text", F.lit(""))).alias("t")).collect()
+        size = {r.source: sum(len(WORD.findall(t)) for t in r.t) for r in sources}
+        order = sorted(size, key=lambda s: (s is None, s or ""))
+        weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+        target, free, left = {}, set(order), 1.5 * sum(size.values())
+        while free:
+            total = sum(weight[s] for s in free)
+            over = [s for s in free if left * weight[s] / total > 2 * size[s] + 1e-9]
+            if not over:
+                target |= {s: left * weight[s] / total for s in free}
+                break
+            for s in over:
+                target[s] = 2 * size[s]
+                left -= 2 * size[s]
+                free.discard(s)
+        assert np.allclose(sorted(set(round(t, 6) for t in target.values())), sorted(set(got.target.round(6))))
+        for t, part in got.groupby(got.target.round(6)):
+            assert abs((part["size"] * part.copies).sum() - sum(v for v in target.values() if round(v, 6) == t)) <= part["size"].max()
+    assert mixing.mix(documents.limit(0)).count() == 0
+
+
+def test_mixed_documents_repeat_as_taken(spark, odd):
+    n = mixing.mix(odd).agg(F.sum("copies")).first()[0]
+    assert mixing.mix_documents(odd).count() == n
+
+
+def brute_lines(rows, min_docs=5):
+    lower = lambda s: re.sub("[A-Z]", lambda m: m[0].lower(), s)
+    key = lambda line: lower(line.strip(" \t\n\x0b\x0c\r"))
+    holders = collections.defaultdict(set)
+    for d, t in rows:
+        for line in (t or "").split("\n"):
+            holders[key(line)].add(-1 if d is None else d)
+    gone = {k: max(v) for k, v in holders.items() if len(k) >= 40 and len(v) >= min_docs}
+    return sorted("\n".join(x for x in (t or "").split("\n") if gone.get(key(x), -9) in (-9, -1 if d is None else d)) for d, t in rows)
+
+
+def test_line_dedup_by_brute_force(spark, documents, odd):
+    for docs in (documents, odd):
+        rows = [(r.doc_id, r.text) for r in docs.collect()]
+        got = line_dedup.dedup_lines(docs)
+        assert sorted(r.text for r in got.collect()) == brute_lines(rows)
+        assert got.columns == [c for c in docs.columns if c != "n_lines"] + ["n_lines", "n_dropped"]
+    assert line_dedup.dedup_lines(documents.limit(0)).count() == 0
+
+
+def test_line_runs_compact(spark):
+    runs = line_dedup.LineRuns(spark, fanout=2)
+    for b in range(5, 0, -1):
+        runs.add(spark.createDataFrame([(b, 1, 1), (b, 1, 1), (b, b, b)], "doc long, h1 long, h2 long"))
+    assert sum(map(len, runs.levels)) == 2
+    assert [tuple(r) for r in runs.common(5).collect()] == [(1, 1, 5)]
+
+
+def test_golay_balls_share_keys():
+    rng = np.random.default_rng(0)
+    fp = rng.integers(0, 2**63, 2000).astype(np.uint64)
+    other = fp ^ (np.uint64(1) << rng.integers(0, 64, 2000).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 2000).astype(np.uint64))
+    a, b = (set(zip(r.tolist(), k.tolist())) for r, k in (simhash._keys(fp, False), simhash._keys(other, True)))
+    assert len({r for r, _ in a & b}) == 2000
+
+
+def brute_components(ids, fps):
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(ids):
+        for b, g in zip(ids[:i], fps[:i]):
+            if (fps[i] ^ g).bit_count() <= 2:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def test_simhash_against_brute_force(spark, documents):
+    import xxhash
+
+    rows = [(r.doc_id, r.text or "") for r in documents.collect()]
+    fps = []
+    for _, t in rows:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []
+        fps.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0)
+    want = brute_components([i for i, _ in rows], fps)
+    for r in simhash.near_duplicates(documents).collect():
+        i = [d for d, _ in rows].index(r.doc_id)
+        assert r.fp % 2**64 == fps[i] and r.component_id == want[r.doc_id]
+
+
+def test_simhash_crowded_buckets_are_exact(spark):
+    rng = np.random.default_rng(2)
+    base = [int(x) for x in rng.integers(0, 2**63, 3)]
+    fps = sorted({b ^ (1 << int(i)) ^ (1 << int(j)) ^ (1 << int(k)) for b in base for i, j, k in rng.integers(0, 64, (150, 3))})
+    df = spark.createDataFrame([(i, f - 2**64 if f >= 2**63 else f) for i, f in enumerate(fps)], "node long, fp long")
+    got = {r.node: r.component for r in simhash.components(simhash.links(df), df.select("node")).collect()}
+    assert got == brute_components(list(range(len(fps))), fps)
+
+
+def test_simhash_on_odd_rows(spark, odd):
+    got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(odd).collect()}
+    assert {(1, 1), (2, 1), (3, 1), (None, None), (6, 6)} <= got
+    assert simhash.near_duplicates(odd.limit(0)).count() == 0
+    kept = [r.doc_id for r in simhash.drop_near_duplicates(odd).collect()]
+    assert 2 not in kept and kept.count(6) == 1
