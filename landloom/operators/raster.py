@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from landloom.session import checkpointed
+
 #: The order of the eight neighbours; the first wins ties.
 NEIGHBOURS = ((-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1))
 
@@ -98,13 +100,13 @@ def accumulate(directions: DataFrame, width: int) -> DataFrame:
     2 ** i steps downstream, so the rounds are the logarithm of the longest flow path.
     """
     cell = F.col("row") * width + F.col("col")
-    acc = directions.select(cell.alias("c"), F.lit(1).cast("long").alias("acc")).checkpoint()
-    jump = receivers(directions).select(cell.alias("c"), (F.col("trow") * width + F.col("tcol")).alias("t")).checkpoint()
+    acc = checkpointed(directions.select(cell.alias("c"), F.lit(1).cast("long").alias("acc")))
+    jump = checkpointed(receivers(directions).select(cell.alias("c"), (F.col("trow") * width + F.col("tcol")).alias("t")))
     while not jump.isEmpty():
         moved = jump.join(acc, "c").groupBy("t").agg(F.sum("acc").alias("more"))
-        acc = acc.join(moved, acc["c"] == moved["t"], "left").select("c", (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc")).checkpoint()
+        acc = checkpointed(acc.join(moved, acc["c"] == moved["t"], "left").select("c", (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc")))
         ahead = jump.select(F.col("c").alias("t"), F.col("t").alias("t2"))
-        jump = jump.join(ahead, "t").select("c", F.col("t2").alias("t")).checkpoint()
+        jump = checkpointed(jump.join(ahead, "t").select("c", F.col("t2").alias("t")))
     return acc.select(F.floor(F.col("c") / width).cast("long").alias("row"), (F.col("c") % width).alias("col"), "acc")
 
 
@@ -159,7 +161,7 @@ def _below(cells: DataFrame) -> tuple[DataFrame, int]:
     """
     counts = cells.where("v is not null").groupBy("v").agg(F.count("*").alias("c"))
     parts = max(1, int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = counts.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id()).checkpoint()
+    ranged = checkpointed(counts.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id()))
     totals = ranged.groupBy("part").agg(F.sum("c").alias("total"))
     offsets = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("off"))
     inside = F.sum("c").over(Window.partitionBy("part").orderBy("v")) - F.col("c")
@@ -199,13 +201,13 @@ def label_components(cells: DataFrame, width: int) -> DataFrame:
     diameter. Each round's labels are a checkpoint.
     """
     c = F.col("row") * width + F.col("col")
-    pairs = cells.join(neighbours(cells.withColumn("cell", c), "cell"), ["row", "col"]).select(c.alias("c"), F.col("n").alias("o")).checkpoint()
-    now = cells.select(c.alias("c"), c.alias("label")).checkpoint()
+    pairs = checkpointed(cells.join(neighbours(cells.withColumn("cell", c), "cell"), ["row", "col"]).select(c.alias("c"), F.col("n").alias("o")))
+    now = checkpointed(cells.select(c.alias("c"), c.alias("label")))
     while True:
         offered = pairs.join(now.select(F.col("c").alias("o"), F.col("label").alias("l")), "o").groupBy("c").agg(F.min("l").alias("l"))
         least = now.join(offered, "c", "left").select("c", "label", F.least("label", F.coalesce("l", "label")).alias("new"))
         jump = least.select(F.col("c").alias("new"), F.col("new").alias("far"))
-        done = least.join(jump, "new").select("c", "label", F.least("new", "far").alias("new")).checkpoint()
+        done = checkpointed(least.join(jump, "new").select("c", "label", F.least("new", "far").alias("new")))
         changed = done.where("new <> label").isEmpty()
         now = done.select("c", F.col("new").alias("label"))
         if changed:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from landloom.session import checkpointed
+
 from landloom.functions import geo
 
 
@@ -62,17 +64,17 @@ def spaced(candidates: DataFrame, score: str, k: int, gap: float) -> DataFrame:
     are dropped. Every round decides at least the best one left, and usually very many.
     """
     spark = candidates.sparkSession
-    open_ = candidates.select("id", "x", "y", F.col(score).alias("s")).checkpoint()
+    open_ = checkpointed(candidates.select("id", "x", "y", F.col(score).alias("s")))
     taken = None
     while not open_.isEmpty():
         other = open_.select(F.col("id").alias("oid"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("s").alias("os"))
         pairs = within_distance(open_, other, gap).where((F.col("id") != F.col("oid")) & (F.col("d2") < gap * gap))
         beaten = pairs.where((F.col("os") > F.col("s")) | ((F.col("os") == F.col("s")) & (F.col("oid") < F.col("id")))).select("id").distinct()
-        won = open_.join(beaten, "id", "left_anti").checkpoint()
+        won = checkpointed(open_.join(beaten, "id", "left_anti"))
         taken = won if taken is None else taken.union(won)
         near = within_distance(open_, won.select(F.col("id").alias("oid"), F.col("x").alias("rx"), F.col("y").alias("ry")), gap)
         gone = near.where((F.col("d2") < gap * gap) | (F.col("id") == F.col("oid"))).select("id").distinct()
-        open_ = open_.join(gone, "id", "left_anti").checkpoint()
+        open_ = checkpointed(open_.join(gone, "id", "left_anti"))
     if taken is None:
         return spark.createDataFrame([], "id long, x double, y double, s double").withColumn("rank", F.lit(1))
     top = taken.orderBy(F.col("s").desc(), "id").limit(k)
