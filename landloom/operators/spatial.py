@@ -52,7 +52,11 @@ def paths_within(points: DataFrame, paths: DataFrame, point_id: str, path_id: st
     size = max(r, 200.0)
     keyed = points.withColumn("cx", cell(F.col("x"), size)).withColumn("cy", cell(F.col("y"), size))
     d2 = geo.segment_distance2(F.col("x"), F.col("y"), F.col("a"), F.col("b"))
-    near = keyed.join(covering(seg, box, size), ["cx", "cy"]).withColumn("d2", d2).where(F.col("d2") <= r * r)
+    # of the cells under the box only those that the widened segment can touch
+    cells = covering(seg, box, size)
+    centre = lambda c: (F.col(c) + 0.5) * size
+    cells = cells.where(geo.segment_distance2(centre("cx"), centre("cy"), F.col("a"), F.col("b")) <= (r + size * 0.7072) ** 2)
+    near = keyed.join(cells, ["cx", "cy"]).withColumn("d2", d2).where(F.col("d2") <= r * r)
     return near.groupBy(point_id, path_id).agg(F.sqrt(F.min("d2")).alias("distance"))
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from landloom.session import checkpointed
+
 from .filters import AttrFilter
 
 
@@ -100,7 +102,8 @@ def history(observations: DataFrame, entity_id: str, attr: str | None = None) ->
 def ancestry(nodes: DataFrame, start: str, limit: int = 1000) -> DataFrame:
     """``depth, id`` from a node to its root along ``parent``, newest first; stops at a cycle or a missing parent."""
     spark = nodes.sparkSession
-    nodes.select("id", "parent").createOrReplaceTempView("landloom_nodes")
+    # each step reads all nodes again, so what made them should not run again
+    checkpointed(nodes.select("id", "parent")).createOrReplaceTempView("landloom_nodes")
     return spark.sql(
         """with recursive up(depth, id, parent, seen) as (
              select 0, id, parent, array(id) from landloom_nodes where id = :start
