@@ -13,11 +13,16 @@ instead: two fingerprints are within two bits exactly if their balls share a poi
 fingerprint of a shared point links to the smallest. That is exact and linear, so nothing is capped.
 
 Only distinct fingerprints take part; documents come back through membership.
+
+``near_duplicates`` is that, for fingerprints within two bits. ``similar_documents`` is for similarity of shingle sets,
+0.8 and more, where fingerprints differ by far more bits: a wider one with more Golay-coded segments gives
+the keys, and candidates are verified on the shingles themselves.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+import math
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -86,23 +91,37 @@ def _keys(fp: np.ndarray, ball: bool) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys).astype(np.int64)
 
 
-def fingerprint(text: str | None, words: int, seed: int) -> int:
-    """SimHash of one whole text over its word shingles, hashed a block at a time."""
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a whole text in UTF-8, A-Z lower-cased."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_ASCII_LOWER).split()
+
+
+def shingle_hashes(found: list[bytes], words: int, seed: int):
+    """XXH64 of every word shingle, repeats included, a block of up to 65,536 at a time. Fewer words are one shingle."""
     import xxhash
 
-    found = (text or "").encode("utf-8", "surrogatepass").translate(_ASCII_LOWER).split()
-    if not found:
-        return 0
     joined = b" ".join(found)
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(found) - words + 1)
-    ends = ends[-n:]
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    ends, digest = ends[-n:], xxhash.xxh64_intdigest
     for at in range(0, n, 65536):
         pairs = zip(starts[at : min(n, at + 65536)].tolist(), ends[at : at + 65536].tolist())
-        h = np.array([digest(joined[a:b], seed) for a, b in pairs], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        yield np.array([digest(joined[a:b], seed) for a, b in pairs], np.uint64)
+
+
+def _ones(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits set."""
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def fingerprint(text: str | None, words: int, seed: int) -> int:
+    """SimHash of one whole text over its word shingles."""
+    found = words_of(text)
+    if not found:
+        return 0
+    n = max(1, len(found) - words + 1)
+    ones = sum(_ones(h) for h in shingle_hashes(found, words, seed))
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
@@ -209,9 +228,151 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFram
     return found.join(member, "fp").select("doc_id", "fp", F.when(F.col("component_id") != NULL_ID, F.col("component_id")).alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
-    """Keep one document, the smallest ``doc_id``, of each near-duplicate component."""
-    first = near_duplicates(docs, words).where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("keep_id")).agg(F.count("*").alias("alike"))
+# --- similarity on shingles ----------------------------------------------------------------------------
+
+#: Multipliers that turn one 64-bit hash into three more (odd, from the fraction of the golden ratio and splitmix64).
+MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+#: Segments of a wide fingerprint of 256 bits, 23 bits each, and the keys that each of them gives.
+WIDE, PARTNERS = 11, 4
+#: Bits by which the first 64 of two similar documents may differ: at a similarity of 0.8 over five words, about 4 do.
+NEAR_BITS = 16
+
+
+def wide_fingerprint(found: list[bytes], seed: int) -> np.ndarray:
+    """SimHash of 256 bits over the set of words: (4,) of uint64."""
+    import xxhash
+
+    h = np.array([xxhash.xxh64_intdigest(w, seed) for w in set(found)], np.uint64)
+    more = [(h ^ (h >> np.uint64(29))) * np.uint64(m) for m in MIX]
+    bits = [2 * _ones(x) > len(h) for x in (h, *(x ^ (x >> np.uint64(32)) for x in more))]
+    return np.packbits(np.concatenate(bits), bitorder="little").view(np.uint64)
+
+
+def wide_keys(fp: np.ndarray, exact: int) -> np.ndarray:
+    """(n, WIDE * PARTNERS) keys of (n, 4) fingerprints.
+
+    A key is the code index of one segment and ``exact`` bits elsewhere, PARTNERS places for each segment. E errors over
+    eleven segments leave one with at most E / 11 of them.
+    """
+    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), 32), axis=1, bitorder="little").astype(np.int64)
+    out = np.empty((len(fp), WIDE * PARTNERS), np.int64)
+    for j in range(WIDE):
+        index = golay_index((bits[:, 23 * j : 23 * j + 23] << np.arange(23)).sum(1).astype(np.uint32)).astype(np.int64)
+        for m in range(PARTNERS):
+            start = 23 * ((j + 1 + 2 * m) % WIDE) + 11 * (m % 2)
+            rest = (bits[:, (start + np.arange(exact)) % (23 * WIDE)] << np.arange(exact)).sum(1)
+            out[:, PARTNERS * j + m] = ((PARTNERS * j + m) << 50) | (rest << 12) | index
+    return out
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``a, b`` pairs whose shingle sets have at least this Jaccard similarity."""
+    one, other = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    enough = both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both)
+    return pairs.join(one, "a").join(other, "b").where(enough).select("a", "b").distinct()
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """Groups of documents that share most of their word shingles: ``doc_id, component_id``, a row per row of ``docs``.
+
+    Two documents are linked if the Jaccard similarity of their sets of ``words``-word shingles is at least
+    ``similarity``; ``component_id`` is the smallest doc_id reachable. Links are verified exactly. Candidates
+    share a key of a 256-bit SimHash over their words, so a link can be missed: at a similarity of 0.8, which moves one bit
+    in twelve or so, a few in a hundred are.
+
+    All members of a key's bucket first meet its smallest; groups of copies join there in linear work. What is not
+    in the smallest one's group by then meets all others of a small bucket that are in another group. A crowded bucket is
+    worked off by leaders: members that match the leader leave it, the rest choose the next.
+
+    The exact part of a key grows with the number of documents, so buckets stay small by chance at any size.
+    Words are A-Z lower-cased. Texts with the same words are one class; fewer than ``words`` words match only
+    the same words, a text with none (or null) all of its kind. A null ``doc_id`` counts as the smallest; rows that repeat a
+    doc_id are one document. Other columns are ignored.
+    """
+    import xxhash
+
+    def classify(batches):
+        for b in batches:
+            rows = [words_of(t.as_py()) for t in b.column(1)]
+            same = [xxhash.xxh3_128_intdigest(b" ".join(w), seed) for w in rows]
+            fp = np.array([wide_fingerprint(w, seed) if len(w) >= words else np.zeros(4, np.uint64) for w in rows], np.uint64).reshape(-1, 4).view(np.int64)
+            same = np.array([(s >> 64, s & (2**64 - 1)) for s in same], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.record_batch([b.column(0), *map(pa.array, (*same.T.copy(), *fp.T.copy(), np.array([len(w) >= words for w in rows], bool)))], names=["doc", "s1", "s2", *parts, "keyed"])
+
+    parts = ["f0", "f1", "f2", "f3"]
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    kinds = "doc long, s1 long, s2 long, " + ", ".join(f"{p} long" for p in parts) + ", keyed boolean"
+    found = materialise(docs.select(doc.alias("doc"), "text").mapInArrow(classify, kinds), "wide-fingerprints")
+    classes = found.groupBy("s1", "s2").agg(F.min("doc").alias("node"), *[F.any_value(c).alias(c) for c in (*parts, "keyed")])
+    classes = materialise(classes, "word-classes")
+    n = classes.count()
+    exact = min(38, max(12, math.ceil(math.log2(max(n, 2))) - 10))
+
+    def spell(batches):
+        for b in batches:
+            fp = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5)], 1).reshape(-1, 4)
+            keys = wide_keys(fp.view(np.uint64), exact)
+            node, first = (np.repeat(c, keys.shape[1]) for c in (b.column(0).to_numpy(zero_copy_only=False), fp[:, 0]))
+            yield pa.record_batch([pa.array(keys.ravel()), pa.array(node), pa.array(first)], names=["key", "node", "fp"])
+
+    keyed = classes.where("keyed").select("node", *parts)
+    rows = keyed.mapInArrow(spell, "key long, node long, fp long")
+    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= NEAR_BITS
+
+    def led(rows: DataFrame, label: str) -> DataFrame:
+        """The rows of buckets of two or more, with ``n`` and the ``hub``, the bucket's smallest node, and its ``hub_fp``."""
+        hubs = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "fp")).alias("hub")).where("n > 1")
+        return materialise(rows.join(hubs.select("key", "n", F.col("hub.node").alias("hub"), F.col("hub.fp").alias("hub_fp")), "key"), label)
+
+    held = led(rows, "led-buckets")
+    star = held.where((F.col("node") != F.col("hub")) & near("fp", "hub_fp"))
+    pairs = materialise(star.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "star-pairs")
+    # a small bucket, of CROWDED rows at most, in one row; of a node only itself is looked up there
+    small = held.where(F.col("n") <= CROWDED).groupBy("key").agg(F.collect_list(F.struct("node", "fp")).alias("all"))
+    met = F.filter("all", lambda x: F.exists("all", lambda y: (x["node"] != y["node"]) & (F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= NEAR_BITS)))
+    wanted = small.select(F.explode(F.transform(met, lambda x: x["node"])).alias("node")).union(held.where(F.col("n") > CROWDED).select("node"))
+    wanted = materialise(wanted.distinct(), "wanted-nodes")
+
+    def shingle(batches):
+        for b in batches:
+            sets = [np.unique((np.concatenate(list(shingle_hashes(words_of(t.as_py()), words, seed))) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in b.column(1)]
+            offsets = np.cumsum([0, *map(len, sets)])
+            values = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int32))
+            yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], names=["node", "shingles"])
+
+    texts = docs.select(doc.alias("node"), "text").where(F.col("text").isNotNull()).join(wanted, "node", "left_semi")
+    sets = materialise(texts.mapInArrow(shingle, "node long, shingles array<int>"), "shingle-sets")
+    links = [materialise(_alike(pairs, sets, similarity), "links")]
+    group = materialise(components(links[0], wanted), "star-groups")
+    at, hub_at = group.select("node", F.col("component").alias("at")), group.select(F.col("node").alias("hub"), F.col("component").alias("hub_at"))
+    held = held.join(at, "node").join(hub_at, "hub", "left")
+    open_ = materialise(held.where("hub_at is null or at <> hub_at or node = hub").select("key", "node", "fp", "n", "at"), "open-buckets")
+    few = open_.where(F.col("n") <= CROWDED)
+    right = few.select("key", F.col("node").alias("b"), F.col("fp").alias("other"), F.col("at").alias("b_at"))
+    left = few.select(F.col("key").alias("k"), F.col("node").alias("a"), "fp", "at")
+    across = left.join(right, (F.col("k") == F.col("key")) & (F.col("a") < F.col("b")) & (F.col("at") != F.col("b_at")) & near("fp", "other"))
+    links.append(materialise(_alike(across.select("a", "b").distinct(), sets, similarity), "links"))
+    open_ = open_.where(F.col("n") > CROWDED).select("key", "node", "fp")
+    while not open_.isEmpty():
+        held = led(open_, "led-buckets").where("node <> hub")
+        pairs = held.where(near("fp", "hub_fp")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        links.append(materialise(_alike(pairs, sets, similarity), "links"))
+        matched = links[-1].select(F.col("a").alias("hub"), F.col("b").alias("node"))
+        open_ = materialise(held.join(matched, ["hub", "node"], "left_anti").select("key", "node", "fp"), "open-buckets")
+    nodes = classes.select("node").distinct()
+    group = components(reduce(DataFrame.union, links), nodes)
+    member = found.join(classes.select("s1", "s2", "node"), ["s1", "s2"]).join(group, "node")
+    least = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
+    return member.select(least("doc").alias("doc_id"), least("component").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Keep one document, the smallest ``doc_id``, of each group of similar documents; all columns stay.
+
+    Of rows that repeat a kept doc_id, one stays.
+    """
+    first = similar_documents(docs, words, similarity).where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("keep_id")).agg(F.count("*").alias("alike"))
     first = materialise(first, "kept-ids")
     same = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     kept = docs.join(first, same, "left_semi")
