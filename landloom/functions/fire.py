@@ -102,3 +102,53 @@ def hydro_level(twi_pct: Column, pond_m: Column, seep: Column, flow_ha: Column)
         sig((pond_m > 0) & (pond_m < 0.05), 3, 0.85), sig(pond_m >= 0.05, 4, 1.0), sig((seep >= 60) & (seep < 80), 2, 0.8), sig(seep >= 80, 3, 1.0),
         sig((flow_ha >= 0.03) & (flow_ha < 0.10), 1, 0.45), sig(flow_ha >= 0.10, 1, 0.65), F.struct(F.lit(0).alias("level"), F.lit(0.0).alias("score")),
     )
+
+
+#: By exposure, the shift of the equilibrium moisture in % and the speed of drying.
+EXPOSURES = {"shaded": (0.0, 1.0), "mixed": (-1.0, 1.15), "open": (-2.0, 1.30)}
+#: Shift of the foliar moisture in % by drought.
+DROUGHTS = {"normal": 0.0, "dry": 0.0, "moderate": 0.0, "severe": -5.0, "extreme": -10.0, "catastrophic": -10.0}
+
+
+def dead_moisture(t_f: Column, rh: Column, days: Column, exposure: str = "shaded") -> dict[str, Column]:
+    """Moisture fractions of dead fuels of 1, 10 and 100 hours, drying towards equilibrium since the last rain."""
+    shift, speed = EXPOSURES[exposure]
+    e = clamp(equilibrium_moisture(t_f, rh) + shift, 1, 100)
+    d = F.greatest(days, F.lit(0.0))
+    curve = lambda end, wet, lag: end + (wet - end) * F.exp(-24.0 * d * speed / lag)
+    return {"m1": clamp(curve(e, 35.0, 1.0), 2, 35) / 100, "m10": clamp(curve(e + 2, 35.0, 10.0), 3, 35) / 100, "m100": clamp(curve(e + 4, 30.0, 100.0), 4, 40) / 100}
+
+
+def live_moisture(gsi: Column) -> dict[str, Column]:
+    """Herbaceous and woody moisture in % from a mean growing season index; dormant up to one half."""
+    g = clamp(gsi, 0, 1)
+    return {"herb": F.when(g > 0.5, 440 * g - 190).otherwise(30.0), "woody": F.when(g > 0.5, 280 * g - 80).otherwise(60.0)}
+
+
+def foliar_moisture(lat: Column, lon_west: Column, elevation: Column, yday: Column, drought: str = "normal") -> Column:
+    """Conifer foliar moisture in % around the day of its spring low."""
+    high = elevation > 0
+    norm = F.when(high, 43 + 33.7 * F.exp(-0.0351 * (150 - lon_west))).otherwise(46 + 23.4 * F.exp(-0.0360 * (150 - lon_west)))
+    low = F.rint(F.when(high, 142.1 * (lat / norm) + 0.0172 * elevation).otherwise(151.0 * (lat / norm)))
+    n = F.abs(yday - low)
+    found = F.when(n < 30, 85 + 0.0189 * n * n).when(n < 50, 32.9 + 3.17 * n - 0.0288 * n * n).otherwise(120.0)
+    return clamp(found + DROUGHTS[drought], 75 if drought == "catastrophic" else 80, 120)
+
+
+def midflame_wind(open_wind: Column, cover: Column) -> Column:
+    """Open wind cut down by canopy cover, given as a fraction or in %; missing cover is none."""
+    share = F.coalesce(F.when(F.isnan(cover), 0.0).otherwise(cover), F.lit(0.0))
+    share = clamp(F.when(share > 1, share / 100).otherwise(share), 0, 1)
+    return F.greatest(open_wind, F.lit(0.0)) * wind_adjustment(share * 100)
+
+
+def ellipse_rates(head: Column, ratio: Column) -> dict[str, Column]:
+    """Spread at the flank and the back of an ellipse of length ``ratio`` to width."""
+    e = F.sqrt(F.greatest(1 - 1 / (ratio * ratio), F.lit(0.0)))
+    return {"flank": head * F.sqrt((1 - e) / (1 + e)), "back": head * (1 - e) / (1 + e)}
+
+
+def ember_reach(wind_mph: float, flame: float, passive: bool, active: bool) -> float:
+    """How far downwind embers are reckoned with, in metres; none under a mile an hour."""
+    base = max(120.0 if flame >= 2.4 else 60.0, 180.0 if passive else 0.0, 320.0 if active else 0.0)
+    return min(800.0, base * min(max(wind_mph / 20, 0.5), 2.5)) if wind_mph >= 1 else 0.0

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .climate import clamp
+from .geo import bind
 
 EARTH = 6_371_000.0
 #: Share of the earth's curvature that refraction takes back.
@@ -56,7 +57,7 @@ def sky_view(horizon_deg: Column) -> Column:
 
 def twilight(sun_elevation: Column) -> Column:
     e = sun_elevation
-    return F.when(e >= 0, "day").when(e >= -6, "civil").when(e >= -12, "nautical").when(e >= -18, "astronomical").otherwise("night")
+    return F.when(e >= 0, "day").when(e >= -6, "civil_twilight").when(e >= -12, "nautical_twilight").when(e >= -18, "astronomical_twilight").otherwise("night")
 
 
 def horizon_at(profile: Column, azimuth: Column) -> Column:
@@ -66,3 +67,45 @@ def horizon_at(profile: Column, azimuth: Column) -> Column:
     i = F.floor(at).cast("int")
     a, b = F.get(profile, i % n), F.get(profile, (i + 1) % n)
     return a + (b - a) * (at - i)
+
+
+# Solar constant, ozone and water columns in cm, aerosol depth, ground albedo.
+SOLAR_W, OZONE, WATER, AEROSOL, GROUND = 1367.0, 0.30, 1.50, 0.10, 0.20
+
+
+def clear_sky(sun_elevation: Column, elevation_m: float, yday: Column) -> Column:
+    """``struct<dni, dhi, ghi>``: direct, diffuse and global clear-sky irradiance in W/m2 by broadband transmittances, zero while
+    the sun is down. Values used more than once are bound, which keeps the expression small."""
+    power = lambda base, e: F.pow(base, F.lit(e))
+    cosz = F.sin(F.radians(sun_elevation))
+    top = SOLAR_W * (1 + 0.033 * F.cos(2 * math.pi * yday / 365))
+    mass = math.exp(-max(0.0, elevation_m) / 8434.5) / (cosz + 0.50572 * power(F.greatest(96.07995 - (90 - sun_elevation), F.lit(1e-6)), -1.6364))
+
+    def passed(v: Column) -> Column:
+        m = v["mass"]
+        uo, uw = OZONE * m, WATER * m
+        ozone = 1 - 0.1611 * uo * power(1 + 139.48 * uo, -0.3035) - 0.002715 * uo / (1 + 0.044 * uo + 0.0003 * uo * uo)
+        water = 1 - 2.4959 * uw / (power(1 + 79.034 * uw, 0.6828) + 6.385 * uw)
+        rayleigh = F.exp(-0.0903 * power(m, 0.84) * (1 + m - power(m, 1.01)))
+        haze = F.exp(-(AEROSOL**0.873) * (1 + AEROSOL - AEROSOL**0.7088) * power(m, 0.9108))
+        return F.struct(v["cosz"].alias("cosz"), v["top"].alias("top"), (ozone * water).alias("gases"), F.exp(-0.0127 * power(m, 0.26)).alias("mixed"), rayleigh.alias("rayleigh"), haze.alias("haze"))
+
+    def fluxes(v: Column) -> Column:
+        direct = F.greatest(0.9662 * v["top"] * v["rayleigh"] * v["mixed"] * v["gases"] * v["haze"], F.lit(0.0))
+        scattered = v["top"] * v["cosz"] * v["gases"] * v["mixed"]
+        diffuse = F.greatest(scattered * (1 - v["rayleigh"]) * 0.5 + scattered * v["rayleigh"] * (1 - v["haze"]) * 0.75, F.lit(0.0))
+        mirror = GROUND * (0.0685 + 0.16 * (1 - v["haze"]))
+        return F.struct(direct.alias("dni"), (diffuse + (direct * v["cosz"] + diffuse) * mirror / (1 - mirror)).alias("dhi"), v["cosz"].alias("cosz"))
+
+    found = bind(bind(bind(F.struct(cosz.alias("cosz"), top.alias("top"), mass.alias("mass")), passed), fluxes), lambda f: F.struct(f["dni"], f["dhi"], (f["dni"] * f["cosz"] + f["dhi"]).alias("ghi")))
+    none = F.struct(*[F.lit(0.0).alias(n) for n in ("dni", "dhi", "ghi")])
+    return F.when(cosz > 0, found).otherwise(none)
+
+
+def belt_position(lat_deg: float, offset_deg: Column) -> Column:
+    """``struct<azimuth, elevation>`` of a geostationary satellite ``offset_deg`` of longitude away."""
+    phi, far, near = math.radians(lat_deg), 42164.0, 6371.0
+    d = F.radians(offset_deg)
+    x, y, z = far * F.cos(d) - near * math.cos(phi), far * F.sin(d), F.lit(-near * math.sin(phi))
+    north, up = -math.sin(phi) * x + math.cos(phi) * z, math.cos(phi) * x + math.sin(phi) * z
+    return F.struct(F.pmod(F.degrees(F.atan2(y, north)), F.lit(360.0)).alias("azimuth"), F.degrees(F.atan2(up, F.hypot(y, north))).alias("elevation"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landloom.functions.geo import bind
@@ -46,10 +46,18 @@ def brooks_corey(storage: Column, room: Column, ksat: Column, pore_index: Column
     return F.greatest((s - after) * room, F.lit(0.0))
 
 
-def root_zone_water(horizons: Column, depth_cm: float = 70.0) -> Column:
-    """Available water in mm down to a depth, from ``array<struct<top, bottom, awc>>``."""
-    part = F.transform(horizons, lambda h: F.greatest(F.least(h["bottom"], F.lit(depth_cm)) - F.greatest(h["top"], F.lit(0.0)), F.lit(0.0)) * h["awc"] * 10)
-    return F.aggregate(part, F.lit(0.0), lambda s, v: s + v)
+def root_zone_water(horizons: Column, depth_cm: float = 70.0, limit_cm: Column | None = None, storage_150_cm: Column | None = None) -> Column:
+    """Available water in mm down to a depth or a shallower restriction, from ``array<struct<top, bottom, awc>>``.
+
+    Horizons with a missing part are left out; where none is left, the map unit's storage of the first 150 cm counts by share.
+    """
+    deep = F.lit(float(depth_cm)) if limit_cm is None else F.greatest(F.least(F.coalesce(limit_cm, F.lit(float(depth_cm))), F.lit(float(depth_cm))), F.lit(0.0))
+    known = F.filter(F.coalesce(horizons, F.array()), lambda h: h["top"].isNotNull() & h["bottom"].isNotNull() & h["awc"].isNotNull() & (F.least(h["bottom"], deep) > F.greatest(h["top"], F.lit(0.0))))
+    part = F.transform(known, lambda h: (F.least(h["bottom"], deep) - F.greatest(h["top"], F.lit(0.0))) * F.greatest(h["awc"], F.lit(0.0)) * 10)
+    total = F.aggregate(part, F.lit(0.0), lambda s, v: s + v)
+    if storage_150_cm is None:
+        return total
+    return F.when(F.size(known) > 0, total).otherwise(F.greatest(storage_150_cm, F.lit(0.0)) * F.least(deep, F.lit(150.0)) / 150 * 10)
 
 
 def profile_ksat(horizons: DataFrame) -> DataFrame:
@@ -64,4 +72,39 @@ def profile_ksat(horizons: DataFrame) -> DataFrame:
 
 
 def peaking_factor(hours: Column) -> Column:
-    return F.when(hours <= 1, 3.5).when(hours <= 6, 2.5).when(hours <= 24, 2.0).otherwise(1.5)
+    """Ratio of peak to mean discharge of a storm, by its length."""
+    return F.when(hours <= 3, 3.5).when(hours <= 12, 2.5).when(hours <= 24, 2.0).otherwise(1.5)
+
+
+def antecedent_class(wetness: Column) -> Column:
+    return F.when(wetness < 0.33, "dry").when(wetness > 0.67, "wet").otherwise("normal")
+
+
+def seep_score(wetness_pct: Column, flow_pct: Column, break_pct: Column, restriction_cm: Column, ksat_min: Column) -> Column:
+    """Spring and seep score of 0 to 100: wetness, flow, slope break and a shallow restrictive layer. Slow soils of unknown depth
+    count as 60 cm."""
+    depth = F.coalesce(restriction_cm, F.when(ksat_min < 5, 60.0))
+    shallow = F.coalesce(F.least(F.greatest(1 - depth / 150, F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return 40 * zero(wetness_pct) + 20 * zero(flow_pct) + 15 * zero(break_pct) + 25 * shallow
+
+
+def level_surface(cells: DataFrame, volumes: DataFrame, area: float) -> DataFrame:
+    """``label, level`` of the water in each depression that holds ``volume`` m3 (at most its capacity).
+
+    ``cells`` has ``label, v, depth``: ground and how deep water can stand. Over rising levels a cell adds its area from its
+    ground on and no more from ``v + depth`` on, so the volume is a sum of ramps: two events a cell, running sums, and the
+    level lies in the segment where the volume is reached.
+    """
+    up = cells.where("depth > 0").select("label", F.col("v").alias("at"), F.lit(1).alias("n"))
+    down = cells.where("depth > 0").select("label", (F.col("v") + F.col("depth")).alias("at"), F.lit(-1).alias("n"))
+    steps = up.union(down).groupBy("label", "at").agg(F.sum("n").alias("n"))
+    by_level = Window.partitionBy("label").orderBy("at")
+    wet = steps.select("label", "at", F.sum("n").over(by_level).alias("wet"), F.lead("at").over(by_level).alias("next"))
+    part = F.coalesce((F.col("next") - F.col("at")) * F.col("wet") * area, F.lit(0.0))
+    sums = wet.select("label", "at", "wet", "next", (F.sum(part).over(by_level) - part).alias("below"), F.sum(part).over(by_level).alias("above"))
+    held = sums.join(volumes.where("volume > 0").select("label", "volume"), "label").where("wet > 0")
+    hit = held.where((F.col("below") < F.col("volume")) & (F.col("above") >= F.col("volume")))
+    full = held.groupBy("label").agg(F.max("next").alias("top"), F.max("above").alias("capacity"), F.first("volume").alias("volume")).where("volume > capacity")
+    level = F.col("at") + (F.col("volume") - F.col("below")) / (F.col("wet") * area)
+    return hit.select("label", level.alias("level")).union(full.select("label", "top"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ground, land, live, plan, scenario, weather
+from . import ground, land, layers, live, plan, process, scenario, weather
 
-MODULES = (land, ground, weather, live, plan, scenario)
+MODULES = (land, ground, weather, live, plan, scenario, layers, process)
 
 
 def queries() -> dict:
