@@ -236,6 +236,8 @@ MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 WIDE, PARTNERS = 11, 4
 #: Bits by which the first 64 of two similar documents may differ: at a similarity of 0.8 over five words, about 4 do.
 NEAR_BITS = 16
+#: Members of a crowded bucket that all others meet in one round.
+LEADERS = 16
 
 
 def wide_fingerprint(found: list[bytes], seed: int) -> np.ndarray:
@@ -281,9 +283,10 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     share a key of a 256-bit SimHash over their words, so a link can be missed: at a similarity of 0.8, which moves one bit
     in twelve or so, a few in a hundred are.
 
-    All members of a key's bucket first meet its smallest; groups of copies join there in linear work. What is not
-    in the smallest one's group by then meets all others of a small bucket that are in another group. A crowded bucket is
-    worked off by leaders: members that match the leader leave it, the rest choose the next.
+    All members of a key's bucket first meet its smallest; groups of copies join there in linear work. Then small buckets
+    compare all members that are in different groups. In a crowded bucket, those outside the smallest one's group go on by
+    rounds of leaders: members that match a leader leave the bucket, the leaders leave, and what remains is compared as
+    a small bucket or chooses the next leaders.
 
     The exact part of a key grows with the number of documents, so buckets stay small by chance at any size.
     Words are A-Z lower-cased. Texts with the same words are one class; fewer than ``words`` words match only
@@ -345,21 +348,30 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     sets = materialise(texts.mapInArrow(shingle, "node long, shingles array<int>"), "shingle-sets")
     links = [materialise(_alike(pairs, sets, similarity), "links")]
     group = materialise(components(links[0], wanted), "star-groups")
-    at, hub_at = group.select("node", F.col("component").alias("at")), group.select(F.col("node").alias("hub"), F.col("component").alias("hub_at"))
-    held = held.join(at, "node").join(hub_at, "hub", "left")
-    open_ = materialise(held.where("hub_at is null or at <> hub_at or node = hub").select("key", "node", "fp", "n", "at"), "open-buckets")
-    few = open_.where(F.col("n") <= CROWDED)
-    right = few.select("key", F.col("node").alias("b"), F.col("fp").alias("other"), F.col("at").alias("b_at"))
-    left = few.select(F.col("key").alias("k"), F.col("node").alias("a"), "fp", "at")
-    across = left.join(right, (F.col("k") == F.col("key")) & (F.col("a") < F.col("b")) & (F.col("at") != F.col("b_at")) & near("fp", "other"))
-    links.append(materialise(_alike(across.select("a", "b").distinct(), sets, similarity), "links"))
-    open_ = open_.where(F.col("n") > CROWDED).select("key", "node", "fp")
+    grouped = held.join(group.select("node", F.col("component").alias("at")), "node").select("key", "node", "fp", "n", "at")
+    mixed = grouped.groupBy("key").agg((F.min("at") != F.max("at")).alias("mixed"), F.min_by("at", "node").alias("hub_at")).where("mixed")
+    open_ = materialise(grouped.join(mixed.select("key", "hub_at"), "key"), "open-buckets")
+
+    def across(rows: DataFrame) -> DataFrame:
+        """Near pairs of the members of small buckets that are in different groups."""
+        right = rows.select("key", F.col("node").alias("b"), F.col("fp").alias("other"), F.col("at").alias("b_at"))
+        left = rows.select(F.col("key").alias("k"), F.col("node").alias("a"), "fp", "at")
+        return left.join(right, (F.col("k") == F.col("key")) & (F.col("a") < F.col("b")) & (F.col("at") != F.col("b_at")) & near("fp", "other")).select("a", "b").distinct()
+
+    links.append(materialise(_alike(across(open_.where(F.col("n") <= CROWDED)), sets, similarity), "links"))
+    open_ = open_.where((F.col("n") > CROWDED) & (F.col("at") != F.col("hub_at"))).select("key", "node", "fp", "at")
     while not open_.isEmpty():
-        held = led(open_, "led-buckets").where("node <> hub")
-        pairs = held.where(near("fp", "hub_fp")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        sizes = open_.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        open_ = materialise(open_.join(sizes, "key"), "open-buckets")
+        small, crowd = open_.where(F.col("n") <= CROWDED), open_.where(F.col("n") > CROWDED)
+        leaders = crowd.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(LEADERS))).agg(F.min(F.struct("node", "fp")).alias("l")).select("key", F.col("l.node").alias("leader"), F.col("l.fp").alias("leader_fp"))
+        leaders = materialise(leaders, "leaders")
+        led_by = crowd.join(leaders, "key").where((F.col("node") != F.col("leader")) & near("fp", "leader_fp"))
+        pairs = led_by.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).union(across(small)).distinct()
         links.append(materialise(_alike(pairs, sets, similarity), "links"))
-        matched = links[-1].select(F.col("a").alias("hub"), F.col("b").alias("node"))
-        open_ = materialise(held.join(matched, ["hub", "node"], "left_anti").select("key", "node", "fp"), "open-buckets")
+        ends = links[-1].select(F.col("a").alias("node"), F.col("b").alias("leader")).union(links[-1].select("b", "a"))
+        gone = leaders.select("key", F.col("leader").alias("node")).union(leaders.join(ends, "leader").select("key", "node")).distinct()
+        open_ = materialise(crowd.join(gone, ["key", "node"], "left_anti").select("key", "node", "fp", "at"), "open-buckets")
     nodes = classes.select("node").distinct()
     group = components(reduce(DataFrame.union, links), nodes)
     member = found.join(classes.select("s1", "s2", "node"), ["s1", "s2"]).join(group, "node")
