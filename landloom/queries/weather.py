@@ -197,8 +197,8 @@ def i23_hydro_influence(spark, d):
 
 @query("""with t as (select i as yday, h::double as hour, radians(23.45*sin(radians(360.0/365.0*(284+i)))) as de, radians(15.0*(h-12)) as ha, radians(40.0) as phi from range(1, 366, 14) a(i), range(24) b(h))
 select yday, hour, round(degrees(asin(least(greatest(sin(phi)*sin(de)+cos(phi)*cos(de)*cos(ha),-1),1))),5) as elevation,
-  case when degrees(asin(sin(phi)*sin(de)+cos(phi)*cos(de)*cos(ha))) >= 0 then 'day' when degrees(asin(sin(phi)*sin(de)+cos(phi)*cos(de)*cos(ha))) >= -6 then 'civil'
-  when degrees(asin(sin(phi)*sin(de)+cos(phi)*cos(de)*cos(ha))) >= -12 then 'nautical' when degrees(asin(sin(phi)*sin(de)+cos(phi)*cos(de)*cos(ha))) >= -18 then 'astronomical' else 'night' end as twilight from t""")
+  case when degrees(asin(sin(phi)*sin(de)+cos(phi)*cos(de)*cos(ha))) >= 0 then 'day' when degrees(asin(sin(phi)*sin(de)+cos(phi)*cos(de)*cos(ha))) >= -6 then 'civil_twilight'
+  when degrees(asin(sin(phi)*sin(de)+cos(phi)*cos(de)*cos(ha))) >= -12 then 'nautical_twilight' when degrees(asin(sin(phi)*sin(de)+cos(phi)*cos(de)*cos(ha))) >= -18 then 'astronomical_twilight' else 'night' end as twilight from t""")
 def k11_solar_position(spark, d):
     t = spark.range(1, 366, 14).withColumnRenamed("id", "yday").withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23)))).withColumn("hour", F.col("hour").cast("double"))
     p = t.withColumn("p", sky.solar_position(LAT, F.col("yday"), F.col("hour")))
