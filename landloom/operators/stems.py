@@ -20,8 +20,8 @@ def fill_voids(cells: DataFrame, missing: DataFrame, reaches: tuple[int, ...] =
     found, open_ = None, missing.select("row", "col")
     for reach in reaches:
         steps = F.sequence(F.lit(-reach), F.lit(reach))
-        ask = open_.select("row", "col", F.explode(steps).alias("dr")).select("*", F.explode(steps).alias("dc")).where(F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc") <= reach * reach)
-        ask = ask.select(F.col("row").alias("r"), F.col("col").alias("c"), (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), (1 / F.sqrt((F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).cast("double"))).alias("w"))
+        ask = open_.select("row", "col", F.explode(steps).alias("dr")).select("*", F.explode(steps).alias("dc")).where((F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).between(1, reach * reach))
+        ask = ask.select(F.col("row").alias("r"), F.col("col").alias("c"), (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), F.pow((F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).cast("double"), F.lit(-0.5)).alias("w"))
         near = ask.join(cells.where("v is not null").select("row", "col", "v"), ["row", "col"])
         filled = near.groupBy(F.col("r").alias("row"), F.col("c").alias("col")).agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"))
         found = filled if found is None else found.union(filled)
