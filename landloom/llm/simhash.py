@@ -236,8 +236,8 @@ MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 WIDE, PARTNERS = 11, 4
 #: Bits by which the first 64 of two similar documents may differ: at a similarity of 0.8 over five words, about 4 do.
 NEAR_BITS = 16
-#: Members of a crowded bucket that all others meet in one round.
-LEADERS = 16
+#: Buckets of up to so many rows compare all members of different groups; larger ones go by leaders, so many a round.
+SMALL, LEADERS = 512, 128
 
 
 def wide_fingerprint(found: list[bytes], seed: int) -> np.ndarray:
@@ -331,10 +331,10 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     held = led(rows, "led-buckets")
     star = held.where((F.col("node") != F.col("hub")) & near("fp", "hub_fp"))
     pairs = materialise(star.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "star-pairs")
-    # a small bucket, of CROWDED rows at most, in one row; of a node only itself is looked up there
-    small = held.where(F.col("n") <= CROWDED).groupBy("key").agg(F.collect_list(F.struct("node", "fp")).alias("all"))
+    # a small bucket, of SMALL rows at most, in one row; of a node only itself is looked up there
+    small = held.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("node", "fp")).alias("all"))
     met = F.filter("all", lambda x: F.exists("all", lambda y: (x["node"] != y["node"]) & (F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= NEAR_BITS)))
-    wanted = small.select(F.explode(F.transform(met, lambda x: x["node"])).alias("node")).union(held.where(F.col("n") > CROWDED).select("node"))
+    wanted = small.select(F.explode(F.transform(met, lambda x: x["node"])).alias("node")).union(held.where(F.col("n") > SMALL).select("node"))
     wanted = materialise(wanted.distinct(), "wanted-nodes")
 
     def shingle(batches):
@@ -358,12 +358,12 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
         left = rows.select(F.col("key").alias("k"), F.col("node").alias("a"), "fp", "at")
         return left.join(right, (F.col("k") == F.col("key")) & (F.col("a") < F.col("b")) & (F.col("at") != F.col("b_at")) & near("fp", "other")).select("a", "b").distinct()
 
-    links.append(materialise(_alike(across(open_.where(F.col("n") <= CROWDED)), sets, similarity), "links"))
-    open_ = open_.where((F.col("n") > CROWDED) & (F.col("at") != F.col("hub_at"))).select("key", "node", "fp", "at")
+    links.append(materialise(_alike(across(open_.where(F.col("n") <= SMALL)), sets, similarity), "links"))
+    open_ = open_.where((F.col("n") > SMALL) & (F.col("at") != F.col("hub_at"))).select("key", "node", "fp", "at")
     while not open_.isEmpty():
         sizes = open_.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         open_ = materialise(open_.join(sizes, "key"), "open-buckets")
-        small, crowd = open_.where(F.col("n") <= CROWDED), open_.where(F.col("n") > CROWDED)
+        small, crowd = open_.where(F.col("n") <= SMALL), open_.where(F.col("n") > SMALL)
         leaders = crowd.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(LEADERS))).agg(F.min(F.struct("node", "fp")).alias("l")).select("key", F.col("l.node").alias("leader"), F.col("l.fp").alias("leader_fp"))
         leaders = materialise(leaders, "leaders")
         led_by = crowd.join(leaders, "key").where((F.col("node") != F.col("leader")) & near("fp", "leader_fp"))

@@ -74,8 +74,9 @@ def test_documents_against_brute_force(spark, data):
 
 
 def test_large_group_of_near_copies(spark, monkeypatch):
-    """Buckets beyond CROWDED are worked off by leaders; two groups and a stray share them."""
-    monkeypatch.setattr(simhash, "CROWDED", 4)
+    """Buckets beyond SMALL are worked off by leaders, two a round."""
+    monkeypatch.setattr(simhash, "SMALL", 4)
+    monkeypatch.setattr(simhash, "LEADERS", 2)
     rng = random.Random(8)
     one = prose(rng, 300)
     half = one[:150] + prose(rng, 150)
