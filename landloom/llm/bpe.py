@@ -176,7 +176,9 @@ def encode(docs: DataFrame, vocabulary: str, leaf: int = LEAF, with_ids: bool =
                             cut = halves(word, leaf)
                             out += [(row, doc, seq, k, 2 if k + 1 == len(cut) else 1, p) for k, p in enumerate(cut)]
                         seq += 1
-                yield pa.record_batch(list(map(pa.array, zip(*out))) if out else [[]] * 6, schema=piece)
+                # a text without words keeps its row
+                out = out or [(row, doc, 0, 0, 0, "")]
+                yield pa.record_batch(list(map(pa.array, zip(*out))), schema=piece)
 
     piece = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("seq", pa.int64()), ("leaf", pa.int64()), ("kind", pa.int64()), ("text", pa.string())])
 

@@ -198,6 +198,16 @@ def test_bpe_of_documents(spark, documents, odd, vocabulary):
     assert bpe.encode(documents.limit(0), vocabulary).count() == 0
 
 
+def test_bpe_of_long_texts_without_words(spark, vocabulary):
+    texts = [(i, ch * n) for i, (ch, n) in enumerate((c, n) for c in "\u00a0\u3000\x85" for n in (8192, 8193, 9000))]
+    docs = spark.createDataFrame([*texts, (50, "\u3000" * 9000 + " a")], "doc_id long, text string")
+    found = {r.doc_id: (r.n_tokens, r.ids, r.decoded) for r in bpe.encode(docs, vocabulary).collect()}
+    assert len(found) == 10 and found.pop(50)[0] == 1
+    assert set(found.values()) == {(0, "", "")}
+    digests = {r.ids_sha256 for r in bpe.encode(docs.where("doc_id < 50"), vocabulary, with_ids=False).collect()}
+    assert digests == {hashlib.sha256(b"").hexdigest()}
+
+
 def test_mixing_meets_targets(spark, documents, odd):
     for docs in (documents, odd):
         got = mixing.mix(docs).toPandas()
