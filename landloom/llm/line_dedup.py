@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, ascii_lower, forget, materialise, shared_path, table
+from .common import ASCII_SPACE, NULL_ID, ascii_lower, forget, materialise, shared_path, table
 
 
 def lines_of(text: Column) -> Column:
@@ -94,7 +94,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     docs = docs.select(rest)
     doc, row = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), F.xxhash64(F.col("text"))
-    line = F.expr(r"trim(both ' \t\n\u000b\f\r' from line)")
+    line = F.trim(F.col("line"), F.lit(ASCII_SPACE))
     hashed = (
         docs.select(doc.alias("doc"), row.alias("row"), F.posexplode(lines_of(F.col("text"))).alias("at", "line"))
         .withColumn("line", line)

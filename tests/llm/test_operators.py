@@ -262,6 +262,18 @@ def test_line_dedup_by_brute_force(spark, documents, odd):
     assert line_dedup.dedup_lines(documents.limit(0)).count() == 0
 
 
+def test_line_keys_keep_an_f_and_lose_a_form_feed(spark):
+    ends, begins, fed = "a line of exactly forty code points itsf", "f line of exactly forty code points its.", "this copy ends or begins with a form feed, and no more"
+    assert len(ends) == len(begins) == 40
+    stem = "lines of this stem differ by no more than one letter o"
+    rows = [(i, "\n".join([ends, begins, stem + "f" * (i % 2), ("\f" * (i % 2) + fed + "\f" * (i % 3)), f"own {i}"])) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.text, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(docs).collect())
+    assert [t for t, _, _ in got] == brute_lines(rows)
+    # each stem is held by four documents only, so it stays
+    assert sum(d for _, _, d in got) == 3 * 7
+
+
 def test_line_runs_compact(spark):
     runs = line_dedup.LineRuns(spark, fanout=2)
     for b in range(5, 0, -1):
