@@ -15,8 +15,8 @@ fingerprint of a shared point links to the smallest. That is exact and linear, s
 Only distinct fingerprints take part; documents come back through membership.
 
 ``near_duplicates`` is that, for fingerprints within two bits. ``similar_documents`` is for similarity of shingle sets,
-0.8 and more, where fingerprints differ by far more bits: a wider one with more Golay-coded segments gives
-the keys, and candidates are verified on the shingles themselves.
+0.8 and more, where fingerprints differ by far more bits: there the first shingles of a set in hash order are the keys
+(a prefix filter, exact), and candidates are verified on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -230,48 +230,25 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFram
 
 # --- similarity on shingles ----------------------------------------------------------------------------
 
-#: Multipliers that turn one 64-bit hash into three more (odd, from the fraction of the golden ratio and splitmix64).
-MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-#: Segments of a wide fingerprint of 256 bits, 23 bits each, and the keys that each of them gives.
-WIDE, PARTNERS = 11, 4
-#: Bits by which the first 64 of two similar documents may differ: at a similarity of 0.8 over five words, about 4 do.
-NEAR_BITS = 16
-#: Buckets of up to so many rows compare all members of different groups; larger ones go by leaders, so many a round.
-SMALL, LEADERS = 512, 128
+#: Buckets of up to so many rows compare all members of different groups; larger ones go by leaders, so many in the first round.
+SMALL, LEADERS = 32, 32
 
 
-def wide_fingerprint(found: list[bytes], seed: int) -> np.ndarray:
-    """SimHash of 256 bits over the set of words: (4,) of uint64."""
-    import xxhash
-
-    h = np.array([xxhash.xxh64_intdigest(w, seed) for w in set(found)], np.uint64)
-    more = [(h ^ (h >> np.uint64(29))) * np.uint64(m) for m in MIX]
-    bits = [2 * _ones(x) > len(h) for x in (h, *(x ^ (x >> np.uint64(32)) for x in more))]
-    return np.packbits(np.concatenate(bits), bitorder="little").view(np.uint64)
+def shingle_set(found: list[bytes], words: int, seed: int) -> np.ndarray:
+    """The distinct shingle hashes of a text's words, in rising order as int64: the one order of all sets."""
+    return np.unique(np.concatenate(list(shingle_hashes(found, words, seed))).view(np.int64))
 
 
-def wide_keys(fp: np.ndarray, exact: int) -> np.ndarray:
-    """(n, WIDE * PARTNERS) keys of (n, 4) fingerprints.
-
-    A key is the code index of one segment and ``exact`` bits elsewhere, PARTNERS places for each segment. E errors over
-    eleven segments leave one with at most E / 11 of them.
-    """
-    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), 32), axis=1, bitorder="little").astype(np.int64)
-    out = np.empty((len(fp), WIDE * PARTNERS), np.int64)
-    for j in range(WIDE):
-        index = golay_index((bits[:, 23 * j : 23 * j + 23] << np.arange(23)).sum(1).astype(np.uint32)).astype(np.int64)
-        for m in range(PARTNERS):
-            start = 23 * ((j + 1 + 2 * m) % WIDE) + 11 * (m % 2)
-            rest = (bits[:, (start + np.arange(exact)) % (23 * WIDE)] << np.arange(exact)).sum(1)
-            out[:, PARTNERS * j + m] = ((PARTNERS * j + m) << 50) | (rest << 12) | index
-    return out
+def prefix_length(size: int, similarity: float) -> int:
+    """How many of the first members of a set are keys: the sets of a similar pair share one of both their prefixes."""
+    return size - math.ceil(similarity * size - 1e-9) + 1
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The ``a, b`` pairs whose shingle sets have at least this Jaccard similarity."""
     one, other = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    enough = both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both)
+    enough = both / (F.size("sa") + F.size("sb") - both) >= F.lit(similarity)
     return pairs.join(one, "a").join(other, "b").where(enough).select("a", "b").distinct()
 
 
@@ -279,16 +256,15 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     """Groups of documents that share most of their word shingles: ``doc_id, component_id``, a row per row of ``docs``.
 
     Two documents are linked if the Jaccard similarity of their sets of ``words``-word shingles is at least
-    ``similarity``; ``component_id`` is the smallest doc_id reachable. Links are verified exactly. Candidates
-    share a key of a 256-bit SimHash over their words, so a link can be missed: at a similarity of 0.8, which moves one bit
-    in twelve or so, a few in a hundred are.
+    ``similarity``; ``component_id`` is the smallest doc_id reachable. No link is missed: candidates come from a prefix
+    filter, and each is verified. All sets are ordered by shingle hash; two sets of that similarity share a member of
+    their first s - ceil(similarity * s) + 1, whatever the number of documents, and each of these is a key.
 
-    All members of a key's bucket first meet its smallest; groups of copies join there in linear work. Then small buckets
-    compare all members that are in different groups. In a crowded bucket, those outside the smallest one's group go on by
-    rounds of leaders: members that match a leader leave the bucket, the leaders leave, and what remains is compared as
-    a small bucket or chooses the next leaders.
+    All members of a key's bucket first meet its smallest, so groups of copies join in linear work. Then small buckets
+    compare all members that are in different groups. Larger ones go by rounds: leaders meet all other members of
+    different groups and only then leave, twice as many each round, until the rest is one group or small. So a pair of
+    one bucket is passed over only if other links join it already.
 
-    The exact part of a key grows with the number of documents, so buckets stay small by chance at any size.
     Words are A-Z lower-cased. Texts with the same words are one class; fewer than ``words`` words match only
     the same words, a text with none (or null) all of its kind. A null ``doc_id`` counts as the smallest; rows that repeat a
     doc_id are one document. Other columns are ignored.
@@ -299,82 +275,79 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
         for b in batches:
             rows = [words_of(t.as_py()) for t in b.column(1)]
             same = [xxhash.xxh3_128_intdigest(b" ".join(w), seed) for w in rows]
-            fp = np.array([wide_fingerprint(w, seed) if len(w) >= words else np.zeros(4, np.uint64) for w in rows], np.uint64).reshape(-1, 4).view(np.int64)
             same = np.array([(s >> 64, s & (2**64 - 1)) for s in same], np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.record_batch([b.column(0), *map(pa.array, (*same.T.copy(), *fp.T.copy(), np.array([len(w) >= words for w in rows], bool)))], names=["doc", "s1", "s2", *parts, "keyed"])
+            sets = [shingle_set(w, words, seed) if len(w) >= words else np.zeros(0, np.int64) for w in rows]
+            sizes = np.array([len(x) for x in sets], np.int32)
+            keys = [x[: prefix_length(len(x), similarity)] if len(x) else x for x in sets]
+            offsets = np.cumsum([0, *map(len, keys)])
+            keys = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
+            yield pa.record_batch([b.column(0), *map(pa.array, same.T.copy()), pa.array(sizes), keys], names=["doc", "s1", "s2", "size", "keys"])
 
-    parts = ["f0", "f1", "f2", "f3"]
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    kinds = "doc long, s1 long, s2 long, " + ", ".join(f"{p} long" for p in parts) + ", keyed boolean"
-    found = materialise(docs.select(doc.alias("doc"), "text").mapInArrow(classify, kinds), "wide-fingerprints")
-    classes = found.groupBy("s1", "s2").agg(F.min("doc").alias("node"), *[F.any_value(c).alias(c) for c in (*parts, "keyed")])
-    classes = materialise(classes, "word-classes")
-    n = classes.count()
-    exact = min(38, max(12, math.ceil(math.log2(max(n, 2))) - 10))
-
-    def spell(batches):
-        for b in batches:
-            fp = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5)], 1).reshape(-1, 4)
-            keys = wide_keys(fp.view(np.uint64), exact)
-            node, first = (np.repeat(c, keys.shape[1]) for c in (b.column(0).to_numpy(zero_copy_only=False), fp[:, 0]))
-            yield pa.record_batch([pa.array(keys.ravel()), pa.array(node), pa.array(first)], names=["key", "node", "fp"])
-
-    keyed = classes.where("keyed").select("node", *parts)
-    rows = keyed.mapInArrow(spell, "key long, node long, fp long")
-    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= NEAR_BITS
-
-    def led(rows: DataFrame, label: str) -> DataFrame:
-        """The rows of buckets of two or more, with ``n`` and the ``hub``, the bucket's smallest node, and its ``hub_fp``."""
-        hubs = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "fp")).alias("hub")).where("n > 1")
-        return materialise(rows.join(hubs.select("key", "n", F.col("hub.node").alias("hub"), F.col("hub.fp").alias("hub_fp")), "key"), label)
-
-    held = led(rows, "led-buckets")
-    star = held.where((F.col("node") != F.col("hub")) & near("fp", "hub_fp"))
-    pairs = materialise(star.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "star-pairs")
-    # a small bucket, of SMALL rows at most, in one row; of a node only itself is looked up there
-    small = held.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("node", "fp")).alias("all"))
-    met = F.filter("all", lambda x: F.exists("all", lambda y: (x["node"] != y["node"]) & (F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= NEAR_BITS)))
-    wanted = small.select(F.explode(F.transform(met, lambda x: x["node"])).alias("node")).union(held.where(F.col("n") > SMALL).select("node"))
+    found = docs.select(doc.alias("doc"), "text").mapInArrow(classify, "doc long, s1 long, s2 long, size int, keys array<long>")
+    found = materialise(found, "prefixes")
+    classes = materialise(found.groupBy("s1", "s2").agg(F.min("doc").alias("node")), "word-classes")
+    # of a class, the rows of its smallest document speak; repeats among them make the same keys
+    spoken = found.where("size > 0").join(classes, ["s1", "s2"]).where(F.col("doc") == F.col("node"))
+    rows = spoken.select("node", "size", F.posexplode("keys").alias("at", "key"))
+
+    def near(x, y):
+        """Whether two rows of one key can be similar: their sets share no more than what lies before, at and after the key."""
+        most = F.least(x["at"], y["at"]) + F.least(x["size"] - x["at"], y["size"] - y["at"])
+        return (x["node"] != y["node"]) & (most >= F.lit(similarity / (1 + similarity)) * (x["size"] + y["size"]) - F.lit(1e-6))
+
+    hubs = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "size", "at")).alias("hub")).where("n > 1")
+    held = materialise(rows.select("key", F.struct("node", "size", "at").alias("x")).join(hubs, "key"), "led-buckets")
+    star = held.where(near(F.col("x"), F.col("hub")))
+    pairs = materialise(star.select(F.col("hub.node").alias("a"), F.col("x.node").alias("b")).distinct(), "star-pairs")
+    held = held.select("key", "n", "x")
+    # a small bucket, of SMALL rows at most, in one row; a node that can be similar to none of the others is not looked up
+    small = held.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list("x").alias("all"))
+    met = F.filter("all", lambda x: F.exists("all", lambda y: near(x, y)))
+    wanted = small.select(F.explode(F.transform(met, lambda x: x["node"])).alias("node")).union(held.where(F.col("n") > SMALL).select("x.node"))
     wanted = materialise(wanted.distinct(), "wanted-nodes")
 
     def shingle(batches):
         for b in batches:
-            sets = [np.unique((np.concatenate(list(shingle_hashes(words_of(t.as_py()), words, seed))) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in b.column(1)]
+            sets = [shingle_set(w, words, seed) if (w := words_of(t.as_py())) else np.zeros(0, np.int64) for t in b.column(1)]
             offsets = np.cumsum([0, *map(len, sets)])
-            values = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int32))
+            values = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
             yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], names=["node", "shingles"])
 
     texts = docs.select(doc.alias("node"), "text").where(F.col("text").isNotNull()).join(wanted, "node", "left_semi")
-    sets = materialise(texts.mapInArrow(shingle, "node long, shingles array<int>"), "shingle-sets")
+    sets = materialise(texts.mapInArrow(shingle, "node long, shingles array<long>"), "shingle-sets")
     links = [materialise(_alike(pairs, sets, similarity), "links")]
-    group = materialise(components(links[0], wanted), "star-groups")
-    grouped = held.join(group.select("node", F.col("component").alias("at")), "node").select("key", "node", "fp", "n", "at")
-    mixed = grouped.groupBy("key").agg((F.min("at") != F.max("at")).alias("mixed"), F.min_by("at", "node").alias("hub_at")).where("mixed")
-    open_ = materialise(grouped.join(mixed.select("key", "hub_at"), "key"), "open-buckets")
-
-    def across(rows: DataFrame) -> DataFrame:
-        """Near pairs of the members of small buckets that are in different groups."""
-        right = rows.select("key", F.col("node").alias("b"), F.col("fp").alias("other"), F.col("at").alias("b_at"))
-        left = rows.select(F.col("key").alias("k"), F.col("node").alias("a"), "fp", "at")
-        return left.join(right, (F.col("k") == F.col("key")) & (F.col("a") < F.col("b")) & (F.col("at") != F.col("b_at")) & near("fp", "other")).select("a", "b").distinct()
-
-    links.append(materialise(_alike(across(open_.where(F.col("n") <= SMALL)), sets, similarity), "links"))
-    open_ = open_.where((F.col("n") > SMALL) & (F.col("at") != F.col("hub_at"))).select("key", "node", "fp", "at")
+    group = materialise(components(links[0], wanted), "groups")
+
+    def still_open(rows: DataFrame, group: DataFrame) -> DataFrame:
+        """The rows of buckets with members of two groups or more, with the group ``of`` each and the bucket's rows ``n``."""
+        rows = rows.select("key", "x", F.col("x.node").alias("node")).join(group.select("node", F.col("component").alias("of")), "node").drop("node")
+        mixed = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high")
+        return materialise(rows.join(mixed.select("key", "n"), "key"), "open-buckets")
+
+    def across(rows: DataFrame, others: DataFrame) -> DataFrame:
+        """The candidates ``a, b`` of two sides that share a key and are in different groups."""
+        others = others.select(F.col("key").alias("k"), F.col("x").alias("y"), F.col("of").alias("y_of"))
+        met = rows.join(others, (F.col("key") == F.col("k")) & (F.col("of") != F.col("y_of")) & near(F.col("x"), F.col("y")))
+        return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+    open_, turn = still_open(held, group), 0
     while not open_.isEmpty():
-        sizes = open_.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        open_ = materialise(open_.join(sizes, "key"), "open-buckets")
-        small, crowd = open_.where(F.col("n") <= SMALL), open_.where(F.col("n") > SMALL)
-        leaders = crowd.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(LEADERS))).agg(F.min(F.struct("node", "fp")).alias("l")).select("key", F.col("l.node").alias("leader"), F.col("l.fp").alias("leader_fp"))
-        leaders = materialise(leaders, "leaders")
-        led_by = crowd.join(leaders, "key").where((F.col("node") != F.col("leader")) & near("fp", "leader_fp"))
-        pairs = led_by.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).union(across(small)).distinct()
+        few, crowd = open_.where(F.col("n") <= SMALL), open_.where(F.col("n") > SMALL)
+        # leaders by turns from all members and from all groups, the same nodes in many buckets
+        slot = F.pmod(F.xxhash64(F.col("x.node") if turn % 2 == 0 else F.col("of"), F.lit(turn)), F.lit(LEADERS << turn))
+        chosen = F.min(F.struct(F.xxhash64("x.node", F.lit(-1 - turn)).alias("h"), "x", "of")).alias("l")
+        leaders = materialise(crowd.groupBy("key", slot.alias("slot")).agg(chosen).select("key", "l.x", "l.of"), "leaders")
+        pairs = across(few, few).union(across(crowd, leaders)).distinct()
         links.append(materialise(_alike(pairs, sets, similarity), "links"))
-        ends = links[-1].select(F.col("a").alias("node"), F.col("b").alias("leader")).union(links[-1].select("b", "a"))
-        gone = leaders.select("key", F.col("leader").alias("node")).union(leaders.join(ends, "leader").select("key", "node")).distinct()
-        open_ = materialise(crowd.join(gone, ["key", "node"], "left_anti").select("key", "node", "fp", "at"), "open-buckets")
+        led = leaders.select("key", F.col("x.node").alias("led"))
+        rest = crowd.withColumn("led", F.col("x.node")).join(led, ["key", "led"], "left_anti")
+        if not links[-1].isEmpty():
+            group = materialise(components(reduce(DataFrame.union, links), wanted), "groups")
+        open_, turn = still_open(rest, group), turn + 1
     nodes = classes.select("node").distinct()
     group = components(reduce(DataFrame.union, links), nodes)
-    member = found.join(classes.select("s1", "s2", "node"), ["s1", "s2"]).join(group, "node")
+    member = found.select("doc", "s1", "s2").join(classes, ["s1", "s2"]).join(group, "node")
     least = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return member.select(least("doc").alias("doc_id"), least("component").alias("component_id"))
 

@@ -104,3 +104,22 @@ def test_odd_rows(spark, odd):
     assert kept.columns == odd.columns
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 5, 7, 8]
     assert simhash.similar_documents(odd.limit(0)).count() == 0 and simhash.drop_near_duplicates(odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["edited", "appended", "truncated", "short"])
+def test_no_kind_of_copy_is_missed(spark, kind):
+    """Pairs of similarity 0.8 to 0.9 or just below, each kind by itself."""
+    rng, rows = random.Random(13), []
+    for g in range(150):
+        base = prose(rng, rng.randint(9, 30) if kind == "short" else rng.randint(60, 1500))
+        n = len(base)
+        if kind == "edited":
+            other = edited(rng, base, 0.03)
+        elif kind == "truncated":
+            other = base[: int(n * rng.uniform(0.78, 0.9))]
+        else:
+            other = base + prose(rng, max(1, int(n * rng.uniform(0.1, 0.27))))
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+    want = brute(rows)
+    assert sum(d != c for d, c in want.items()) > 30
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(frame(spark, rows)).collect()} == want
