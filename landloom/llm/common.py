@@ -59,6 +59,26 @@ def forget(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Scratch:
+    """Intermediate tables of one operator, in a folder of their own under the shared one; deleted at the end of the block."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.path, self.count = spark, shared_path(spark, label), 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        forget(self.spark, self.path)
+
+    def table(self, df: DataFrame, label: str) -> DataFrame:
+        """``df`` written and read again."""
+        self.count += 1
+        path = f"{self.path}/{self.count}-{label}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only. A pure ASCII value takes the faster built-in, which agrees there."""
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(

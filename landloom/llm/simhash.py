@@ -15,8 +15,8 @@ fingerprint of a shared point links to the smallest. That is exact and linear, s
 Only distinct fingerprints take part; documents come back through membership.
 
 ``near_duplicates`` is that, for fingerprints within two bits. ``similar_documents`` is for similarity of shingle sets,
-0.8 and more, where fingerprints differ by far more bits: there the first shingles of a set in hash order are the keys
-(a prefix filter, exact), and candidates are verified on the shingles themselves.
+0.8 and more, where fingerprints differ by more bits than a Golay search reaches: the same links bring the closest copies
+together, a prefix filter on rare shingles finds all the others, and candidates are verified on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, forget, materialise, table
+from .common import NULL_ID, Scratch, materialise, table
 
 #: The generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY = 0b110001110101
@@ -121,7 +121,11 @@ def fingerprint(text: str | None, words: int, seed: int) -> int:
     if not found:
         return 0
     n = max(1, len(found) - words + 1)
-    ones = sum(_ones(h) for h in shingle_hashes(found, words, seed))
+    return _bits(sum(_ones(h) for h in shingle_hashes(found, words, seed)), n)
+
+
+def _bits(ones: np.ndarray, n: int) -> int:
+    """The fingerprint: a bit is set if over half of ``n`` hashes have it."""
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
@@ -145,9 +149,14 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps, each one grouped minimum and one join, until the edges stay
     as they are. Every step's edges are a table in the shared folder.
     """
-    spark = edges.sparkSession
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, paths = _step(now, [])
+    with Scratch(edges.sparkSession, "components") as kept:
+        found = materialise(_components(edges, kept), "components")
+    return nodes.join(found, nodes["node"] == found["u"], "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def _components(edges: DataFrame, kept: Scratch) -> DataFrame:
+    """``u, component`` for the nodes that have an edge."""
+    now = kept.table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
 
     def mark(df: DataFrame):
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit(2**40 - 1)))).first())
@@ -158,25 +167,17 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.union(least.where("u <> m").select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        large, paths = _step(large, paths)
+        large = kept.table(large, "links")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now, paths = _step(small.union(least.select("u", F.col("m").alias("v"))).distinct(), paths)
+        now = kept.table(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         after = mark(now)
         if after == before:
-            break
+            return now.groupBy("u").agg(F.min("v").alias("component"))
         before = after
-    found = now.groupBy("u").agg(F.min("v").alias("component"))
-    return nodes.join(found, nodes["node"] == found["u"], "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def _step(df: DataFrame, old: list[str]) -> tuple[DataFrame, list[str]]:
-    done = materialise(df, "links")
-    forget(df.sparkSession, *old)
-    return done, done.inputFiles()[:1] and [done.inputFiles()[0].rsplit("/", 1)[0]] or []
-
-
-def links(classes: DataFrame) -> DataFrame:
+def links(classes: DataFrame, kept: Scratch) -> DataFrame:
     """``a, b`` links between ``node``s whose ``fp`` differ in one or two bits, enough to connect all of them."""
 
     def keys(ball: bool):
@@ -189,10 +190,10 @@ def links(classes: DataFrame) -> DataFrame:
 
         return classes.select("node", "fp").mapInArrow(run, "key long, node long, fp long")
 
-    own, near = keys(False), keys(True)
+    own, near = keys(False), kept.table(keys(True), "ball-keys")
     # crowded keys are few by construction: each stands for more than CROWDED fingerprints
     size = near.groupBy("key").agg(F.count("*").alias("n"))
-    size = materialise(size.where("n > 1"), "buckets")
+    size = kept.table(size.where("n > 1"), "buckets")
     few, many = size.where(F.col("n") <= CROWDED).select("key"), size.where(F.col("n") > CROWDED).select("key")
     left = own.join(few, "key").select("key", F.col("node").alias("a"), F.col("fp").alias("fa"))
     right = near.join(few, "key").select("key", F.col("node").alias("b"), F.col("fp").alias("fb"))
@@ -222,21 +223,33 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFram
     are ignored.
     """
     found = materialise(fingerprints(docs, words, seed).withColumn("doc", F.coalesce("doc_id", F.lit(NULL_ID))), "fingerprints")
-    classes = materialise(found.groupBy("fp").agg(F.min("doc").alias("node")), "fingerprint-classes")
-    parts = components(links(classes), classes.select("node"))
-    member = classes.join(parts, "node").select("fp", F.col("component").alias("component_id"))
+    with Scratch(docs.sparkSession, "simhash") as kept:
+        classes = kept.table(found.groupBy("fp").agg(F.min("doc").alias("node")), "fingerprint-classes")
+        parts = components(links(classes, kept), classes.select("node"))
+        member = materialise(classes.join(parts, "node").select("fp", F.col("component").alias("component_id")), "fingerprint-groups")
     return found.join(member, "fp").select("doc_id", "fp", F.when(F.col("component_id") != NULL_ID, F.col("component_id")).alias("component_id"))
 
 
 # --- similarity on shingles ----------------------------------------------------------------------------
 
-#: Buckets of up to so many rows compare all members of different groups; larger ones go by leaders, so many in the first round.
-SMALL, LEADERS = 32, 32
+#: Leaders of a bucket in its first round; each round takes twice as many.
+LEADERS = 32
+#: Counters of the table of frequent shingles; they set the order of shingles, never the result.
+COUNTERS = 1 << 20
+
 
+def shingle_codes(found: list[bytes], words: int, seed: int) -> np.ndarray:
+    """A 64-bit code of every word shingle, repeats included, mixed from the XXH64 of its words. Fewer words are one shingle."""
+    import xxhash
 
-def shingle_set(found: list[bytes], words: int, seed: int) -> np.ndarray:
-    """The distinct shingle hashes of a text's words, in rising order as int64: the one order of all sets."""
-    return np.unique(np.concatenate(list(shingle_hashes(found, words, seed))).view(np.int64))
+    digest = xxhash.xxh64_intdigest
+    code = np.fromiter((digest(w, seed) for w in found), np.uint64, len(found))
+    n = max(1, len(found) - words + 1)
+    mixed = np.zeros(n, np.uint64)
+    for i in range(min(words, len(found))):
+        mixed = (mixed ^ code[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return mixed
 
 
 def prefix_length(size: int, similarity: float) -> int:
@@ -244,51 +257,102 @@ def prefix_length(size: int, similarity: float) -> int:
     return size - math.ceil(similarity * size - 1e-9) + 1
 
 
+def frequent_shingles(docs: DataFrame, words: int, seed: int) -> np.ndarray:
+    """A level for each counter of shingle codes: 0 for common ones, the more the more often its shingles stand out in a task.
+
+    All texts are counted. Only counters well above a task's mean leave it, so at most a third of COUNTERS reach the driver.
+    """
+
+    def count(batches):
+        seen = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            for t in b.column(0):
+                code = shingle_codes(words_of(t.as_py()), words, seed)
+                np.add.at(seen, np.unique(code) & np.uint64(COUNTERS - 1), 1)
+        at = np.nonzero(seen > 2 * seen.mean() + 4)[0]
+        yield pa.record_batch([pa.array(at), pa.array(seen[at])], names=["counter", "n"])
+
+    total = docs.where("text is not null").select("text").mapInArrow(count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    level = np.zeros(COUNTERS, np.uint8)
+    level[total.column("counter").to_numpy()] = np.log2(total.column("n").to_numpy())
+    return level
+
+
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The ``a, b`` pairs whose shingle sets have at least this Jaccard similarity."""
     one, other = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     enough = both / (F.size("sa") + F.size("sb") - both) >= F.lit(similarity)
-    return pairs.join(one, "a").join(other, "b").where(enough).select("a", "b").distinct()
+    return pairs.distinct().join(one, "a").join(other, "b").where(enough).select("a", "b")
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """Groups of documents that share most of their word shingles: ``doc_id, component_id``, a row per row of ``docs``.
 
     Two documents are linked if the Jaccard similarity of their sets of ``words``-word shingles is at least
-    ``similarity``; ``component_id`` is the smallest doc_id reachable. No link is missed: candidates come from a prefix
-    filter, and each is verified. All sets are ordered by shingle hash; two sets of that similarity share a member of
-    their first s - ceil(similarity * s) + 1, whatever the number of documents, and each of these is a key.
+    ``similarity``; ``component_id`` is the smallest doc_id reachable. No link is missed.
 
-    All members of a key's bucket first meet its smallest, so groups of copies join in linear work. Then small buckets
-    compare all members that are in different groups. Larger ones go by rounds: leaders meet all other members of
-    different groups and only then leave, twice as many each round, until the rest is one group or small. So a pair of
-    one bucket is passed over only if other links join it already.
+    Candidates come from two sides, and each is verified on the shingles. Golay keys of SimHash fingerprints of the same
+    shingles (``links``) bring the closest copies together, in linear work even where thousands are alike. At 0.8 fingerprints
+    differ by far more than two bits, so a prefix filter finds what is left: all sets are ordered alike, frequent
+    shingles last; two sets of that similarity share a member of their first s - ceil(similarity * s) + 1, and each of
+    these is a key. The members of a key's bucket meet the smallest, and then leaders by rounds, 32 in the first and twice
+    as many in each further one. A leader leaves after it has met all members of other groups; a bucket is done once its
+    members are in one group. So a pair of one bucket is passed over only if other links join it already.
 
     Words are A-Z lower-cased. Texts with the same words are one class; fewer than ``words`` words match only
     the same words, a text with none (or null) all of its kind. A null ``doc_id`` counts as the smallest; rows that repeat a
-    doc_id are one document. Other columns are ignored.
+    doc_id are one document. Very long texts are one row in one task, with 8 bytes a word. Other columns are ignored; an
+    empty table gives none.
     """
+    with Scratch(docs.sparkSession, "similar") as kept:
+        found = _similar(docs, words, similarity, seed, kept)
+        return materialise(found, "similar-documents")
+
+
+def _similar(docs: DataFrame, words: int, similarity: float, seed: int, kept: Scratch) -> DataFrame:
     import xxhash
 
+    level = frequent_shingles(docs, words, seed)
+
+    def ordered(code: np.ndarray) -> np.ndarray:
+        """The distinct codes, frequent ones last: the one order of all sets."""
+        code = np.unique(code)
+        return code[np.argsort(level[code & np.uint64(COUNTERS - 1)], kind="stable")]
+
+    def lists(columns: list[np.ndarray]) -> pa.ListArray:
+        offsets = np.cumsum([0, *map(len, columns)])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *columns])))
+
     def classify(batches):
         for b in batches:
-            rows = [words_of(t.as_py()) for t in b.column(1)]
-            same = [xxhash.xxh3_128_intdigest(b" ".join(w), seed) for w in rows]
-            same = np.array([(s >> 64, s & (2**64 - 1)) for s in same], np.uint64).reshape(-1, 2).view(np.int64)
-            sets = [shingle_set(w, words, seed) if len(w) >= words else np.zeros(0, np.int64) for w in rows]
-            sizes = np.array([len(x) for x in sets], np.int32)
-            keys = [x[: prefix_length(len(x), similarity)] if len(x) else x for x in sets]
-            offsets = np.cumsum([0, *map(len, keys)])
-            keys = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.record_batch([b.column(0), *map(pa.array, same.T.copy()), pa.array(sizes), keys], names=["doc", "s1", "s2", "size", "keys"])
+            same, fps, sizes, keys = [], [], [], []
+            for t in b.column(1):
+                w = words_of(t.as_py())
+                digest = xxhash.xxh3_128_intdigest(b" ".join(w), seed)
+                same.append((digest >> 64, digest & (2**64 - 1)))
+                code = shingle_codes(w, words, seed) if len(w) >= words else np.zeros(0, np.uint64)
+                fps.append(_bits(sum(_ones(code[i : i + 65536]) for i in range(0, len(code), 65536)), len(code)) if len(code) else 0)
+                x = ordered(code).view(np.int64)
+                sizes.append(len(x))
+                keys.append(x[: prefix_length(len(x), similarity)] if len(x) else x)
+            same = np.array(same, np.uint64).reshape(-1, 2).view(np.int64)
+            fps = np.array(fps, np.uint64).view(np.int64)
+            yield pa.record_batch([b.column(0), *map(pa.array, same.T.copy()), pa.array(fps), pa.array(sizes, pa.int32()), lists(keys)], names=["doc", "s1", "s2", "fp", "size", "keys"])
 
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    found = docs.select(doc.alias("doc"), "text").mapInArrow(classify, "doc long, s1 long, s2 long, size int, keys array<long>")
-    found = materialise(found, "prefixes")
-    classes = materialise(found.groupBy("s1", "s2").agg(F.min("doc").alias("node")), "word-classes")
-    # of a class, the rows of its smallest document speak; repeats among them make the same keys
-    spoken = found.where("size > 0").join(classes, ["s1", "s2"]).where(F.col("doc") == F.col("node"))
+    found = docs.select(doc.alias("doc"), "text").mapInArrow(classify, "doc long, s1 long, s2 long, fp long, size int, keys array<long>")
+    found = kept.table(found, "prefixes")
+    classes = kept.table(found.groupBy("s1", "s2").agg(F.min("doc").alias("node"), F.first("fp").alias("fp"), F.first("size").alias("size")), "word-classes")
+
+    # close copies by Golay keys of fingerprints
+    speaking = classes.where("size > 0")
+    prints = kept.table(speaking.groupBy("fp").agg(F.min("node").alias("head")), "fingerprints")
+    same_print = speaking.select("fp", "node").join(prints, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    close = kept.table(same_print.union(links(prints.select(F.col("head").alias("node"), "fp"), kept)), "close-pairs")
+
+    # buckets of prefix keys; of a class, the rows of its smallest document speak; repeats among them make the same keys
+    spoken = found.where("size > 0").join(classes.select("s1", "s2", "node"), ["s1", "s2"]).where(F.col("doc") == F.col("node"))
     rows = spoken.select("node", "size", F.posexplode("keys").alias("at", "key"))
 
     def near(x, y):
@@ -296,58 +360,46 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
         most = F.least(x["at"], y["at"]) + F.least(x["size"] - x["at"], y["size"] - y["at"])
         return (x["node"] != y["node"]) & (most >= F.lit(similarity / (1 + similarity)) * (x["size"] + y["size"]) - F.lit(1e-6))
 
-    hubs = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "size", "at")).alias("hub")).where("n > 1")
-    held = materialise(rows.select("key", F.struct("node", "size", "at").alias("x")).join(hubs, "key"), "led-buckets")
-    star = held.where(near(F.col("x"), F.col("hub")))
-    pairs = materialise(star.select(F.col("hub.node").alias("a"), F.col("x.node").alias("b")).distinct(), "star-pairs")
-    held = held.select("key", "n", "x")
-    # a small bucket, of SMALL rows at most, in one row; a node that can be similar to none of the others is not looked up
-    small = held.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list("x").alias("all"))
-    met = F.filter("all", lambda x: F.exists("all", lambda y: near(x, y)))
-    wanted = small.select(F.explode(F.transform(met, lambda x: x["node"])).alias("node")).union(held.where(F.col("n") > SMALL).select("x.node"))
-    wanted = materialise(wanted.distinct(), "wanted-nodes")
+    hubs = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "size", "at")).alias("hub")).where("n > 1").select("key", "hub")
+    held = kept.table(rows.select("key", F.struct("node", "size", "at").alias("x")).join(hubs, "key"), "led-buckets")
+    star = held.where(near(F.col("x"), F.col("hub"))).select(F.col("x.node").alias("a"), F.col("hub.node").alias("b"))
+    pairs = kept.table(star.union(close).distinct(), "star-pairs")
+    held = held.select("key", "x")
+    wanted = held.select("x.node").union(close.select("a")).union(close.select("b")).distinct()
+    wanted = kept.table(wanted, "wanted-nodes")
 
     def shingle(batches):
         for b in batches:
-            sets = [shingle_set(w, words, seed) if (w := words_of(t.as_py())) else np.zeros(0, np.int64) for t in b.column(1)]
-            offsets = np.cumsum([0, *map(len, sets)])
-            values = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
-            yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], names=["node", "shingles"])
+            yield pa.record_batch([b.column(0), lists([np.unique(shingle_codes(words_of(t.as_py()), words, seed)).view(np.int64) for t in b.column(1)])], names=["node", "shingles"])
 
     texts = docs.select(doc.alias("node"), "text").where(F.col("text").isNotNull()).join(wanted, "node", "left_semi")
-    sets = materialise(texts.mapInArrow(shingle, "node long, shingles array<long>"), "shingle-sets")
-    links = [materialise(_alike(pairs, sets, similarity), "links")]
-    group = materialise(components(links[0], wanted), "groups")
+    sets = kept.table(texts.mapInArrow(shingle, "node long, shingles array<long>"), "shingle-sets")
+    found_links = [kept.table(_alike(pairs, sets, similarity), "links")]
+    group = kept.table(components(found_links[0], wanted), "groups")
 
     def still_open(rows: DataFrame, group: DataFrame) -> DataFrame:
-        """The rows of buckets with members of two groups or more, with the group ``of`` each and the bucket's rows ``n``."""
+        """The rows of buckets with members of two groups or more, with the group ``of`` each."""
         rows = rows.select("key", "x", F.col("x.node").alias("node")).join(group.select("node", F.col("component").alias("of")), "node").drop("node")
-        mixed = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high")
-        return materialise(rows.join(mixed.select("key", "n"), "key"), "open-buckets")
-
-    def across(rows: DataFrame, others: DataFrame) -> DataFrame:
-        """The candidates ``a, b`` of two sides that share a key and are in different groups."""
-        others = others.select(F.col("key").alias("k"), F.col("x").alias("y"), F.col("of").alias("y_of"))
-        met = rows.join(others, (F.col("key") == F.col("k")) & (F.col("of") != F.col("y_of")) & near(F.col("x"), F.col("y")))
-        return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+        mixed = rows.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high").select("key")
+        return kept.table(rows.join(mixed, "key"), "open-buckets")
 
     open_, turn = still_open(held, group), 0
     while not open_.isEmpty():
-        few, crowd = open_.where(F.col("n") <= SMALL), open_.where(F.col("n") > SMALL)
         # leaders by turns from all members and from all groups, the same nodes in many buckets
         slot = F.pmod(F.xxhash64(F.col("x.node") if turn % 2 == 0 else F.col("of"), F.lit(turn)), F.lit(LEADERS << turn))
         chosen = F.min(F.struct(F.xxhash64("x.node", F.lit(-1 - turn)).alias("h"), "x", "of")).alias("l")
-        leaders = materialise(crowd.groupBy("key", slot.alias("slot")).agg(chosen).select("key", "l.x", "l.of"), "leaders")
-        pairs = across(few, few).union(across(crowd, leaders)).distinct()
-        links.append(materialise(_alike(pairs, sets, similarity), "links"))
+        leaders = kept.table(open_.groupBy("key", slot.alias("slot")).agg(chosen).select("key", "l.x", "l.of"), "leaders")
+        others = leaders.select(F.col("key").alias("k"), F.col("x").alias("y"), F.col("of").alias("y_of"))
+        met = open_.join(others, (F.col("key") == F.col("k")) & (F.col("of") != F.col("y_of")) & near(F.col("x"), F.col("y")))
+        pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+        found_links.append(kept.table(_alike(pairs, sets, similarity), "links"))
         led = leaders.select("key", F.col("x.node").alias("led"))
-        rest = crowd.withColumn("led", F.col("x.node")).join(led, ["key", "led"], "left_anti")
-        if not links[-1].isEmpty():
-            group = materialise(components(reduce(DataFrame.union, links), wanted), "groups")
+        rest = open_.withColumn("led", F.col("x.node")).join(led, ["key", "led"], "left_anti")
+        if not found_links[-1].isEmpty():
+            group = kept.table(components(reduce(DataFrame.union, found_links), wanted), "groups")
         open_, turn = still_open(rest, group), turn + 1
-    nodes = classes.select("node").distinct()
-    group = components(reduce(DataFrame.union, links), nodes)
-    member = found.select("doc", "s1", "s2").join(classes, ["s1", "s2"]).join(group, "node")
+    group = components(reduce(DataFrame.union, found_links), classes.select("node").distinct())
+    member = found.select("doc", "s1", "s2").join(classes.select("s1", "s2", "node"), ["s1", "s2"]).join(group, "node")
     least = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return member.select(least("doc").alias("doc_id"), least("component").alias("component_id"))
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from landloom.llm import ann, bpe, chat, langid, line_dedup, mixing, quality, simhash, toxicity, warc
-from landloom.llm.common import shared_path
+from landloom.llm.common import Scratch, shared_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -326,7 +326,8 @@ def test_simhash_crowded_buckets_are_exact(spark):
     base = [int(x) for x in rng.integers(0, 2**63, 3)]
     fps = sorted({b ^ (1 << int(i)) ^ (1 << int(j)) ^ (1 << int(k)) for b in base for i, j, k in rng.integers(0, 64, (150, 3))})
     df = spark.createDataFrame([(i, f - 2**64 if f >= 2**63 else f) for i, f in enumerate(fps)], "node long, fp long")
-    got = {r.node: r.component for r in simhash.components(simhash.links(df), df.select("node")).collect()}
+    with Scratch(spark, "crowded") as kept:
+        got = {r.node: r.component for r in simhash.components(simhash.links(df, kept), df.select("node")).collect()}
     assert got == brute_components(list(range(len(fps))), fps)
 
 

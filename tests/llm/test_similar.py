@@ -61,8 +61,7 @@ def test_planted_copies_are_found_and_others_left_alone(spark):
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(frame(spark, rows)).collect()}
     assert len(got) == len(rows)
     dropped, found = ({d for d, c in x.items() if c != d} for x in (want, got))
-    assert found <= dropped
-    assert len(found) >= 0.97 * len(dropped)
+    assert found == dropped
 
 
 def test_documents_against_brute_force(spark, data):
@@ -70,12 +69,12 @@ def test_documents_against_brute_force(spark, data):
     want = brute(rows)
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(frame(spark, rows)).collect()}
     dropped, found = ({d for d, c in x.items() if c != d} for x in (want, got))
-    assert found <= dropped and len(found) >= 0.95 * len(dropped)
+    assert found == dropped
 
 
 def test_large_group_of_near_copies(spark, monkeypatch):
-    """Buckets beyond SMALL are worked off by leaders, two a round."""
-    monkeypatch.setattr(simhash, "SMALL", 4)
+    """Buckets are worked off by leaders, two in the first round; the counters of frequent shingles are so few that they collide."""
+    monkeypatch.setattr(simhash, "COUNTERS", 64)
     monkeypatch.setattr(simhash, "LEADERS", 2)
     rng = random.Random(8)
     one = prose(rng, 300)
@@ -85,6 +84,16 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_shared_passage_links_nobody(spark):
+    """Hundreds of documents share most of a passage but are not similar: frequent shingles come last, so they share no key."""
+    rng = random.Random(21)
+    passage = prose(rng, 60)
+    rows = [(i, " ".join(prose(rng, rng.randint(20, 60)) + passage + prose(rng, 5))) for i in range(300)]
+    rows += [(1000 + i, " ".join(passage + prose(rng, i % 12))) for i in range(120)]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(frame(spark, rows)).collect()}
+    assert got == brute(rows)
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     rows = [
@@ -114,7 +123,7 @@ def test_no_kind_of_copy_is_missed(spark, kind):
         base = prose(rng, rng.randint(9, 30) if kind == "short" else rng.randint(60, 1500))
         n = len(base)
         if kind == "edited":
-            other = edited(rng, base, 0.03)
+            other = edited(rng, base, 0.02)
         elif kind == "truncated":
             other = base[: int(n * rng.uniform(0.78, 0.9))]
         else:
