@@ -26,7 +26,7 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, Scratch, materialise, table
@@ -156,12 +156,15 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _components(edges: DataFrame, kept: Scratch) -> DataFrame:
     """``u, component`` for the nodes that have an edge."""
-    now = kept.table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
 
-    def mark(df: DataFrame):
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit(2**40 - 1)))).first())
+    def step(df: DataFrame) -> tuple[DataFrame, tuple]:
+        """``df`` as a table, and a mark that changes with its rows."""
+        seen = Observation()
+        mark = (F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit(2**40 - 1))).alias("h"))
+        done = kept.table(df.observe(seen, *mark), "links")
+        return done, tuple(seen.get.values())
 
-    before = mark(now)
+    now, before = step(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -170,8 +173,7 @@ def _components(edges: DataFrame, kept: Scratch) -> DataFrame:
         large = kept.table(large, "links")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = kept.table(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-        after = mark(now)
+        now, after = step(small.union(least.select("u", F.col("m").alias("v"))).distinct())
         if after == before:
             return now.groupBy("u").agg(F.min("v").alias("component"))
         before = after
@@ -232,8 +234,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFram
 
 # --- similarity on shingles ----------------------------------------------------------------------------
 
-#: Leaders of a bucket in its first round; each round takes twice as many.
-LEADERS = 32
+#: Leaders of a bucket in the round after its smallest member; each further round takes eight times as many.
+LEADERS = 128
+#: Parities kept of a set: a bound on how much two sets differ, without the sets.
+PARITY = 512
 #: Counters of the table of frequent shingles; they set the order of shingles, never the result.
 COUNTERS = 1 << 20
 
@@ -296,9 +300,9 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     shingles (``links``) bring the closest copies together, in linear work even where thousands are alike. At 0.8 fingerprints
     differ by far more than two bits, so a prefix filter finds what is left: all sets are ordered alike, frequent
     shingles last; two sets of that similarity share a member of their first s - ceil(similarity * s) + 1, and each of
-    these is a key. The members of a key's bucket meet the smallest, and then leaders by rounds, 32 in the first and twice
-    as many in each further one. A leader leaves after it has met all members of other groups; a bucket is done once its
-    members are in one group. So a pair of one bucket is passed over only if other links join it already.
+    these is a key. The members of a key's bucket meet the smallest, and then leaders by rounds, 128 in the first and eight
+    times as many in each further one; pairs that differ in too many parities are not looked up. A leader leaves after it
+    has met all members of other groups; a bucket is done once its members are in one group. So a pair of one bucket is passed over only if other links join it already.
 
     Words are A-Z lower-cased. Texts with the same words are one class; fewer than ``words`` words match only
     the same words, a text with none (or null) all of its kind. A null ``doc_id`` counts as the smallest; rows that repeat a
@@ -354,51 +358,67 @@ def _similar(docs: DataFrame, words: int, similarity: float, seed: int, kept: Sc
     # buckets of prefix keys; of a class, the rows of its smallest document speak; repeats among them make the same keys
     spoken = found.where("size > 0").join(classes.select("s1", "s2", "node"), ["s1", "s2"]).where(F.col("doc") == F.col("node"))
     rows = spoken.select("node", "size", F.posexplode("keys").alias("at", "key"))
-
-    def near(x, y):
-        """Whether two rows of one key can be similar: their sets share no more than what lies before, at and after the key."""
-        most = F.least(x["at"], y["at"]) + F.least(x["size"] - x["at"], y["size"] - y["at"])
-        return (x["node"] != y["node"]) & (most >= F.lit(similarity / (1 + similarity)) * (x["size"] + y["size"]) - F.lit(1e-6))
-
-    hubs = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "size", "at")).alias("hub")).where("n > 1").select("key", "hub")
-    held = kept.table(rows.select("key", F.struct("node", "size", "at").alias("x")).join(hubs, "key"), "led-buckets")
-    star = held.where(near(F.col("x"), F.col("hub"))).select(F.col("x.node").alias("a"), F.col("hub.node").alias("b"))
-    pairs = kept.table(star.union(close).distinct(), "star-pairs")
-    held = held.select("key", "x")
-    wanted = held.select("x.node").union(close.select("a")).union(close.select("b")).distinct()
-    wanted = kept.table(wanted, "wanted-nodes")
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    held = kept.table(rows.join(shared, "key").distinct(), "buckets")
+    wanted = kept.table(held.select("node").union(close.select("a")).union(close.select("b")).distinct(), "wanted-nodes")
 
     def shingle(batches):
         for b in batches:
-            yield pa.record_batch([b.column(0), lists([np.unique(shingle_codes(words_of(t.as_py()), words, seed)).view(np.int64) for t in b.column(1)])], names=["node", "shingles"])
-
+            sets, parity = [], []
+            for t in b.column(1):
+                code = np.unique(shingle_codes(words_of(t.as_py()), words, seed))
+                sets.append(code.view(np.int64))
+                odd = np.bincount((code >> np.uint64(32)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+                parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            parity = np.array(parity, np.int64).reshape(-1, PARITY // 64)
+            yield pa.record_batch([b.column(0), lists(sets), *map(pa.array, parity.T.copy())], names=["node", "shingles", *flags])
+
+    flags = [f"f{i}" for i in range(PARITY // 64)]
     texts = docs.select(doc.alias("node"), "text").where(F.col("text").isNotNull()).join(wanted, "node", "left_semi")
-    sets = kept.table(texts.mapInArrow(shingle, "node long, shingles array<long>"), "shingle-sets")
-    found_links = [kept.table(_alike(pairs, sets, similarity), "links")]
-    group = kept.table(components(found_links[0], wanted), "groups")
+    sets = texts.mapInArrow(shingle, "node long, shingles array<long>, " + ", ".join(f"{f} long" for f in flags))
+    # rows that repeat a doc_id speak for one node, each with its own set
+    sets = kept.table(sets.withColumn("same", F.xxhash64("shingles")).dropDuplicates(["node", "same"]).drop("same"), "shingle-sets")
+
+    def near(x, y):
+        """Whether two rows of one key can be similar: bounds by what lies before, at and after the key, and by parities.
 
-    def still_open(rows: DataFrame, group: DataFrame) -> DataFrame:
-        """The rows of buckets with members of two groups or more, with the group ``of`` each."""
-        rows = rows.select("key", "x", F.col("x.node").alias("node")).join(group.select("node", F.col("component").alias("of")), "node").drop("node")
-        mixed = rows.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high").select("key")
-        return kept.table(rows.join(mixed, "key"), "open-buckets")
+        Sets of that similarity differ in at most (1 - s) / (1 + s) of their sizes' sum; every member that only one of
+        them has turns one parity.
+        """
+        both = x["size"] + y["size"]
+        most = F.least(x["at"], y["at"]) + F.least(x["size"] - x["at"], y["size"] - y["at"])
+        turned = reduce(lambda a, b: a + b, [F.bit_count(x[f].bitwiseXOR(y[f])) for f in flags])
+        fits = (most >= F.lit(similarity / (1 + similarity)) * both - F.lit(1e-6)) & (turned <= F.lit((1 - similarity) / (1 + similarity)) * both + F.lit(1e-6))
+        return (x["node"] != y["node"]) & fits
 
-    open_, turn = still_open(held, group), 0
+    x = F.struct("node", "size", "at", *flags).alias("x")
+    open_ = kept.table(held.join(sets.select("node", *flags), "node").select("key", x, F.col("node").alias("of")), "open-buckets")
+    group, turn = wanted.select("node", F.col("node").alias("component")), 0
     while not open_.isEmpty():
-        # leaders by turns from all members and from all groups, the same nodes in many buckets
-        slot = F.pmod(F.xxhash64(F.col("x.node") if turn % 2 == 0 else F.col("of"), F.lit(turn)), F.lit(LEADERS << turn))
-        chosen = F.min(F.struct(F.xxhash64("x.node", F.lit(-1 - turn)).alias("h"), "x", "of")).alias("l")
-        leaders = kept.table(open_.groupBy("key", slot.alias("slot")).agg(chosen).select("key", "l.x", "l.of"), "leaders")
+        if turn == 0:
+            leaders = open_.groupBy("key").agg(F.min(F.struct("x", "of")).alias("l"))
+        else:
+            # by turns from all members and from all groups, the same nodes in many buckets
+            slot = F.pmod(F.xxhash64(F.col("x.node") if turn % 2 else F.col("of"), F.lit(turn)), F.lit(LEADERS << (3 * turn - 3)))
+            leaders = open_.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("x.node", F.lit(turn)).alias("h"), "x", "of")).alias("l"))
+        leaders = kept.table(leaders.select("key", "l.x", "l.of"), "leaders")
         others = leaders.select(F.col("key").alias("k"), F.col("x").alias("y"), F.col("of").alias("y_of"))
         met = open_.join(others, (F.col("key") == F.col("k")) & (F.col("of") != F.col("y_of")) & near(F.col("x"), F.col("y")))
         pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-        found_links.append(kept.table(_alike(pairs, sets, similarity), "links"))
-        led = leaders.select("key", F.col("x.node").alias("led"))
-        rest = open_.withColumn("led", F.col("x.node")).join(led, ["key", "led"], "left_anti")
-        if not found_links[-1].isEmpty():
-            group = kept.table(components(reduce(DataFrame.union, found_links), wanted), "groups")
-        open_, turn = still_open(rest, group), turn + 1
-    group = components(reduce(DataFrame.union, found_links), classes.select("node").distinct())
+        new = kept.table(_alike(pairs if turn else pairs.union(close), sets, similarity), "links")
+        rest = open_.withColumn("led", F.col("x.node")).join(leaders.select("key", F.col("x.node").alias("led")), ["key", "led"], "left_anti")
+        if not new.isEmpty():
+            for end in "ab":
+                new = new.join(group.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end)
+            joined = kept.table(_components(new.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")), kept), "joined-groups")
+            group = group.join(joined.select(F.col("u").alias("component"), F.col("component").alias("to")), "component", "left")
+            group = kept.table(group.select("node", F.coalesce("to", "component").alias("component")), "groups")
+        # what is left of buckets with members of two groups or more
+        of = group.select(F.col("node").alias("led"), F.col("component").alias("of"))
+        rest = rest.drop("of").join(of, "led").select("key", "x", "of")
+        mixed = rest.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high").select("key")
+        open_, turn = kept.table(rest.join(mixed, "key"), "open-buckets"), turn + 1
+    group = classes.select("node").distinct().join(group, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     member = found.select("doc", "s1", "s2").join(classes.select("s1", "s2", "node"), ["s1", "s2"]).join(group, "node")
     least = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return member.select(least("doc").alias("doc_id"), least("component").alias("component_id"))
