@@ -1,13 +1,18 @@
-"""BPE encoding and decoding with a public vocabulary, exact on texts of any length.
-
-A vocabulary that drops white space encodes each white-space-separated chunk by itself, so a chunk's
-ids are looked up in a per-task table and only new chunks go through the tokenizers library. A chunk is
-unsplit text; one longer than ``leaf`` characters is encoded by tree concatenation: its words (as the
-tokenizer's own normaliser and pre-tokeniser cut them) are halved down to leaves, the leaves are encoded
-in parallel as rows of their own, and the halves are joined again in pairs. At a join, a window of the
-last ids of the left and the first ids of the right half is decoded and encoded anew, and grows until
-it begins with the left half's own id and ends with the right half's own id: neighbouring ids that BPE itself
-produced on both sides then stay valid, so the joined ids are those of the whole word.
+"""BPE encoding and decoding with a public vocabulary by tree concatenation, exact on texts of any length.
+
+A text is halved, at whatever character lies in the middle, until every piece is a leaf of at most ``leaf``
+characters. Leaves are rows of their own and are encoded in parallel; a leaf that begins or ends inside a word is
+encoded as if it did not. Then halves are joined in pairs, level by level. Around each join a window of white-space-separated chunks,
+one of either side at first, is put together and encoded anew; it grows until its first chunk has the ids that the left
+half gave it and its last chunk those of the right half, or the text ends there. This vocabulary drops white space and never
+merges across it, so ids that agree so far on both sides are those of the whole text.
+
+A chunk longer than a leaf has no white space for that: its words (as the tokenizer's own normaliser and pre-tokeniser cut
+them) are halved down to leaves, too, and at a join a window of ids is decoded and encoded anew, and grows until it
+begins with the left half's own id and ends with the right half's own id: neighbouring ids that BPE itself produced on both
+sides then stay valid.
+
+A task remembers the ids of chunks, so only new ones go through the tokenizers library.
 """
 
 from __future__ import annotations
@@ -16,15 +21,16 @@ import hashlib
 import json
 import re
 from functools import lru_cache
+from itertools import accumulate, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import ASCII_SPACE, materialise, table
 
-#: A chunk of more characters than this is split into leaves of at most this many.
-LEAF = 8192
+#: Texts of more characters than this are split into leaves of at most this many.
+LEAF = 4096
 #: Chunks that a task remembers before it starts its table anew.
 REMEMBERED = 200_000
 CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
@@ -51,17 +57,18 @@ class Codec:
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = {t: self.whole.token_to_id(t) for t in special}
         self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self.known: dict[bytes, tuple[int, str, str]] = {}
+        self.known: dict[bytes, tuple[int, list[int], str, str]] = {}
 
     def chunks(self, texts: list[list[bytes]]) -> None:
         """Make every chunk (in UTF-8) of the lists known."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         new = list({c for t in texts for c in t if c not in self.known})
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = list({c for t in texts for c in t})
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             for c, e in zip(part, self.whole.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)):
-                self.known[c] = (len(e.ids), " ".join(map(str, e.ids)), self.decode(e.ids))
+                self.known[c] = (len(e.ids), e.ids, " ".join(map(str, e.ids)), self.decode(e.ids))
 
     def decode(self, ids) -> str:
         """As the library's decode(ids, skip_special_tokens=False) for a file without a decoder."""
@@ -79,6 +86,11 @@ class Codec:
                 found += [(w, None) for w, _ in self.whole.pre_tokenizer.pre_tokenize_str(text)]
         return found
 
+    def ids(self, chunk: bytes) -> list[int]:
+        """The ids of one chunk by itself."""
+        self.chunks([[chunk]])
+        return self.known[chunk][1]
+
     def encode_part(self, part: str, last: bool) -> list[int]:
         return (self.last if last else self.inner).encode(part, add_special_tokens=False).ids
 
@@ -108,6 +120,42 @@ class Codec:
         return parts[0] if parts else []
 
 
+#: Outer chunks that a joined piece keeps apart at either end, for windows around the next join.
+OUTER = 4
+#: A chunk with its ids; the sealed middle of a piece has no chunk.
+Cell = tuple[bytes | None, list[int]]
+
+
+def sealed(cells: list[Cell]) -> list[Cell]:
+    """The cells with all but the outer ones made one."""
+    if len(cells) <= 2 * OUTER:
+        return cells
+    return cells[:OUTER] + [(None, [i for _, ids in cells[OUTER:-OUTER] for i in ids])] + cells[-OUTER:]
+
+
+def join_torn(c: Codec, a: list[Cell], b: list[Cell]) -> list[Cell]:
+    """Two neighbouring pieces whose border tears a chunk: a window around it grows until both sides agree."""
+    size = 1
+    while True:
+        left, right = a[-size:], b[:size]
+        window = [x for x, _ in left[:-1]] + [left[-1][0] + right[0][0]] + [x for x, _ in right[1:]]
+        new: list[Cell] = [(x, c.ids(x)) for x in window]
+        if (size > len(a) or size > 1 and new[0] == left[0]) and (size > len(b) or size > 1 and new[-1] == right[-1]):
+            return sealed(a[:-size] + new + b[size:])
+        size += 1
+
+
+def join_all(c: Codec, pieces: list[list[Cell]], torn: list[bool]) -> list[int]:
+    """The ids of a text from its leaves, joined in pairs, level by level; ``torn[i]`` tells whether piece i begins inside a chunk."""
+    while len(pieces) > 1:
+        joined = []
+        for i in range(0, len(pieces) - 1, 2):
+            a, b = pieces[i], pieces[i + 1]
+            joined.append(join_torn(c, a, b) if torn[i + 1] else sealed(a + b))
+        pieces, torn = joined + pieces[len(pieces) - len(pieces) % 2 :], torn[::2]
+    return [i for _, ids in pieces[0] for i in ids]
+
+
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     return Codec(path)
@@ -128,7 +176,9 @@ def encode(docs: DataFrame, vocabulary: str, leaf: int = LEAF, with_ids: bool =
     those of the tokenizers library's ``encode(text, add_special_tokens=False)`` with the file ``vocabulary``,
     which must drop white space and have no decoder; strings of special tokens inside a text become
     their ids. A null or empty text has no ids. Rows that repeat are encoded each; a null ``doc_id`` stays.
-    Other columns are ignored. The file must be readable under that path on every executor.
+    Texts longer than ``leaf`` go through the tree; one document's pieces meet in one task, as its row does. A text
+    without words has no ids. Other columns are ignored; an empty table gives none. The file must be readable under that
+    path on every executor.
     """
     cells = "n_tokens long, " + ("ids string, decoded string" if with_ids else "ids_sha256 string, decoded_sha256 string")
     names = ["n_tokens", *(["ids", "decoded"] if with_ids else ["ids_sha256", "decoded_sha256"])]
@@ -150,71 +200,96 @@ def encode(docs: DataFrame, vocabulary: str, leaf: int = LEAF, with_ids: bool =
                 for chunks in cut:
                     found = [known[x] for x in chunks]
                     full = [x for x in found if x[0]]
-                    out.append((sum(x[0] for x in full), *shown(" ".join([x[1] for x in full]), " ".join([x[2] for x in full]))))
+                    out.append((sum(x[0] for x in full), *shown(" ".join([x[2] for x in full]), " ".join([x[3] for x in full]))))
                 yield pa.record_batch([part.column(0), *map(pa.array, zip(*out))], names=["doc_id", *names])
 
     def leaves(batches):
-        """Pieces of long texts: runs of chunks, and leaves of the words of long chunks."""
+        """The leaves of long texts, and leaves of the words of their long chunks."""
         c = codec(vocabulary)
         for b in batches:
             for row, doc, text in zip(*(b.column(i).to_pylist() for i in range(3))):
-                out, run, size, seq = [], [], 0, 0
-                for m in [*CHUNK.finditer(text), None]:
-                    if run and (m is None or len(m[0]) > leaf or size + len(m[0]) > leaf):
-                        out.append((row, doc, seq, 0, 0, " ".join(run)))
-                        run, size, seq = [], 0, seq + 1
+                out, seq, at = [], 0, 0
+                for m in [*long_chunk.finditer(text), None]:
+                    cut = halves(text[at : m.start() if m else len(text)], leaf)
+                    torn = [False] + [x[-1] not in ASCII_SPACE and y[0] not in ASCII_SPACE for x, y in zip(cut, cut[1:])]
+                    out += [(row, doc, seq, k, 0, t, p) for k, (p, t) in enumerate(zip(cut, torn))]
+                    seq += 1
                     if m is None:
                         break
-                    if len(m[0]) <= leaf:
-                        run.append(m[0])
-                        size += len(m[0]) + 1
-                        continue
+                    at = m.end()
                     for word, special in c.words(m[0]):
                         if special is not None:
-                            out.append((row, doc, seq, 0, 3, word))
+                            out.append((row, doc, seq, 0, 3, False, word))
                         else:
                             cut = halves(word, leaf)
-                            out += [(row, doc, seq, k, 2 if k + 1 == len(cut) else 1, p) for k, p in enumerate(cut)]
+                            out += [(row, doc, seq, k, 2 if k + 1 == len(cut) else 1, False, p) for k, p in enumerate(cut)]
                         seq += 1
-                # a text without words keeps its row
-                out = out or [(row, doc, 0, 0, 0, "")]
-                yield pa.record_batch(list(map(pa.array, zip(*out))), schema=piece)
-
-    piece = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("seq", pa.int64()), ("leaf", pa.int64()), ("kind", pa.int64()), ("text", pa.string())])
+                yield pa.record_batch(list(map(pa.array, zip(*out))), names=[*place, "text"])
 
     def pieces(batches):
         c = codec(vocabulary)
         for b in batches:
-            ids = []
-            for kind, text in zip(b.column(4).to_pylist(), b.column(5).to_pylist()):
-                if kind == 0:
-                    ids.append(c.whole.encode(text, add_special_tokens=False).ids)
-                elif kind == 3:
-                    ids.append([c.special[text]])
-                else:
-                    ids.append(c.encode_part(text, kind == 2))
-            yield pa.record_batch([*(b.column(i) for i in range(5)), pa.array(ids, pa.list_(pa.int32()))], names=["row", "doc_id", "seq", "leaf", "kind", "ids"])
-
-    def assemble(t: pa.Table) -> pa.Table:
-        """One document's pieces to its ids."""
-        c, ids, parts, at = codec(vocabulary), [], [], None
-        t = t.sort_by([("seq", "ascending"), ("leaf", "ascending")])
-        for seq, kind, part in zip(t.column("seq").to_pylist(), t.column("kind").to_pylist(), t.column("ids").to_pylist()):
-            if seq != at:
-                ids += c.tree(parts)
-                parts, at = [], seq
-            parts.append(part)
-        ids += c.tree(parts)
-        one = [len(ids), *shown(" ".join(map(str, ids)), c.decode(ids))]
-        return pa.table([t.column("doc_id").slice(0, 1), *([x] for x in one)], names=["doc_id", *names])
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                cells: list[list[Cell]] = []
+                for kind, text in zip(part.column(4).to_pylist(), part.column(6).to_pylist()):
+                    if kind == 0:
+                        chunks = text.encode().split()
+                        c.chunks([chunks])
+                        cells.append(sealed([(x, c.known[x][1]) for x in chunks]))
+                    else:
+                        cells.append([(None, [c.special[text]] if kind == 3 else c.encode_part(text, kind == 2))])
+                columns = [
+                    pa.array([[x for x, _ in cell] for cell in cells], pa.list_(pa.binary())),
+                    pa.array([[len(ids) for _, ids in cell] for cell in cells], pa.list_(pa.int32())),
+                    pa.array([[i for _, ids in cell for i in ids] for cell in cells], pa.list_(pa.int32())),
+                ]
+                yield pa.record_batch([*(part.column(i) for i in range(6)), *columns], names=[*place, "chunks", "counts", "ids"])
+
+    def finished(c: Codec, doc: int | None, parts: list) -> tuple:
+        """One document from its pieces, in order."""
+        ids: list[int] = []
+        for _, unit in groupby(parts, key=lambda p: p[0]):
+            unit = list(unit)
+            if unit[0][1] == 0:
+                ids += join_all(c, [u[3] for u in unit], [u[2] for u in unit])
+            else:
+                ids += c.tree([u[3][0][1] for u in unit])
+        return doc, len(ids), *shown(" ".join(map(str, ids)), c.decode(ids))
+
+    def assemble(batches):
+        """Pieces of one document after another, sorted, to one row each."""
+        c, current, doc, parts, out = codec(vocabulary), None, None, [], []
+        table = lambda: pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=["doc_id", *names])
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                for row, doc_id, seq, _, kind, torn, chunks, counts, ids in zip(*(x.to_pylist() for x in b.slice(at, 256).columns)):
+                    if row != current:
+                        if parts:
+                            out.append(finished(c, doc, parts))
+                        current, doc, parts = row, doc_id, []
+                    ends = list(accumulate(counts))
+                    parts.append((seq, kind, torn, [(x, ids[e - n : e]) for x, n, e in zip(chunks, counts, ends)]))
+                if len(out) >= 64:
+                    yield table()
+                    out = []
+        if parts:
+            out.append(finished(c, doc, parts))
+        if out:
+            yield table()
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    is_long = F.when(F.char_length("text") > leaf, F.col("text").rlike(r"[^\x20\x09-\x0D]{%d,}" % (leaf + 1))).otherwise(False)
-    quick = docs.where(~F.coalesce(is_long, F.lit(False))).mapInArrow(short, "doc_id long, " + cells)
+    is_long = F.coalesce(F.char_length("text") > leaf, F.lit(False))
+    long_chunk = re.compile(r"[^\x20\x09-\x0D]{%d,}" % (leaf + 1))
+    quick = docs.where(~is_long).mapInArrow(short, "doc_id long, " + cells)
     long_ = docs.where(is_long).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    cut = materialise(long_.mapInArrow(leaves, "row long, doc_id long, seq long, leaf long, kind long, text string"), "bpe-leaves")
-    coded = cut.repartition("row", "seq", "leaf").mapInArrow(pieces, "row long, doc_id long, seq long, leaf long, kind long, ids array<int>")
-    return quick.union(coded.groupBy("row").applyInArrow(assemble, "doc_id long, " + cells))
+    place = ["row", "doc_id", "seq", "leaf", "kind", "torn"]
+    at = "row long, doc_id long, seq long, leaf long, kind long, torn boolean"
+    cut = materialise(long_.mapInArrow(leaves, at + ", text string").repartition("row", "seq", "leaf"), "bpe-leaves")
+    coded = cut.mapInArrow(pieces, at + ", chunks array<binary>, counts array<int>, ids array<int>")
+    coded = coded.repartition("row").sortWithinPartitions("row", "seq", "leaf")
+    return quick.union(coded.mapInArrow(assemble, "doc_id long, " + cells))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,6 +184,34 @@ def test_bpe_tree_concatenation(vocabulary):
         assert ids == want and c.decode(ids) == c.whole.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_leaves_cut_anywhere(vocabulary):
+    """Texts with white space, halved down to a few characters: every border may tear a chunk."""
+    c, al = bpe.codec(vocabulary), ["abcdefghijklmnopqrstuvwxyz", "the in an er on", "éàüß", "0123", "!?.,;:'s", "日本語", "İſǅ", "\u0301\x1c\x85", "<|endoftext|>", " \t\n\u3000"]
+    random.seed(4)
+    torn_borders = 0
+    for _ in range(400):
+        s = "".join(random.choice(random.choice(al + al[-1:] * 3)) for _ in range(random.randint(1, 400)))
+        cut = bpe.halves(s, random.choice([1, 2, 5, 30]))
+        torn = [False] + [not x[-1] in bpe.ASCII_SPACE and not y[0] in bpe.ASCII_SPACE for x, y in zip(cut, cut[1:])]
+        torn_borders += sum(torn)
+        cells = [bpe.sealed([(x, c.ids(x)) for x in p.encode().split()]) for p in cut]
+        assert bpe.join_all(c, cells, torn) == c.whole.encode(s, add_special_tokens=False).ids
+    assert torn_borders > 5000
+
+
+def test_bpe_long_texts_take_the_tree(spark, documents, vocabulary, monkeypatch):
+    """Every text longer than a leaf is cut into leaves: counted in the table of leaves."""
+    seen = []
+    keep = bpe.materialise
+    monkeypatch.setattr(bpe, "materialise", lambda df, label: seen.append(keep(df, label)) or seen[-1])
+    want = {r.doc_id: r.n_tokens for r in bpe.encode(documents, vocabulary, leaf=10**9).collect()}
+    assert {r.doc_id: r.n_tokens for r in bpe.encode(documents, vocabulary, leaf=500).collect()} == want
+    rows = seen[-1].groupBy("row").agg(F.count("*").alias("leaves"), F.sum(F.char_length("text")).alias("n")).collect()
+    long_ = [r for r in documents.collect() if len(r.text or "") > 500]
+    assert len(rows) == len(long_) > 50 and sorted(r.n for r in rows) == sorted(len(r.text) for r in long_)
+    assert all(r.leaves >= 2 for r in rows) and seen[-1].where("torn").count() > 50
+
+
 def test_bpe_of_documents(spark, documents, odd, vocabulary):
     c = bpe.codec(vocabulary)
     extra = spark.createDataFrame([(90, "abc " * 10 + "x" * 30000 + " the end"), (91, "héllo" * 4000), (92, "<|endoftext|>" + "ab1" * 9000 + "<|startoftext|>, it's"), (93, "a" * 8192), (94, "a\x1cb c")], "doc_id long, text string")
