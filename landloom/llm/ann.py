@@ -2,10 +2,11 @@
 
 Vectors are projected to a few dimensions by a fixed Gaussian matrix; a squared projected distance then
 is the squared true distance times a chi-square variable. A kd-tree over projections cuts the vectors
-into cells. A query first meets its own cell, which bounds the distance d of its k-th neighbour. Projected
-neighbours are verified outwards from there until the chi-square test holds: beyond the projected radius r
-with P(chi2 <= r^2 / d^2) >= confidence a true neighbour is unlikely, so only cells whose box comes within r
-are visited, and in them only vectors within r.
+into cells, and a tree of its own each block of a cell into leaves. Inside a block a query takes the vectors by rising projected
+distance, verifies them in batches with exact inner products, and stops once the chi-square test holds: with d the
+distance of the k-th neighbour found, beyond the projected radius r with P(chi2 <= r^2 / d^2) >= confidence a true
+neighbour is unlikely. A query first meets its own cell, then every cell whose box comes within that radius, with the
+bound that the first gave. Inner products are computed for verified vectors only.
 
 Largest inner product becomes least distance by one more coordinate, which lifts all vectors to one norm.
 The tree is fitted on a bounded sample of projections; every vector is indexed. Cells of any size are cut
@@ -24,11 +25,11 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 
 #: Projected dimensions; even, for the closed form of the chi-square distribution.
-DIMS = 8
+DIMS = 16
 #: At most this many projections fit the tree.
 SAMPLE = 20_000
-#: Vectors of a block and queries of a chunk, about.
-BLOCK, CHUNK = 8192, 8192
+#: Vectors of a block, of a leaf of its tree, and queries of a chunk, about.
+BLOCK, LEAF, CHUNK = 4096, 32, 2048
 
 
 def chi2_quantile(p: float, dims: int) -> float:
@@ -96,51 +97,88 @@ def _matrix(column, size: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, size)
 
 
-def _search(proj: Projection, k: int):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+class Block:
+    """Vectors of one task under a kd-tree of their projections, down to leaves of about LEAF vectors."""
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The best k of a block for each query of a chunk: left has vec_id, vec; right query_id, vec, floor, reach."""
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        x, ids = _matrix(left.column("vec"), proj.size), left.column("vec_id").to_numpy()
+    def __init__(self, proj: Projection, ids: np.ndarray, x: np.ndarray):
         order = np.lexsort((*x.T[::-1], ids))
         x, ids = x[order], ids[order]
         new = np.ones(len(ids), bool)  # a row that repeats counts once
         new[1:] = (ids[1:] != ids[:-1]) | (x[1:] != x[:-1]).any(1)
         x, ids = x[new], ids[new]
-        px = proj.stored(x)
-        nx = (px * px).sum(1)
-        q, qid = _matrix(right.column("vec"), proj.size), right.column("query_id").to_numpy()
-        floor, reach = right.column("floor").to_numpy(), right.column("reach").to_numpy()
-        pq = proj.query(q)
-        out = []
-        for at in range(0, len(q), 128):
-            s = slice(at, at + 128)
-            score = q[s] @ x.T
-            slack = 1e-9 * np.sqrt((q[s] * q[s]).sum(1))[:, None] * proj.top
-            far = (pq[s] ** 2).sum(1)[:, None] + nx[None, :] - 2 * pq[s] @ px.T
-            score[(far > reach[s][:, None] + 1e-9 * (1 + nx[None, :])) | (score < floor[s][:, None] - slack) | (ids[None, :] == qid[s][:, None])] = -np.inf
-            least = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(score), -np.inf)
-            qi, xi = np.nonzero((score >= least[:, None] - slack) & (score > -np.inf))
-            # the product is summed anew in one order for all rows, so equal vectors get equal scores
-            exact = (q[s][qi] * x[xi]).sum(1)
-            order = np.lexsort((ids[xi], -exact, qi))
-            qi, xi, exact = qi[order], xi[order], exact[order]
-            start = np.searchsorted(qi, np.arange(len(score)))
-            best = np.arange(len(qi)) - start[qi] < k
-            out.append((qid[s][qi[best]], ids[xi[best]], exact[best]))
-        return pa.table([np.concatenate(c) for c in zip(*out)], schema=schema)
+        p = proj.stored(x)
+        leaf = Tree(p, max(0, math.ceil(math.log2(max(1, len(ids)) / LEAF)))).leaf(p)
+        order = np.argsort(leaf, kind="stable")
+        self.proj, self.x, self.ids, self.p = proj, x[order], ids[order], p[order]
+        self.starts = np.flatnonzero(np.diff(leaf[order], prepend=-1))
+        self.ends = np.append(self.starts[1:], len(ids))
+        self.low, self.high = np.minimum.reduceat(self.p, self.starts), np.maximum.reduceat(self.p, self.starts)
+
+    def search(self, q: np.ndarray, own: int, k: int, floor: float, limit: float) -> tuple[np.ndarray, np.ndarray, int]:
+        """Ids and scores of the best ``k`` that score at least ``floor``, and how many vectors were verified.
+
+        Vectors come by rising projected distance: leaves open by the distance of their boxes, and a vector is ready once
+        no closed leaf can hold a nearer one. They are verified in batches, each with its inner products, until the
+        next projected distance is over ``limit`` times the distance of the k-th neighbour found.
+        """
+        proj, top, scale = self.proj, self.proj.top, self.proj.scale(q[None])[0]
+        p = proj.query(q[None])[0]
+        gap = np.maximum(np.maximum(self.low - p, p - self.high), 0.0)
+        gap = (gap * gap).sum(1)
+        order = np.argsort(gap, kind="stable")
+        gap = np.append(gap[order], np.inf)
+        slack = 1e-9 * top * top
+        reach = lambda kth: limit * max(0.0, 2 * top * top - 2 * scale * kth) + slack if kth > -np.inf else np.inf
+        best_s, best_i, kth = np.zeros(0), np.zeros(0, np.int64), floor
+        pool_d, pool_i, opened, batch, verified = np.zeros(0), np.zeros(0, np.int64), 0, k, 0
+        while True:
+            ready = int(np.searchsorted(pool_d, gap[opened], "right"))
+            if ready < batch and gap[opened] <= reach(kth):
+                leaves = order[opened : opened + max(4, opened // 2)]
+                at = np.concatenate([np.arange(self.starts[i], self.ends[i]) for i in leaves])
+                opened += len(leaves)
+                d = self.p[at] - p
+                pool_d, pool_i = np.append(pool_d, (d * d).sum(1)), np.append(pool_i, at)
+                by = np.argsort(pool_d, kind="stable")
+                pool_d, pool_i = pool_d[by], pool_i[by]
+                continue
+            take = min(ready, batch, int(np.searchsorted(pool_d, reach(kth), "right")))
+            if not take:
+                return best_i, best_s, verified
+            at, pool_d, pool_i, batch = pool_i[:take], pool_d[take:], pool_i[take:], min(2 * batch, 512)
+            verified += take
+            score, ids = (self.x[at] * q).sum(1), self.ids[at]
+            fine = (score >= kth - slack) & (ids != own)
+            best_s, best_i = np.append(best_s, score[fine]), np.append(best_i, ids[fine])
+            by = np.lexsort((best_i, -best_s))[:k]
+            best_s, best_i = best_s[by], best_i[by]
+            if len(best_s) == k:
+                kth = max(kth, best_s[-1])
+
+
+def _search(proj: Projection, k: int, limit: float):
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The best k of a block for each query of a chunk: left has vec_id, vec; right query_id, vec, floor."""
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        block = Block(proj, left.column("vec_id").to_numpy(), _matrix(left.column("vec"), proj.size))
+        q, own, floor = _matrix(right.column("vec"), proj.size), right.column("query_id").to_numpy(), right.column("floor").to_numpy()
+        found = [block.search(q[i], own[i], k, floor[i], limit) for i in range(len(q))]
+        times = np.array([len(f[0]) for f in found])
+        return pa.table([np.repeat(own, times), np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])], schema=schema)
 
     return run
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, confidence: float = 0.97) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, confidence: float = 0.95) -> DataFrame:
     """The ``k`` vectors of largest inner product for every query row: ``query_id, rank, vec_id, score``.
 
     ``vectors`` has ``vec_id long, embedding array``; ``is_query`` picks the query rows. Nearest first, ties to the
     smaller ``vec_id``; a query gets all candidates if they are fewer. Scores are exact, in double precision;
-    which neighbours are found is approximate, and ``confidence`` sets how sure the stopping test has to be.
+    which neighbours are found is approximate, and ``confidence`` sets how sure the stopping test has to be. On vectors without
+    clusters the test stops late: a query then verifies half of all vectors or more, at any number of rows.
 
     Rows take no part if ``vec_id`` or ``embedding`` is null, a component is null or not finite, all are zero, or the
     length is not the most frequent one (the larger of two). A row that repeats counts once; of several vectors with
@@ -203,7 +241,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, confidence: float
                     gap = (gap * gap).sum(2)
                     home = gap.argmin(1)
                     if first:
-                        floor, reach = np.full(len(q), -np.inf), np.full(len(q), np.inf)
+                        floor = np.full(len(q), -np.inf)
                         row, col = np.arange(len(q)), home
                     else:
                         floor = part.column(2).to_numpy(zero_copy_only=False)
@@ -216,11 +254,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, confidence: float
                     row, col = np.repeat(row, times), np.repeat(col, times)
                     block = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
                     at = pa.array(row)
-                    yield pa.record_batch([part.column(0).take(at), part.column(1).take(at), pa.array(floor[row]), pa.array(reach[row]), pa.array(cells[col]), pa.array(block)], names=["query_id", "vec", "floor", "reach", "cell", "block"])
+                    yield pa.record_batch([part.column(0).take(at), part.column(1).take(at), pa.array(floor[row]), pa.array(cells[col]), pa.array(block)], names=["query_id", "vec", "floor", "cell", "block"])
 
         return run
 
-    routed = "query_id long, vec array<double>, floor double, reach double, cell long, block long"
+    routed = "query_id long, vec array<double>, floor double, cell long, block long"
 
     def visit(asked: DataFrame) -> DataFrame:
         """Search all routed queries, a block of vectors against a chunk of queries at a time."""
@@ -230,8 +268,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, confidence: float
         key = ["cell", "block", "chunk"]
         return (
             left.select(*key, "vec_id", "vec").groupBy(*key)
-            .cogroup(right.select(*key, "query_id", "vec", "floor", "reach").groupBy(*key))
-            .applyInArrow(_search(proj, k), "query_id long, vec_id long, score double")
+            .cogroup(right.select(*key, "query_id", "vec", "floor").groupBy(*key))
+            .applyInArrow(_search(proj, k, limit), "query_id long, vec_id long, score double")
         )
 
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

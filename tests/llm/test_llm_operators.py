@@ -54,7 +54,31 @@ def test_warc_round_trip(spark):
     assert warc.read_archive(spark, empty).count() == 0
 
 
-def test_nearest_against_brute_force(spark):
+def test_block_search_stops_early_and_finds_most():
+    """Recall and the share of verified vectors of one block under a tree of several levels."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 32)) * 2
+    x = centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 32)) * 0.4
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    proj = ann.Projection(32, 1.0)
+    block = ann.Block(proj, np.arange(4000), x)
+    assert len(block.starts) == 128
+    hits = verified = 0
+    for i in range(0, 4000, 50):
+        ids, score, n = block.search(x[i], i, 20, -np.inf, ann.chi2_quantile(0.95, ann.DIMS))
+        s = x @ x[i]
+        s[i] = -np.inf
+        want = np.lexsort((np.arange(4000), -s))[:20]
+        hits, verified = hits + len(set(want) & set(ids)), verified + n
+        assert np.allclose(score, s[ids]) and (np.diff(score) <= 0).all()
+    print(f"recall {hits / 1600:.3f}, verified {verified / 80 / 4000:.3f} of all vectors")
+    assert hits >= 0.93 * 1600 and verified < 0.25 * 80 * 4000
+
+
+@pytest.mark.parametrize("block", [200, 4096])
+def test_nearest_against_brute_force(spark, block, monkeypatch):
+    """One cell, and a tree of cells above the blocks."""
+    monkeypatch.setattr(ann, "BLOCK", block)
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 16)) * rng.uniform(0.5, 2, (3000, 1))
     x[100:160] = x[100]
