@@ -6,7 +6,8 @@ A term is anchored at the start of a word and may stop short of its end, so that
 endings. Hits inside an exception phrase do not count. The sum of the weights and its share of the text's
 length give the score through a logistic curve.
 
-Terms, weights and the curve are learned from a bounded sample of labelled rows.
+Terms, exception phrases, weights and the curve are learned from a bounded sample of labelled rows: a phrase of two words
+spares its term if clean texts hold it and toxic ones do not.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Scratch, table
 from .langid import held_out
 
 #: At most this many labelled rows of either label are learned from.
 LEARNED = 3000
-#: At most this many candidate terms come to the driver.
-CANDIDATES = 4000
+#: A term that stands for all its endings has at most this many letters; a whole word may have any number.
+STEM = 24
 #: Characters that look like a letter.
 HOMOGLYPHS = {
     "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "н": "h", "о": "o",
@@ -39,7 +40,9 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 #: Terms known beforehand, with the weight they have until labels say more.
 SEED_TERMS = ("disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "worthless")
 SEED_WEIGHT = 3.0
-#: Harmless phrases that hold a term.
+#: Steps to one for the measures that the curve is fitted on.
+GRID = 50
+#: Harmless phrases that hold a term, known beforehand.
 EXCEPTIONS = ("clown fish", "trash can", "trash bin", "stupid question", "idiot proof", "pond scum", "sore loser")
 
 
@@ -66,31 +69,31 @@ def fold(text: str) -> str:
         near[1:] |= real[:-1]
         near[:-1] |= real[1:]
         money = (cp == 36) | (cp == 64)
-        leads = np.zeros_like(real)  # a run of $ or @ that ends before a letter
-        for _ in range(3):
-            leads[:-1] = money[:-1] & (real[1:] | leads[1:])
+        # a run of $ or @ leads a word if the character after the run is a letter; the text ends with a blank
+        after = np.minimum.accumulate(np.where(money, len(cp) - 1, np.arange(len(cp)))[::-1])[::-1]
+        leads = money & real[after]
         out = np.where(sign & np.where(money, ~leads, ~near), np.uint32(32), out)
     return out.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
 
 
-def terms_of(folded: str, least: int = 4, most: int = 24) -> set[str]:
-    """Candidate terms of a text: each word, closed by a blank, and its beginnings."""
+def terms_of(folded: str, least: int = 4, most: int = STEM) -> set[str]:
+    """Candidate terms of a text: each whole word, closed by a blank, and its beginnings of ``least`` to ``most`` letters."""
     found = set()
     for w in set(folded.split()):
-        w = w[:most]
         found.add(f" {w} ")
-        found.update(f" {w[:n]}" for n in range(least, len(w) + 1))
+        found.update(f" {w[:n]}" for n in range(least, min(len(w), most) + 1))
     return found
 
 
 class Lexicon:
     """Weighted terms, exception phrases and the curve of the score."""
 
-    def __init__(self, weights: dict[str, float], curve: tuple[float, float, float] = (-4.0, 1.0, 1.0)):
+    def __init__(self, weights: dict[str, float], curve: tuple[float, float, float] = (-4.0, 1.0, 1.0), exceptions: tuple[str, ...] = EXCEPTIONS):
         self.weights, self.curve, self._automaton = weights, curve, None
+        self.exceptions = tuple(f" {' '.join(fold(p).split())} " for p in exceptions)
 
     def __getstate__(self):
-        return {"weights": self.weights, "curve": self.curve, "_automaton": None}
+        return self.__dict__ | {"_automaton": None}
 
     def automaton(self):
         if self._automaton is None:
@@ -99,34 +102,54 @@ class Lexicon:
             a = ahocorasick.Automaton()
             for t, w in self.weights.items():
                 a.add_word(t, (len(t), w))
-            for p in EXCEPTIONS:
-                a.add_word(f" {fold(p).strip()} ", (len(p) + 2, None))
+            for p in self.exceptions:
+                a.add_word(p, (len(p), None))
             if len(a):
                 a.make_automaton()
             self._automaton = a
         return self._automaton
 
-    def measures(self, text: str | None) -> tuple[float, float]:
-        """Log of the summed weight of all counted hits, and of that weight per hundred words."""
-        folded = fold(text or "")
+    def hits(self, folded: str) -> list[tuple[int, float, bool]]:
+        """Start, weight and whether an exception spares it, of the longest term of every word that has one."""
         a = self.automaton()
         if not len(a):
-            return 0.0, 0.0
+            return []
         terms, spared = [], []
         for end, (size, weight) in a.iter(folded):
             (spared if weight is None else terms).append((end - size + 1, end, weight))
-        total, at, j = 0.0, -1, 0
-        spared.sort()
-        for start, end, weight in sorted(terms, key=lambda x: (x[0], -x[1])):
+        found, at, last, j = [], -1, -1, 0
+        spared.sort(key=lambda x: x[0])
+        for start, _, weight in sorted(terms, key=lambda x: (x[0], -x[1])):
             if start == at:
-                continue  # one term per word, the longest
+                continue
             at = start
-            while j < len(spared) and spared[j][1] < start:
+            while j < len(spared) and spared[j][0] <= start:  # the farthest end of the phrases begun so far
+                last = max(last, spared[j][1])
                 j += 1
-            if not any(s <= start and start < e for s, e, _ in spared[j : j + 2]):
-                total += weight
-        words = folded.count(" ") + 1
-        return math.log1p(total), math.log1p(100 * total / words)
+            found.append((start, weight, start < last))
+        return found
+
+    def measures(self, text: str | None) -> tuple[float, float]:
+        """Log of the summed weight of all counted hits, and of that weight per hundred words."""
+        folded = fold(text or "")
+        total = sum(w for _, w, spared in self.hits(folded) if not spared)
+        return math.log1p(total), math.log1p(100 * total / (folded.count(" ") + 1))
+
+    def phrases(self, text: str | None) -> set[str]:
+        """The phrases of two words around every counted hit: with the word before, and with the word after."""
+        folded = fold(text or "")
+        words, starts = folded.split(), []
+        at = 0
+        for w in words:
+            at = folded.index(w, at)
+            starts.append(at - 1)
+            at += len(w)
+        number, found = {s: i for i, s in enumerate(starts)}, set()
+        for start, _, spared in self.hits(folded):
+            i = number.get(start)
+            if not spared and i is not None:
+                found.update(" ".join(words[j : j + 2]) for j in (i - 1, i) if 0 <= j and j + 2 <= len(words))
+        return found
 
     def score(self, text: str | None) -> float:
         x, y = self.measures(text)
@@ -150,14 +173,29 @@ def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float
     return tuple(float(b) for b in beta)
 
 
+def chosen(candidates: list[tuple[str, float]]) -> dict[str, float]:
+    """The weights of candidates in the order given, as long as no taken term begins with one or it with a taken one."""
+    weights: dict[str, float] = {}
+    beginnings: set[str] = set()
+    for term, weight in candidates:
+        own = [term[:n] for n in range(1, len(term) + 1)]
+        if term not in beginnings and not any(o in weights for o in own):
+            weights[term] = weight
+            beginnings.update(own)
+    return weights
+
+
 def learn(docs: DataFrame, labels: DataFrame, seed: int = 3) -> Lexicon:
     """A lexicon from labelled rows: ``docs`` (doc_id, text), ``labels`` (doc_id, toxic 0/1).
 
-    At most LEARNED rows of either label are used, chosen by a hash of doc_id; null labels are skipped. A
+    At most LEARNED doc_ids of either label are used, chosen by a hash of doc_id; null labels and ids are skipped, an id with
+    both labels counts as toxic, rows that repeat an id all count, a null or empty text has no terms. A
     term is taken if it marks toxic texts: by falling log-likelihood ratio, as long as no taken term begins
-    with it or it with a taken one. Its weight is the log of how much likelier it is in a toxic text.
+    with it or it with a taken one. Its weight is the log of how much likelier it is in a toxic text. Then phrases of two words around
+    its hits that clean texts hold, and toxic ones next to never, become exceptions. Without labels of both kinds, empty tables
+    included, the terms known beforehand stand alone. Other columns are ignored.
     """
-    known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     share = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not share.get(1) or not share.get(0):
         return Lexicon({f" {t}": SEED_WEIGHT for t in SEED_TERMS})
@@ -165,49 +203,55 @@ def learn(docs: DataFrame, labels: DataFrame, seed: int = 3) -> Lexicon:
     # two top-n cuts of ids: at most 2 * LEARNED rows, which is what the broadcast holds
     drawn = [known.where(F.col("toxic") == t).orderBy(order, "doc_id").limit(LEARNED) for t in (0, 1)]
     sample = docs.select("doc_id", "text").join(F.broadcast(drawn[0].union(drawn[1])), "doc_id").select("text", "toxic")
-    sample = sample.repartition(64)
+    with Scratch(docs.sparkSession, "toxicity") as kept:
+        return _learn(kept.table(sample.repartition(64), "labelled"), share)
 
-    def count(batches):
-        seen = (Counter(), Counter())
-        for b in batches:
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                seen[toxic].update(terms_of(fold(text or "")))
-        terms = [*seen[1]]  # a term that no toxic text here holds can only lower others' counts of clean ones
-        rest = [t for t in seen[0] if t not in seen[1]]
-        yield pa.record_batch([pa.array(terms + rest, pa.string()), pa.array([seen[1][t] for t in terms] + [0] * len(rest), pa.int64()), pa.array([seen[0][t] for t in terms + rest], pa.int64())], names=["term", "t", "c"])
+
+def _learn(sample: DataFrame, share: dict[int, int]) -> Lexicon:
+    def counted(found_in):
+        """``term, t, c``: how many toxic and clean texts of the sample hold each term."""
+
+        def count(batches):
+            seen = (Counter(), Counter())
+            for b in batches:
+                for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    seen[toxic].update(found_in(text))
+            terms = [*seen[0].keys() | seen[1].keys()]
+            yield pa.record_batch([pa.array(terms, pa.string()), *(pa.array([seen[x][t] for t in terms], pa.int64()) for x in (1, 0))], names=["term", "t", "c"])
+
+        return sample.mapInArrow(count, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
 
     T, C = min(LEARNED, share[1]), min(LEARNED, share[0])
-    counts = sample.mapInArrow(count, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     ratio = F.log((F.col("t") + 0.5) / (T + 1)) - F.log((F.col("c") + 0.5) / (C + 1))
-    gain = F.col("t") * ratio
-    least = max(2, T // 200)
-    top = counts.where((F.col("t") >= least) & (ratio > 1.5)).orderBy(gain.desc(), "term").limit(CANDIDATES).select("term", ratio.alias("w"))
-    weights: dict[str, float] = {}
-    for r in top.collect():
-        if not any(r["term"].startswith(k) or k.startswith(r["term"]) for k in weights):
-            weights[r["term"]] = float(r["w"])
+    marks = counted(lambda text: terms_of(fold(text or ""))).where((F.col("t") >= max(2, T // 200)) & (ratio > 1.5))
+    found = marks.select("term", ratio.alias("w"), (F.col("t") * ratio).alias("gain")).toArrow().to_pylist()
+    found.sort(key=lambda r: (-r["gain"], r["term"]))
+    weights = chosen([(r["term"], r["w"]) for r in found])
     for t in SEED_TERMS:
         if not any(f" {t} ".startswith(k) or k.startswith(f" {t}") for k in weights):
             weights[f" {t}"] = SEED_WEIGHT
-    lexicon = Lexicon(weights)
+    first = Lexicon(weights)
+    harmless = counted(first.phrases).where((F.col("c") >= max(2, C // 500)) & (ratio < -1.5)).select("term").toArrow().column(0).to_pylist()
+    lexicon = Lexicon(weights, exceptions=EXCEPTIONS + tuple(sorted(harmless)))
 
     def measured(batches):
         for b in batches:
-            m = [lexicon.measures(t) for t in b.column(0).to_pylist()]
-            yield pa.record_batch([pa.array([x[0] for x in m], pa.float64()), pa.array([x[1] for x in m], pa.float64()), b.column(1)], names=["x", "y", "toxic"])
-
-    m = np.array([(r["x"], r["y"], r["toxic"]) for r in sample.mapInArrow(measured, "x double, y double, toxic int").collect()], float).reshape(-1, 3)
-    m = m[np.lexsort(m.T)]
-    weight = np.where(m[:, 2] == 1, share[1] / T, share[0] / C)
-    lexicon.curve = _fit(m[:, :2], m[:, 2], weight * len(m) / weight.sum())
+            m = np.array([lexicon.measures(t) for t in b.column(0).to_pylist()], float).reshape(-1, 2)
+            yield pa.record_batch([*map(pa.array, np.round(m * GRID).astype(np.int64).T.copy()), b.column(1)], names=["x", "y", "toxic"])
+
+    # both measures are logs, so a grid over them has few cells, whatever the number of rows
+    cells = sample.mapInArrow(measured, "x long, y long, toxic int").groupBy("x", "y", "toxic").agg(F.count("*").alias("n")).collect()
+    m = np.array(sorted((r["x"] / GRID, r["y"] / GRID, r["toxic"], r["n"]) for r in cells), float).reshape(-1, 4)
+    weight = m[:, 3] * np.where(m[:, 2] == 1, share[1] / T, share[0] / C)
+    lexicon.curve = _fit(m[:, :2], m[:, 2], weight * m[:, 3].sum() / weight.sum())
     return lexicon
 
 
 def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> DataFrame:
     """``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on) beside all other columns of ``docs``.
 
-    Only ``text`` is read. A null or empty text has no hits and gets the lowest score. Repeated rows get the same
-    answer; columns of ``docs`` named ``score`` or ``predicted`` are replaced.
+    Only ``text`` is read, whole at any length, in one task. A null or empty text has no hits and gets the lowest score. Repeated
+    rows get the same answer; columns of ``docs`` named ``score`` or ``predicted`` are replaced. An empty table gives none.
     """
     docs = docs.select([F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")])
 

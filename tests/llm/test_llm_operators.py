@@ -182,7 +182,45 @@ def test_toxicity_held_out(spark, odd):
     assert bare.measures("a pond scum sample") == (0.0, 0.0)
 
 
+def brute_hits(lexicon, text):
+    """Hits word by word, with the longest term of each and no automaton."""
+    folded = toxicity.fold(text)
+    spans = [(i, i + len(p) - 1) for p in lexicon.exceptions for i in range(len(folded)) if folded.startswith(p, i)]
+    found = []
+    for i in range(len(folded)):
+        terms = [t for t in lexicon.weights if folded.startswith(t, i)]
+        if terms:
+            found.append((i, lexicon.weights[max(terms, key=len)], any(a <= i < b for a, b in spans)))
+    return found
+
+
+def test_toxicity_scores_by_brute_force():
+    random.seed(6)
+    lexicon = toxicity.Lexicon({" idi": 2.0, " moron ": 3.0, " scum": 1.0, " sc": 0.5, " " + "z" * 40 + " ": 4.0}, exceptions=("pond scum", "scum pond idi", "sore loser", "the moron test"))
+    words = ["idiot", "moron", "morons", "scum", "pond", "sc4m", "the", "test", "idi", "z" * 40, "z" * 41, "sore", "loser", "$cum", "@@@@@idiot"]
+    for _ in range(300):
+        text = " ".join(random.choice(words) for _ in range(random.randint(0, 25)))
+        assert lexicon.hits(toxicity.fold(text)) == brute_hits(lexicon, text)
+        total = sum(w for _, w, spared in brute_hits(lexicon, text) if not spared)
+        assert lexicon.measures(text)[0] == pytest.approx(np.log1p(total))
+
+
+def test_toxicity_learns_exceptions_and_long_words(spark):
+    long_ = "q" * 60
+    docs = [(i, "some plain words " + ("vermin people here" if i % 2 else "vermin control office" if i % 20 == 0 else "a day out")) for i in range(400)]
+    docs += [(1000 + i, f"a text with {long_} in it") for i in range(60)] + [(1000, f"a text with {long_} in it")] * 50
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(1000 + i, 1) for i in range(60)] + [(3, 1), (None, 1), (5, None)], "doc_id long, toxic int")
+    lexicon = toxicity.learn(frame, labels)
+    assert any(long_.startswith(t.strip()) for t in lexicon.weights) and not {f" {long_[:n]} " for n in range(1, 60)} & set(lexicon.weights)
+    assert f" {long_} " in toxicity.terms_of(f" {long_} ") and max(len(t) for t in toxicity.terms_of(f" {long_} ") if not t.endswith(" ")) == 25
+    assert any("vermin control" in p for p in lexicon.exceptions)
+    assert lexicon.measures("call vermin control now") == (0.0, 0.0) and lexicon.score("vermin people") > 0.7 > lexicon.score("vermin control")
+    assert toxicity.score(frame.limit(0), lexicon).count() == 0
+
+
 def test_fold():
+    assert toxicity.fold("$$$$$$tupid @@@@@@@ $$$").split()[0].endswith("sstupid")
     assert toxicity.fold("1D10T $tupid п3т idiot$$$ 4785").split()[:4] == ["idiot", "stupid", "пet", "idiot"]
 
 
