@@ -14,12 +14,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, materialise, table
 
-UNIT = "uid long, s double, x double, doc_id long, size long, source_size long, target double, base long"
+UNIT = "uid long, s double, x double, doc_id long, size long, n long, source_size long, target double, base long"
+#: Equal rows that one task writes out at a time.
+CHUNK = 4096
 
 #: One step of the fold. ``acc.cur`` is the fractional unit in hand, ``e`` the next one; ``d_in`` is the
 #: word mass that ``cur`` can take from ``e``, ``d_out`` what it can give. Either move makes one of
@@ -59,7 +61,7 @@ def _fold(units: str, seed: int) -> str:
 
 
 def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
-    """``source, source_size, target`` from ``source, size`` rows.
+    """``source, source_size, docs, target`` from ``source, size, n`` rows, n documents of one size each.
 
     Sources in code-point order, null last, take the weights in turn and share ``share`` times the total
     size; none gets more than ``cap`` times its own size, and the excess goes to the others by weight
@@ -67,7 +69,7 @@ def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weigh
     by cap * size / weight, L is what is left after the capped ones over the weight of the rest. The
     windows run over the table of sources, one row each.
     """
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
+    by_source = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
     turn = (F.row_number().over(order) - 1) % len(weights)
     ranked = by_source.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), turn.cast("int") + 1).cast("double"))
@@ -82,30 +84,32 @@ def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weigh
     return ranked.select("source", "source_size", "docs", target.alias("target"))
 
 
-def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (5, 2, 1), fan: int = 32, seed: int = 7) -> DataFrame:
-    """How many copies of each document the mix takes.
+def _each(df: DataFrame, count: Column) -> DataFrame:
+    """Every row of ``df`` ``count`` times, with a ``number`` from 1; a large count is dealt out over tasks by chunks."""
+    chunked = df.withColumn("of", count).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("of") - 1) / CHUNK).cast("int"))))
+    dealt = chunked.where("chunk = 0 and of <= %d" % CHUNK).union(chunked.where("of > %d" % CHUNK).repartition("uid", "chunk"))
+    first = F.col("chunk").cast("long") * CHUNK
+    return dealt.withColumn("number", F.explode(F.sequence(first + 1, F.least(first + CHUNK, "of")))).drop("of", "chunk")
 
-    Returns ``uid`` (a hash of the whole row), ``doc_id, size, source_size, target, copies``, one row per
-    row of ``docs``. Size is the number of words, 0 for a null text. The words taken from a source,
-    ``sum(size * copies)``, miss its target by at most half of its last document, which is rounded to the
-    nearer side; copies never exceed ``cap``. Draws depend on the rows and ``seed`` only, so reruns agree. An empty or null text has size 0
-    and is never copied. Null sources are one source, the last. Rows that repeat are separate documents.
-    Other columns only enter the hash.
-    """
+
+def _mixed(docs: DataFrame, share: float, cap: float, weights: tuple[int, ...], fan: int, seed: int) -> DataFrame:
+    """``uid, doc_id, size, n, source_size, target, copies``: for every distinct row of ``docs`` how often it repeats and how many copies its repeats get."""
     uid = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(docs.columns)])
     sized = docs.select(
         uid.alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
-    sized = materialise(sized, "mix-sizes")
+    # n equal rows with x copies each are one unit: they take the whole part of n * x, and the rest is for chance
+    sized = materialise(sized.groupBy("uid", "doc_id", "source", "size").agg(F.count("*").alias("n")), "mix-sizes")
     targets = materialise(source_targets(sized, share, cap, weights).withColumnRenamed("source", "of"), "mix-targets")
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    mass = (copies - F.floor(copies)) * F.col("n")
     units = sized.join(targets, F.col("source").eqNullSafe(F.col("of"))).select(
-        "uid", F.col("size").cast("double").alias("s"), (copies - F.floor(copies)).alias("x"), "doc_id", "size", "source_size", "target",
-        F.floor(copies).cast("long").alias("base"), "source", F.greatest(F.ceil(F.col("docs") / fan), F.lit(1)).cast("long").alias("groups"),
+        "uid", F.col("size").cast("double").alias("s"), (mass - F.floor(mass)).alias("x"), "doc_id", "size", "n", "source_size", "target",
+        (F.floor(copies) * F.col("n") + F.floor(mass)).cast("long").alias("base"), "source", F.greatest(F.ceil(F.col("docs") / fan), F.lit(1)).cast("long").alias("groups"),
     )
     loose = (F.col("size") > 0) & (F.col("x") > 0)
-    whole = units.where(~loose).select("uid", "doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("base")).otherwise(F.lit(0)).cast("long").alias("copies"))
+    whole = units.where(~loose).select("uid", "doc_id", "size", "n", "source_size", "target", F.when(F.col("size") > 0, F.col("base")).otherwise(F.lit(0)).cast("long").alias("copies"))
     at = units.where(loose).withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "uid"), F.col("groups")))
     groups = targets.agg(F.max(F.greatest(F.ceil(F.col("docs") / fan), F.lit(1)))).first()[0] or 0
     decided, level = [whole], 0
@@ -121,22 +125,46 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[in
             F.explode(F.array_compact(F.concat(F.transform("end.done", lambda u: F.struct(u.alias("u"), F.lit(True).alias("set"))), F.array(F.when(F.col("end.cur").isNotNull(), F.struct(cur.alias("u"), last.alias("set"))))))).alias("r"),
         )
         rows = materialise(rows.select("source", "groups", "g", "r.set", "r.u.*"), f"mix-level-{level}")
-        decided.append(rows.where("set").select("uid", "doc_id", "size", "source_size", "target", (F.col("base") + F.col("x")).cast("long").alias("copies")))
+        decided.append(rows.where("set").select("uid", "doc_id", "size", "n", "source_size", "target", (F.col("base") + F.col("x")).cast("long").alias("copies")))
         at = rows.where("not set").drop("set").withColumn("g", F.floor(F.col("g") / fan).cast("long")).withColumn("groups", F.ceil(F.col("groups") / fan).cast("long"))
         groups, level = (0 if groups == 1 else -(-groups // fan)), level + 1
     return reduce(DataFrame.unionByName, decided)
 
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: the rows of ``docs``, each as often as ``mix`` takes it."""
+def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (5, 2, 1), fan: int = 32, seed: int = 7) -> DataFrame:
+    """How many copies of each document the mix takes.
+
+    Returns ``uid`` (a hash of the whole row), ``doc_id, size, source_size, target, copies``, one row per
+    row of ``docs``. Size is the number of words of the whole text, however long, 0 for a null text. The words taken from a source,
+    ``sum(size * copies)``, miss its target by at most half of its last document, which is rounded to the
+    nearer side; copies never exceed ``cap``. Draws depend on the rows and ``seed`` only, so reruns agree. An empty or null text has size 0
+    and is never copied. Null sources are one source, the last. Rows that repeat are separate documents; they are counted first, so
+    any number of equal rows costs no more than one. Other columns only enter the hash. An empty table gives none.
+    """
+    mixed = _mixed(docs, share, cap, weights, fan, seed)
+    names = ["uid", "doc_id", "size", "source_size", "target"]
+    # equal rows split their copies by number
+    share_ = F.floor((F.col("copies") + F.col("n") - F.col("number")) / F.col("n")).cast("long")
+    return mixed.where("n = 1").select(*names, "copies").union(_each(mixed.where("n > 1"), F.col("n")).select(*names, share_.alias("copies")))
+
+
+def mix_documents(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (5, 2, 1), fan: int = 32, seed: int = 7) -> DataFrame:
+    """The mixed corpus: the rows of ``docs``, each as often as ``mix`` takes it, with all columns.
+
+    Null, empty and very long texts, ties, repeated rows and empty tables are as for ``mix``.
+    """
     names = docs.columns
     uid = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(names)])
-    taken = mix(docs, **options).where("copies > 0").groupBy("uid").agg(F.sum("copies").alias("copies"), F.count("*").alias("alike"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), uid.alias("uid")).join(taken, "uid")
-    # equal rows share a uid: they split its copies by number
-    nth = F.row_number().over(Window.partitionBy("uid").orderBy("uid"))
-    share = F.when(F.col("alike") == 1, F.col("copies")).otherwise(F.floor((F.col("copies") + F.col("alike") - nth) / F.col("alike")))
-    return rows.withColumn("n", share.cast("int")).where("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
+    taken = materialise(_mixed(docs, share, cap, weights, fan, seed).where("copies > 0").select("uid", "n", "copies"), "mix-taken")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), uid.alias("uid"))
+    single = rows.join(taken.where("n = 1").drop("n"), "uid").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    repeated = taken.where("n > 1")
+    if repeated.isEmpty():
+        return single.select("row.*")
+    # equal rows first become one, on the map side already
+    once = rows.join(repeated.select("uid"), "uid", "left_semi").groupBy("uid").agg(F.any_value("row").alias("row"))
+    again = _each(once.join(repeated.drop("n"), "uid"), F.col("copies"))
+    return single.select("row.*").union(again.select("row.*"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
