@@ -370,6 +370,27 @@ def test_line_runs_compact(spark):
         runs.add(spark.createDataFrame([(b, 1, 1), (b, 1, 1), (b, b, b)], "doc long, h1 long, h2 long"))
     assert sum(map(len, runs.levels)) == 2
     assert [tuple(r) for r in runs.common(5).collect()] == [(1, 1, 5)]
+    # entries of all runs meet without a new shuffle, and one entry of each key has a keeper
+    plan = runs.common(5)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert sorted(r.h1 for r in runs.entries().where("keeper is not null").collect()) == [1, 2, 3, 4, 5]
+    runs.close()
+    assert not runs.paths
+
+
+def test_mixing_of_many_equal_rows(spark):
+    """Equal rows are one unit: each gets its share, and the whole meets the target."""
+    rows = [(1, "one two three four", "a")] * 10_000 + [(i, "w " * (i % 7 + 1), "ab"[i % 2]) for i in range(2, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).toPandas()
+    assert len(got) == len(rows) and (got.doc_id == 1).sum() == 10_000
+    same = got[got.doc_id == 1].copies
+    assert same.max() - same.min() <= 1 and got.copies.between(0, 2).all()
+    for _, part in got.groupby("target"):
+        assert abs((part["size"] * part.copies).sum() - part.target.iloc[0]) <= part["size"].max()
+    mixed = mixing.mix_documents(docs).groupBy("doc_id").count().collect()
+    want = got.groupby("doc_id").copies.sum()
+    assert {r.doc_id: r["count"] for r in mixed} == {d: c for d, c in want.items() if c}
 
 
 def test_golay_balls_share_keys():
