@@ -99,7 +99,8 @@ def read_archive(spark: SparkSession, path: str, with_bytes: bool = True) -> Dat
     """The records of an archive, headers joined with verified payloads.
 
     ``record_id, record_type, refers_to, uri, payload_bytes, payload_digest`` (SHA-1 of the full payload, in hex), and
-    with ``with_bytes`` also ``payload`` and ``record``, the record's exact bytes (a revisit's end after its headers).
+    with ``with_bytes`` also ``payload`` and ``record``, the record's exact bytes (a revisit's end after its headers). Every
+    record is rebuilt and parsed on the way; its length and digest must be those of its header.
     """
     headers = spark.read.schema("warc binary, http binary, digest binary").parquet(f"{path}/headers")
     payloads = spark.read.schema("digest binary, packed binary, size long").parquet(f"{path}/payloads")
@@ -120,10 +121,13 @@ def read_archive(spark: SparkSession, path: str, with_bytes: bool = True) -> Dat
                     last = (digest, payload, hashlib.sha1(payload).hexdigest())
                 _, payload, sha1 = last
                 f = fields_of(warc)
+                content = http + (payload if f["WARC-Type"] == "response" else b"")
+                record = warc + content + b"\r\n\r\n"
+                if parse_warc(record) != [(warc, content)] or f["WARC-Payload-Digest"] != f"sha1:{sha1}":
+                    raise ValueError("a rebuilt record does not agree with its header")
                 row = [_number(f["WARC-Record-ID"]), f["WARC-Type"], _number(f.get("WARC-Refers-To")), f.get("WARC-Target-URI"), len(payload), sha1]
                 if with_bytes:
-                    body = payload if f["WARC-Type"] == "response" else b""
-                    row += [payload, warc + http + body + b"\r\n\r\n"]
+                    row += [payload, record]
                 rows.append(row)
             columns = list(zip(*rows)) if rows else [()] * len(names)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, arrow)], names=names)
