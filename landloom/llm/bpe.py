@@ -23,11 +23,12 @@ import re
 from functools import lru_cache
 from itertools import accumulate, groupby
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, materialise, table
+from .common import ASCII_SPACE, table
 
 #: Texts of more characters than this are split into leaves of at most this many.
 LEAF = 4096
@@ -57,7 +58,10 @@ class Codec:
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = {t: self.whole.token_to_id(t) for t in special}
         self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self.known: dict[bytes, tuple[int, list[int], str, str]] = {}
+        self.kind = np.uint16 if self.whole.get_vocab_size() <= 1 << 16 else np.uint32
+        size = 1 + max(self.token)
+        self.shown = np.array([[str(i), self.token.get(i, "")] for i in range(size)], object)
+        self.known: dict[bytes, tuple[int, bytes, str, str]] = {}
 
     def chunks(self, texts: list[list[bytes]]) -> None:
         """Make every chunk (in UTF-8) of the lists known."""
@@ -68,7 +72,7 @@ class Codec:
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             for c, e in zip(part, self.whole.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)):
-                self.known[c] = (len(e.ids), e.ids, " ".join(map(str, e.ids)), self.decode(e.ids))
+                self.known[c] = (len(e.ids), self.packed(e.ids), " ".join(map(str, e.ids)), self.decode(e.ids))
 
     def decode(self, ids) -> str:
         """As the library's decode(ids, skip_special_tokens=False) for a file without a decoder."""
@@ -86,8 +90,11 @@ class Codec:
                 found += [(w, None) for w, _ in self.whole.pre_tokenizer.pre_tokenize_str(text)]
         return found
 
-    def ids(self, chunk: bytes) -> list[int]:
-        """The ids of one chunk by itself."""
+    def packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def ids(self, chunk: bytes) -> bytes:
+        """The packed ids of one chunk by itself."""
         self.chunks([[chunk]])
         return self.known[chunk][1]
 
@@ -122,15 +129,15 @@ class Codec:
 
 #: Outer chunks that a joined piece keeps apart at either end, for windows around the next join.
 OUTER = 4
-#: A chunk with its ids; the sealed middle of a piece has no chunk.
-Cell = tuple[bytes | None, list[int]]
+#: A chunk with its packed ids; the sealed middle of a piece has no chunk.
+Cell = tuple[bytes | None, bytes]
 
 
 def sealed(cells: list[Cell]) -> list[Cell]:
     """The cells with all but the outer ones made one."""
     if len(cells) <= 2 * OUTER:
         return cells
-    return cells[:OUTER] + [(None, [i for _, ids in cells[OUTER:-OUTER] for i in ids])] + cells[-OUTER:]
+    return cells[:OUTER] + [(None, b"".join([ids for _, ids in cells[OUTER:-OUTER]]))] + cells[-OUTER:]
 
 
 def join_torn(c: Codec, a: list[Cell], b: list[Cell]) -> list[Cell]:
@@ -145,15 +152,15 @@ def join_torn(c: Codec, a: list[Cell], b: list[Cell]) -> list[Cell]:
         size += 1
 
 
-def join_all(c: Codec, pieces: list[list[Cell]], torn: list[bool]) -> list[int]:
-    """The ids of a text from its leaves, joined in pairs, level by level; ``torn[i]`` tells whether piece i begins inside a chunk."""
+def join_all(c: Codec, pieces: list[list[Cell]], torn: list[bool]) -> bytes:
+    """The packed ids of a text from its leaves, joined in pairs, level by level; ``torn[i]`` tells whether piece i begins inside a chunk."""
     while len(pieces) > 1:
         joined = []
         for i in range(0, len(pieces) - 1, 2):
             a, b = pieces[i], pieces[i + 1]
             joined.append(join_torn(c, a, b) if torn[i + 1] else sealed(a + b))
         pieces, torn = joined + pieces[len(pieces) - len(pieces) % 2 :], torn[::2]
-    return [i for _, ids in pieces[0] for i in ids]
+    return b"".join([ids for _, ids in pieces[0]])
 
 
 @lru_cache(maxsize=2)
@@ -168,6 +175,50 @@ def halves(word: str, leaf: int) -> list[str]:
     return halves(word[:mid], leaf) + halves(word[mid:], leaf)
 
 
+#: Where a leaf belongs: its text (by place), the document, the run or word of the text, its number there, what it is, and
+#: whether it begins inside a chunk.
+AT = "row long, doc_id long, seq long, leaf long, kind long, torn boolean"
+PLACE = [f.split()[0] for f in AT.split(", ")]
+
+
+def _is_long(leaf: int) -> Column:
+    return F.coalesce(F.char_length("text") > leaf, F.lit(False))
+
+
+def long_leaves(docs: DataFrame, vocabulary: str, leaf: int = LEAF) -> DataFrame:
+    """The leaves of all texts longer than ``leaf``, and leaves of the words of chunks longer than that: ``PLACE`` and ``text``.
+
+    Kind 0 is a part of a run of chunks, 1 a part of a word, 2 the end of a word, 3 a special token.
+    """
+    long_chunk = re.compile(r"[^\x20\x09-\x0D]{%d,}" % (leaf + 1))
+
+    def leaves(batches):
+        """The leaves of long texts, and leaves of the words of their long chunks."""
+        c = codec(vocabulary)
+        for b in batches:
+            for row, doc, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+                out, seq, at = [], 0, 0
+                for m in [*long_chunk.finditer(text), None]:
+                    cut = halves(text[at : m.start() if m else len(text)], leaf)
+                    torn = [False] + [x[-1] not in ASCII_SPACE and y[0] not in ASCII_SPACE for x, y in zip(cut, cut[1:])]
+                    out += [(row, doc, seq, k, 0, t, p) for k, (p, t) in enumerate(zip(cut, torn))]
+                    seq += 1
+                    if m is None:
+                        break
+                    at = m.end()
+                    for word, special in c.words(m[0]):
+                        if special is not None:
+                            out.append((row, doc, seq, 0, 3, False, word))
+                        else:
+                            cut = halves(word, leaf)
+                            out += [(row, doc, seq, k, 2 if k + 1 == len(cut) else 1, False, p) for k, p in enumerate(cut)]
+                        seq += 1
+                yield pa.record_batch(list(map(pa.array, zip(*out))), names=[*PLACE, "text"])
+
+    long_ = docs.where(_is_long(leaf)).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return long_.mapInArrow(leaves, AT + ", text string")
+
+
 def encode(docs: DataFrame, vocabulary: str, leaf: int = LEAF, with_ids: bool = True) -> DataFrame:
     """Encode and decode every whole text.
 
@@ -177,7 +228,8 @@ def encode(docs: DataFrame, vocabulary: str, leaf: int = LEAF, with_ids: bool =
     which must drop white space and have no decoder; strings of special tokens inside a text become
     their ids. A null or empty text has no ids. Rows that repeat are encoded each; a null ``doc_id`` stays.
     Texts longer than ``leaf`` go through the tree; one document's pieces meet in one task, as its row does. A text
-    without words has no ids. Other columns are ignored; an empty table gives none. The file must be readable under that
+    without words has no ids. Texts are told apart by their place in ``docs``, so that has to give its rows in the same order when a
+    lost executor's part is read again, as a table does. Other columns are ignored; an empty table gives none. The file must be readable under that
     path on every executor.
     """
     cells = "n_tokens long, " + ("ids string, decoded string" if with_ids else "ids_sha256 string, decoded_sha256 string")
@@ -203,59 +255,33 @@ def encode(docs: DataFrame, vocabulary: str, leaf: int = LEAF, with_ids: bool =
                     out.append((sum(x[0] for x in full), *shown(" ".join([x[2] for x in full]), " ".join([x[3] for x in full]))))
                 yield pa.record_batch([part.column(0), *map(pa.array, zip(*out))], names=["doc_id", *names])
 
-    def leaves(batches):
-        """The leaves of long texts, and leaves of the words of their long chunks."""
-        c = codec(vocabulary)
-        for b in batches:
-            for row, doc, text in zip(*(b.column(i).to_pylist() for i in range(3))):
-                out, seq, at = [], 0, 0
-                for m in [*long_chunk.finditer(text), None]:
-                    cut = halves(text[at : m.start() if m else len(text)], leaf)
-                    torn = [False] + [x[-1] not in ASCII_SPACE and y[0] not in ASCII_SPACE for x, y in zip(cut, cut[1:])]
-                    out += [(row, doc, seq, k, 0, t, p) for k, (p, t) in enumerate(zip(cut, torn))]
-                    seq += 1
-                    if m is None:
-                        break
-                    at = m.end()
-                    for word, special in c.words(m[0]):
-                        if special is not None:
-                            out.append((row, doc, seq, 0, 3, False, word))
-                        else:
-                            cut = halves(word, leaf)
-                            out += [(row, doc, seq, k, 2 if k + 1 == len(cut) else 1, False, p) for k, p in enumerate(cut)]
-                        seq += 1
-                yield pa.record_batch(list(map(pa.array, zip(*out))), names=[*place, "text"])
-
     def pieces(batches):
         c = codec(vocabulary)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                cells: list[list[Cell]] = []
-                for kind, text in zip(part.column(4).to_pylist(), part.column(6).to_pylist()):
+                found: list[list[Cell]] = []
+                for kind, text in zip(part.column("kind").to_pylist(), part.column("text").to_pylist()):
                     if kind == 0:
                         chunks = text.encode().split()
                         c.chunks([chunks])
-                        cells.append(sealed([(x, c.known[x][1]) for x in chunks]))
+                        found.append(sealed([(x, c.known[x][1]) for x in chunks]))
                     else:
-                        cells.append([(None, [c.special[text]] if kind == 3 else c.encode_part(text, kind == 2))])
-                columns = [
-                    pa.array([[x for x, _ in cell] for cell in cells], pa.list_(pa.binary())),
-                    pa.array([[len(ids) for _, ids in cell] for cell in cells], pa.list_(pa.int32())),
-                    pa.array([[i for _, ids in cell for i in ids] for cell in cells], pa.list_(pa.int32())),
-                ]
-                yield pa.record_batch([*(part.column(i) for i in range(6)), *columns], names=[*place, "chunks", "counts", "ids"])
+                        found.append([(None, c.packed([c.special[text]] if kind == 3 else c.encode_part(text, kind == 2)))])
+                pair = [pa.array([[cell[i] for cell in piece] for piece in found], pa.list_(pa.binary())) for i in (0, 1)]
+                yield pa.record_batch([*(part.column(i) for i in PLACE), *pair], names=[*PLACE, "chunks", "ids"])
 
     def finished(c: Codec, doc: int | None, parts: list) -> tuple:
         """One document from its pieces, in order."""
-        ids: list[int] = []
+        packed = []
         for _, unit in groupby(parts, key=lambda p: p[0]):
             unit = list(unit)
             if unit[0][1] == 0:
-                ids += join_all(c, [u[3] for u in unit], [u[2] for u in unit])
+                packed.append(join_all(c, [u[3] for u in unit], [u[2] for u in unit]))
             else:
-                ids += c.tree([u[3][0][1] for u in unit])
-        return doc, len(ids), *shown(" ".join(map(str, ids)), c.decode(ids))
+                packed.append(c.packed(c.tree([np.frombuffer(u[3][0][1], c.kind).tolist() for u in unit])))
+        ids, decoded = c.shown[np.frombuffer(b"".join(packed), c.kind)].T
+        return doc, len(ids), *shown(" ".join(ids.tolist()), " ".join(decoded.tolist()))
 
     def assemble(batches):
         """Pieces of one document after another, sorted, to one row each."""
@@ -264,13 +290,12 @@ def encode(docs: DataFrame, vocabulary: str, leaf: int = LEAF, with_ids: bool =
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                for row, doc_id, seq, _, kind, torn, chunks, counts, ids in zip(*(x.to_pylist() for x in b.slice(at, 256).columns)):
+                for row, doc_id, seq, _, kind, torn, chunks, ids in zip(*(x.to_pylist() for x in b.slice(at, 256).columns)):
                     if row != current:
                         if parts:
                             out.append(finished(c, doc, parts))
                         current, doc, parts = row, doc_id, []
-                    ends = list(accumulate(counts))
-                    parts.append((seq, kind, torn, [(x, ids[e - n : e]) for x, n, e in zip(chunks, counts, ends)]))
+                    parts.append((seq, kind, torn, list(zip(chunks, ids))))
                 if len(out) >= 64:
                     yield table()
                     out = []
@@ -280,14 +305,9 @@ def encode(docs: DataFrame, vocabulary: str, leaf: int = LEAF, with_ids: bool =
             yield table()
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    is_long = F.coalesce(F.char_length("text") > leaf, F.lit(False))
-    long_chunk = re.compile(r"[^\x20\x09-\x0D]{%d,}" % (leaf + 1))
-    quick = docs.where(~is_long).mapInArrow(short, "doc_id long, " + cells)
-    long_ = docs.where(is_long).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    place = ["row", "doc_id", "seq", "leaf", "kind", "torn"]
-    at = "row long, doc_id long, seq long, leaf long, kind long, torn boolean"
-    cut = materialise(long_.mapInArrow(leaves, at + ", text string").repartition("row", "seq", "leaf"), "bpe-leaves")
-    coded = cut.mapInArrow(pieces, at + ", chunks array<binary>, counts array<int>, ids array<int>")
+    quick = docs.where(~_is_long(leaf)).mapInArrow(short, "doc_id long, " + cells)
+    cut = long_leaves(docs, vocabulary, leaf).repartition("row", "seq", "leaf")
+    coded = cut.mapInArrow(pieces, AT + ", chunks array<binary>, ids array<binary>")
     coded = coded.repartition("row").sortWithinPartitions("row", "seq", "leaf")
     return quick.union(coded.mapInArrow(assemble, "doc_id long, " + cells))
 

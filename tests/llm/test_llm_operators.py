@@ -257,21 +257,19 @@ def test_bpe_leaves_cut_anywhere(vocabulary):
         torn = [False] + [not x[-1] in bpe.ASCII_SPACE and not y[0] in bpe.ASCII_SPACE for x, y in zip(cut, cut[1:])]
         torn_borders += sum(torn)
         cells = [bpe.sealed([(x, c.ids(x)) for x in p.encode().split()]) for p in cut]
-        assert bpe.join_all(c, cells, torn) == c.whole.encode(s, add_special_tokens=False).ids
+        assert bpe.join_all(c, cells, torn) == c.packed(c.whole.encode(s, add_special_tokens=False).ids)
     assert torn_borders > 5000
 
 
-def test_bpe_long_texts_take_the_tree(spark, documents, vocabulary, monkeypatch):
-    """Every text longer than a leaf is cut into leaves: counted in the table of leaves."""
-    seen = []
-    keep = bpe.materialise
-    monkeypatch.setattr(bpe, "materialise", lambda df, label: seen.append(keep(df, label)) or seen[-1])
+def test_bpe_long_texts_take_the_tree(spark, documents, vocabulary):
+    """Every text longer than a leaf is cut into leaves, and the leaves make the ids of the whole."""
     want = {r.doc_id: r.n_tokens for r in bpe.encode(documents, vocabulary, leaf=10**9).collect()}
     assert {r.doc_id: r.n_tokens for r in bpe.encode(documents, vocabulary, leaf=500).collect()} == want
-    rows = seen[-1].groupBy("row").agg(F.count("*").alias("leaves"), F.sum(F.char_length("text")).alias("n")).collect()
+    cut = bpe.long_leaves(documents.select("doc_id", "text"), vocabulary, 500)
+    rows = cut.groupBy("row").agg(F.count("*").alias("leaves"), F.sum(F.char_length("text")).alias("n")).collect()
     long_ = [r for r in documents.collect() if len(r.text or "") > 500]
     assert len(rows) == len(long_) > 50 and sorted(r.n for r in rows) == sorted(len(r.text) for r in long_)
-    assert all(r.leaves >= 2 for r in rows) and seen[-1].where("torn").count() > 50
+    assert all(r.leaves >= 2 for r in rows) and cut.where("torn").count() > 50
 
 
 def test_bpe_of_documents(spark, documents, odd, vocabulary):
