@@ -63,7 +63,7 @@ class Scratch:
     """Intermediate tables of one operator, in a folder of their own under the shared one; deleted at the end of the block."""
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.path, self.count = spark, shared_path(spark, label), 0
+        self.spark, self.path, self.count, self.places = spark, shared_path(spark, label), 0, {}
 
     def __enter__(self) -> Scratch:
         return self
@@ -76,7 +76,13 @@ class Scratch:
         self.count += 1
         path = f"{self.path}/{self.count}-{label}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        done = self.spark.read.schema(df.schema).parquet(path)
+        self.places[id(done)] = done, path
+        return done
+
+    def drop(self, table: DataFrame) -> None:
+        """Delete a table of this block before its end."""
+        forget(self.spark, self.places.pop(id(table))[1])
 
 
 def ascii_lower(col: Column) -> Column:

@@ -287,7 +287,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     one, other = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     enough = both / (F.size("sa") + F.size("sb") - both) >= F.lit(similarity)
-    return pairs.distinct().join(one, "a").join(other, "b").where(enough).select("a", "b")
+    return pairs.join(one, "a").join(other, "b").where(enough).select("a", "b").distinct()
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
@@ -330,7 +330,7 @@ def _similar(docs: DataFrame, words: int, similarity: float, seed: int, kept: Sc
 
     def classify(batches):
         for b in batches:
-            same, fps, sizes, keys = [], [], [], []
+            same, fps, sizes, keys, parity = [], [], [], [], []
             for t in b.column(1):
                 w = words_of(t.as_py())
                 digest = xxhash.xxh3_128_intdigest(b" ".join(w), seed)
@@ -340,12 +340,18 @@ def _similar(docs: DataFrame, words: int, similarity: float, seed: int, kept: Sc
                 x = ordered(code).view(np.int64)
                 sizes.append(len(x))
                 keys.append(x[: prefix_length(len(x), similarity)] if len(x) else x)
+                odd = np.bincount((x.view(np.uint64) >> np.uint64(32)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+                parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             same = np.array(same, np.uint64).reshape(-1, 2).view(np.int64)
             fps = np.array(fps, np.uint64).view(np.int64)
-            yield pa.record_batch([b.column(0), *map(pa.array, same.T.copy()), pa.array(fps), pa.array(sizes, pa.int32()), lists(keys)], names=["doc", "s1", "s2", "fp", "size", "keys"])
+            parity = np.array(parity, np.int64).reshape(-1, PARITY // 64)
+            cells = [*map(pa.array, same.T.copy()), pa.array(fps), pa.array(sizes, pa.int32()), *map(pa.array, parity.T.copy()), lists(keys)]
+            yield pa.record_batch([b.column(0), *cells], names=["doc", "s1", "s2", "fp", "size", *flags, "keys"])
+
+    flags = [f"f{i}" for i in range(PARITY // 64)]
 
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    found = docs.select(doc.alias("doc"), "text").mapInArrow(classify, "doc long, s1 long, s2 long, fp long, size int, keys array<long>")
+    found = docs.select(doc.alias("doc"), "text").mapInArrow(classify, "doc long, s1 long, s2 long, fp long, size int, " + ", ".join(f"{f} long" for f in flags) + ", keys array<long>")
     found = kept.table(found, "prefixes")
     classes = kept.table(found.groupBy("s1", "s2").agg(F.min("doc").alias("node"), F.first("fp").alias("fp"), F.first("size").alias("size")), "word-classes")
 
@@ -357,27 +363,28 @@ def _similar(docs: DataFrame, words: int, similarity: float, seed: int, kept: Sc
 
     # buckets of prefix keys; of a class, the rows of its smallest document speak; repeats among them make the same keys
     spoken = found.where("size > 0").join(classes.select("s1", "s2", "node"), ["s1", "s2"]).where(F.col("doc") == F.col("node"))
+    spoken = kept.table(spoken.select("node", "size", *flags, "keys"), "speaking-prefixes")
     rows = spoken.select("node", "size", F.posexplode("keys").alias("at", "key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    held = kept.table(rows.join(shared, "key").distinct(), "buckets")
-    wanted = kept.table(held.select("node").union(close.select("a")).union(close.select("b")).distinct(), "wanted-nodes")
+    held = rows.join(shared, "key").distinct().join(spoken.select("node", "size", *flags).distinct(), ["node", "size"])
+    open_ = held.select("key", F.struct("node", "size", "at", *flags).alias("x"), F.col("node").alias("of"))
+    open_, turn = kept.table(open_, "open-buckets"), 0
+    kept.drop(spoken)
+    group = classes.select("node", F.col("node").alias("component")).distinct()
 
     def shingle(batches):
         for b in batches:
-            sets, parity = [], []
-            for t in b.column(1):
-                code = np.unique(shingle_codes(words_of(t.as_py()), words, seed))
-                sets.append(code.view(np.int64))
-                odd = np.bincount((code >> np.uint64(32)).astype(np.int64) % PARITY, minlength=PARITY) & 1
-                parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-            parity = np.array(parity, np.int64).reshape(-1, PARITY // 64)
-            yield pa.record_batch([b.column(0), lists(sets), *map(pa.array, parity.T.copy())], names=["node", "shingles", *flags])
+            yield pa.record_batch([b.column(0), lists([np.unique(shingle_codes(words_of(t.as_py()), words, seed)).view(np.int64) for t in b.column(1)])], names=["node", "shingles"])
 
-    flags = [f"f{i}" for i in range(PARITY // 64)]
-    texts = docs.select(doc.alias("node"), "text").where(F.col("text").isNotNull()).join(wanted, "node", "left_semi")
-    sets = texts.mapInArrow(shingle, "node long, shingles array<long>, " + ", ".join(f"{f} long" for f in flags))
-    # rows that repeat a doc_id speak for one node, each with its own set
-    sets = kept.table(sets.withColumn("same", F.xxhash64("shingles")).dropDuplicates(["node", "same"]).drop("same"), "shingle-sets")
+    texts = docs.select(doc.alias("node"), "text").where(F.col("text").isNotNull())
+    sets = docs.sparkSession.createDataFrame([], "node long, shingles array<long>")
+
+    def with_sets(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+        """``sets`` and those of further nodes of the pairs; rows that repeat a doc_id speak for one node, each with its own."""
+        asked = pairs.select("a").union(pairs.select("b")).toDF("node").distinct().join(sets.select("node"), "node", "left_anti")
+        new = texts.join(asked, "node", "left_semi").mapInArrow(shingle, "node long, shingles array<long>")
+        new = new.withColumn("same", F.xxhash64("shingles")).dropDuplicates(["node", "same"]).drop("same")
+        return sets.union(kept.table(new, "shingle-sets"))
 
     def near(x, y):
         """Whether two rows of one key can be similar: bounds by what lies before, at and after the key, and by parities.
@@ -391,9 +398,6 @@ def _similar(docs: DataFrame, words: int, similarity: float, seed: int, kept: Sc
         fits = (most >= F.lit(similarity / (1 + similarity)) * both - F.lit(1e-6)) & (turned <= F.lit((1 - similarity) / (1 + similarity)) * both + F.lit(1e-6))
         return (x["node"] != y["node"]) & fits
 
-    x = F.struct("node", "size", "at", *flags).alias("x")
-    open_ = kept.table(held.join(sets.select("node", *flags), "node").select("key", x, F.col("node").alias("of")), "open-buckets")
-    group, turn = wanted.select("node", F.col("node").alias("component")), 0
     while not open_.isEmpty():
         if turn == 0:
             leaders = open_.groupBy("key").agg(F.min(F.struct("x", "of")).alias("l"))
@@ -405,9 +409,13 @@ def _similar(docs: DataFrame, words: int, similarity: float, seed: int, kept: Sc
         others = leaders.select(F.col("key").alias("k"), F.col("x").alias("y"), F.col("of").alias("y_of"))
         met = open_.join(others, (F.col("key") == F.col("k")) & (F.col("of") != F.col("y_of")) & near(F.col("x"), F.col("y")))
         pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-        new = kept.table(_alike(pairs if turn else pairs.union(close), sets, similarity), "links")
+        pairs = kept.table((pairs if turn else pairs.union(close)).distinct(), "pairs")
+        found_any = not pairs.isEmpty()
+        if found_any:
+            sets = with_sets(sets, pairs)
+            new = kept.table(_alike(pairs, sets, similarity), "links")
         rest = open_.withColumn("led", F.col("x.node")).join(leaders.select("key", F.col("x.node").alias("led")), ["key", "led"], "left_anti")
-        if not new.isEmpty():
+        if found_any and not new.isEmpty():
             for end in "ab":
                 new = new.join(group.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end)
             joined = kept.table(_components(new.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")), kept), "joined-groups")
@@ -417,8 +425,9 @@ def _similar(docs: DataFrame, words: int, similarity: float, seed: int, kept: Sc
         of = group.select(F.col("node").alias("led"), F.col("component").alias("of"))
         rest = rest.drop("of").join(of, "led").select("key", "x", "of")
         mixed = rest.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high").select("key")
-        open_, turn = kept.table(rest.join(mixed, "key"), "open-buckets"), turn + 1
-    group = classes.select("node").distinct().join(group, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        before, open_, turn = open_, kept.table(rest.join(mixed, "key"), "open-buckets"), turn + 1
+        for done in (before, leaders, pairs):
+            kept.drop(done)
     member = found.select("doc", "s1", "s2").join(classes.select("s1", "s2", "node"), ["s1", "s2"]).join(group, "node")
     least = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return member.select(least("doc").alias("doc_id"), least("component").alias("component_id"))
