@@ -32,7 +32,7 @@ def as_of(observations: DataFrame, runs: DataFrame) -> DataFrame:
     """The value of every (entity, attribute) as of each of ``runs``: ``run_id, entity_id, attr, value``.
 
     Of the rows with ``run_id <= r`` the one with the greatest ``obs_id`` counts. One window over each key's runs takes
-    the place of a join by range: first the best of every run, then the running best. The result has a row per run and
+    the place of a join by range: first the best of every run, then the running best, then the numbers of the runs until the next. The result has a row per run and
     key by nature, so filter keys first. ``runs`` is the small dimension of pipeline runs.
     """
     best = F.max(F.struct("obs_id", "value"))
@@ -40,9 +40,17 @@ def as_of(observations: DataFrame, runs: DataFrame) -> DataFrame:
     running = Window.partitionBy("entity_id", "attr").orderBy("run_id").rowsBetween(Window.unboundedPreceding, 0)
     upto = Window.partitionBy("entity_id", "attr").orderBy("run_id")
     spans = per_run.select("entity_id", "attr", "run_id", F.max("v").over(running).alias("v"), F.lead("run_id").over(upto).alias("next"))
-    ticks = runs.select(F.col("run_id").alias("r"))
-    inside = (F.col("r") >= F.col("run_id")) & (F.col("next").isNull() | (F.col("r") < F.col("next")))
-    return spans.join(ticks, inside).select(F.col("r").alias("run_id"), "entity_id", "attr", F.col("v.value").alias("value"))
+    # every run, asked for or only observed, with the number of asked ones before it: spans become ranges of numbers
+    marks = runs.select("run_id", F.lit(1).alias("asked")).union(observations.select("run_id", F.lit(0)).distinct()).groupBy("run_id").agg(F.max("asked").alias("asked"))
+    below = F.coalesce(F.sum("asked").over(Window.orderBy("run_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    marks = checkpointed(marks.select("run_id", "asked", below.alias("number")))
+    total = marks.agg(F.sum("asked").alias("total"))
+    ends = marks.select(F.col("run_id").alias("next"), F.col("number").alias("end"))
+    ranged = spans.join(marks.select("run_id", "number"), "run_id").join(ends, "next", "left").join(F.broadcast(total))  # one row
+    last = F.coalesce("end", "total") - 1
+    numbered = ranged.where(F.col("number") <= last).withColumn("number", F.explode(F.sequence("number", last)))
+    ticks = marks.where("asked = 1").select("number", F.col("run_id").alias("r"))
+    return numbered.join(ticks, "number").select(F.col("r").alias("run_id"), "entity_id", "attr", F.col("v.value").alias("value"))
 
 
 def changed_only(batch: DataFrame, stored: DataFrame | None = None) -> DataFrame:
@@ -99,20 +107,25 @@ def history(observations: DataFrame, entity_id: str, attr: str | None = None) ->
     return (found if attr is None else found.where(F.col("attr") == attr)).orderBy("obs_id")
 
 
-def ancestry(nodes: DataFrame, start: str, limit: int = 1000) -> DataFrame:
-    """``depth, id`` from a node to its root along ``parent``, newest first; stops at a cycle or a missing parent."""
-    spark = nodes.sparkSession
-    # each step reads all nodes again, so what made them should not run again
-    checkpointed(nodes.select("id", "parent")).createOrReplaceTempView("landloom_nodes")
-    return spark.sql(
-        """with recursive up(depth, id, parent, seen) as (
-             select 0, id, parent, array(id) from landloom_nodes where id = :start
-             union all
-             select depth + 1, n.id, n.parent, array_append(seen, n.id) from up join landloom_nodes n on n.id = up.parent
-             where not array_contains(seen, n.id) and depth < :most
-           ) select depth, id from up""",
-        args={"start": start, "most": limit},
-    )
+def ancestry(nodes: DataFrame, start: str) -> DataFrame:
+    """``depth, id`` from a node to its root along ``parent``; stops at a cycle or a missing parent.
+
+    Pointers double: each round every node knows an ancestor twice as far, and the path found so far is carried that far
+    again. So the rounds are the logarithm of the depth, which may be any.
+    """
+    ids = nodes.select(F.col("id").alias("up"))
+    jump = checkpointed(nodes.select("id", F.col("parent").alias("up")).join(ids, "up", "left_semi").select("id", "up"))
+    path = checkpointed(nodes.where(F.col("id") == start).select(F.lit(0).alias("depth"), "id").distinct())
+    step, known = 1, path.count()
+    while known:
+        further = path.join(jump, "id").select((F.col("depth") + step).alias("depth"), F.col("up").alias("id"))
+        path = checkpointed(path.union(further).groupBy("id").agg(F.min("depth").alias("depth")).select("depth", "id"))
+        before, known, step = known, path.count(), 2 * step
+        if known == before:
+            break
+        onward = jump.select(F.col("id").alias("up"), F.col("up").alias("to"))
+        jump = checkpointed(jump.join(onward, "up").select("id", F.col("to").alias("up")))
+    return path
 
 
 def find(entities: DataFrame, observations: DataFrame, kind: str, region=None, near: tuple[float, float] | None = None, filters: list[AttrFilter] = (), limit: int = 50) -> DataFrame:

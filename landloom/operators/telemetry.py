@@ -87,9 +87,14 @@ def densify(legs_: DataFrame, step_m: float = 5.0) -> DataFrame:
     return s.select("device_id", "i", *[(F.col(c) + (F.col(f"{c}2") - F.col(c)) * u).alias(c) for c in ("t", "x", "y")])
 
 
-def interpolate(legs_: DataFrame, times: DataFrame) -> DataFrame:
-    """Position of every device at each of ``times`` (``at``): along smooth legs, else the last fix before."""
-    j = legs_.join(F.broadcast(times), (F.col("at") >= F.col("t")) & (F.col("at") < F.col("t2")))
+def interpolate(legs_: DataFrame, times: DataFrame, bucket_ms: int = 3_600_000) -> DataFrame:
+    """Position of every device at each of ``times`` (``at``): along smooth legs, else the last fix before.
+
+    Legs and times meet by buckets of time, so a leg is compared with the times of the hours that it spans only.
+    """
+    of = lambda t: F.floor(t / F.lit(bucket_ms)).cast("long")
+    spread = legs_.where("t2 > t").withColumn("bucket", F.explode(F.sequence(of(F.col("t")), of(F.col("t2") - 1))))
+    j = spread.join(times.select("at", of(F.col("at")).alias("bucket")), "bucket").where("at >= t and at < t2")
     u = F.when(F.col("smooth"), F.least(F.greatest((F.col("at") - F.col("t")) / (F.col("t2") - F.col("t")), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
     return j.select("device_id", "at", *[(F.col(c) + (F.col(f"{c}2") - F.col(c)) * u).alias(c) for c in ("x", "y")])
 

@@ -128,11 +128,10 @@ def c25_crowding(spark, d):
 _FINE = """fine as (select id // 256 as fr, id % 256 as fc, -320 + (id % 256 + 0.5) * 2.5::double as x, 320 - (id // 256 + 0.5) * 2.5::double as y from range(65536) t(id))"""
 
 
-@query(V.sql("edges") + f""", {_FINE}, tests as (select fr, fc, parcel_id, sum(case when (y2 > y) <> (y1 > y) and x < (x2-x1)*(y-y1)/nullif(y2-y1, 0) + x1 then 1 else 0 end) as n from fine, edges where parcel_id in (6, 7, 11, 12, 13, 17, 18) group by all)
+@query(V.sql("edges") + f""", {_FINE}, tests as (select fr, fc, parcel_id, sum(case when (y2 > y) <> (y1 > y) and x < (x2-x1)*(y-y1)/nullif(y2-y1, 0) + x1 then 1 else 0 end) as n from fine, edges group by all)
 select fr // 4 as row, fc // 4 as col, parcel_id, count(*) / 16.0::double as share from tests where n % 2 = 1 group by 1, 2, 3""")
 def d12_cell_coverage(spark, d):
-    near = V.parcels(spark, d).where("parcel_id in (6, 7, 11, 12, 13, 17, 18)")
-    return layers.coverage(near, GRID, "parcel_id")
+    return layers.coverage(V.parcels(spark, d), GRID, "parcel_id")
 
 
 _LATTICE = """lat as (select iy, ix, -500 + (ix + 0.5) * (1200.0::double / 54) as x, -300 + (iy + 0.5) * (1200.0::double / 54) as y from range(54) a(iy), range(54) b(ix))"""
@@ -211,7 +210,7 @@ def f19_union(spark, d):
     return ids("customer", "c_custkey", "c").union(ids("supplier", "s_suppkey", "s")).union(ids("events", "user_id", "c")).distinct()
 
 
-@query(V.sql("terrain") + """, o as (select p_partkey, (p_partkey * 7 % 560 - 280)::double as x, (p_partkey * 13 % 560 - 280)::double as y from part where p_partkey <= 200),
+@query(V.sql("terrain") + """, o as (select p_partkey, (p_partkey * 7 % 560 - 280)::double as x, (p_partkey * 13 % 560 - 280)::double as y from part),
   s as (select p_partkey, side, x + dx as x, y + dy as y from o, (values ('e', 2, 0), ('w', -2, 0), ('n', 0, 2), ('s', 0, -2)) v(side, dx, dy)),
   f as (select *, (x + 320) / 10 - 0.5 as u, (320 - y) / 10 - 0.5 as t from s), g as (select *, floor(u)::bigint as c, floor(t)::bigint as r, u - floor(u) as fu, t - floor(t) as ft from f),
   k as (select p_partkey, side, r + dr as row, c + dc as col, (case dc when 0 then 1 - fu else fu end) * (case dr when 0 then 1 - ft else ft end) as w from g, (values (0, 0), (0, 1), (1, 0), (1, 1)) q(dr, dc)),
@@ -220,7 +219,7 @@ def f19_union(spark, d):
 select p_partkey, round(degrees(atan(sqrt(((e - w) / 4) * ((e - w) / 4) + ((n - s) / 4) * ((n - s) / 4)))), 6) as slope from p""")
 def h21_point_slope(spark, d):
     k = F.col("p_partkey").cast("long")
-    p = V.table(spark, d, "part").where("p_partkey <= 200").select("p_partkey", (k * 7 % 560 - 280).cast("double").alias("x"), (k * 13 % 560 - 280).cast("double").alias("y"))
+    p = V.table(spark, d, "part").select("p_partkey", (k * 7 % 560 - 280).cast("double").alias("x"), (k * 13 % 560 - 280).cast("double").alias("y"))
     return layers.point_slopes(p, V.terrain(spark).withColumnRenamed("z", "v"), GRID, "p_partkey").select("p_partkey", F.round("slope", 6).alias("slope"))
 
 

@@ -104,12 +104,12 @@ def d14_line_cells(spark, d):
     return stems.line_cells(V.streams(spark, d), GRID, "stream_id")
 
 
-@query(V.sql("terrain") + f""", {_P}, dabs as (select x, y, sum(p_partkey % 3 + 1) as strength from p where p_partkey <= 60 group by 1, 2),
+@query(V.sql("terrain") + f""", {_P}, dabs as (select x, y, sum(p_partkey % 3 + 1) as strength from p group by 1, 2),
   c as (select row, col, -320 + (col + 0.5) * 10.0::double as cx, 320 - (row + 0.5) * 10.0::double as cy from terrain),
   t as (select row, col, strength, 1 - sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy)) / 35 as t from dabs, c where (x-cx)*(x-cx)+(y-cy)*(y-cy) <= 1225)
 select row, col, round(sum(strength * t * t * (3 - 2 * t)), 6) as weight from t group by 1, 2""")
 def h27_stamps(spark, d):
-    dabs = _points(spark, d).where("p_partkey <= 60").select("x", "y", (F.col("p_partkey") % 3 + 1).alias("strength"))
+    dabs = _points(spark, d).select("x", "y", (F.col("p_partkey") % 3 + 1).alias("strength"))
     return stems.stamps(V.terrain(spark), dabs, GRID, 35.0).select("row", "col", F.round("weight", 6).alias("weight"))
 
 
@@ -146,11 +146,11 @@ def m12_population(spark, d):
 
 @query(V.sql("observations", "lifecycle") + """, seen as (select distinct entity_id from observations where run_id >= 20)
 select l.entity_id, case when retired_run_id is null then 'kept' else 'unretired' end as change from lifecycle l join seen using (entity_id)
-union all select entity_id, 'created' from (select 'customer:' || c_custkey as entity_id from customer where c_custkey % 9 = 0) n where entity_id not in (select entity_id from lifecycle)""")
+union all select entity_id, 'created' from (select 'customer:' || c_custkey as entity_id from customer) n where entity_id not in (select entity_id from lifecycle)""")
 def n02_upsert_entities(spark, d):
     """What staged ids do to the store: keep, un-retire or create."""
     staged = V.observations(spark, d).where("run_id >= 20").select("entity_id").distinct()
-    new = V.table(spark, d, "customer").where("c_custkey % 9 = 0").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("entity_id"), F.lit(True).alias("extra"))
+    new = V.table(spark, d, "customer").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("entity_id"), F.lit(True).alias("extra"))
     known = V.lifecycle(spark, d).select("entity_id", "retired_run_id", F.lit(True).alias("known"))
     both = staged.withColumn("extra", F.lit(False)).union(new).join(known, "entity_id", "left").where("not extra or known is null")
     change = F.when(F.col("known").isNull(), "created").when(F.col("retired_run_id").isNull(), "kept").otherwise("unretired")
@@ -214,11 +214,11 @@ def i28_weather_presets(spark, d):
     return j.select("p_partkey", C.clamp(F.coalesce("temp", "t"), -20, 130).alias("temp_f"), "rh", C.clamp(F.coalesce("wind", "w"), 0, 120).alias("wind_mph"))
 
 
-@query("""with b as (select p_partkey as species, p_size % 16 as mask, p_size from part where p_partkey <= 40), c as (select id // 64 as row, id % 64 as col, (id * 7 % 16)::int as code from range(4096) t(id))
+@query("""with b as (select p_partkey as species, p_size % 16 as mask, p_size from part), c as (select id // 64 as row, id % 64 as col, (id * 7 % 16)::int as code from range(4096) t(id))
 select row, col, array_to_string(list_sort(list(species)), ',') as species from c join b on (code & mask) <> 0 and mask = code group by 1, 2""")
 def h24_species_at_cell(spark, d):
     """Species whose habitat code a cell carries, by a look-up of the code."""
-    b = V.table(spark, d, "part").where("p_partkey <= 40").select(F.col("p_partkey").alias("species"), (F.col("p_size") % 16).alias("code")).where("code <> 0")
+    b = V.table(spark, d, "part").select(F.col("p_partkey").alias("species"), (F.col("p_size") % 16).alias("code")).where("code <> 0")
     per_code = b.groupBy("code").agg(F.array_join(F.sort_array(F.collect_list("species")), ",").alias("species"))
     i = F.col("id")
     c = spark.range(4096).select(F.floor(i / 64).cast("long").alias("row"), (i % 64).alias("col"), (i * 7 % 16).cast("int").alias("code"))

@@ -120,13 +120,13 @@ def k13_panel_yield(spark, d):
     return y.select("tilt", "facing", F.round("energy", 4).alias("energy"))
 
 
-_SITES = V.sql("terrain") + """, c as (select row * 64 + col as id, -320 + (col + 0.5) * 10.0::double as x, 320 - (row + 0.5) * 10.0::double as y, z as elevation, (row * 7 + col * 3) % 36 / 35.0::double as low_slope, (row * 5 + col) % 11 / 10.0::double as dryness from terrain),
-  e as (select min(elevation) as lo, max(elevation) as hi from c), s as (select id, x, y, (0.3 * (elevation - lo) / (hi - lo) + 0.15 * low_slope + 0.1 * dryness) / 1.0 as score from c, e)"""
+_SITES = V.sql("terrain") + """, c as (select row * 64 + col as id, -320 + (col + 0.5) * 10.0::double as x, 320 - (row + 0.5) * 10.0::double as y, z as elevation, (row * 7 + col * 3) % 36 / 35.0::double as low_slope, (row * 5 + col) % 11 / 10.0::double as dryness, (row * 3 + col) % 17::double as prominence, (row + col * 5) % 13::double as openness from terrain),
+  e as (select min(elevation) as lo, max(elevation) as hi from c), s as (select id, x, y, (0.3 * (elevation - lo) / (hi - lo) + 0.3 * prominence / 16 + 0.15 * openness / 12 + 0.15 * low_slope + 0.1 * dryness) / 1.0 as score from c, e)"""
 
 
 def _scored(spark):
     r, c = F.col("row"), F.col("col")
-    cand = _dem(spark).select((r * 64 + c).alias("id"), GRID.x(c).alias("x"), GRID.y(r).alias("y"), F.col("v").alias("elevation"), ((r * 7 + c * 3) % 36 / F.lit(35.0)).alias("low_slope"), ((r * 5 + c) % 11 / F.lit(10.0)).alias("dryness"))
+    cand = _dem(spark).select((r * 64 + c).alias("id"), GRID.x(c).alias("x"), GRID.y(r).alias("y"), F.col("v").alias("elevation"), ((r * 7 + c * 3) % 36 / F.lit(35.0)).alias("low_slope"), ((r * 5 + c) % 11 / F.lit(10.0)).alias("dryness"), ((r * 3 + c) % 17).cast("double").alias("prominence"), ((r + c * 5) % 13).cast("double").alias("openness"))
     return sites.score(cand, "overlook")
 
 

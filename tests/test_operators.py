@@ -145,8 +145,11 @@ def test_utm_round_trip_is_a_tenth_of_a_millimetre(spark):
 
 
 def test_site_profiles_and_unknown_objective(spark):
-    df = spark.createDataFrame([(1, 10.0, 0.5), (2, 20.0, 0.5)], "id long, elevation double, low_slope double")
-    assert [round(r.score, 4) for r in sites.score(df, "overlook").orderBy("id").collect()] == [0.075, 0.375]
+    some = spark.createDataFrame([(1, 10.0, 0.5), (2, 20.0, 0.5)], "id long, elevation double, low_slope double")
+    with pytest.raises(filters.QueryError):
+        sites.score(some, "overlook")
+    df = some.withColumns({"prominence": F.col("elevation") * 0, "openness": F.col("elevation"), "dryness": F.lit(None).cast("double")})
+    assert [round(r.score, 4) for r in sites.score(df, "overlook").orderBy("id").collect()] == [0.225, 0.675]
     with pytest.raises(filters.QueryError):
         sites.score(df, "moon")
 
@@ -229,3 +232,29 @@ def test_streams(spark, tmp_path):
     q = S.counts(e).writeStream.outputMode("complete").format("memory").queryName("counted").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sum(r.n for r in spark.table("counted").collect()) == 3
+
+
+def test_ancestry_of_any_depth(spark):
+    chain = [(str(i), str(i - 1) if i else None) for i in range(1000)]
+    nodes = spark.createDataFrame(chain + [("x", "y"), ("y", "x"), ("z", "gone")], "id string, parent string")
+    found = store.ancestry(nodes, "999").orderBy("depth").collect()
+    assert [(r.depth, r.id) for r in found] == [(d, str(999 - d)) for d in range(1000)]
+    assert {r.id for r in store.ancestry(nodes, "x").collect()} == {"x", "y"}
+    assert [r.id for r in store.ancestry(nodes, "z").collect()] == ["z"] and store.ancestry(nodes, "none").count() == 0
+
+
+def test_cover_and_soil_features_fit_the_profiles(spark):
+    df = spark.createDataFrame([(1, "Oak forest", "A", "well drained"), (2, "Marsh", "D", "poorly drained")], "id long, cover string, hsg string, words string")
+    rest = {f: F.lit(0.5) for p in sites.PROFILES.values() for f in p}
+    df = df.withColumns(rest | sites.cover_scores(F.col("cover")) | {"soil_drainage": sites.drainage(F.col("hsg"), F.col("words"))})
+    for objective in sites.PROFILES:
+        one, two = (r.score for r in sites.score(df, objective).orderBy("id").collect())
+        assert (one > two) == (objective in ("trailcam", "garden", "structure"))
+
+
+def test_as_of_without_a_nested_loop(spark):
+    rows = [(1, "e", "a", "x", 10), (2, "e", "a", "y", 20), (3, "e", "a", "z", 20), (4, "f", "a", "w", 15)]
+    o = spark.createDataFrame(rows, "obs_id long, entity_id string, attr string, value string, run_id long")
+    runs = spark.createDataFrame([(5,), (10,), (12,), (20,), (30,)], "run_id long")
+    got = {(r.run_id, r.entity_id, r.value) for r in store.as_of(o, runs).collect()}
+    assert got == {(10, "e", "x"), (12, "e", "x"), (20, "e", "z"), (30, "e", "z"), (20, "f", "w"), (30, "f", "w")}
