@@ -11,7 +11,7 @@ from landloom.functions.climate import clamp
 
 from .filters import QueryError, Region
 from .raster import Grid
-from .spatial import covering, points_in_polygons
+from .spatial import by_cell, covering, points_in_polygons
 
 #: Themes of a layer by the words in its names and descriptions.
 THEMES = {
@@ -184,7 +184,7 @@ def box_pairs(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
     meets = (F.col("box.min_x") <= F.col("rbox.max_x")) & (F.col("rbox.min_x") <= F.col("box.max_x")) & (F.col("box.min_y") <= F.col("rbox.max_y")) & (F.col("rbox.min_y") <= F.col("box.max_y"))
     # a pair is kept in the first cell that both boxes touch
     first = (F.floor(F.greatest("box.min_x", "rbox.min_x") / size) == F.col("cx")) & (F.floor(F.greatest("box.min_y", "rbox.min_y") / size) == F.col("cy"))
-    return a.join(b, ["cx", "cy"]).where(meets & first).drop("cx", "cy")
+    return by_cell(a).join(by_cell(b), ["cx", "cy"]).where(meets & first).drop("cx", "cy")
 
 
 def ranked(rows: DataFrame, metric: str, tie: str) -> DataFrame:

@@ -20,6 +20,11 @@ def covering(df: DataFrame, box: Column, size: float) -> DataFrame:
     return df.withColumn("cx", span("min_x", "max_x")).withColumn("cy", span("min_y", "max_y"))
 
 
+def by_cell(df: DataFrame) -> DataFrame:
+    """Rows dealt by cell over all shuffle partitions: what meets in cells is far more than the bytes of either side tell."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cx", "cy")
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, ring: str = "ring", size: float = 250.0) -> DataFrame:
     """Pairs of a point (``x, y``) and a polygon (one closed ring) that holds it."""
     cells = covering(polygons, geo.bbox(F.col(ring)), size)
@@ -56,7 +61,13 @@ def paths_within(points: DataFrame, paths: DataFrame, point_id: str, path_id: st
     cells = covering(seg, box, size)
     centre = lambda c: (F.col(c) + 0.5) * size
     cells = cells.where(geo.segment_distance2(centre("cx"), centre("cy"), F.col("a"), F.col("b")) <= (r + size * 0.7072) ** 2)
-    near = keyed.join(cells, ["cx", "cy"]).withColumn("d2", d2).where(F.col("d2") <= r * r)
+    # the segment's direction, once per segment: a point off its strip or beyond its ends is out without the full distance
+    length = F.hypot(F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y"))
+    unit = lambda c: F.when(F.col("length") > 0, (F.col(f"b.{c}") - F.col(f"a.{c}")) / F.col("length")).otherwise(0.0)
+    cells = cells.withColumn("length", length).withColumns({"ex": unit("x"), "ey": unit("y"), "ax": F.col("a.x"), "ay": F.col("a.y")})
+    px, py, wide = F.col("x") - F.col("ax"), F.col("y") - F.col("ay"), r * 1.000001
+    strip = F.abs(px * F.col("ey") - py * F.col("ex")).between(0.0, wide) & (px * F.col("ex") + py * F.col("ey")).between(F.lit(-wide), F.col("length") + wide)
+    near = by_cell(keyed).join(by_cell(cells), ["cx", "cy"]).where(strip).withColumn("d2", d2).where(F.col("d2") <= r * r)
     return near.groupBy(point_id, path_id).agg(F.sqrt(F.min("d2")).alias("distance"))
 
 

@@ -79,8 +79,8 @@ def c11_crossing_paths(spark, d):
 
     left = seg.select(F.col("stream_id").alias("one"), "e", box().alias("box"))
     right = seg.select(F.col("stream_id").alias("other"), F.col("e").alias("f"), box().alias("rbox"))
-    crossed = geo.path_path_distance(F.array("e.a", "e.b"), F.array("f.a", "f.b")) == 0
-    return box_pairs(left, right, 500.0).where((F.col("one") < F.col("other")) & crossed).select("one", "other").distinct()
+    crossed = geo.segments_cross(F.col("e.a"), F.col("e.b"), F.col("f.a"), F.col("f.b"))
+    return box_pairs(left, right, 2000.0).where(F.col("one") < F.col("other")).where(crossed).select("one", "other").distinct()
 
 
 @query(V.sql("terrain", "classes") + f""", {_P}, c as (select row, col, -320 + (col + 0.5) * 10.0::double as cx, 320 - (row + 0.5) * 10.0::double as cy from classes where v = 4),
