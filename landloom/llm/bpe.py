@@ -20,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import accumulate, groupby
 
 import numpy as np
@@ -44,16 +44,13 @@ class Codec:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, models
+        from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.whole.no_padding()
         self.whole.no_truncation()
         spec = json.loads(self.whole.to_str())
-        model, self.suffix = spec["model"], spec["model"]["end_of_word_suffix"] or ""
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        build = lambda suffix: Tokenizer(models.BPE(model["vocab"], merges, **({"end_of_word_suffix": suffix} if suffix else {})))
-        self.inner, self.last = build(""), build(self.suffix)
+        self.model, self.suffix = spec["model"], spec["model"]["end_of_word_suffix"] or ""
         self.token = {i: t for t, i in self.whole.get_vocab(with_added_tokens=True).items()}
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = {t: self.whole.token_to_id(t) for t in special}
@@ -63,6 +60,21 @@ class Codec:
         self.shown = np.array([[str(i), self.token.get(i, "")] for i in range(size)], object)
         self.known: dict[bytes, tuple[int, bytes, str, str]] = {}
 
+    def _parts(self, suffix: str):
+        """The model alone, for parts of words; only texts with very long chunks need it."""
+        from tokenizers import Tokenizer, models
+
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in self.model["merges"]]
+        return Tokenizer(models.BPE(self.model["vocab"], merges, **({"end_of_word_suffix": suffix} if suffix else {})))
+
+    @cached_property
+    def inner(self):
+        return self._parts("")
+
+    @cached_property
+    def last(self):
+        return self._parts(self.suffix)
+
     def chunks(self, texts: list[list[bytes]]) -> None:
         """Make every chunk (in UTF-8) of the lists known."""
         new = list({c for t in texts for c in t if c not in self.known})
