@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ground, land, layers, live, places, plan, process, scenario, weather
+from . import fuel, ground, land, layers, live, places, plan, process, scenario, weather
 
-MODULES = (land, ground, weather, live, plan, scenario, layers, process, places)
+MODULES = (land, ground, weather, live, plan, scenario, layers, process, places, fuel)
 
 
 def queries() -> dict:
