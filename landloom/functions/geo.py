@@ -194,3 +194,20 @@ def from_utm(e: Column, n: Column, zone: int, south: bool = False) -> Column:
 
     chi = F.asin(F.sin(xi) / F.cosh(eta))
     return F.struct((F.degrees(lam) + 6.0 * zone - 183).alias("lon"), F.degrees(F.atan(bind(F.tan(chi), latitude))).alias("lat"))
+
+
+def normal_path(points: Column, digits: int = 3, least: int = 2, most: int = 100_000) -> Column:
+    """Points rounded, with repeats of the point before left out. Fewer than ``least`` or more than ``most`` points are refused."""
+    rounded = F.transform(points, lambda p: F.struct(F.round(p["x"], digits).alias("x"), F.round(p["y"], digits).alias("y")))
+
+    def distinct(path: Column) -> Column:
+        kept = F.filter(path, lambda p, i: (i == 0) | (p != F.get(path, i - 1)))
+        refused = F.raise_error(F.format_string("a path needs %d to %d points and has %d", F.lit(least), F.lit(most), F.size(kept)))
+        return F.when(F.size(kept).between(least, most), kept).otherwise(refused)
+
+    return bind(rounded, distinct)
+
+
+def is_geographic(box: Column) -> Column:
+    """Whether a bounding box can be degrees of longitude and latitude, not metres of a scene."""
+    return (box["min_x"] >= -180) & (box["max_x"] <= 180) & (box["min_y"] >= -90) & (box["max_y"] <= 90)

@@ -44,3 +44,21 @@ def download_class(size: Column) -> Column:
 def angle_between(a: Column, b: Column) -> Column:
     """Signed difference of two angles in degrees, in -180 to 180."""
     return F.pmod(a - b + 180, F.lit(360.0)) - 180
+
+
+#: Properties of map features that readers are never shown.
+HIDDEN = ("__label", "OBJECTID", "Shape_Length", "Shape_Area", "Shape__Area", "Shape__Length", "SHAPE.AREA", "SHAPE.LEN", "SPATIALVER", "GlobalID")
+
+
+def visible_properties(properties: Column) -> Column:
+    """A map of properties without hidden and empty ones."""
+    return F.map_filter(properties, lambda k, v: ~k.isin(*HIDDEN) & v.isNotNull() & ~v.isin("", " "))
+
+
+def color_ramp(t: Column, stops: list[tuple[int, int, int, int]]) -> Column:
+    """The colour at ``t`` (cut to 0 to 1) between evenly spaced stops, as four whole numbers cut towards zero."""
+    x = F.greatest(F.least(t, F.lit(0.999999)), F.lit(0.0)) * (len(stops) - 1)
+    at = F.floor(x).cast("int")
+    table = F.array(*[F.array(*[F.lit(float(v)) for v in stop]) for stop in stops])
+    low, high = F.element_at(table, at + 1), F.element_at(table, at + 2)
+    return F.transform(F.arrays_zip(low.alias("a"), high.alias("b")), lambda p: (p["a"] + (p["b"] - p["a"]) * (x - at)).cast("int"))

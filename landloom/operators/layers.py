@@ -190,3 +190,12 @@ def box_pairs(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
 def ranked(rows: DataFrame, metric: str, tie: str) -> DataFrame:
     """Rows with ``rank``: the metric falling, ties by ``tie`` rising. For a bounded list of sites."""
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.col(metric).desc(), tie)))
+
+
+def catalogue(catalog: DataFrame, manifest: DataFrame, stored: DataFrame) -> DataFrame:
+    """Layers of a catalog with the state of each: ``source`` of the manifest, ``features`` in the store, and whether it is ``ready``.
+
+    All three have ``layer``; a layer that only the catalog names stays, with nulls.
+    """
+    found = catalog.join(manifest.select("layer", "source"), "layer", "left").join(stored.select("layer", "features"), "layer", "left")
+    return found.withColumn("ready", F.coalesce(F.col("features") > 0, F.lit(False)))

@@ -94,3 +94,10 @@ def spaced(candidates: DataFrame, score: str, k: int, gap: float) -> DataFrame:
         return spark.createDataFrame([], "id long, x double, y double, s double").withColumn("rank", F.lit(1))
     top = taken.orderBy(F.col("s").desc(), "id").limit(k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("s").desc(), "id")))
+
+
+def near_entities(entities: DataFrame, targets: DataFrame, r: float) -> DataFrame:
+    """``target_id, entity_id, distance``: entities (``entity_id, x, y``) within ``r`` of each target entity but itself."""
+    t = targets.select(F.col("entity_id").alias("target_id"), F.col("x").alias("rx"), F.col("y").alias("ry"))
+    pairs = within_distance(entities.select("entity_id", "x", "y"), t, r).where("entity_id <> target_id")
+    return pairs.select("target_id", "entity_id", F.sqrt("d2").alias("distance"))
