@@ -2,7 +2,8 @@
 
 A fuel table has a row per ``code``: loads ``dead_1h, dead_10h, dead_100h, herb, woody`` in kg/m2, ``sav_`` of each in 1/m,
 ``depth`` in m, dead ``extinction``, ``heat`` in kJ/kg, ``burnable`` and ``dynamic``. Constants of a bed are made once per
-code; cells join them. The table is a parameter, so any set of fuel models will do.
+code; cells join them. The table is a parameter, so any set of fuel models will do. The columns build on each other: write or
+checkpoint cells after ``reaction`` before filtering on a result, since a filter pushed down repeats all that it is made from.
 """
 
 from __future__ import annotations
@@ -185,13 +186,18 @@ def _wind_for(ros: Column, slope_tan: Column, prefix: str = "") -> Column:
     return F.when(F.col(prefix + "base_ros") > 0, found).otherwise(never)
 
 
+def has_crowns(base_height: Column, bulk_density: Column, foliar: Column) -> Column:
+    """Where crown fire applies: a burning bed under a canopy with a base height, a density and a known foliar moisture."""
+    return F.coalesce(F.col("burns") & (base_height > 0) & (bulk_density > 0) & foliar.isNotNull(), F.lit(False))
+
+
 def torching_and_crowning(cells: DataFrame, base_height: Column, bulk_density: Column, foliar: Column, slope_tan: Column) -> DataFrame:
     """``torching`` and ``crowning``: the open winds in mph that light crowns and that carry fire through them.
 
     Cells carry their bed and the crown bed, both with their reaction. No crowns (no base height or density) or nothing to burn: null.
     Spread grows with wind alone, so the winds come from the formula turned round, without a search.
     """
-    crowns = F.col("burns") & (base_height > 0) & (bulk_density > 0) & foliar.isNotNull()
+    crowns = has_crowns(base_height, bulk_density, foliar)
     start = F.pow(0.010 * base_height * (460 + 25.9 * foliar), F.lit(1.5))
     per_ros = F.col("reaction") * KW * F.col("residence")
     torching = F.when(crowns, F.when(per_ros > 0, _wind_for(start / per_ros, slope_tan)).otherwise(float("inf")))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from landloom.functions.geo import bind
 
+from .spatial import spaced
+
 
 def texture(sand: Column, silt: Column, clay: Column) -> Column:
     """USDA texture class, by the triangle's boundaries in order."""
@@ -108,3 +110,8 @@ def level_surface(cells: DataFrame, volumes: DataFrame, area: float) -> DataFram
     full = held.groupBy("label").agg(F.max("next").alias("top"), F.max("above").alias("capacity"), F.first("volume").alias("volume")).where("volume > capacity")
     level = F.col("at") + (F.col("volume") - F.col("below")) / (F.col("wet") * area)
     return hit.select("label", level.alias("level")).union(full.select("label", "top"))
+
+
+def seep_sites(cells: DataFrame, n: int = 8, least: float = 55.0, gap: float = 30.0) -> DataFrame:
+    """The ``n`` best cells (``id, x, y, score``) that score ``least`` or more, ``gap`` metres apart, as a greedy choice takes them."""
+    return spaced(cells.where(F.col("score") >= least), "score", n, gap)

@@ -157,3 +157,8 @@ def i20_fuelscape(spark, d):
     kind = fire.crown_class(c("intensity"), c("cbh"), c("fmc"), B.active_crown_spread(c("mph"), c("slope")), c("cbd"))
     crown = F.when(c("burns") & (c("cbh") > 0) & (c("cbd") > 0), kind).otherwise("surface")
     return b.select("p_partkey", F.round("flat", 6).alias("base_ros"), F.round("ros", 6).alias("slope_ros"), F.round("intensity", 4).alias("intensity"), F.round(fire.flame_length(c("intensity")), 6).alias("flame"), crown.alias("crown"))
+
+
+@query("with " + _FUELS + " select p_partkey, coalesce(t.burnable, false) and p_partkey % 9 > 0 and p_partkey % 11 > 0 as crowns from part left join (select k, burnable from cured where c = 1) t on t.k = p_size")
+def b27_crown_mask(spark, d):
+    return cells(spark, d).select("p_partkey", B.has_crowns(F.col("cbh"), F.col("cbd"), F.col("fmc")).alias("crowns"))

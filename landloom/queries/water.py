@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from landloom import views as V
 from landloom.functions import geo, labels, sentences
-from landloom.operators import balance, layers, spatial, telemetry
+from landloom.operators import balance, layers, soil, spatial, telemetry
 
 QUERIES, ORACLES = {}, {}
 
@@ -166,3 +166,14 @@ def d18_geographic_extent(spark, d):
     k = F.col("p_partkey")
     box = F.struct(F.lit(-10.0).alias("min_x"), (k % 400).cast("double").alias("max_x"), F.lit(-5.0).alias("min_y"), (F.col("p_size") * 2).cast("double").alias("max_y"))
     return V.table(spark, d, "part").select("p_partkey", geo.is_geographic(box).alias("geographic"))
+
+
+def seep_cells(spark, d):
+    k = F.col("p_partkey").cast("long")
+    return V.table(spark, d, "part").select(k.alias("id"), V.scene_x(k).alias("x"), V.scene_y(k).alias("y"), (k * 37 % 1009 / F.lit(10.0)).alias("score"))
+
+
+@query()
+def f10_seep_sites(spark, d):
+    """The eight best seeps 30 m apart; held against the greedy loop in the tests."""
+    return soil.seep_sites(seep_cells(spark, d))
