@@ -3,7 +3,8 @@
 A fuel table has a row per ``code``: loads ``dead_1h, dead_10h, dead_100h, herb, woody`` in kg/m2, ``sav_`` of each in 1/m,
 ``depth`` in m, dead ``extinction``, ``heat`` in kJ/kg, ``burnable`` and ``dynamic``. Constants of a bed are made once per
 code; cells join them. The table is a parameter, so any set of fuel models will do. The columns build on each other: write or
-checkpoint cells after ``reaction`` before filtering on a result, since a filter pushed down repeats all that it is made from.
+checkpoint cells after ``reaction`` before filtering on a result; without that such a filter did not end in two minutes, probably
+because a filter pushed down repeats all that its column is made from.
 """
 
 from __future__ import annotations
