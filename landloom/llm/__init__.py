@@ -1,4 +1,4 @@
-"""Training-data operators: ten Spark jobs for building text corpora, each with its own module.
+"""Training-data operators: thirteen Spark jobs for building text corpora, each with its own module.
 
 Nothing else in ``landloom`` imports this subpackage.
 """
