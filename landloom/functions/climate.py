@@ -34,17 +34,18 @@ def wind_at_2m(u10: Column) -> Column:
     return u10 * (4.87 / math.log(67.8 * 10 - 5.42))
 
 
-def extraterrestrial(lat_deg: float, yday: Column) -> Column:
-    phi = math.radians(lat_deg)
+def extraterrestrial(lat_deg: float | Column, yday: Column) -> Column:
+    phi = F.radians(lat_deg if isinstance(lat_deg, Column) else F.lit(lat_deg))
     dr = 1 + 0.033 * F.cos(2 * math.pi / 365 * yday)
     dec = 0.409 * F.sin(2 * math.pi / 365 * yday - 1.39)
-    ws = F.acos(clamp(-math.tan(phi) * F.tan(dec), -1, 1))
-    return 24 * 60 / math.pi * GSC * dr * (ws * math.sin(phi) * F.sin(dec) + math.cos(phi) * F.cos(dec) * F.sin(ws))
+    ws = F.acos(clamp(-F.tan(phi) * F.tan(dec), -1, 1))
+    return 24 * 60 / math.pi * GSC * dr * (ws * F.sin(phi) * F.sin(dec) + F.cos(phi) * F.cos(dec) * F.sin(ws))
 
 
-def day_length(lat_deg: float, yday: Column) -> Column:
+def day_length(lat_deg: float | Column, yday: Column) -> Column:
+    phi = F.radians(lat_deg if isinstance(lat_deg, Column) else F.lit(lat_deg))
     dec = 0.409 * F.sin(2 * math.pi / 365 * yday - 1.39)
-    return 24 / math.pi * F.acos(clamp(-math.tan(math.radians(lat_deg)) * F.tan(dec), -1, 1))
+    return 24 / math.pi * F.acos(clamp(-F.tan(phi) * F.tan(dec), -1, 1))
 
 
 def net_radiation(rs: Column, ra: Column, tmin: Column, tmax: Column, ea: Column, elevation: float) -> Column:

@@ -24,13 +24,13 @@ def fresnel_radius(d1_km: Column, d2_km: Column, ghz: float) -> Column:
     return 17.3 * F.sqrt(d1_km * d2_km / (ghz * (d1_km + d2_km)))
 
 
-def solar_position(lat_deg: float, yday: Column, solar_hour: Column) -> Column:
+def solar_position(lat_deg: float | Column, yday: Column, solar_hour: Column) -> Column:
     """``struct<elevation, azimuth>`` in degrees; azimuth from north over east."""
-    phi = math.radians(lat_deg)
+    phi = F.radians(lat_deg if isinstance(lat_deg, Column) else F.lit(lat_deg))
     dec = F.radians(23.45 * F.sin(F.radians(360.0 / 365.0 * (284 + yday))))
     h = F.radians(15.0 * (solar_hour - 12))
-    s = math.sin(phi) * F.sin(dec) + math.cos(phi) * F.cos(dec) * F.cos(h)
-    az = F.atan2(-F.sin(h) * F.cos(dec), F.cos(phi * F.lit(1.0)) * F.sin(dec) - math.sin(phi) * F.cos(dec) * F.cos(h))
+    s = F.sin(phi) * F.sin(dec) + F.cos(phi) * F.cos(dec) * F.cos(h)
+    az = F.atan2(-F.sin(h) * F.cos(dec), F.cos(phi) * F.sin(dec) - F.sin(phi) * F.cos(dec) * F.cos(h))
     return F.struct(F.degrees(F.asin(clamp(s, -1, 1))).alias("elevation"), F.pmod(F.degrees(az), F.lit(360.0)).alias("azimuth"))
 
 
@@ -102,10 +102,10 @@ def clear_sky(sun_elevation: Column, elevation_m: float, yday: Column) -> Column
     return F.when(cosz > 0, found).otherwise(none)
 
 
-def belt_position(lat_deg: float, offset_deg: Column) -> Column:
+def belt_position(lat_deg: float | Column, offset_deg: Column) -> Column:
     """``struct<azimuth, elevation>`` of a geostationary satellite ``offset_deg`` of longitude away."""
-    phi, far, near = math.radians(lat_deg), 42164.0, 6371.0
+    phi, far, near = F.radians(lat_deg if isinstance(lat_deg, Column) else F.lit(lat_deg)), 42164.0, 6371.0
     d = F.radians(offset_deg)
-    x, y, z = far * F.cos(d) - near * math.cos(phi), far * F.sin(d), F.lit(-near * math.sin(phi))
-    north, up = -math.sin(phi) * x + math.cos(phi) * z, math.cos(phi) * x + math.sin(phi) * z
+    x, y, z = far * F.cos(d) - near * F.cos(phi), far * F.sin(d), -near * F.sin(phi)
+    north, up = -F.sin(phi) * x + F.cos(phi) * z, F.cos(phi) * x + F.sin(phi) * z
     return F.struct(F.pmod(F.degrees(F.atan2(y, north)), F.lit(360.0)).alias("azimuth"), F.degrees(F.atan2(up, F.hypot(y, north))).alias("elevation"))

@@ -71,29 +71,30 @@ def paths_within(points: DataFrame, paths: DataFrame, point_id: str, path_id: st
     return near.groupBy(point_id, path_id).agg(F.sqrt(F.min("d2")).alias("distance"))
 
 
-def spaced(candidates: DataFrame, score: str, k: int, gap: float) -> DataFrame:
-    """Greedy choice of the ``k`` best of ``id, x, y, score`` that keep ``gap`` between each other.
+def spaced(candidates: DataFrame, score: str, k: int, gap: float, batch: int = 1024) -> DataFrame:
+    """Greedy choice of the ``k`` best of ``id, x, y, score`` that keep ``gap`` between each other, with their ``rank``.
 
     Equals taking candidates by falling score (ties to the smaller id) unless one already taken is nearer than
-    ``gap``. Rounds over the whole table: a candidate that outranks all open neighbours is taken, its neighbours
-    are dropped. Every round decides at least the best one left, and usually very many.
+    ``gap``. What is taken depends on better candidates only, so a round sorts out the ``batch`` best that are left, and the next one
+    reads the table without the neighbourhoods of those taken; ``k`` and ``batch`` bound what the driver holds.
     """
-    spark = candidates.sparkSession
-    open_ = checkpointed(candidates.select("id", "x", "y", F.col(score).alias("s")))
-    taken = None
-    while not open_.isEmpty():
-        other = open_.select(F.col("id").alias("oid"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("s").alias("os"))
-        pairs = within_distance(open_, other, gap).where((F.col("id") != F.col("oid")) & (F.col("d2") < gap * gap))
-        beaten = pairs.where((F.col("os") > F.col("s")) | ((F.col("os") == F.col("s")) & (F.col("oid") < F.col("id")))).select("id").distinct()
-        won = checkpointed(open_.join(beaten, "id", "left_anti"))
-        taken = won if taken is None else taken.union(won)
-        near = within_distance(open_, won.select(F.col("id").alias("oid"), F.col("x").alias("rx"), F.col("y").alias("ry")), gap)
-        gone = near.where((F.col("d2") < gap * gap) | (F.col("id") == F.col("oid"))).select("id").distinct()
-        open_ = checkpointed(open_.join(gone, "id", "left_anti"))
-    if taken is None:
-        return spark.createDataFrame([], "id long, x double, y double, s double").withColumn("rank", F.lit(1))
-    top = taken.orderBy(F.col("s").desc(), "id").limit(k)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("s").desc(), "id")))
+    spark, taken, below = candidates.sparkSession, [], None
+    rows = candidates.select(F.col("id").cast("long").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col(score).cast("double").alias("s")).dropna()
+    while len(taken) < k:
+        left = rows
+        if below:
+            left = left.where((F.col("s") < below[0]) | ((F.col("s") == below[0]) & (F.col("id") > below[1])))
+        if taken:
+            places = F.array(*[F.struct(F.lit(t["x"]).alias("x"), F.lit(t["y"]).alias("y")) for t in taken])
+            left = left.where(F.forall(places, lambda t: (F.col("x") - t["x"]) ** 2 + (F.col("y") - t["y"]) ** 2 >= gap * gap))
+        best = left.orderBy(F.col("s").desc(), "id").limit(batch).collect()
+        for r in best:
+            if len(taken) < k and all((r["x"] - t["x"]) ** 2 + (r["y"] - t["y"]) ** 2 >= gap * gap for t in taken):
+                taken.append(r)
+        if len(best) < batch:
+            break
+        below = best[-1]["s"], best[-1]["id"]
+    return spark.createDataFrame([(*r, n) for n, r in enumerate(taken, 1)], "id long, x double, y double, s double, rank int")
 
 
 def near_entities(entities: DataFrame, targets: DataFrame, r: float) -> DataFrame:

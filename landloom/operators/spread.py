@@ -1,9 +1,9 @@
 """Least-cost spread over grids: fire arrival times and depression filling, tile by tile.
 
 Both are a least fixed point over eight neighbours: arrival adds a cost per step, filling keeps the highest ground on
-the way to the border. Every round solves each tile by itself from its own values and those on the rims of the tiles
-around, and hands its new rim on; rounds follow the number of tiles a path crosses, not its cells. A task
-holds one tile.
+the way to the border. The first round solves each tile by itself; further rounds solve the tiles next to a rim that has
+changed, from the changed cells of that rim, and hand their new rims on, until none changes. Rounds follow the number of tiles a path
+crosses, not its cells, and a round's work the front. A task holds one tile.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ def _solve(mode: str, size: float):
         here = {(r, c): i for i, (r, c) in enumerate(zip(pdf["row"], pdf["col"]))}
         t, own, cost = pdf["t"].tolist(), pdf["own"].tolist(), pdf["cost"].tolist()
         ratio, facing = pdf["ratio"].tolist(), pdf["facing"].tolist()
-        heap = [(v, i) for i, v in enumerate(t) if v < math.inf]
+        new = [b > v for b, v in zip(pdf["before"].tolist(), t)]
+        heap = [(v, i) for i, v in enumerate(t) if v < math.inf and new[i]]
         heapq.heapify(heap)
         rows, cols = pdf["row"].tolist(), pdf["col"].tolist()
         while heap:
@@ -56,17 +57,25 @@ def _solve(mode: str, size: float):
 
 def spread(cells: DataFrame, mode: str, size: float = 1.0, tile: int = TILE) -> DataFrame:
     """``row, col, t`` from ``row, col, cost, ratio, facing, t`` with infinite ``t`` where nothing starts."""
-    columns = "row long, col long, cost double, ratio double, facing double, before double, t double"
-    now = checkpointed(cells.select("row", "col", "cost", "ratio", "facing", F.lit(float("inf")).alias("before"), "t"))
-    tr, tc = (F.floor(F.col(a) / tile) for a in ("row", "col"))
+    columns = ["row", "col", "cost", "ratio", "facing", "before", "t"]
+    spec = ", ".join(f"{c} {'long' if c in ('row', 'col') else 'double'}" for c in columns)
+    at = lambda row, col: [F.floor(row / tile).alias("tr"), F.floor(col / tile).alias("tc")]
     around = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in NEIGHBOURS])
+    here = [F.col("row"), F.col("col")]
+    own = cells.select("row", "col", "cost", "ratio", "facing", F.lit(float("inf")).alias("before"), "t", F.lit(True).alias("own"), *at(*here))
+    now = checkpointed(own.groupBy("tr", "tc").applyInPandas(_solve(mode, size), spec))
     while True:
-        own = now.select("row", "col", "cost", "ratio", "facing", F.col("t").alias("before"), "t", F.lit(True).alias("own"), tr.alias("tr"), tc.alias("tc"))
-        lent = now.where(F.col("t") < float("inf")).withColumn("o", F.explode(around)).withColumn("tr", F.floor((F.col("row") + F.col("o.dr")) / tile)).withColumn("tc", F.floor((F.col("col") + F.col("o.dc")) / tile))
-        lent = lent.where((F.col("tr") != tr) | (F.col("tc") != tc)).select("row", "col", "cost", "ratio", "facing", F.col("t").alias("before"), "t", F.lit(False).alias("own"), "tr", "tc").distinct()
-        now = checkpointed(own.union(lent).groupBy("tr", "tc").applyInPandas(_solve(mode, size), columns))
-        if now.where("t < before").isEmpty():
+        near = now.where("t < before").withColumn("o", F.explode(around))
+        lent = near.select("*", *at(*here), *[c.alias(f"to_{c_}") for c, c_ in zip(at(F.col("row") + F.col("o.dr"), F.col("col") + F.col("o.dc")), ("tr", "tc"))])
+        lent = lent.where("tr <> to_tr or tc <> to_tc")
+        lent = lent.select("row", "col", "cost", "ratio", "facing", F.lit(float("inf")).alias("before"), "t", F.lit(False).alias("own"), F.col("to_tr").alias("tr"), F.col("to_tc").alias("tc")).distinct()
+        lent = checkpointed(lent)
+        if lent.isEmpty():
             return now.select("row", "col", "t")
+        tiled = now.select("row", "col", "cost", "ratio", "facing", F.col("t").alias("before"), "t", F.lit(True).alias("own"), *at(*here))
+        front = lent.select("tr", "tc").distinct()
+        again = tiled.join(front, ["tr", "tc"], "left_semi").unionByName(lent).groupBy("tr", "tc").applyInPandas(_solve(mode, size), spec)
+        now = checkpointed(tiled.join(front, ["tr", "tc"], "left_anti").select(*columns).union(again))
 
 
 def fill_depressions(cells: DataFrame) -> DataFrame:

@@ -96,7 +96,10 @@ def unit(*parts: Column) -> Column:
 
 
 def plantings(edits: DataFrame, spacing: float, jitter: float = 0.25) -> DataFrame:
-    """``id, edit_id, x, y`` of a jittered lattice inside each orchard or added stand, at most MAX_PLANTS each."""
+    """``id, edit_id, x, y`` of a jittered lattice inside each orchard or added stand.
+
+    An edit of more than MAX_PLANTS plants is refused: the job fails with ``edit_too_large`` and the edit's id.
+    """
     n = F.ceil(F.col("r") / spacing).cast("int")
     steps = lambda: F.explode(F.sequence(-F.col("n"), F.col("n")))
     e = edits.where(F.col("kind").isin("orchard", "vegetation_add_brush")).withColumn("n", n).withColumn("i", steps()).withColumn("j", steps())
@@ -105,9 +108,10 @@ def plantings(edits: DataFrame, spacing: float, jitter: float = 0.25) -> DataFra
     inside = p.where((F.col("px") - F.col("x")) ** 2 + (F.col("py") - F.col("y")) ** 2 <= F.col("r") ** 2)
     from pyspark.sql import Window
 
-    nth = F.row_number().over(Window.partitionBy("edit_id").orderBy("i", "j"))
-    kept = inside.withColumn("nth", nth).where(F.col("nth") <= MAX_PLANTS)
-    return kept.select(F.concat_ws(":", "edit_id", F.col("i").cast("string"), F.col("j").cast("string")).alias("id"), "edit_id", F.round("px", 3).alias("x"), F.round("py", 3).alias("y"))
+    many = F.count("*").over(Window.partitionBy("edit_id")) > MAX_PLANTS
+    refused = F.raise_error(F.concat(F.lit("edit_too_large: "), F.col("edit_id"))).cast("string")
+    plant = F.concat_ws(":", "edit_id", F.col("i").cast("string"), F.col("j").cast("string"))
+    return inside.select(F.when(many, refused).otherwise(plant).alias("id"), "edit_id", F.round("px", 3).alias("x"), F.round("py", 3).alias("y"))
 
 
 def quantities(delta: DataFrame, removed: DataFrame, added: DataFrame, cell_area: float) -> DataFrame:

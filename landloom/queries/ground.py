@@ -1,13 +1,12 @@
-"""Raster operators on the synthetic terrain: 64 by 64 cells of 10 m, integer heights."""
+"""Raster operators on the terrain of the events: a strip of 64 cells of 10 m, integer heights."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from landloom import views as V
 from landloom.operators import raster as R
+from landloom.operators import sight
 
 QUERIES, ORACLES = {}, {}
 GRID = R.Grid(x0=-320.0, y0=320.0, size=10.0, width=64, height=64)
@@ -23,8 +22,8 @@ def query(sql: str | None = None):
     return add
 
 
-def _dem(spark):
-    return V.terrain(spark).withColumnRenamed("z", "v")
+def _dem(spark, d):
+    return V.terrain(spark, d).withColumnRenamed("z", "v")
 
 
 _OFF = "(values (0,-1,-1),(1,-1,0),(2,-1,1),(3,0,-1),(4,0,1),(5,1,-1),(6,1,0),(7,1,1)) o(k,dr,dc)"
@@ -37,7 +36,7 @@ _D8 = V.sql("entities", "terrain") + f""", pairs as (
 
 @query(V.sql("entities", "terrain") + " select e.entity_id, t.z as v from entities e join terrain t on t.row = floor((320 - y) / 10) and t.col = floor((x + 320) / 10)")
 def c15_raster_at_point(spark, d):
-    return R.sample(V.entities(spark, d).select("entity_id", "x", "y"), _dem(spark), GRID, "inner").select("entity_id", "v")
+    return R.sample(V.entities(spark, d).select("entity_id", "x", "y"), _dem(spark, d), GRID, "inner").select("entity_id", "v")
 
 
 @query(V.sql("entities", "terrain") + """, p as (select entity_id, (x + 320) / 10 - 0.5 as u, (320 - y) / 10 - 0.5 as t from entities),
@@ -45,19 +44,19 @@ def c15_raster_at_point(spark, d):
     from p, (values (0,0),(0,1),(1,0),(1,1)) o(dr,dc))
 select entity_id, round(sum(z * w) / sum(w), 6) as v from k join terrain using (row, col) where w > 0 group by 1""")
 def c16_bilinear(spark, d):
-    return R.bilinear(V.entities(spark, d), _dem(spark), GRID, "entity_id").select("entity_id", F.round("v", 6).alias("v"))
+    return R.bilinear(V.entities(spark, d), _dem(spark, d), GRID, "entity_id").select("entity_id", F.round("v", 6).alias("v"))
 
 
 @query(V.sql("terrain") + " select row, col, case when (row + col) % 3 = 0 then -1 else z end::double as v from terrain")
 def c18_overlay(spark, d):
-    top = V.terrain(spark).select("row", "col", F.when((F.col("row") + F.col("col")) % 3 == 0, F.lit(-1.0)).alias("v"))
-    return R.overlay(_dem(spark), top)
+    top = V.terrain(spark, d).select("row", "col", F.when((F.col("row") + F.col("col")) % 3 == 0, F.lit(-1.0)).alias("v"))
+    return R.overlay(_dem(spark, d), top)
 
 
-@query(V.sql("terrain") + """, t as (select id // 21 as row, id % 21 as col from range(441) r(id))
+@query(V.sql("terrain") + """, t as (select row, col from (select unnest(range(0, (select (max(row) + 1) // 3 from terrain))) as row), range(21) c(col))
 select t.row, t.col, s.z as v from t join terrain s on s.row = floor((320 - (300 - (t.row + 0.5) * 30)) / 10) and s.col = floor((-300 + (t.col + 0.5) * 30 + 320) / 10)""")
 def c19_resample(spark, d):
-    return R.resample(_dem(spark), GRID, R.Grid(-300.0, 300.0, 30.0, 21, 21))
+    return R.resample(_dem(spark, d), GRID, R.Grid(-300.0, 300.0, 30.0, 21, V.terrain_rows(spark, d) // 3))
 
 
 @query(V.sql("edges") + """, cell as (select id // 40 as row, id % 40 as col, -2000 + (id % 40 + 0.5) * 100 as x, 2000 - (id // 40 + 0.5) * 100 as y from range(1600) r(id)),
@@ -67,43 +66,44 @@ def d11_rasterise(spark, d):
     return R.rasterise(V.parcels(spark, d), R.Grid(-2000.0, 2000.0, 100.0, 40, 40), "parcel_id", "parcel_id")
 
 
-@query(V.sql("terrain", "classes") + """, s as (select v, count(*) as n from classes where row between 10 and 40 and col between 5 and 50 group by 1)
+@query(V.sql("terrain", "classes") + """, s as (select v, count(*) as n from classes where row >= 10 and col between 5 and 50 group by 1)
 select v, n, round(n / sum(n) over (), 6) as share from s""")
 def e05_zonal_share(spark, d):
-    z = R.zonal(V.classes(spark), F.col("row").between(10, 40) & F.col("col").between(5, 50))
+    z = R.zonal(V.classes(spark, d), (F.col("row") >= 10) & F.col("col").between(5, 50))
     return z.select("v", "n", F.round("share", 6).alias("share"))
 
 
 @query(V.sql("terrain") + " select min(z) as least, max(z) as most, round(avg(z), 6) as mean, count(*) as n from terrain")
 def e07_layer_summary(spark, d):
-    return _dem(spark).agg(F.min("v").alias("least"), F.max("v").alias("most"), F.round(F.avg("v"), 6).alias("mean"), F.count("*").alias("n"))
+    return _dem(spark, d).agg(F.min("v").alias("least"), F.max("v").alias("most"), F.round(F.avg("v"), 6).alias("mean"), F.count("*").alias("n"))
 
 
-@query(V.sql("terrain") + " select row, col, round((row_number() over (order by z, row, col) - 1) / 4095.0, 8) as pct from terrain")
+@query(V.sql("terrain") + " select row, col, round((row_number() over (order by z, row, col) - 1) / (count(*) over () - 1)::double, 8) as pct from terrain")
 def f01_percent_rank(spark, d):
-    return R.percent_rank(_dem(spark)).select("row", "col", F.round("pct", 8).alias("pct"))
+    return R.percent_rank(_dem(spark, d)).select("row", "col", F.round("pct", 8).alias("pct"))
 
 
-@query(V.sql("terrain") + " select row, col, round((2 * (rank() over (order by z) - 1) + count(*) over (partition by z) - 1) / (2.0 * 4095), 8) as pct from terrain")
+@query(V.sql("terrain") + " select row, col, round((2 * (rank() over (order by z) - 1) + count(*) over (partition by z) - 1) / (2.0 * (count(*) over () - 1)), 8) as pct from terrain")
 def f02_midrank(spark, d):
-    return R.midrank(_dem(spark)).select("row", "col", F.round("pct", 8).alias("pct"))
+    return R.midrank(_dem(spark, d)).select("row", "col", F.round("pct", 8).alias("pct"))
 
 
-@query(V.sql("terrain") + """, o as (select dr - 2 as dr, dc - 2 as dc from range(5) a(dr), range(5) b(dc))
-select t.row, t.col, round(avg(n.z), 6) as v from terrain t, o join terrain n on n.row = least(greatest(t.row + dr, 0), 63) and n.col = least(greatest(t.col + dc, 0), 63) group by 1, 2""")
+@query(V.sql("terrain") + """, o as (select i - 2 as i from range(5) a(i)), lines as (select row, max(col) as most from terrain group by 1), columns_ as (select col, max(row) as most from terrain group by 1),
+  across as (select t.row, t.col, avg(n.z) as m from terrain t join lines l on l.row = t.row, o join terrain n on n.row = t.row and n.col = least(greatest(t.col + i, 0), most) group by 1, 2)
+select t.row, t.col, round(avg(n.m), 6) as v from across t join columns_ c on c.col = t.col, o join across n on n.col = t.col and n.row = least(greatest(t.row + i, 0), most) group by 1, 2""")
 def f06_box_mean(spark, d):
-    return R.box_mean(_dem(spark)).select("row", "col", F.round("v", 6).alias("v"))
+    return R.box_mean(_dem(spark, d)).select("row", "col", F.round("v", 6).alias("v"))
 
 
 @query(V.sql("terrain") + " select (row // 8) * 8 + 0 as block_row, col // 8 as block_col, arg_max(row, (z, -row, -col)) as row, arg_max(col, (z, -row, -col)) as col, max(z) as v from terrain where z >= 1750 group by 1, 2")
 def f11_block_peaks(spark, d):
-    p = R.block_peaks(_dem(spark), 8, 1750.0)
+    p = R.block_peaks(_dem(spark, d), 8, 1750.0)
     return p.select((F.floor(F.col("row") / 8) * 8).cast("long").alias("block_row"), F.floor(F.col("col") / 8).cast("long").alias("block_col"), "row", "col", "v")
 
 
 @query(_D8 + " select row, col, k from d8")
 def h02_d8(spark, d):
-    return R.flow_directions(_dem(spark), 10.0).select("row", "col", "k")
+    return R.flow_directions(_dem(spark, d), 10.0).select("row", "col", "k")
 
 
 _ACC = _D8.replace("with ", "with recursive ", 1) + f""", r as (select d.row * 64 + d.col as c, (d.row + o.dr) * 64 + d.col + o.dc as t from d8 d join {_OFF} on o.k = d.k),
@@ -113,23 +113,23 @@ _ACC = _D8.replace("with ", "with recursive ", 1) + f""", r as (select d.row * 6
 
 @query(_ACC + " select row, col, acc from acc")
 def h03_accumulation(spark, d):
-    return R.accumulate(R.flow_directions(_dem(spark), 10.0), 64)
+    return R.accumulate(R.flow_directions(_dem(spark, d), 10.0), 64)
 
 
-_SLOPE = """, slope as (select t.row, t.col, degrees(atan(sqrt(power((e.z - w.z) / 20.0, 2) + power((s.z - n.z) / 20.0, 2)))) as slope from terrain t
-  join terrain e on e.row = t.row and e.col = least(t.col + 1, 63) join terrain w on w.row = t.row and w.col = greatest(t.col - 1, 0)
-  join terrain s on s.col = t.col and s.row = least(t.row + 1, 63) join terrain n on n.col = t.col and n.row = greatest(t.row - 1, 0))"""
+_SLOPE = """, steps as (select row, col, (coalesce(lead(z) over a, z) - coalesce(lag(z) over a, z)) / 20.0 as dx, (coalesce(lead(z) over b, z) - coalesce(lag(z) over b, z)) / 20.0 as dy
+    from terrain window a as (partition by row order by col), b as (partition by col order by row)),
+  slope as (select row, col, degrees(atan(sqrt(dx * dx + dy * dy))) as slope from steps)"""
 
 
 @query(V.sql("terrain") + _SLOPE + " select row, col, round(slope, 6) as slope from slope")
 def h04_slope(spark, d):
-    return R.slope(_dem(spark), 10.0).select("row", "col", F.round("slope", 6).alias("slope"))
+    return R.slope(_dem(spark, d), 10.0).select("row", "col", F.round("slope", 6).alias("slope"))
 
 
 @query(_ACC + _SLOPE + " select row, col, round(ln(greatest(acc * 10.0, 10.0) / tan(radians(greatest(slope, 0.5)))), 6) as twi from acc join slope using (row, col)")
 def h05_wetness_index(spark, d):
-    acc = R.accumulate(R.flow_directions(_dem(spark), 10.0), 64)
-    s = R.slope(_dem(spark), 10.0)
+    acc = R.accumulate(R.flow_directions(_dem(spark, d), 10.0), 64)
+    s = R.slope(_dem(spark, d), 10.0)
     return acc.join(s, ["row", "col"]).select("row", "col", F.round(R.wetness(F.col("acc"), F.col("slope"), 10.0), 6).alias("twi"))
 
 
@@ -140,40 +140,49 @@ _GROUP = V.sql("terrain", "classes").replace("with ", "with recursive ", 1) + f"
 
 @query(_GROUP + " select origin // 64 as row, origin % 64 as col, min(pos) as label from w group by origin")
 def h09_components(spark, d):
-    c = V.classes(spark).where("v in (0, 4)").select("row", "col")
+    c = V.classes(spark, d).where("v in (0, 4)").select("row", "col")
     return R.label_components(c, 64)
 
 
 @query(_D8 + ", c as (select row, col, z from terrain join d8 using (row, col) where k = -1) select row, col, z as v from c")
 def h18_outlets(spark, d):
-    return R.flow_directions(_dem(spark), 10.0).where("k = -1").select("row", "col", "v")
+    return R.flow_directions(_dem(spark, d), 10.0).where("k = -1").select("row", "col", "v")
 
 
-@query(V.sql("entities", "terrain") + """, q as (select entity_id, floor((320 - y) / 10) as r0, floor((x + 320) / 10) as c0 from entities where abs(x) < 250 and abs(y) < 250),
+@query(V.sql("entities", "terrain") + """, q as (select entity_id, floor((320 - y) / 10) as r0, floor((x + 320) / 10) as c0 from entities),
   ring as (select q.entity_id, t.z from q join terrain t on (t.row - r0) * (t.row - r0) + (t.col - c0) * (t.col - c0) between 16 and 25)
 select entity_id, round(avg(z), 6) as ring_mean, round(stddev_pop(z), 6) as ring_sd, count(*) as n from ring group by 1""")
 def h20_prominence_ring(spark, d):
     """Mean and spread of heights on a ring of cells 4 to 5 cells away."""
     ring = [(r, c) for r in range(-5, 6) for c in range(-5, 6) if 16 <= r * r + c * c <= 25]
-    p = V.entities(spark, d).where("abs(x) < 250 and abs(y) < 250").select("entity_id", GRID.row(F.col("y")).alias("r0"), GRID.col(F.col("x")).alias("c0"))
+    p = V.entities(spark, d).select("entity_id", GRID.row(F.col("y")).alias("r0"), GRID.col(F.col("x")).alias("c0"))
     at = p.withColumn("o", F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in ring])))
     at = at.withColumn("row", F.col("r0") + F.col("o.r")).withColumn("col", F.col("c0") + F.col("o.c"))
-    return at.join(_dem(spark), ["row", "col"]).groupBy("entity_id").agg(F.round(F.avg("v"), 6).alias("ring_mean"), F.round(F.stddev_pop("v"), 6).alias("ring_sd"), F.count("*").alias("n"))
+    return at.join(_dem(spark, d), ["row", "col"]).groupBy("entity_id").agg(F.round(F.avg("v"), 6).alias("ring_mean"), F.round(F.stddev_pop("v"), 6).alias("ring_sd"), F.count("*").alias("n"))
+
+
+_SIGHT = """sight as (select s_suppkey::bigint as pair_id, (s_suppkey * 41 % 600 - 300)::double as x, (315 - 15 * s_suppkey)::double as y,
+    (s_suppkey * 53 % 600 - 300)::double as x2, (315 - 15 * s_suppkey - s_suppkey * 29 % 150)::double as y2 from supplier)"""
 
 
-_K04 = V.sql("terrain") + """, s as (select i, i / 200.0 as f, floor((320 - (200 + (-250 - 200) * (i / 200.0))) / 10) as row, floor((-250 + 500 * (i / 200.0) + 320) / 10) as col from range(1, 200) r(i)),
-  ends as (select (select z from terrain where row = 12 and col = 7) + 1.7 as a, (select z from terrain where row = 57 and col = 57) + 10.0 as b),
-  p as (select i, z, a + (b - a) * f - z + f * (1 - f) * 0 as clear from s join terrain using (row, col), ends)
-select arg_min(i, (clear, i))::bigint as worst, round(min(clear), 6) as clearance, min(clear) >= 0 as visible from p"""
+def _pairs(spark, d):
+    """Eyes and targets along the strip, one pair per supplier."""
+    k = F.col("s_suppkey").cast("long")
+    y = 315 - 15 * k
+    return V.table(spark, d, "supplier").select(
+        k.alias("pair_id"), (k * 41 % 600 - 300).cast("double").alias("x"), y.cast("double").alias("y"), (k * 53 % 600 - 300).cast("double").alias("x2"), (y - k * 29 % 150).cast("double").alias("y2")
+    )
 
 
-@query(_K04)
+@query(V.sql("terrain") + f""", {_SIGHT}, ends as (select g.*, a.z + 1.7 as z1, b.z + 10.0 as z2 from sight g join terrain a on a.row = floor((320 - y) / 10) and a.col = floor((x + 320) / 10) join terrain b on b.row = floor((320 - y2) / 10) and b.col = floor((x2 + 320) / 10)),
+  steps as (select *, i / 200.0::double as f from ends, range(1, 200) r(i)),
+  p as (select pair_id, f, z1 + (z2 - z1) * f - t.z - (1 - 1/7.0::double) * ((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)) / (2 * 6371000.0) * f * (1 - f) as clear
+    from steps join terrain t on t.row = floor((320 - (y + (y2 - y) * f)) / 10) and t.col = floor((x + (x2 - x) * f + 320) / 10))
+select pair_id, round(min(clear), 6) as clearance, min(clear) >= 0 as visible from p group by 1""")
 def k04_line_of_sight(spark, d):
-    """Least clearance between terrain and a straight line of sight, over 199 samples."""
-    z = {(r["row"], r["col"]): r["v"] for r in _dem(spark).where("(row = 12 and col = 7) or (row = 57 and col = 57)").collect()}
-    a, b = z[(12, 7)] + 1.7, z[(57, 57)] + 10.0
-    f = F.col("id") / F.lit(200.0)
-    s = spark.range(1, 200).select("id", f.alias("f"), (-250 + 500 * f).alias("x"), (200 - 450 * f).alias("y"))
-    p = R.sample(s, _dem(spark), GRID, "inner").withColumn("clear", a + (b - a) * F.col("f") - F.col("v"))
-    m = p.agg(F.min(F.struct("clear", "id")).alias("m"))
-    return m.select(F.col("m.id").alias("worst"), F.round("m.clear", 6).alias("clearance"), (F.col("m.clear") >= 0).alias("visible"))
+    """Least clearance between the ground and a straight line of sight, over 199 samples of every pair."""
+    dem = _dem(spark, d)
+    pairs = R.sample(_pairs(spark, d), dem, GRID, "inner").withColumnRenamed("v", "z").withColumn("z", F.col("z") + 1.7)
+    far = R.sample(pairs.select("pair_id", F.col("x2").alias("x"), F.col("y2").alias("y")), dem, GRID, "inner").select("pair_id", (F.col("v") + 10.0).alias("z2"))
+    found = sight.line_of_sight(pairs.join(far, "pair_id"), dem, GRID)
+    return found.select("pair_id", F.round("clearance", 6).alias("clearance"), (F.col("clearance") >= 0).alias("visible"))

@@ -294,12 +294,13 @@ def f17_ancestry(spark, d):
     return store.ancestry(n, str(head)).select(F.col("depth").cast("long").alias("depth"), "id")
 
 
-@query("""with p as (select distinct user_id from events where event_id % 3 = 0), s as (select distinct user_id from events where event_id % 3 = 1)
+@query("""with p as (select distinct user_id from events), s as (select distinct o_custkey as user_id from orders)
 select 'customer:' || coalesce(p.user_id, s.user_id) as entity_id, case when p.user_id is null then 'created' when s.user_id is null then 'retired' else 'kept' end as change
 from p full join s on p.user_id = s.user_id""")
 def f18_reconcile(spark, d):
-    e = V.table(spark, d, "events").select("event_id", F.concat(F.lit("customer:"), F.col("user_id").cast("string")).alias("entity_id"))
-    return store.reconcile(e.where("event_id % 3 = 0").select("entity_id").distinct(), e.where("event_id % 3 = 1"))
+    """Customers seen in events against those with orders."""
+    named = lambda name, key: V.table(spark, d, name).select(F.concat(F.lit("customer:"), F.col(key).cast("string")).alias("entity_id"))
+    return store.reconcile(named("events", "user_id").distinct(), named("orders", "o_custkey"))
 
 
 @query("""select p_brand as attr, p_type as kind, count(*) as n, row_number() over (partition by p_brand order by count(*) desc, p_type) as rank

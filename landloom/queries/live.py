@@ -116,11 +116,12 @@ def f14_newest_then_ascending(spark, d):
     return V.table(spark, d, "events").orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(40).orderBy("ts", "event_id").select("event_id", "user_id")
 
 
-@query(f"with {_EV}, a as (select id, device_id, kind from ev where id % 2 = 0), b as (select id, device_id, kind from ev where id % 3 = 0) select id, device_id, kind from a where id not in (select id from b)")
+@query(f"with {_EV}, a as (select id, device_id, kind from ev), b as (select id, device_id, kind from ev where observed_ms < epoch_ms(timestamp '2024-01-16')) select id, device_id, kind from a where id not in (select id from b)")
 def l09_export_once(spark, d):
     """Events exported now that were not exported before."""
     o = events(spark, d).select(F.col("id"), F.col("device_id"), F.col("kind"), F.col("device_id").alias("entity_id"), F.lit("event").alias("attr"), F.col("id").cast("string").alias("value"), "observed_ms", F.lit(None).cast("string").alias("source"))
-    return T.unexported(o.where("id % 2 = 0"), o.where("id % 3 = 0")).select("id", "device_id", "kind")
+    before = F.unix_millis(F.lit("2024-01-16").cast("timestamp"))
+    return T.unexported(o, o.where(F.col("observed_ms") < before)).select("id", "device_id", "kind")
 
 
 @query("""select user_id, count(*) as n, sum(k)::bigint as total from (select user_id, (props->>'k')::bigint as k from events) where k is not null group by 1""")

@@ -27,7 +27,7 @@ def query(sql: str | None = None):
     return add
 
 
-_CELLS = V.sql("terrain", "classes") + ", have as (select row, col, z as v from terrain join classes using (row, col) where v not in (3, 4) and not (row between 30 and 34 and col between 30 and 34)), gap as (select row, col from terrain except select row, col from have)"
+_CELLS = V.sql("terrain", "classes") + ", have as (select row, col, z as v from terrain join classes using (row, col) where v not in (3, 4) and not (row % 64 between 10 and 14 and col between 30 and 34)), gap as (select row, col from terrain except select row, col from have)"
 
 
 @query(_CELLS + """, offs as (select dr, dc, sqrt(dr*dr + dc*dc) as d from range(-4, 5) a(dr), range(-4, 5) b(dc) where dr*dr + dc*dc between 1 and 16),
@@ -35,9 +35,9 @@ _CELLS = V.sql("terrain", "classes") + ", have as (select row, col, z as v from
   m as (select row, col, sum(v / d) filter (where d <= 2) / sum(1 / d) filter (where d <= 2) as near, sum(v / d) / sum(1 / d) as far from k group by 1, 2)
 select row, col, round(coalesce(near, far), 6) as v from m""")
 def a31_void_fill(spark, d):
-    t = V.terrain(spark).withColumnRenamed("z", "v")
-    hole = F.col("row").between(30, 34) & F.col("col").between(30, 34)
-    have = t.join(V.classes(spark).where("v not in (3, 4)").select("row", "col"), ["row", "col"], "left_semi").where(~hole)
+    t = V.terrain(spark, d).withColumnRenamed("z", "v")
+    hole = (F.col("row") % 64).between(10, 14) & F.col("col").between(30, 34)
+    have = t.join(V.classes(spark, d).where("v not in (3, 4)").select("row", "col"), ["row", "col"], "left_semi").where(~hole)
     gap = t.select("row", "col").join(have, ["row", "col"], "left_anti")
     return stems.fill_voids(have, gap, (2, 4)).select("row", "col", F.round("v", 6).alias("v"))
 
@@ -54,7 +54,7 @@ select p_partkey from a join classes c using (row, col) where abs(x) < 300 and a
 def b22_area_validity(spark, d):
     """Points on a finite cell and inside the area of interest, holes honoured."""
     corner = lambda r: F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((-r, -r), (r, -r), (r, r), (-r, r), (-r, -r))])
-    cells = V.classes(spark).select("row", "col", F.when(F.col("v") != 4, F.col("v")).alias("v"))
+    cells = V.classes(spark, d).select("row", "col", F.when(F.col("v") != 4, F.col("v")).alias("v"))
     at = raster.sample(_points(spark, d), cells, GRID).where("v is not null and abs(x) < 300 and abs(y) < 300")
     return at.where(geo.in_polygon_with_holes(F.col("x"), F.col("y"), F.array(corner(300), corner(100)))).select("p_partkey")
 
@@ -87,14 +87,14 @@ def c11_crossing_paths(spark, d):
   m as (select p_partkey, row, col, (x-cx)*(x-cx)+(y-cy)*(y-cy) as d2 from p, c where (x-cx)*(x-cx)+(y-cy)*(y-cy) <= 900)
 select p_partkey, arg_min(row, (d2, row, col)) as row, arg_min(col, (d2, row, col)) as col from m group by 1""")
 def c14_snap_to_cell(spark, d):
-    return stems.snap(_points(spark, d), V.classes(spark).where("v = 4"), GRID, "p_partkey", 30.0)
+    return stems.snap(_points(spark, d), V.classes(spark, d).where("v = 4"), GRID, "p_partkey", 30.0)
 
 
 @query(V.sql("terrain") + f""", {_P}, c as (select row, col, z, -320 + (col + 0.5) * 10.0::double as cx, 320 - (row + 0.5) * 10.0::double as cy from terrain),
   m as (select p_partkey, row, col, z from p, c where (x-cx)*(x-cx)+(y-cy)*(y-cy) <= 1600)
 select p_partkey, arg_max(row, (z, -row, -col)) as row, arg_max(col, (z, -row, -col)) as col, max(z) as v from m group by 1""")
 def h22_highest_near(spark, d):
-    return stems.highest_near(_points(spark, d), V.terrain(spark).withColumnRenamed("z", "v"), GRID, "p_partkey", 40.0)
+    return stems.highest_near(_points(spark, d), V.terrain(spark, d).withColumnRenamed("z", "v"), GRID, "p_partkey", 40.0)
 
 
 @query(V.sql("segments") + """, s as (select stream_id, x1, y1, x2, y2, greatest(ceil(sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)) / 5), 1)::int as n from segments),
@@ -110,22 +110,28 @@ def d14_line_cells(spark, d):
 select row, col, round(sum(strength * t * t * (3 - 2 * t)), 6) as weight from t group by 1, 2""")
 def h27_stamps(spark, d):
     dabs = _points(spark, d).select("x", "y", (F.col("p_partkey") % 3 + 1).alias("strength"))
-    return stems.stamps(V.terrain(spark), dabs, GRID, 35.0).select("row", "col", F.round("weight", 6).alias("weight"))
+    return stems.stamps(V.terrain(spark, d), dabs, GRID, 35.0).select("row", "col", F.round("weight", 6).alias("weight"))
 
 
 _U = "('0x' || substr(sha1('fill|{a}|' || ix || '|' || iy), 1, 12))::hugeint / 281474976710655.0::double"
-_SCATTER = f"sc as (select ix, iy, -320 + (ix + {_U.format(a='x')}) * 20.0::double as x, -320 + (iy + {_U.format(a='y')}) * 20.0::double as y from range(32) a(ix), range(32) b(iy))"
+_SCATTER = f"""deep as (select max(event_id) // 64 + 1 as n from events),
+  sc as (select ix, iy, -320 + (ix + {_U.format(a='x')}) * 20.0::double as x, 320 - 10 * n + (iy + {_U.format(a='y')}) * 20.0::double as y from range(32) a(ix), deep, (select unnest(range(0, (select n // 2 from deep))) as iy))"""
+
+
+def _candidates(spark, d):
+    """One place in each square of 20 m of the terrain."""
+    return stems.scattered(raster.Grid(GRID.x0, GRID.y0, GRID.size, 64, V.terrain_rows(spark, d)), spark, 20.0, "fill")
 
 
 @query(f"with {_SCATTER} select ix, iy, round(x, 6) as x, round(y, 6) as y from sc")
 def m04_scattered_candidates(spark, d):
-    return stems.scattered(GRID, spark, 20.0, "fill").select("ix", "iy", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return _candidates(spark, d).select("ix", "iy", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 @query(f"with {_SCATTER}, {_P} select ix, iy from sc where not exists (select 1 from p where (p.x-sc.x)*(p.x-sc.x)+(p.y-sc.y)*(p.y-sc.y) < 144)")
 def m05_densify(spark, d):
     """Candidates that keep their distance from the stems there are."""
-    c = stems.scattered(GRID, spark, 20.0, "fill").withColumn("c", F.col("ix") * 1000 + F.col("iy"))
+    c = _candidates(spark, d).withColumn("c", F.col("ix") + F.col("iy") * 1000)
     return stems.apart(c, _points(spark, d).select(F.col("x").alias("rx"), F.col("y").alias("ry")), 12.0, "c").select("ix", "iy")
 
 
@@ -194,12 +200,12 @@ def g22_incidence(spark, d):
     return V.table(spark, d, "orders").select("o_orderkey", F.round(sky.incidence_cosine(k % 90, c % 360, k % 60, c * 7 % 360), 9).alias("cosine"))
 
 
-@query("""with p as (select id + 1 as yday from range(365) t(id)), q as (select yday, 1 + 0.033 * cos(2 * pi() / 365 * yday) as dr, 0.409 * sin(2 * pi() / 365 * yday - 1.39) as dec, radians(40.0::double) as phi from p),
+@query("""with p as (select o_orderkey, dayofyear(o_orderdate) as yday, o_custkey % 50 + 10 as lat from orders), q as (select o_orderkey, 1 + 0.033 * cos(2 * pi() / 365 * yday) as dr, 0.409 * sin(2 * pi() / 365 * yday - 1.39) as dec, radians(lat::double) as phi from p),
   r as (select *, acos(least(greatest(-tan(phi) * tan(dec), -1), 1)) as ws from q)
-select yday, round(24 * 60 / pi() * 0.0820 * dr * (ws * sin(phi) * sin(dec) + cos(phi) * cos(dec) * sin(ws)), 8) as ra, round(24 / pi() * ws, 8) as hours from r""")
+select o_orderkey, round(24 * 60 / pi() * 0.0820 * dr * (ws * sin(phi) * sin(dec) + cos(phi) * cos(dec) * sin(ws)), 8) as ra, round(24 / pi() * ws, 8) as hours from r""")
 def g12_extraterrestrial(spark, d):
-    y = spark.range(1, 366).select(F.col("id").alias("yday"))
-    return y.select("yday", F.round(C.extraterrestrial(40.0, F.col("yday")), 8).alias("ra"), F.round(C.day_length(40.0, F.col("yday")), 8).alias("hours"))
+    day, lat = F.dayofyear("o_orderdate"), F.col("o_custkey") % 50 + 10
+    return V.table(spark, d, "orders").select("o_orderkey", F.round(C.extraterrestrial(lat, day), 8).alias("ra"), F.round(C.day_length(lat, day), 8).alias("hours"))
 
 
 @query("""with p as (select p_partkey, ['normal_spring', 'high_spring', 'extreme_redflag', 'summer_drought', 'dormant_fall'][p_partkey % 5 + 1] as class, case when p_partkey % 3 = 0 then p_size * 4.0 - 40 end as temp, case when p_partkey % 4 = 0 then p_size * 5.0 end as wind from part),
@@ -214,15 +220,13 @@ def i28_weather_presets(spark, d):
     return j.select("p_partkey", C.clamp(F.coalesce("temp", "t"), -20, 130).alias("temp_f"), "rh", C.clamp(F.coalesce("wind", "w"), 0, 120).alias("wind_mph"))
 
 
-@query("""with b as (select p_partkey as species, p_size % 16 as mask, p_size from part), c as (select id // 64 as row, id % 64 as col, (id * 7 % 16)::int as code from range(4096) t(id))
-select row, col, array_to_string(list_sort(list(species)), ',') as species from c join b on (code & mask) <> 0 and mask = code group by 1, 2""")
+@query("""with b as (select p_partkey as species, p_partkey % 2048 as code from part), c as (select event_id // 64 as row, event_id % 64 as col, user_id % 2048 as code from events)
+select row, col, species from c join b using (code)""")
 def h24_species_at_cell(spark, d):
-    """Species whose habitat code a cell carries, by a look-up of the code."""
-    b = V.table(spark, d, "part").select(F.col("p_partkey").alias("species"), (F.col("p_size") % 16).alias("code")).where("code <> 0")
-    per_code = b.groupBy("code").agg(F.array_join(F.sort_array(F.collect_list("species")), ",").alias("species"))
-    i = F.col("id")
-    c = spark.range(4096).select(F.floor(i / 64).cast("long").alias("row"), (i % 64).alias("col"), (i * 7 % 16).cast("int").alias("code"))
-    return c.join(F.broadcast(per_code), "code").select("row", "col", "species")
+    """Species whose habitat code a cell carries, one row each."""
+    i = F.col("event_id")
+    cells = V.table(spark, d, "events").select(F.floor(i / 64).cast("long").alias("row"), (i % 64).alias("col"), (F.col("user_id") % 2048).alias("code"))
+    return cells.join(V.table(spark, d, "part").select(F.col("p_partkey").alias("species"), (F.col("p_partkey") % 2048).alias("code")), "code").select("row", "col", "species")
 
 
 @query(V.sql("entities") + " select kind, count(*) as n, round(min(x), 3) as min_x, round(max(y), 3) as max_y from entities group by grouping sets ((kind), ())")

@@ -42,8 +42,10 @@ _ED = """ed as (select 'e' || s_suppkey as edit_id, s_suppkey::bigint as ordinal
   (s_suppkey * 91 % 600 - 300)::double as y, (s_suppkey % 9 * 10 + 20)::double as r, (s_suppkey % 5 + 1)::double as dz, ['hard','linear','smoothstep'][s_suppkey % 3 + 1] as falloff from supplier),
   trees as (select p_partkey::varchar as id, (p_partkey * 53 % 640 - 320)::double as x, (p_partkey * 29 % 640 - 320)::double as y from part)"""
 _DELTA = (
-    _ED
-    + """, cl as (select id // 64 as row, id % 64 as col, -320 + (id % 64 + 0.5) * 10.0::double as px, 320 - (id // 64 + 0.5) * 10.0::double as py from range(4096) t(id)),
+    V.SQL["terrain"]
+    + ", "
+    + _ED
+    + """, cl as (select id // 64 as row, id % 64 as col, -320 + (id % 64 + 0.5) * 10.0::double as px, 320 - (id // 64 + 0.5) * 10.0::double as py from (select row * 64 + col as id from terrain)),
   part_dz as (select row, col, case kind when 'terrain_cut' then -dz else dz end * case when falloff = 'hard' then 1 when falloff = 'linear' then 1 - dd/r else (1-dd/r)*(1-dd/r)*(3-2*(1-dd/r)) end as v
     from (select *, sqrt((px-x)*(px-x)+(py-y)*(py-y)) as dd from cl, ed where kind in ('terrain_cut', 'terrain_fill')) where dd <= r),
   delta as (select row, col, least(greatest(sum(v), -30), 30) as dz from part_dz group by 1, 2),
@@ -57,7 +59,7 @@ _PLANT = """, lat as (select edit_id, x, y, r, i, j from ed, range(-20, 21) a(i)
 
 @query(f"with {_DELTA} select row, col, round(dz, 6) as dz from delta")
 def h26_terrain_delta(spark, d):
-    cells = V.terrain(spark).select("row", "col")
+    cells = V.terrain(spark, d).select("row", "col")
     return E.terrain_delta(cells, edits(spark, d), GRID).select("row", "col", F.round("dz", 6).alias("dz"))
 
 
@@ -83,7 +85,7 @@ def c22_effective_vegetation(spark, d):
 )
 def e21_plan_quantities(spark, d):
     e = edits(spark, d)
-    q = E.quantities(E.terrain_delta(V.terrain(spark).select("row", "col"), e, GRID), E.removals(trees(spark, d), e), E.plantings(e, 8.0), 100.0)
+    q = E.quantities(E.terrain_delta(V.terrain(spark, d).select("row", "col"), e, GRID), E.removals(trees(spark, d), e), E.plantings(e, 8.0), 100.0)
     return q.select(*[F.round(c, 3).alias(c) for c in ("cut_m3", "fill_m3", "net_m3")], "disturbed_m2", F.round("max_dz", 6).alias("max_dz"), "clipped", "removed", "added")
 
 

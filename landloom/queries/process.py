@@ -83,13 +83,13 @@ def i14_flame_length(spark, d):
     return V.table(spark, d, "part").select("p_partkey", F.round(i, 6).alias("intensity"), F.round(fire.flame_length(i), 6).alias("flame"))
 
 
-@query(V.sql("terrain", "classes") + """, s as (select row, col, v = 3 and row between 20 and 30 and col between 20 and 30 as source, row between 18 and 32 and col between 18 and 32 as burned from classes),
+@query(V.sql("terrain", "classes") + """, s as (select row, col, v = 3 and row % 64 between 5 and 30 and col between 20 and 30 as source, row % 64 between 3 and 32 and col between 18 and 32 as burned from classes),
   o as (select dr, dc from range(-13, 14) a(dr), range(-13, 14) b(dc) where (dr <> 0 or dc <> 0) and sqrt(dr*dr + dc*dc) * 10 <= 125 and abs((degrees(atan2(dc, -dr)) - 45 + 180 + 720) % 360 - 180) <= 22.5)
 select distinct t.row, t.col from s t where not burned and exists (select 1 from s, o where s.source and s.row + dr = t.row and s.col + dc = t.col)""")
 def i25_ember_band(spark, d):
-    at = F.col("row").between(20, 30) & F.col("col").between(20, 30)
-    burned = F.col("row").between(18, 32) & F.col("col").between(18, 32)
-    cells = V.classes(spark).select("row", "col", ((F.col("v") == 3) & at).alias("source"), burned.alias("burned"))
+    at = (F.col("row") % 64).between(5, 30) & F.col("col").between(20, 30)
+    burned = (F.col("row") % 64).between(3, 32) & F.col("col").between(18, 32)
+    cells = V.classes(spark, d).select("row", "col", ((F.col("v") == 3) & at).alias("source"), burned.alias("burned"))
     # a wind of 25 mph over flames of 1.5 m would reach 75 m, a passive crown fire further
     return layers.embers(cells, 10.0, 125.0, 45.0, 22.5)
 
@@ -130,19 +130,20 @@ def h08_root_zone_water(spark, d):
     return V.table(spark, d, "part").select("p_partkey", F.round(soil.root_zone_water(horizons, 70.0, limit, F.lit(12.0)), 6).alias("taw"))
 
 
-_RANK = "(row_number() over (order by {v}, row, col) - 1) / 4095.0::double"
+_RANK = "(row_number() over (order by {v}, row, col) - 1) / (count(*) over () - 1)::double"
 _SLOPE = """g as (select row, col, z, (coalesce(lead(z) over a, z) - coalesce(lag(z) over a, z)) / 20 as dx, (coalesce(lead(z) over b, z) - coalesce(lag(z) over b, z)) / 20 as dy from terrain window a as (partition by row order by col), b as (partition by col order by row))"""
 
 
 @query(V.sql("terrain") + f""", {_SLOPE}, s as (select row, col, z, round(degrees(atan(sqrt(dx*dx + dy*dy))), 9) as s, (row * 31 + col * 17) % 997 as acc from g),
-  n as (select a.row, a.col, dr, sum(b.s) as m from s a, range(-2, 3) o(dr), range(-2, 3) q(dc), s b where b.row = least(greatest(a.row + dr, 0), 63) and b.col = least(greatest(a.col + dc, 0), 63) group by 1, 2, 3),
-  m as (select row, col, round(sum(m) / 25, 6) as m from n group by 1, 2),
+  lines as (select row, max(col) as most from s group by 1), columns_ as (select col, max(row) as most from s group by 1),
+  n as (select a.row, a.col, avg(b.s) as m from s a join lines l on l.row = a.row, range(-2, 3) o(i) join s b on b.row = a.row and b.col = least(greatest(a.col + i, 0), most) group by 1, 2),
+  m as (select a.row, a.col, round(avg(b.m), 6) as m from n a join columns_ c on c.col = a.col, range(-2, 3) o(i) join n b on b.col = a.col and b.row = least(greatest(a.row + i, 0), most) group by 1, 2),
   k as (select s.row, s.col, acc, greatest(round(m - s, 6), 0) as brk, (s.row * 7 + s.col) % 200 as depth, (s.row + s.col) % 3 = 0 as unknown, (s.row + s.col) % 2 * 9.0 as ksat from s join m using (row, col)),
   p as (select *, {_RANK.format(v='acc')} as acc_pct, {_RANK.format(v='brk')} as brk_pct from k)
 select row, col, round(40 * acc_pct + 20 * acc_pct + 15 * brk_pct + 25 * greatest(least(1 - coalesce(case when not unknown then depth when ksat < 5 then 60 end / 150.0::double, 1), 1), 0), 4) as score from p""")
 def h06_seep_score(spark, d):
     """Ranks of flow and slope break with a shallow restriction; the flow stands in for wetness, too."""
-    cells = V.terrain(spark).withColumnRenamed("z", "v")
+    cells = V.terrain(spark, d).withColumnRenamed("z", "v")
     s = raster.slope(cells, 10.0).select("row", "col", F.round("slope", 9).alias("v"))
     m = raster.box_mean(s, 2).select("row", "col", F.round("v", 6).alias("m"))
     brk = s.join(m, ["row", "col"]).select("row", "col", F.greatest(F.round(F.col("m") - F.col("v"), 6), F.lit(0.0)).alias("v"))
@@ -172,12 +173,12 @@ def h10_level_surface(spark, d):
     return soil.level_surface(c, cap.select("label", volume.alias("volume")), 100.0).select("label", F.round("level", 6).alias("level"))
 
 
-@query("""with c as (select id // 64 as row, id % 64 as col, (id % 100) / 99.0::double as p, case when id % 7 = 0 then null else (id % 150)::double end as taw from range(4096) t(id)),
+@query("""with c as (select event_id // 64 as row, event_id % 64 as col, (event_id % 100) / 99.0::double as p, case when event_id % 7 = 0 then null else (user_id % 150)::double end as taw from events),
   m as (select row, col, least(greatest(0.85 + 0.25 * p + 0.15 * least(greatest((coalesce(taw, 90.0) - 90) / 90, -0.5), 0.8), 0.65), 1.25) as m from c)
 select row, col, round(480 * m / avg(m) over (), 6) as v from m""")
 def j07_aet_layer(spark, d):
-    i = F.col("id")
-    cells = spark.range(4096).select(F.floor(i / 64).cast("long").alias("row"), (i % 64).alias("col"), (i % 100 / 99.0).alias("twi_pct"), F.when(i % 7 != 0, (i % 150).cast("double")).alias("taw"))
+    i = F.col("event_id")
+    cells = V.table(spark, d, "events").select(F.floor(i / 64).cast("long").alias("row"), (i % 64).alias("col"), (i % 100 / 99.0).alias("twi_pct"), F.when(i % 7 != 0, (F.col("user_id") % 150).cast("double")).alias("taw"))
     return layers.aet_layer(cells, 480.0, 90.0).select("row", "col", F.round("v", 6).alias("v"))
 
 
@@ -198,14 +199,16 @@ def k12_clear_sky(spark, d):
     return m.select("k", *[F.round(f"m.{n}", 5).alias(n) for n in ("dni", "dhi", "ghi")])
 
 
-@query("""with s as (select radians(-90 + id * 0.25::double) as dl, radians(40.0::double) as phi from range(721) t(id)), v as (select 42164 * cos(dl) - 6371 * cos(phi) as x, 42164 * sin(dl) as y, -6371 * sin(phi) as z, phi from s),
-  p as (select degrees(atan2(y, -sin(phi) * x + cos(phi) * z)) as az, degrees(atan2(cos(phi) * x + sin(phi) * z, sqrt(y * y + pow(-sin(phi) * x + cos(phi) * z, 2)))) as el from v)
-select (round_even((case when az < 0 then az + 360 else az end) / 5, 0)::bigint % 72) * 5.0::double as azimuth, round(max(el), 6) as elevation from p group by 1""")
+@query("""with s as (select s_suppkey as site, radians(-90 + id * 0.25::double) as dl, radians((s_suppkey % 60 + 1)::double) as phi from supplier, range(721) t(id)), v as (select site, 42164 * cos(dl) - 6371 * cos(phi) as x, 42164 * sin(dl) as y, -6371 * sin(phi) as z, phi from s),
+  p as (select site, degrees(atan2(y, -sin(phi) * x + cos(phi) * z)) as az, degrees(atan2(cos(phi) * x + sin(phi) * z, sqrt(y * y + pow(-sin(phi) * x + cos(phi) * z, 2)))) as el from v)
+select site, (round_even((case when az < 0 then az + 360 else az end) / 5, 0)::bigint % 72) * 5.0::double as azimuth, round(max(el), 6) as elevation from p group by 1, 2""")
 def k07_satellite_belt(spark, d):
-    """Highest geostationary elevation in each azimuth bin of five degrees."""
-    p = spark.range(721).select(sky.belt_position(40.0, -90 + F.col("id") * 0.25).alias("p"))
+    """Highest geostationary elevation in each azimuth bin of five degrees, at the latitude of every site."""
+    offset = F.explode(F.sequence(F.lit(0), F.lit(720))).alias("i")
+    sites = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("site"), offset)
+    p = sites.select("site", sky.belt_position(F.col("site") % 60 + 1, -90 + F.col("i") * 0.25).alias("p"))
     az = (F.rint(F.col("p.azimuth") / 5).cast("long") % 72) * F.lit(5.0)
-    return p.groupBy(az.alias("azimuth")).agg(F.round(F.max("p.elevation"), 6).alias("elevation"))
+    return p.groupBy("site", az.alias("azimuth")).agg(F.round(F.max("p.elevation"), 6).alias("elevation"))
 
 
 @query("select event_id, case when v >= 0 then 'day' when v >= -6 then 'civil_twilight' when v >= -12 then 'nautical_twilight' when v >= -18 then 'astronomical_twilight' else 'night' end as kind from (select event_id, event_id % 50 - 30 as v from events)")
@@ -266,5 +269,5 @@ def f05_running_horizon(spark, d):
     """Along each row of the grid, cells that stand above everything nearer."""
     a = F.atan2(F.col("z") - 1690, (F.col("col") + 1) * 10)
     nearer = Window.partitionBy("row").orderBy("col").rowsBetween(Window.unboundedPreceding, -1)
-    t = V.terrain(spark).withColumn("a", a)
+    t = V.terrain(spark, d).withColumn("a", a)
     return t.select("row", "col", F.coalesce(F.col("a") > F.max("a").over(nearer) + 1e-7, F.lit(True)).alias("visible"))

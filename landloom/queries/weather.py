@@ -195,27 +195,28 @@ def i23_hydro_influence(spark, d):
     return V.table(spark, d, "part").select("p_partkey", s.alias("s")).select("p_partkey", c("s.level").cast("long").alias("level"), c("s.score").alias("score"))
 
 
-@query("""with t as (select i as yday, h::double as hour, radians(23.45*sin(radians(360.0/365.0*(284+i)))) as de, radians(15.0*(h-12)) as ha, radians(40.0) as phi from range(1, 366, 14) a(i), range(24) b(h))
-select yday, hour, round(degrees(asin(least(greatest(sin(phi)*sin(de)+cos(phi)*cos(de)*cos(ha),-1),1))),5) as elevation,
+@query("""with t as (select o_orderkey, h::double as hour, radians(23.45*sin(radians(360.0/365.0*(284+dayofyear(o_orderdate))))) as de, radians(15.0*(h-12)) as ha, radians((o_custkey % 50 + 10)::double) as phi from orders, (values (6), (12), (18)) b(h))
+select o_orderkey, hour, round(degrees(asin(least(greatest(sin(phi)*sin(de)+cos(phi)*cos(de)*cos(ha),-1),1))),5) as elevation,
   case when degrees(asin(sin(phi)*sin(de)+cos(phi)*cos(de)*cos(ha))) >= 0 then 'day' when degrees(asin(sin(phi)*sin(de)+cos(phi)*cos(de)*cos(ha))) >= -6 then 'civil_twilight'
   when degrees(asin(sin(phi)*sin(de)+cos(phi)*cos(de)*cos(ha))) >= -12 then 'nautical_twilight' when degrees(asin(sin(phi)*sin(de)+cos(phi)*cos(de)*cos(ha))) >= -18 then 'astronomical_twilight' else 'night' end as twilight from t""")
 def k11_solar_position(spark, d):
-    t = spark.range(1, 366, 14).withColumnRenamed("id", "yday").withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23)))).withColumn("hour", F.col("hour").cast("double"))
-    p = t.withColumn("p", sky.solar_position(LAT, F.col("yday"), F.col("hour")))
-    return p.select("yday", "hour", F.round("p.elevation", 5).alias("elevation"), sky.twilight(F.col("p.elevation")).alias("twilight"))
+    hours = F.explode(F.array(*map(F.lit, (6.0, 12.0, 18.0)))).alias("hour")
+    t = V.table(spark, d, "orders").select("o_orderkey", F.dayofyear("o_orderdate").alias("yday"), (F.col("o_custkey") % 50 + 10).alias("lat"), hours)
+    p = t.withColumn("p", sky.solar_position(F.col("lat"), F.col("yday"), F.col("hour")))
+    return p.select("o_orderkey", "hour", F.round("p.elevation", 5).alias("elevation"), sky.twilight(F.col("p.elevation")).alias("twilight"))
 
 
-@query("""with t as (select i / 100.0::double as kt from range(101) r(i)) select kt, round(case when kt <= 0.22 then 1-0.09*kt when kt <= 0.80 then 0.9511-0.1604*kt+4.388*kt*kt-16.638*kt*kt*kt+12.336*kt*kt*kt*kt else 0.165 end, 8)::double as diffuse from t""")
+@query("""with t as (select p_partkey, (p_partkey * 37 % 101) / 100.0::double as kt from part) select p_partkey, kt, round(case when kt <= 0.22 then 1-0.09*kt when kt <= 0.80 then 0.9511-0.1604*kt+4.388*kt*kt-16.638*kt*kt*kt+12.336*kt*kt*kt*kt else 0.165 end, 8)::double as diffuse from t""")
 def g21_erbs(spark, d):
-    kt = F.col("id") / F.lit(100.0)
-    return spark.range(101).select(kt.alias("kt"), F.round(sky.erbs_diffuse(kt), 8).alias("diffuse"))
+    kt = F.col("p_partkey") * 37 % 101 / F.lit(100.0)
+    return V.table(spark, d, "part").select("p_partkey", kt.alias("kt"), F.round(sky.erbs_diffuse(kt), 8).alias("diffuse"))
 
 
-@query("""with t as (select i * 500.0::double as m from range(1, 101) r(i)) select m, round((1-1/7.0::double)*m*m/(2*6371000.0), 8) as optical, round(0.75*m*m/(2*6371000.0), 8)::double as radio,
+@query("""with t as (select o_orderkey, (o_custkey % 100 + 1) * 500.0::double as m from orders) select o_orderkey, m, round((1-1/7.0::double)*m*m/(2*6371000.0), 8) as optical, round(0.75*m*m/(2*6371000.0), 8)::double as radio,
   round(17.3*sqrt((m/1000)*(60-m/1000)/(0.915*60)), 6) as fresnel from t""")
 def g18_curvature_and_fresnel(spark, d):
-    m = F.col("id") * 500.0
-    return spark.range(1, 101).select(m.alias("m"), F.round(sky.curvature_drop(m), 8).alias("optical"), F.round(sky.curvature_drop(m, "radio"), 8).alias("radio"), F.round(sky.fresnel_radius(m / 1000, 60 - m / 1000, 0.915), 6).alias("fresnel"))
+    m = (F.col("o_custkey") % 100 + 1) * 500.0
+    return V.table(spark, d, "orders").select("o_orderkey", m.alias("m"), F.round(sky.curvature_drop(m), 8).alias("optical"), F.round(sky.curvature_drop(m, "radio"), 8).alias("radio"), F.round(sky.fresnel_radius(m / 1000, 60 - m / 1000, 0.915), 6).alias("fresnel"))
 
 
 @query(f"""with {_DAYS}, m as (select site, month(day)::bigint as month, avg(rs) as rs, avg(tmean) as t, avg((tmean <= 0)::int) as snow from days group by 1, 2)

@@ -24,7 +24,8 @@ def scene_x(key: Column) -> Column:
 
 
 def scene_y(key: Column) -> Column:
-    return ((key * 104729) % 4001 - 2000).cast("double")
+    """Every 4,001 keys fill a square of the scene; further ones follow to the north, so that density does not grow with the tables."""
+    return ((key * 104729) % 4001 - 2000 + 4001 * F.floor(key / 4001)).cast("double")
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,11 +45,12 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``obs_id, entity_id, attr, value, num, run_id, observed_at, source``: one row per event.
 
-    ``obs_id`` is a permutation of the event ids, so its order is not that of time.
+    ``obs_id`` is a permutation of the event ids inside each 1,000,003, so its order is not that of time.
     """
     e = table(spark, sf_dir, "events")
+    i = F.col("event_id")
     return e.select(
-        ((F.col("event_id") * 7919) % 1000003).alias("obs_id"),
+        (i * 7919 % 1000003 + 1000003 * F.floor(i / 1000003)).alias("obs_id"),
         F.concat(F.lit("customer:"), F.col("user_id").cast("string")).alias("entity_id"),
         F.col("event_type").alias("attr"),
         F.floor(F.col("value") * 100).cast("long").cast("string").alias("value"),
@@ -66,16 +68,25 @@ def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("entity_id", "created_run_id", F.when(key % 5 == 0, F.col("last") + 1).alias("retired_run_id"))
 
 
-def terrain(spark: SparkSession, n: int = 64) -> DataFrame:
-    """``row, col, z`` of an n by n grid with integer heights; row 0 is the north edge."""
-    i = F.col("id")
-    row, col = F.floor(i / n).cast("long"), i % n
-    return spark.range(n * n).select(row.alias("row"), col.alias("col"), (1700 + 5 * col - 3 * row + (row * 31 + col * 17) % 7).cast("double").alias("z"))
+def terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``row, col, z``: one cell per event on a strip 64 cells wide with integer heights; row 0 is the north edge.
 
+    Valleys run west every 128 rows, roughened by the events' values. The last row may be short.
+    """
+    i = F.col("event_id")
+    row, col = F.floor(i / 64).cast("long"), i % 64
+    z = 1700 + 5 * col + 3 * F.abs(row % 128 - 64) + F.floor(F.col("value") * 100).cast("long") % 7
+    return table(spark, sf_dir, "events").select(row.alias("row"), col.alias("col"), z.cast("double").alias("z"))
+
+
+def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``row, col, v``: a raster of nine classes on the cells of ``terrain``."""
+    return terrain(spark, sf_dir).select("row", "col", ((F.col("row") * 13 + F.col("col") * 7) % 9).alias("v"))
 
-def classes(spark: SparkSession, n: int = 64) -> DataFrame:
-    """``row, col, v``: a raster of nine classes on the grid of ``terrain``."""
-    return terrain(spark, n).select("row", "col", ((F.col("row") * 13 + F.col("col") * 7) % 9).alias("v"))
+
+def terrain_rows(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of the grid of ``terrain``: one number."""
+    return (table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0) // 64 + 1
 
 
 def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +105,7 @@ def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(k.alias("stream_id"), F.array(at(0), at(1), at(2)).alias("path"))
 
 
-_X, _Y = "((({k}) * 7919) % 4001 - 2000)::double", "((({k}) * 104729) % 4001 - 2000)::double"
+_X, _Y = "((({k}) * 7919) % 4001 - 2000)::double", "((({k}) * 104729) % 4001 - 2000 + 4001 * (({k}) // 4001))::double"
 
 
 def _entity(kind: str, key: str, nation: str | None) -> str:
@@ -108,7 +119,7 @@ def _entity(kind: str, key: str, nation: str | None) -> str:
 SQL = {
     "entities": "entities as (" + " union all ".join(_entity(*k) for k in KINDS) + ")",
     "observations": """observations as (
-      select event_id * 7919 % 1000003 as obs_id, 'customer:' || user_id as entity_id, event_type as attr,
+      select event_id * 7919 % 1000003 + 1000003 * (event_id // 1000003) as obs_id, 'customer:' || user_id as entity_id, event_type as attr,
              floor(value * 100)::bigint::varchar as value, floor(value * 100)::bigint as num,
              datediff('day', date '2024-01-01', ts::date)::bigint as run_id, ts as observed_at, 's' || (event_id % 3) as source
       from events)""",
@@ -117,9 +128,9 @@ SQL = {
              case when split_part(entity_id, ':', 2)::bigint % 5 = 0 then max(run_id) + 1 end as retired_run_id
       from observations group by entity_id)""",
     "terrain": """terrain as (
-      select id // 64 as row, id % 64 as col,
-             (1700 + 5 * (id % 64) - 3 * (id // 64) + ((id // 64) * 31 + (id % 64) * 17) % 7)::double as z
-      from range(64 * 64) t(id))""",
+      select event_id // 64 as row, event_id % 64 as col,
+             (1700 + 5 * (event_id % 64) + 3 * abs(event_id // 64 % 128 - 64) + floor(value * 100)::bigint % 7)::double as z
+      from events)""",
     "classes": "classes as (select row, col, (row * 13 + col * 7) % 9 as v from terrain)",
     "edges": """corners as (
       select n_nationkey::bigint as parcel_id, c.i, ((n_nationkey % 5) * 700 - 1750 + c.dx)::double as x,

@@ -258,3 +258,32 @@ def test_as_of_without_a_nested_loop(spark):
     runs = spark.createDataFrame([(5,), (10,), (12,), (20,), (30,)], "run_id long")
     got = {(r.run_id, r.entity_id, r.value) for r in store.as_of(o, runs).collect()}
     assert got == {(10, "e", "x"), (12, "e", "x"), (20, "e", "z"), (30, "e", "z"), (20, "f", "w"), (30, "f", "w")}
+
+
+def test_spaced_in_small_batches_equals_the_greedy_loop(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, float(x), float(y), float(s)) for i, (x, y, s) in enumerate(rng.integers(0, 60, (500, 3)))]
+    kept = []
+    for i, x, y, s in sorted(rows, key=lambda r: (-r[3], r[0])):
+        if all((x - a) ** 2 + (y - b) ** 2 >= 81 for _, a, b in kept):
+            kept.append((i, x, y))
+    df = spark.createDataFrame(rows + [(999, None, 1.0, 99.0)], "id long, x double, y double, score double")
+    assert [r.id for r in spatial.spaced(df, "score", 1000, 9.0, batch=16).orderBy("rank").collect()] == [k[0] for k in kept]
+
+
+def test_an_edit_of_too_many_plants_is_refused(spark):
+    spec = "edit_id string, kind string, x double, y double, r double"
+    small, large = ("a", "orchard", 0.0, 0.0, 20.0), ("b", "orchard", 0.0, 0.0, 500.0)
+    assert E.plantings(spark.createDataFrame([small], spec), 5.0).count() > 0
+    with pytest.raises(Exception, match="edit_too_large: b"):
+        E.plantings(spark.createDataFrame([small, large], spec), 5.0).collect()
+
+
+def test_spread_over_many_small_tiles_equals_one_tile(spark):
+    """Rounds solve only the tiles next to a changed rim; a winding valley sends the front back into tiles it has left."""
+    rng = np.random.default_rng(9)
+    z = rng.integers(0, 9, (17, 23)).astype(float)
+    rows = [(r, c, float(z[r, c]), 1.0, 0.0, float(z[r, c]) if r in (0, 16) or c in (0, 22) else float("inf")) for r in range(17) for c in range(23)]
+    df = spark.createDataFrame(rows, "row long, col long, cost double, ratio double, facing double, t double")
+    found = [sorted(map(tuple, spread.spread(df, "fill", tile=t).collect())) for t in (3, 5, 64)]
+    assert found[0] == found[1] == found[2]
