@@ -100,14 +100,31 @@ def accumulate(directions: DataFrame, width: int) -> DataFrame:
     2 ** i steps downstream, so the rounds are the logarithm of the longest flow path.
     """
     cell = F.col("row") * width + F.col("col")
-    acc = checkpointed(directions.select(cell.alias("c"), F.lit(1).cast("long").alias("acc")))
-    jump = checkpointed(receivers(directions).select(cell.alias("c"), (F.col("trow") * width + F.col("tcol")).alias("t")))
+    jump = receivers(directions).select(cell.alias("c"), (F.col("trow") * width + F.col("tcol")).alias("t"))
+    acc = totals(directions.select(cell.alias("c"), F.lit(1).cast("long").alias("acc")), jump)
+    return acc.select(F.floor(F.col("c") / width).cast("long").alias("row"), (F.col("c") % width).alias("col"), "acc")
+
+
+def totals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``c, acc``: every node's own ``acc`` and that of all nodes upstream, in a forest of ``c, t`` edges; by doubling."""
+    acc, jump = checkpointed(nodes.select("c", "acc")), checkpointed(edges.select("c", "t"))
     while not jump.isEmpty():
         moved = jump.join(acc, "c").groupBy("t").agg(F.sum("acc").alias("more"))
         acc = checkpointed(acc.join(moved, acc["c"] == moved["t"], "left").select("c", (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc")))
         ahead = jump.select(F.col("c").alias("t"), F.col("t").alias("t2"))
         jump = checkpointed(jump.join(ahead, "t").select("c", F.col("t2").alias("t")))
-    return acc.select(F.floor(F.col("c") / width).cast("long").alias("row"), (F.col("c") % width).alias("col"), "acc")
+    return acc
+
+
+def roots(edges: DataFrame) -> DataFrame:
+    """``c, root, steps`` for every node with an edge in a forest of ``c, t``: the last node downstream and how many edges away; by doubling."""
+    far = checkpointed(edges.select("c", F.col("t").alias("root"), F.lit(1).cast("long").alias("steps")))
+    while True:
+        ahead = far.select(F.col("c").alias("root"), F.col("root").alias("next"), F.col("steps").alias("more"))
+        far = checkpointed(far.join(ahead, "root", "left").select("c", F.coalesce("next", "root").alias("root"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").isNotNull().alias("moved")))
+        if far.where("moved").isEmpty():
+            return far.drop("moved")
+        far = far.drop("moved")
 
 
 def slope(cells: DataFrame, size: float) -> DataFrame:

@@ -22,7 +22,7 @@ from .raster import NEIGHBOURS
 TILE = 32
 
 
-def _solve(mode: str, size: float):
+def _solve(mode: str, size: float, rise: float = 0.0):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """Best values of a tile's own cells, from its start values and the rim around it."""
         here = {(r, c): i for i, (r, c) in enumerate(zip(pdf["row"], pdf["col"]))}
@@ -41,7 +41,7 @@ def _solve(mode: str, size: float):
                 if j is None or not own[j]:
                     continue
                 if mode == "fill":
-                    new = max(v, cost[j])
+                    new = max(v + rise, cost[j])
                 else:
                     e = math.sqrt(1 - 1 / (ratio[i] * ratio[i]))
                     ros = cost[i] * (1 - e) / (1 - e * math.cos(math.atan2(dc, -dr) - math.radians(facing[i])))
@@ -55,7 +55,7 @@ def _solve(mode: str, size: float):
     return run
 
 
-def spread(cells: DataFrame, mode: str, size: float = 1.0, tile: int = TILE) -> DataFrame:
+def spread(cells: DataFrame, mode: str, size: float = 1.0, tile: int = TILE, rise: float = 0.0) -> DataFrame:
     """``row, col, t`` from ``row, col, cost, ratio, facing, t`` with infinite ``t`` where nothing starts."""
     columns = ["row", "col", "cost", "ratio", "facing", "before", "t"]
     spec = ", ".join(f"{c} {'long' if c in ('row', 'col') else 'double'}" for c in columns)
@@ -63,7 +63,7 @@ def spread(cells: DataFrame, mode: str, size: float = 1.0, tile: int = TILE) ->
     around = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in NEIGHBOURS])
     here = [F.col("row"), F.col("col")]
     own = cells.select("row", "col", "cost", "ratio", "facing", F.lit(float("inf")).alias("before"), "t", F.lit(True).alias("own"), *at(*here))
-    now = checkpointed(own.groupBy("tr", "tc").applyInPandas(_solve(mode, size), spec))
+    now = checkpointed(own.groupBy("tr", "tc").applyInPandas(_solve(mode, size, rise), spec))
     while True:
         near = now.where("t < before").withColumn("o", F.explode(around))
         lent = near.select("*", *at(*here), *[c.alias(f"to_{c_}") for c, c_ in zip(at(F.col("row") + F.col("o.dr"), F.col("col") + F.col("o.dc")), ("tr", "tc"))])
@@ -74,15 +74,15 @@ def spread(cells: DataFrame, mode: str, size: float = 1.0, tile: int = TILE) ->
             return now.select("row", "col", "t")
         tiled = now.select("row", "col", "cost", "ratio", "facing", F.col("t").alias("before"), "t", F.lit(True).alias("own"), *at(*here))
         front = lent.select("tr", "tc").distinct()
-        again = tiled.join(front, ["tr", "tc"], "left_semi").unionByName(lent).groupBy("tr", "tc").applyInPandas(_solve(mode, size), spec)
+        again = tiled.join(front, ["tr", "tc"], "left_semi").unionByName(lent).groupBy("tr", "tc").applyInPandas(_solve(mode, size, rise), spec)
         now = checkpointed(tiled.join(front, ["tr", "tc"], "left_anti").select(*columns).union(again))
 
 
-def fill_depressions(cells: DataFrame) -> DataFrame:
+def fill_depressions(cells: DataFrame, rise: float = 0.0) -> DataFrame:
     """``row, col, v, filled``: every cell raised to the least level from which water reaches the border.
 
-    Border cells and cells next to missing ones keep their height. No slope is added on filled ground; ``depth`` is
-    ``filled - v``.
+    Border cells and cells next to missing ones keep their height. Filled ground rises by ``rise`` per cell away from where it
+    drains, so that with a positive one every inner cell has a lower neighbour; ``depth`` is ``filled - v``.
     """
     from .raster import neighbours
 
@@ -90,7 +90,7 @@ def fill_depressions(cells: DataFrame) -> DataFrame:
     inner = have.select("row", "col").join(neighbours(have), ["row", "col"]).where("n is not null").groupBy("row", "col").agg(F.count("*").alias("n"))
     start = F.when(F.coalesce(F.col("n"), F.lit(0)) < 8, F.col("v")).otherwise(F.lit(float("inf")))
     grid = have.join(inner, ["row", "col"], "left").select("row", "col", F.col("v").alias("cost"), F.lit(1.0).alias("ratio"), F.lit(0.0).alias("facing"), start.alias("t"))
-    return have.join(spread(grid, "fill"), ["row", "col"]).select("row", "col", "v", F.col("t").alias("filled"))
+    return have.join(spread(grid, "fill", rise=rise), ["row", "col"]).select("row", "col", "v", F.col("t").alias("filled"))
 
 
 def arrival_times(cells: DataFrame, size: float, start: Column) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fuel, ground, land, layers, live, places, plan, process, scenario, water, weather
+from . import fuel, ground, hydro, land, layers, live, places, plan, process, scenario, water, weather
 
-MODULES = (land, ground, weather, live, plan, scenario, layers, process, places, fuel, water)
+MODULES = (land, ground, weather, live, plan, scenario, layers, process, places, fuel, water, hydro)
 
 
 def queries() -> dict:

@@ -1,21 +1,27 @@
-"""Checkpoints that every executor can read."""
+"""Tables that cut a lineage, where every executor can read them."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage in the shared folder that ``spark.checkpoint.dir`` names.
+    """``df`` written as Parquet in the shared folder that ``spark.checkpoint.dir`` names, and read again.
 
-    Where the setting is missing, a local master gets a temporary folder and a cluster is refused.
+    A table ends the lineage as a checkpoint does, and ends what the optimiser carries along with it, which in loops grows with every
+    round. All tables of an application lie in one folder, ``landloom-`` and its id, which can be deleted after it. Where the setting is
+    missing, a local master uses a temporary folder and a cluster is refused.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
-        if not context.master.startswith("local"):
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="landloom-"))
-    return df.checkpoint()
+        base = "file://" + tempfile.mkdtemp(prefix="landloom-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/landloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
