@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fuel, geometry, ground, hydro, land, layers, live, places, plan, process, scenario, water, weather
+from . import fuel, geometry, ground, hydro, ingest, land, layers, live, places, plan, process, scenario, water, weather
 
-MODULES = (land, ground, weather, live, plan, scenario, layers, process, places, fuel, water, hydro, geometry)
+MODULES = (land, ground, weather, live, plan, scenario, layers, process, places, fuel, water, hydro, geometry, ingest)
 
 
 def queries() -> dict:
