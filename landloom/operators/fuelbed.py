@@ -2,9 +2,8 @@
 
 A fuel table has a row per ``code``: loads ``dead_1h, dead_10h, dead_100h, herb, woody`` in kg/m2, ``sav_`` of each in 1/m,
 ``depth`` in m, dead ``extinction``, ``heat`` in kJ/kg, ``burnable`` and ``dynamic``. Constants of a bed are made once per
-code; cells join them. The table is a parameter, so any set of fuel models will do. The columns build on each other: write or
-checkpoint cells after ``reaction`` before filtering on a result; without that such a filter did not end in two minutes, probably
-because a filter pushed down repeats all that its column is made from.
+code; cells join them. The table is a parameter, so any set of fuel models will do. Beds and reactions are tables of their own in the
+shared folder: their columns build on each other, and a filter pushed down through them would repeat each of them many times over.
 """
 
 from __future__ import annotations
@@ -15,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from landloom.session import checkpointed
+
 from ..functions.climate import clamp
 from ..functions.fire import curing
 
@@ -97,7 +98,7 @@ def beds(fuels: DataFrame, prefix: str = "") -> DataFrame:
     keep = [f"{p}_{k}" for k in CLASSES for p in "wsf"] + ["f_dead", "f_live", "net_dead", "net_live", "density", "sigma", "packing", "relative", "wind_power", "wind_scale", "slope_scale", "velocity", "flux", "residence", "burns"]
     fuel = {"extinction", "heat"}
     other = [f for f in fuels.columns if f not in fuel]
-    return b.select(*(other if not prefix else []), *[c(k).alias(prefix + k) for k in [*keep, *sorted(fuel)]])
+    return checkpointed(b.select(*(other if not prefix else []), *[c(k).alias(prefix + k) for k in [*keep, *sorted(fuel)]]))
 
 
 def reaction(cells: DataFrame, prefix: str = "") -> DataFrame:
@@ -129,7 +130,7 @@ def reaction(cells: DataFrame, prefix: str = "") -> DataFrame:
     ok = c("burns") & (t("sink") > 0) & (t("m_dead") < limit)
     out = out.withColumn(prefix + "reaction", F.when(ok, F.coalesce(power, F.lit(0.0))).otherwise(0.0))
     base = F.when(c("reaction") > 0, c("reaction") * c("flux") / t("sink") * 0.3048).otherwise(0.0)
-    return out.withColumn(prefix + "base_ros", base).drop(*[name(n) for n in ("dead", "live", "wet", "m_dead", "m_live", "sink", "limit")])
+    return checkpointed(out.withColumn(prefix + "base_ros", base).drop(*[name(n) for n in ("dead", "live", "wet", "m_dead", "m_live", "sink", "limit")]))
 
 
 def wind_factor(wind: Column, prefix: str = "") -> Column:

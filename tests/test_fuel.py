@@ -84,3 +84,13 @@ def test_seep_sites_equal_the_greedy_loop(spark, data):
         if len(chosen) < 8 and all(math.hypot(r.x - c.x, r.y - c.y) >= 30 for c in chosen):
             chosen.append(r)
     assert sorted(r.id for r in soil.seep_sites(cells).collect()) == sorted(c.id for c in chosen)
+
+
+def test_results_can_be_filtered(spark, data):
+    """A filter on a result plans and runs at once; its columns are not copied into it."""
+    import time
+
+    began = time.monotonic()
+    t = B.torching_and_crowning(fuel.cells(spark, data), F.col("cbh"), F.col("cbd"), F.col("fmc"), F.col("slope"))
+    assert t.where("torching < 10").count() == sum(r.torching is not None and r.torching < 10 for r in t.select("torching").collect())
+    assert time.monotonic() - began < 30
