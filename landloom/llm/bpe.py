@@ -1,18 +1,18 @@
 """BPE encoding and decoding with a public vocabulary by tree concatenation, exact on texts of any length.
 
 A text is halved, at whatever character lies in the middle, until every piece is a leaf of at most ``leaf``
-characters. Leaves are rows of their own and are encoded in parallel; a leaf that begins or ends inside a word is
-encoded as if it did not. Then halves are joined in pairs, level by level. Around each join a window of white-space-separated chunks,
-one of either side at first, is put together and encoded anew; it grows until its first chunk has the ids that the left
-half gave it and its last chunk those of the right half, or the text ends there. This vocabulary drops white space and never
-merges across it, so ids that agree so far on both sides are those of the whole text.
+characters. Leaves are rows of their own; each is encoded in parallel as one string, as if the text began and ended with it. Then
+halves are joined in pairs, level by level. Around each join a window, the last id of the left half and the first of the right one at first, is
+encoded anew from the text under it. It is twice as wide each time until its first id is the left half's own at the same place and its last id the
+right half's: what lies further out then stays as it was. A window that has reached white space needs no more, as this
+vocabulary drops white space and never merges across it. So a piece carries the text at its ends up to white space, and ids alone between.
 
-A chunk longer than a leaf has no white space for that: its words (as the tokenizer's own normaliser and pre-tokeniser cut
+A run without white space that is longer than a leaf gives no such place: its words (as the tokenizer's own normaliser and pre-tokeniser cut
 them) are halved down to leaves, too, and at a join a window of ids is decoded and encoded anew, and grows until it
 begins with the left half's own id and ends with the right half's own id: neighbouring ids that BPE itself produced on both
 sides then stay valid.
 
-A task remembers the ids of chunks, so only new ones go through the tokenizers library.
+For texts of one leaf a task remembers the ids of chunks, so only new ones go through the tokenizers library.
 """
 
 from __future__ import annotations
@@ -20,21 +20,25 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections import Counter
+from dataclasses import dataclass
 from functools import cached_property, lru_cache
-from itertools import accumulate, groupby
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, table
+from .common import table
 
 #: Texts of more characters than this are split into leaves of at most this many.
 LEAF = 4096
 #: Chunks that a task remembers before it starts its table anew.
 REMEMBERED = 200_000
-CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
+#: Characters of text, about, that a piece keeps at either end for windows; more, up to the next white space.
+EDGE = 64
+BLANK = re.compile(r"[\x20\x09-\x0D]")
 
 
 class Codec:
@@ -59,6 +63,7 @@ class Codec:
         size = 1 + max(self.token)
         self.shown = np.array([[str(i), self.token.get(i, "")] for i in range(size)], object)
         self.known: dict[bytes, tuple[int, bytes, str, str]] = {}
+        self.windows: Counter[int] = Counter()  # how wide the windows of joins were in the end
 
     def _parts(self, suffix: str):
         """The model alone, for parts of words; only texts with very long chunks need it."""
@@ -105,10 +110,14 @@ class Codec:
     def packed(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
-    def ids(self, chunk: bytes) -> bytes:
-        """The packed ids of one chunk by itself."""
-        self.chunks([[chunk]])
-        return self.known[chunk][1]
+    def crossing(self, a: str, b: str) -> tuple[int, int]:
+        """How far a special token that lies across the border of ``a`` and ``b`` reaches into either."""
+        most = max(map(len, self.special), default=1) - 1
+        left, right = a[len(a) - most :] if len(a) > most else a, b[:most]
+        for m in self.cut.finditer(left + right) if self.cut else ():
+            if m.start() < len(left) < m.end():
+                return len(left) - m.start(), m.end() - len(left)
+        return 0, 0
 
     def encode_part(self, part: str, last: bool) -> list[int]:
         return (self.last if last else self.inner).encode(part, add_special_tokens=False).ids
@@ -139,40 +148,77 @@ class Codec:
         return parts[0] if parts else []
 
 
-#: Outer chunks that a joined piece keeps apart at either end, for windows around the next join.
-OUTER = 4
-#: A chunk with its packed ids; the sealed middle of a piece has no chunk.
-Cell = tuple[bytes | None, bytes]
+@dataclass
+class Cell:
+    """Ids of a stretch of text; with the text and the places of the ids in it at the ends of a piece, without in its middle."""
 
+    ids: np.ndarray
+    text: str | None = None
+    spans: np.ndarray | None = None
 
-def sealed(cells: list[Cell]) -> list[Cell]:
-    """The cells with all but the outer ones made one."""
-    if len(cells) <= 2 * OUTER:
-        return cells
-    return cells[:OUTER] + [(None, b"".join([ids for _, ids in cells[OUTER:-OUTER]]))] + cells[-OUTER:]
+    def part(self, lo: int, hi: int) -> Cell:
+        """The stretch between two places that no id lies across."""
+        at = (self.spans[:, 0] >= lo) & (self.spans[:, 1] <= hi)
+        return Cell(self.ids[at], self.text[lo:hi], self.spans[at] - lo)
 
 
-def join_torn(c: Codec, a: list[Cell], b: list[Cell]) -> list[Cell]:
-    """Two neighbouring pieces whose border tears a chunk: a window around it grows until both sides agree."""
-    size = 1
-    while True:
-        left, right = a[-size:], b[:size]
-        window = [x for x, _ in left[:-1]] + [left[-1][0] + right[0][0]] + [x for x, _ in right[1:]]
-        new: list[Cell] = [(x, c.ids(x)) for x in window]
-        if (size > len(a) or size > 1 and new[0] == left[0]) and (size > len(b) or size > 1 and new[-1] == right[-1]):
-            return sealed(a[:-size] + new + b[size:])
-        size += 1
+def coded(c: Codec, texts: list[str]) -> list[Cell]:
+    """Texts encoded whole, each by itself."""
+    found = []
+    for t, e in zip(texts, c.whole.encode_batch(texts, add_special_tokens=False), strict=True):
+        found.append(Cell(np.array(e.ids, c.kind), t, np.array(e.offsets, np.int32).reshape(-1, 2)))
+    return found
 
 
-def join_all(c: Codec, pieces: list[list[Cell]], torn: list[bool]) -> bytes:
-    """The packed ids of a text from its leaves, joined in pairs, level by level; ``torn[i]`` tells whether piece i begins inside a chunk."""
+def sealed(cells: list[Cell]) -> list[Cell]:
+    """A piece with text at its ends only: up to the first white space that EDGE characters lie before."""
+    first, last = cells[0], cells[-1]
+    left = BLANK.search(first.text, EDGE)
+    if len(cells) == 1:
+        back = BLANK.search(first.text[::-1], EDGE)
+        if not left or not back or left.start() >= len(first.text) - back.start():
+            return cells
+        lo, hi = left.start(), len(first.text) - back.start()
+        return [first.part(0, lo), Cell(first.part(lo, hi).ids), first.part(hi, len(first.text))]
+    middle = [x.ids for x in cells[1:-1]]
+    if left:
+        middle.insert(0, first.part(left.start(), len(first.text)).ids)
+        first = first.part(0, left.start())
+    back = BLANK.search(last.text[::-1], EDGE)
+    if back:
+        at = len(last.text) - back.start()
+        middle.append(last.part(0, at).ids)
+        last = last.part(at, len(last.text))
+    return [first, Cell(np.concatenate(middle)), last] if middle else [first, last]
+
+
+def join_pieces(c: Codec, a: list[Cell], b: list[Cell]) -> list[Cell]:
+    """Two neighbouring pieces: a window around their border grows until both sides agree."""
+    x, y, size = a[-1], b[0], 1
+    over = c.crossing(x.text, y.text)
+    while True:
+        i, j = max(len(x.ids) - size, 0), min(size, len(y.ids))
+        start = int(x.spans[i, 0]) if i else 0
+        end = int(y.spans[j - 1, 1]) if j < len(y.ids) else len(y.text)
+        (new,) = coded(c, [x.text[start:] + y.text[:end]])
+        new.spans += start
+        shift = len(x.text)
+        agrees = lambda k, n, ids, spans, d: len(new.ids) and new.ids[n] == ids[k] and (new.spans[n] == spans[k] + d).all()
+        left = not i or shift - start >= over[0] and agrees(i, 0, x.ids, x.spans, 0)
+        right = j == len(y.ids) or end >= over[1] and agrees(j - 1, -1, y.ids, y.spans, shift)
+        if left and right:
+            c.windows[size] += 1
+            whole = Cell(np.concatenate([x.ids[:i], new.ids, y.ids[j:]]), x.text + y.text, np.concatenate([x.spans[:i], new.spans, y.spans[j:] + shift]))
+            return sealed([*a[:-1], whole, *b[1:]])
+        size *= 2
+
+
+def join_all(c: Codec, pieces: list[list[Cell]]) -> np.ndarray:
+    """The ids of a text from its leaves, joined in pairs, level by level."""
     while len(pieces) > 1:
-        joined = []
-        for i in range(0, len(pieces) - 1, 2):
-            a, b = pieces[i], pieces[i + 1]
-            joined.append(join_torn(c, a, b) if torn[i + 1] else sealed(a + b))
-        pieces, torn = joined + pieces[len(pieces) - len(pieces) % 2 :], torn[::2]
-    return b"".join([ids for _, ids in pieces[0]])
+        joined = [join_pieces(c, pieces[i], pieces[i + 1]) for i in range(0, len(pieces) - 1, 2)]
+        pieces = joined + pieces[len(pieces) - len(pieces) % 2 :]
+    return np.concatenate([x.ids for x in pieces[0]])
 
 
 @lru_cache(maxsize=2)
@@ -187,9 +233,8 @@ def halves(word: str, leaf: int) -> list[str]:
     return halves(word[:mid], leaf) + halves(word[mid:], leaf)
 
 
-#: Where a leaf belongs: its text (by place), the document, the run or word of the text, its number there, what it is, and
-#: whether it begins inside a chunk.
-AT = "row long, doc_id long, seq long, leaf long, kind long, torn boolean"
+#: Where a leaf belongs: its text (by place), the document, the run or word of the text, its number there, and what it is.
+AT = "row long, doc_id long, seq long, leaf long, kind long"
 PLACE = [f.split()[0] for f in AT.split(", ")]
 
 
@@ -212,18 +257,17 @@ def long_leaves(docs: DataFrame, vocabulary: str, leaf: int = LEAF) -> DataFrame
                 out, seq, at = [], 0, 0
                 for m in [*long_chunk.finditer(text), None]:
                     cut = halves(text[at : m.start() if m else len(text)], leaf)
-                    torn = [False] + [x[-1] not in ASCII_SPACE and y[0] not in ASCII_SPACE for x, y in zip(cut, cut[1:])]
-                    out += [(row, doc, seq, k, 0, t, p) for k, (p, t) in enumerate(zip(cut, torn))]
+                    out += [(row, doc, seq, k, 0, p) for k, p in enumerate(cut)]
                     seq += 1
                     if m is None:
                         break
                     at = m.end()
                     for word, special in c.words(m[0]):
                         if special is not None:
-                            out.append((row, doc, seq, 0, 3, False, word))
+                            out.append((row, doc, seq, 0, 3, word))
                         else:
                             cut = halves(word, leaf)
-                            out += [(row, doc, seq, k, 2 if k + 1 == len(cut) else 1, False, p) for k, p in enumerate(cut)]
+                            out += [(row, doc, seq, k, 2 if k + 1 == len(cut) else 1, p) for k, p in enumerate(cut)]
                         seq += 1
                 yield pa.record_batch(list(map(pa.array, zip(*out))), names=[*PLACE, "text"])
 
@@ -270,29 +314,35 @@ def encode(docs: DataFrame, vocabulary: str, leaf: int = LEAF, with_ids: bool =
     def pieces(batches):
         c = codec(vocabulary)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                kinds, texts = part.column("kind").to_pylist(), part.column("text").to_pylist()
+                runs = iter(coded(c, [t for k, t in zip(kinds, texts) if k == 0]))
                 found: list[list[Cell]] = []
-                for kind, text in zip(part.column("kind").to_pylist(), part.column("text").to_pylist()):
+                for kind, text in zip(kinds, texts):
                     if kind == 0:
-                        chunks = text.encode().split()
-                        c.chunks([chunks])
-                        found.append(sealed([(x, c.known[x][1]) for x in chunks]))
+                        found.append(sealed([next(runs)]))
                     else:
-                        found.append([(None, c.packed([c.special[text]] if kind == 3 else c.encode_part(text, kind == 2)))])
-                pair = [pa.array([[cell[i] for cell in piece] for piece in found], pa.list_(pa.binary())) for i in (0, 1)]
-                yield pa.record_batch([*(part.column(i) for i in PLACE), *pair], names=[*PLACE, "chunks", "ids"])
+                        found.append([Cell(np.array([c.special[text]] if kind == 3 else c.encode_part(text, kind == 2), c.kind))])
+                cells = [
+                    pa.array([[x.text for x in p] for p in found], pa.list_(pa.string())), pa.array([[x.ids.tobytes() for x in p] for p in found], pa.list_(pa.binary())),
+                    pa.array([[None if x.spans is None else x.spans.tobytes() for x in p] for p in found], pa.list_(pa.binary())),
+                ]
+                yield pa.record_batch([*(part.column(i) for i in PLACE), *cells], names=[*PLACE, "texts", "ids", "spans"])
+
+    def unpacked(c: Codec, texts: list, ids: list, spans: list) -> list[Cell]:
+        return [Cell(np.frombuffer(i, c.kind), t, None if s is None else np.frombuffer(s, np.int32).reshape(-1, 2)) for t, i, s in zip(texts, ids, spans)]
 
     def finished(c: Codec, doc: int | None, parts: list) -> tuple:
         """One document from its pieces, in order."""
-        packed = []
+        found = []
         for _, unit in groupby(parts, key=lambda p: p[0]):
             unit = list(unit)
             if unit[0][1] == 0:
-                packed.append(join_all(c, [u[3] for u in unit], [u[2] for u in unit]))
+                found.append(join_all(c, [u[2] for u in unit]))
             else:
-                packed.append(c.packed(c.tree([np.frombuffer(u[3][0][1], c.kind).tolist() for u in unit])))
-        ids, decoded = c.shown[np.frombuffer(b"".join(packed), c.kind)].T
+                found.append(np.array(c.tree([u[2][0].ids.tolist() for u in unit]), c.kind))
+        ids, decoded = c.shown[np.concatenate(found)].T
         return doc, len(ids), *shown(" ".join(ids.tolist()), " ".join(decoded.tolist()))
 
     def assemble(batches):
@@ -302,12 +352,12 @@ def encode(docs: DataFrame, vocabulary: str, leaf: int = LEAF, with_ids: bool =
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                for row, doc_id, seq, _, kind, torn, chunks, ids in zip(*(x.to_pylist() for x in b.slice(at, 256).columns)):
+                for row, doc_id, seq, _, kind, *piece in zip(*(x.to_pylist() for x in b.slice(at, 256).columns)):
                     if row != current:
                         if parts:
                             out.append(finished(c, doc, parts))
                         current, doc, parts = row, doc_id, []
-                    parts.append((seq, kind, torn, list(zip(chunks, ids))))
+                    parts.append((seq, kind, unpacked(c, *piece)))
                 if len(out) >= 64:
                     yield table()
                     out = []
@@ -319,12 +369,13 @@ def encode(docs: DataFrame, vocabulary: str, leaf: int = LEAF, with_ids: bool =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     quick = docs.where(~_is_long(leaf)).mapInArrow(short, "doc_id long, " + cells)
     cut = long_leaves(docs, vocabulary, leaf).repartition("row", "seq", "leaf")
-    coded = cut.mapInArrow(pieces, AT + ", chunks array<binary>, ids array<binary>")
-    coded = coded.repartition("row").sortWithinPartitions("row", "seq", "leaf")
-    return quick.union(coded.mapInArrow(assemble, "doc_id long, " + cells))
+    found = cut.mapInArrow(pieces, AT + ", texts array<string>, ids array<binary>, spans array<binary>")
+    found = found.repartition("row").sortWithinPartitions("row", "seq", "leaf")
+    return quick.union(found.mapInArrow(assemble, "doc_id long, " + cells))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of all ``documents`` as digests; rows as ``encode`` defines them."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents")

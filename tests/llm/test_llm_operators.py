@@ -238,7 +238,7 @@ def test_bpe_tree_concatenation(vocabulary):
         s = "".join(random.choice(random.choice(al[:1] * 4 + al)) for _ in range(random.randint(1, 300)))
         s = s.replace(" ", "") if n % 3 == 0 else s + "<|endoftext|>" + s[:20]
         ids = []
-        for chunk in bpe.CHUNK.findall(s):
+        for chunk in WORD.findall(s):
             for w, special in c.words(chunk):
                 cut = bpe.halves(w, 3)
                 ids += [special] if special is not None else c.tree([c.encode_part(x, k + 1 == len(cut)) for k, x in enumerate(cut)])
@@ -247,18 +247,31 @@ def test_bpe_tree_concatenation(vocabulary):
 
 
 def test_bpe_leaves_cut_anywhere(vocabulary):
-    """Texts with white space, halved down to a few characters: every border may tear a chunk."""
+    """Texts halved down to a few characters: every border may tear a word, a character's marks or a special token. Windows grow by need."""
     c, al = bpe.codec(vocabulary), ["abcdefghijklmnopqrstuvwxyz", "the in an er on", "éàüß", "0123", "!?.,;:'s", "日本語", "İſǅ", "\u0301\x1c\x85", "<|endoftext|>", " \t\n\u3000"]
     random.seed(4)
-    torn_borders = 0
-    for _ in range(400):
+    c.windows.clear()
+    for n in range(500):
         s = "".join(random.choice(random.choice(al + al[-1:] * 3)) for _ in range(random.randint(1, 400)))
+        if n % 3 == 0:
+            s = "<|endoftext|>".join(s[k : k + 20] for k in range(0, len(s), 20))
         cut = bpe.halves(s, random.choice([1, 2, 5, 30]))
-        torn = [False] + [not x[-1] in bpe.ASCII_SPACE and not y[0] in bpe.ASCII_SPACE for x, y in zip(cut, cut[1:])]
-        torn_borders += sum(torn)
-        cells = [bpe.sealed([(x, c.ids(x)) for x in p.encode().split()]) for p in cut]
-        assert bpe.join_all(c, cells, torn) == c.packed(c.whole.encode(s, add_special_tokens=False).ids)
-    assert torn_borders > 5000
+        ids = bpe.join_all(c, [bpe.sealed([x]) for x in bpe.coded(c, cut)])
+        assert ids.tolist() == c.whole.encode(s, add_special_tokens=False).ids
+    assert sum(c.windows.values()) > 10_000 and min(c.windows) == 1 and max(c.windows) >= 8
+    assert sum(n for size, n in c.windows.items() if size > 1) > 0.2 * sum(c.windows.values())
+
+
+def test_bpe_windows_over_prose(documents, vocabulary):
+    """Borders inside words of real texts: most windows grow past the first, few far, and a piece keeps little text."""
+    c = bpe.codec(vocabulary)
+    c.windows.clear()
+    for r in documents.where("length(text) > 900").limit(60).collect():
+        pieces = [bpe.sealed([x]) for x in bpe.coded(c, bpe.halves(r.text, 400))]
+        assert all(sum(len(x.text or "") for x in p) <= 400 for p in pieces) and any(len(p) == 3 for p in pieces)
+        assert bpe.join_all(c, pieces).tolist() == c.whole.encode(r.text, add_special_tokens=False).ids
+    total = sum(c.windows.values())
+    assert c.windows[1] < 0.9 * total and sum(n for size, n in c.windows.items() if size > 64) < 0.05 * total
 
 
 def test_bpe_long_texts_take_the_tree(spark, documents, vocabulary):
@@ -269,7 +282,7 @@ def test_bpe_long_texts_take_the_tree(spark, documents, vocabulary):
     rows = cut.groupBy("row").agg(F.count("*").alias("leaves"), F.sum(F.char_length("text")).alias("n")).collect()
     long_ = [r for r in documents.collect() if len(r.text or "") > 500]
     assert len(rows) == len(long_) > 50 and sorted(r.n for r in rows) == sorted(len(r.text) for r in long_)
-    assert all(r.leaves >= 2 for r in rows) and cut.where("torn").count() > 50
+    assert all(r.leaves >= 2 for r in rows)
 
 
 def test_bpe_of_documents(spark, documents, odd, vocabulary):
