@@ -13,13 +13,14 @@ spares its term if clean texts hold it and toxic ones do not.
 from __future__ import annotations
 
 import math
+import os
 import unicodedata
 from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
@@ -27,7 +28,7 @@ from .langid import held_out
 
 #: At most this many labelled rows of either label are learned from.
 LEARNED = 3000
-#: A term that stands for all its endings has at most this many letters; a whole word may have any number.
+#: Beginnings of up to this many letters are counted at once; longer ones only where different words share them.
 STEM = 24
 #: Characters that look like a letter.
 HOMOGLYPHS = {
@@ -76,12 +77,13 @@ def fold(text: str) -> str:
     return out.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
 
 
-def terms_of(folded: str, least: int = 4, most: int = STEM) -> set[str]:
-    """Candidate terms of a text: each whole word, closed by a blank, and its beginnings of ``least`` to ``most`` letters."""
+def terms_of(folded: str, longer: dict[str, list[str]], least: int = 4) -> set[str]:
+    """Candidate terms of a text: each whole word, closed by a blank, its beginnings of ``least`` to STEM letters, and those in ``longer``, by their first STEM letters."""
     found = set()
     for w in set(folded.split()):
         found.add(f" {w} ")
-        found.update(f" {w[:n]}" for n in range(least, min(len(w), most) + 1))
+        found.update(f" {w[:n]}" for n in range(least, min(len(w), STEM) + 1))
+        found.update(f" {t}" for t in longer.get(w[:STEM], ()) if w.startswith(t))
     return found
 
 
@@ -188,8 +190,8 @@ def chosen(candidates: list[tuple[str, float]]) -> dict[str, float]:
 def learn(docs: DataFrame, labels: DataFrame, seed: int = 3) -> Lexicon:
     """A lexicon from labelled rows: ``docs`` (doc_id, text), ``labels`` (doc_id, toxic 0/1).
 
-    At most LEARNED doc_ids of either label are used, chosen by a hash of doc_id; null labels and ids are skipped, an id with
-    both labels counts as toxic, rows that repeat an id all count, a null or empty text has no terms. A
+    At most LEARNED doc_ids of either label are used, chosen by a hash of doc_id, with one text each: the smallest where rows
+    repeat an id. Null labels and ids are skipped, an id with both labels counts as toxic, a null or empty text has no terms. A
     term is taken if it marks toxic texts: by falling log-likelihood ratio, as long as no taken term begins
     with it or it with a taken one. Its weight is the log of how much likelier it is in a toxic text. Then phrases of two words around
     its hits that clean texts hold, and toxic ones next to never, become exceptions. Without labels of both kinds, empty tables
@@ -202,12 +204,44 @@ def learn(docs: DataFrame, labels: DataFrame, seed: int = 3) -> Lexicon:
     order = F.xxhash64(F.lit(seed), "doc_id")
     # two top-n cuts of ids: at most 2 * LEARNED rows, which is what the broadcast holds
     drawn = [known.where(F.col("toxic") == t).orderBy(order, "doc_id").limit(LEARNED) for t in (0, 1)]
-    sample = docs.select("doc_id", "text").join(F.broadcast(drawn[0].union(drawn[1])), "doc_id").select("text", "toxic")
+    sample = docs.select("doc_id", "text").join(F.broadcast(drawn[0].union(drawn[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     with Scratch(docs.sparkSession, "toxicity") as kept:
-        return _learn(kept.table(sample.repartition(64), "labelled"), share)
+        sample = kept.table(sample.select("text", "toxic").repartition(64), "labelled")
+        size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+        if not size.get(1) or not size.get(0):
+            return Lexicon({f" {t}": SEED_WEIGHT for t in SEED_TERMS})
+        return _learn(sample, share, size)
 
 
-def _learn(sample: DataFrame, share: dict[int, int]) -> Lexicon:
+def long_beginnings(sample: DataFrame, support: int) -> dict[str, list[str]]:
+    """Beginnings of more than STEM letters where words of the sample (``text, toxic``) part, by their first STEM letters.
+
+    Neighbours among the sorted words that share STEM letters part at all beginnings worth counting: a longer one stands for the same words
+    as the next of these. Those that at least ``support`` toxic texts can hold come back; each needs as many words or texts.
+    """
+
+    def words(batches):
+        for b in batches:
+            rows = [(w[:STEM], w, toxic) for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for w in set(fold(text or "").split()) if len(w) > STEM]
+            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32()))], names=["stem", "word", "toxic"])
+
+    def parting(batches):
+        for b in batches:
+            stems, shared = b.column(0).to_pylist(), [os.path.commonprefix(p) for p in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            rows = [(s, t) for s, t in zip(stems, shared) if len(t) > STEM]
+            yield pa.record_batch([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["stem", "term"])
+
+    held = sample.mapInArrow(words, "stem string, word string, toxic int").groupBy("stem", "word").agg(F.sum("toxic").alias("t"))
+    pairs = held.withColumn("before", F.lag("word").over(Window.partitionBy("stem").orderBy("word"))).where("before is not null").select("stem", "word", "before")
+    terms = pairs.mapInArrow(parting, "stem string, term string").distinct()
+    enough = terms.join(held, "stem").where(F.startswith("word", "term")).groupBy("stem", "term").agg(F.sum("t").alias("t")).where(F.col("t") >= support)
+    found: dict[str, list[str]] = {}
+    for r in enough.select("stem", "term").toArrow().to_pylist():
+        found.setdefault(r["stem"], []).append(r["term"])
+    return found
+
+
+def _learn(sample: DataFrame, share: dict[int, int], size: dict[int, int]) -> Lexicon:
     def counted(found_in):
         """``term, t, c``: how many toxic and clean texts of the sample hold each term."""
 
@@ -221,9 +255,10 @@ def _learn(sample: DataFrame, share: dict[int, int]) -> Lexicon:
 
         return sample.mapInArrow(count, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
 
-    T, C = min(LEARNED, share[1]), min(LEARNED, share[0])
+    T, C = size[1], size[0]
+    longer = long_beginnings(sample, max(2, T // 200))
     ratio = F.log((F.col("t") + 0.5) / (T + 1)) - F.log((F.col("c") + 0.5) / (C + 1))
-    marks = counted(lambda text: terms_of(fold(text or ""))).where((F.col("t") >= max(2, T // 200)) & (ratio > 1.5))
+    marks = counted(lambda text: terms_of(fold(text or ""), longer)).where((F.col("t") >= max(2, T // 200)) & (ratio > 1.5))
     found = marks.select("term", ratio.alias("w"), (F.col("t") * ratio).alias("gain")).toArrow().to_pylist()
     found.sort(key=lambda r: (-r["gain"], r["term"]))
     weights = chosen([(r["term"], r["w"]) for r in found])
@@ -266,6 +301,7 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> DataFram
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all ``documents``, from a lexicon learned from ``labels`` that are not held out; rows as ``score`` defines them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lexicon = learn(docs, table(spark, sf_dir, "labels").where(~held_out()))
     return score(docs.withColumn("held_out", held_out()), lexicon).select("doc_id", "held_out", "score", "predicted")
