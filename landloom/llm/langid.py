@@ -143,9 +143,10 @@ def train(labelled: DataFrame, seed: int = 11) -> Model:
         counts[i, r["grams"]] = r["ns"]
     model = Model([r["lang"] for r in found], counts)
     if len(found) > 1:
-        total = rows.groupBy("lang").agg(F.count("*").alias("of"))
+        # equal texts of a language are one: they are drawn together, and all but one are left out
+        total = rows.groupBy("lang").agg(F.approx_count_distinct("text", 0.02).alias("of"))
         drawn = F.xxhash64(F.lit(seed), "text").bitwiseAND(F.lit(2**31 - 1)) < F.lit(float(MEASURED * 2**31)) / F.col("of")
-        sample = rows.join(F.broadcast(total), "lang").where(drawn).select("lang", "text")
+        sample = rows.join(F.broadcast(total), "lang").where(drawn).select("lang", "text").distinct()
 
         def right(batches):
             for part, texts in _parts(batches):
