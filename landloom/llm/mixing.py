@@ -92,11 +92,16 @@ def _each(df: DataFrame, count: Column) -> DataFrame:
     return dealt.withColumn("number", F.explode(F.sequence(first + 1, F.least(first + CHUNK, "of")))).drop("of", "chunk")
 
 
+def _uid(docs: DataFrame) -> Column:
+    """A hash of the whole row. Maps have none; their JSON text has."""
+    plain = lambda f: F.to_json(F.struct(F.col(f"`{f.name}`").alias("v"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+    return F.xxhash64(*[plain(f) for f in sorted(docs.schema, key=lambda f: f.name)])
+
+
 def _mixed(docs: DataFrame, share: float, cap: float, weights: tuple[int, ...], fan: int, seed: int) -> DataFrame:
     """``uid, doc_id, size, n, source_size, target, copies``: for every distinct row of ``docs`` how often it repeats and how many copies its repeats get."""
-    uid = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(docs.columns)])
     sized = docs.select(
-        uid.alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source"),
+        _uid(docs).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
     # n equal rows with x copies each are one unit: they take the whole part of n * x, and the rest is for chance
@@ -154,9 +159,8 @@ def mix_documents(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights
     Null, empty and very long texts, ties, repeated rows and empty tables are as for ``mix``.
     """
     names = docs.columns
-    uid = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(names)])
     taken = materialise(_mixed(docs, share, cap, weights, fan, seed).where("copies > 0").select("uid", "n", "copies"), "mix-taken")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), uid.alias("uid"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), _uid(docs).alias("uid"))
     single = rows.join(taken.where("n = 1").drop("n"), "uid").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     repeated = taken.where("n > 1")
     if repeated.isEmpty():
