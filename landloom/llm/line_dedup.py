@@ -116,12 +116,14 @@ def _drops(docs: DataFrame, min_chars: int, min_docs: int, batches: int, fanout:
     hashed = kept.table(hashed, "line-hashes")
     cuts = hashed.agg(F.percentile_approx("doc", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
     runs, above = LineRuns(spark, fanout), None
-    for low in [*sorted(set(cuts), reverse=True), None]:
-        batch = hashed if low is None else hashed.where(F.col("doc") >= low)
-        runs.add((batch if above is None else batch.where(F.col("doc") < above)).select("doc", "h1", "h2"))
-        above = low
-    common = kept.table(runs.common(min_docs), "common-lines")
-    runs.close()
+    try:
+        for low in [*sorted(set(cuts), reverse=True), None]:
+            batch = hashed if low is None else hashed.where(F.col("doc") >= low)
+            runs.add((batch if above is None else batch.where(F.col("doc") < above)).select("doc", "h1", "h2"))
+            above = low
+        common = kept.table(runs.common(min_docs), "common-lines")
+    finally:
+        runs.close()
     drops = hashed.join(common, ["h1", "h2"]).where(F.col("doc") < F.col("keeper")).groupBy("doc", "row").agg(F.collect_set("at").alias("drop_at"))
     return materialise(drops, "dropped-lines")
 
@@ -141,20 +143,21 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     """
     spark = docs.sparkSession
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    docs = docs.select(rest)
+    docs = docs.select([F.col(f"`{c}`") for c in rest])
     with Scratch(spark, "line-dedup") as kept:
         drops = _drops(docs, min_chars, min_docs, batches, fanout, kept)
     doc, row = _doc(), _row()
-    named = docs.select(*[F.col(c).alias(f"in_{c}") for c in rest], doc.alias("doc"), row.alias("row"))
+    own = {c: f"in_{i}" for i, c in enumerate(rest)}
+    named = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in own.items()], doc.alias("doc"), row.alias("row"))
     joined = named.join(drops, ["doc", "row"], "left")
-    text = F.coalesce(F.col("in_text"), F.lit(""))
+    text = F.coalesce(F.col(own["text"]), F.lit(""))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines_of(text)) - 1), F.col("drop_at"))
     # the outer transform binds the split lines once; a plain reference would split again for each line
     rebuilt = F.transform(
         F.array(lines_of(text)), lambda ls: F.array_join(F.transform(kept, lambda i: F.get(ls, i)), "\n")
     )[0]
     return joined.select(
-        *[(F.when(F.col("drop_at").isNull(), text).otherwise(rebuilt) if c == "text" else F.col(f"in_{c}")).alias(c) for c in rest],
+        *[(F.when(F.col("drop_at").isNull(), text).otherwise(rebuilt) if c == "text" else F.col(a)).alias(c) for c, a in own.items()],
         F.size(lines_of(text)).cast("long").alias("n_lines"),
         F.coalesce(F.size("drop_at"), F.lit(0)).cast("long").alias("n_dropped"),
     )
