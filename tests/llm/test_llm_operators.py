@@ -213,7 +213,7 @@ def test_toxicity_learns_exceptions_and_long_words(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(1000 + i, 1) for i in range(60)] + [(3, 1), (None, 1), (5, None)], "doc_id long, toxic int")
     lexicon = toxicity.learn(frame, labels)
     assert any(long_.startswith(t.strip()) for t in lexicon.weights) and not {f" {long_[:n]} " for n in range(1, 60)} & set(lexicon.weights)
-    assert f" {long_} " in toxicity.terms_of(f" {long_} ") and max(len(t) for t in toxicity.terms_of(f" {long_} ") if not t.endswith(" ")) == 25
+    assert f" {long_} " in toxicity.terms_of(f" {long_} ", {}) and f" {long_[:30]}" in toxicity.terms_of(f" {long_} ", {long_[:24]: [long_[:30]]})
     assert any("vermin control" in p for p in lexicon.exceptions)
     assert lexicon.measures("call vermin control now") == (0.0, 0.0) and lexicon.score("vermin people") > 0.7 > lexicon.score("vermin control")
     assert toxicity.score(frame.limit(0), lexicon).count() == 0
@@ -231,6 +231,49 @@ def vocabulary():
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def test_toxicity_counts_an_id_once(spark):
+    """Rows that repeat one toxic id thousands of times change no term."""
+    rng = random.Random(5)
+    plain = "here plain thing words some other talk about nothing much today".split()
+    rows = [(i, " ".join(rng.choices(plain, k=12)) + (" vilecretin" if i % 2 else "")) for i in range(1, 41)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 41)], "doc_id long, toxic int")
+    once = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    often = toxicity.learn(spark.createDataFrame(rows + [rows[0]] * 4000, "doc_id long, text string"), labels)
+    assert once.weights == often.weights and once.curve == often.curve and once.exceptions == often.exceptions
+    assert any(t.strip().startswith("vile") for t in once.weights) and not set(plain) & {t.strip() for t in often.weights}
+
+
+def test_toxicity_learns_beginnings_of_any_length(spark):
+    """Words that share 40 letters, toxic with some endings; their first 24 letters are as common in clean texts."""
+    start, rng = "x" * 12 + "abcdefghijklmnopqrstuvwxyzab", random.Random(6)
+    end = lambda: "".join(rng.choices("abcdefghij", k=9))
+    rows = [(i, f"some words here {start + end() if i % 2 else start[:28] + end()} and there") for i in range(1, 121)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 121)], "doc_id long, toxic int")
+    weights = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), labels).weights
+    long_ = [t for t in weights if len(t.strip()) > 24]
+    assert len(long_) == 1 and start.startswith(long_[0].strip()) and 28 < len(long_[0].strip()) <= 40
+    assert toxicity.long_beginnings(spark.createDataFrame([(None, 1), ("", 0)], "text string, toxic int"), 2) == {}
+
+
+def test_language_samples_are_bounded(spark, monkeypatch):
+    """A text repeated very often is one text of the sample, whichever way its hash falls."""
+    monkeypatch.setattr(langid, "MEASURED", 30)
+    texts = [(f"das ist ein satz nummer {i} von vielen", "de") for i in range(200)] + [(f"this is sentence number {i} of many", "en") for i in range(200)]
+    frame = spark.createDataFrame(texts + [("immer wieder der gleiche text", "de")] * 5000, "text string, lang string")
+    model, plain = langid.train(frame), langid.train(frame.distinct())
+    assert model.languages == plain.languages == ["de", "en"] and (model.weight > 0).all()
+
+
+def test_extra_columns_with_maps_and_dots(spark):
+    docs = spark.createDataFrame([(i, f"{SHARED}\nline {i}", "a") for i in range(8)], "doc_id long, text string, source string")
+    docs = docs.withColumn("a.b", F.lit("x")).withColumn("m", F.create_map(F.lit("k"), F.array("doc_id")))
+    mixed = mixing.mix_documents(docs)
+    assert set(mixed.columns) >= {"a.b", "m"} and mixed.count() > 0
+    done = line_dedup.dedup_lines(docs)
+    assert done.columns[:5] == docs.columns and sorted(r["n_dropped"] for r in done.collect()) == [0] + [1] * 7
+    assert all(r["a.b"] == "x" and r["m"] == {"k": [r["doc_id"]]} for r in done.collect())
+
+
 def test_bpe_tree_concatenation(vocabulary):
     c, al = bpe.codec(vocabulary), ["abcdefghijklmnopqrstuvwxyz", "the in an er on", "éàüß", "0123", "!?.,;:", "日本語", "İſǅ", "́\x1c\x85", "<|endoftext|>"]
     random.seed(1)
