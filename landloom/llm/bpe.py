@@ -41,6 +41,24 @@ EDGE = 64
 BLANK = re.compile(r"[\x20\x09-\x0D]")
 
 
+class Spelling:
+    """Strings by id, to be joined by single blanks, as one table of UTF-8 bytes."""
+
+    def __init__(self, strings: list[str]):
+        parts = [b" " + s.encode("utf-8", "surrogatepass") for s in strings]
+        self.flat = np.frombuffer(b"".join(parts), np.uint8)
+        self.starts = np.cumsum([0, *map(len, parts)])
+
+    def of(self, ids: np.ndarray, block: int = 1 << 16) -> bytes:
+        out = []
+        for at in range(0, len(ids), block):
+            i = ids[at : at + block].astype(np.int64)
+            sizes = self.starts[i + 1] - self.starts[i]
+            ends = np.cumsum(sizes)
+            out.append(self.flat[np.arange(ends[-1]) + np.repeat(self.starts[i] - ends + sizes, sizes)].tobytes())
+        return b"".join(out)[1:]
+
+
 class Codec:
     """The tokenizer file and what tree concatenation needs of it."""
 
@@ -61,8 +79,8 @@ class Codec:
         self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.kind = np.uint16 if self.whole.get_vocab_size() <= 1 << 16 else np.uint32
         size = 1 + max(self.token)
-        self.shown = np.array([[str(i), self.token.get(i, "")] for i in range(size)], object)
-        self.known: dict[bytes, tuple[int, bytes, str, str]] = {}
+        self.numbers, self.spellings = (Spelling(x) for x in ([str(i) for i in range(size)], [self.token.get(i, "") for i in range(size)]))
+        self.known: dict[bytes, bytes] = {}
         self.windows: Counter[int] = Counter()  # how wide the windows of joins were in the end
 
     def _parts(self, suffix: str):
@@ -81,15 +99,16 @@ class Codec:
         return self._parts(self.suffix)
 
     def chunks(self, texts: list[list[bytes]]) -> None:
-        """Make every chunk (in UTF-8) of the lists known."""
-        new = list({c for t in texts for c in t if c not in self.known})
+        """Make the packed ids of every chunk (in UTF-8) of the lists known."""
+        every = set().union(*texts)
+        new = list(every.difference(self.known))
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-            new = list({c for t in texts for c in t})
+            new = list(every)
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             for c, e in zip(part, self.whole.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)):
-                self.known[c] = (len(e.ids), self.packed(e.ids), " ".join(map(str, e.ids)), self.decode(e.ids))
+                self.known[c] = self.packed(e.ids)
 
     def decode(self, ids) -> str:
         """As the library's decode(ids, skip_special_tokens=False) for a file without a decoder."""
@@ -170,6 +189,25 @@ def coded(c: Codec, texts: list[str]) -> list[Cell]:
     return found
 
 
+def leaf_pieces(c: Codec, texts: list[str]) -> list[list[Cell]]:
+    """Every leaf as a sealed piece. The whole leaf gives the ids; where they lie is asked for its ends alone, up to white space."""
+    whole = [np.array(e.ids, c.kind) for e in c.whole.encode_batch_fast(texts, add_special_tokens=False)]
+    cuts, ends = [], []
+    for t in texts:
+        left, back = BLANK.search(t, EDGE), BLANK.search(t[::-1], EDGE)
+        cuts.append((left.start(), len(t) - back.start()) if left and back and left.start() < len(t) - back.start() else None)
+        ends += [t[: cuts[-1][0]], t[cuts[-1][1] :]] if cuts[-1] else [t]
+    found, at = [], iter(coded(c, ends))
+    for ids, cut in zip(whole, cuts, strict=True):
+        first = next(at)
+        if cut is None:
+            found.append([first])
+            continue
+        last = next(at)
+        found.append([first, Cell(ids[len(first.ids) : len(ids) - len(last.ids)]), last])
+    return found
+
+
 def sealed(cells: list[Cell]) -> list[Cell]:
     """A piece with text at its ends only: up to the first white space that EDGE characters lie before."""
     first, last = cells[0], cells[-1]
@@ -291,10 +329,9 @@ def encode(docs: DataFrame, vocabulary: str, leaf: int = LEAF, with_ids: bool =
     cells = "n_tokens long, " + ("ids string, decoded string" if with_ids else "ids_sha256 string, decoded_sha256 string")
     names = ["n_tokens", *(["ids", "decoded"] if with_ids else ["ids_sha256", "decoded_sha256"])]
 
-    def shown(ids: str, decoded: str) -> tuple[str, str]:
-        if with_ids:
-            return ids, decoded
-        return tuple(hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in (ids, decoded))
+    def shown(c: Codec, ids: np.ndarray) -> tuple[int, str, str]:
+        both = c.numbers.of(ids), c.spellings.of(ids)
+        return len(ids), *(x.decode("utf-8", "surrogatepass") if with_ids else hashlib.sha256(x).hexdigest() for x in both)
 
     def short(batches):
         c = codec(vocabulary)
@@ -304,11 +341,8 @@ def encode(docs: DataFrame, vocabulary: str, leaf: int = LEAF, with_ids: bool =
                 # bytes split at the six ASCII white-space characters and nowhere else
                 cut = [(t or b"").split() for t in part.column(1).cast(pa.binary()).to_pylist()]
                 c.chunks(cut)
-                known, out = c.known, []
-                for chunks in cut:
-                    found = [known[x] for x in chunks]
-                    full = [x for x in found if x[0]]
-                    out.append((sum(x[0] for x in full), *shown(" ".join([x[2] for x in full]), " ".join([x[3] for x in full]))))
+                ids = c.known.__getitem__
+                out = [shown(c, np.frombuffer(b"".join(map(ids, chunks)), c.kind)) for chunks in cut]
                 yield pa.record_batch([part.column(0), *map(pa.array, zip(*out))], names=["doc_id", *names])
 
     def pieces(batches):
@@ -317,11 +351,11 @@ def encode(docs: DataFrame, vocabulary: str, leaf: int = LEAF, with_ids: bool =
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
                 kinds, texts = part.column("kind").to_pylist(), part.column("text").to_pylist()
-                runs = iter(coded(c, [t for k, t in zip(kinds, texts) if k == 0]))
+                runs = iter(leaf_pieces(c, [t for k, t in zip(kinds, texts) if k == 0]))
                 found: list[list[Cell]] = []
                 for kind, text in zip(kinds, texts):
                     if kind == 0:
-                        found.append(sealed([next(runs)]))
+                        found.append(next(runs))
                     else:
                         found.append([Cell(np.array([c.special[text]] if kind == 3 else c.encode_part(text, kind == 2), c.kind))])
                 cells = [
@@ -342,8 +376,7 @@ def encode(docs: DataFrame, vocabulary: str, leaf: int = LEAF, with_ids: bool =
                 found.append(join_all(c, [u[2] for u in unit]))
             else:
                 found.append(np.array(c.tree([u[2][0].ids.tolist() for u in unit]), c.kind))
-        ids, decoded = c.shown[np.concatenate(found)].T
-        return doc, len(ids), *shown(" ".join(ids.tolist()), " ".join(decoded.tolist()))
+        return doc, *shown(c, np.concatenate(found))
 
     def assemble(batches):
         """Pieces of one document after another, sorted, to one row each."""

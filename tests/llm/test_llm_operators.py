@@ -299,7 +299,7 @@ def test_bpe_leaves_cut_anywhere(vocabulary):
         if n % 3 == 0:
             s = "<|endoftext|>".join(s[k : k + 20] for k in range(0, len(s), 20))
         cut = bpe.halves(s, random.choice([1, 2, 5, 30]))
-        ids = bpe.join_all(c, [bpe.sealed([x]) for x in bpe.coded(c, cut)])
+        ids = bpe.join_all(c, bpe.leaf_pieces(c, cut))
         assert ids.tolist() == c.whole.encode(s, add_special_tokens=False).ids
     assert sum(c.windows.values()) > 10_000 and min(c.windows) == 1 and max(c.windows) >= 8
     assert sum(n for size, n in c.windows.items() if size > 1) > 0.2 * sum(c.windows.values())
@@ -310,7 +310,7 @@ def test_bpe_windows_over_prose(documents, vocabulary):
     c = bpe.codec(vocabulary)
     c.windows.clear()
     for r in documents.where("length(text) > 900").limit(60).collect():
-        pieces = [bpe.sealed([x]) for x in bpe.coded(c, bpe.halves(r.text, 400))]
+        pieces = bpe.leaf_pieces(c, bpe.halves(r.text, 400))
         assert all(sum(len(x.text or "") for x in p) <= 400 for p in pieces) and any(len(p) == 3 for p in pieces)
         assert bpe.join_all(c, pieces).tolist() == c.whole.encode(r.text, add_special_tokens=False).ids
     total = sum(c.windows.values())
