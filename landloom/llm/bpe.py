@@ -34,8 +34,8 @@ from .common import table
 
 #: Texts of more characters than this are split into leaves of at most this many.
 LEAF = 4096
-#: Chunks that a task remembers before it starts its table anew.
-REMEMBERED = 200_000
+#: Chunks that a Python worker remembers before it starts its table anew, some 150 MB.
+REMEMBERED = 800_000
 #: Characters of text, about, that a piece keeps at either end for windows; more, up to the next white space.
 EDGE = 64
 BLANK = re.compile(r"[\x20\x09-\x0D]")
