@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from landloom.functions import geo
 from landloom.plans.edits import unit
+from landloom.session import checkpointed
 
 from .raster import Grid
-from .spatial import within_distance
+from .spatial import cell, covering, within_distance
 
 
 def fill_voids(cells: DataFrame, missing: DataFrame, reaches: tuple[int, ...] = (2, 4, 8)) -> DataFrame:
@@ -93,3 +98,72 @@ def numbered_ids(staged: DataFrame, base: Column, order: str) -> DataFrame:
 
     n = F.row_number().over(Window.partitionBy("base").orderBy(order))
     return staged.withColumn("base", base).withColumn("entity_id", F.when(n == 1, F.col("base")).otherwise(F.concat(F.col("base"), F.lit("-"), n.cast("string")))).drop("base")
+
+
+#: A trunk this far inside an outline (m) is removed; sweeps over all outlines; trunks clear an outline by this, and by 5 mm more.
+DEEP, SWEEPS, TRUNK, SLACK = 1.5, 8, 0.3, 0.005
+
+
+def _cleared(rings: list[tuple[list[tuple[float, float]], float]], x: float, y: float, radius: float, crowns: bool) -> tuple[float, float] | None:
+    """Where a stem ends up among outlines with margins; None if it stands deep inside one or is never clear of all."""
+    for _ in range(SWEEPS):
+        moved = False
+        for ring, margin in rings:
+            best, odd = None, False
+            for (ax, ay), (bx, by) in zip(ring, ring[1:], strict=False):
+                dx, dy = bx - ax, by - ay
+                size = dx * dx + dy * dy
+                t = min(1.0, max(0.0, ((x - ax) * dx + (y - ay) * dy) / size)) if size else 0.0
+                d = math.hypot(x - ax - t * dx, y - ay - t * dy)
+                if best is None or d < best[0]:
+                    best = d, ax + t * dx, ay + t * dy
+                if (by > y) != (ay > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
+                    odd = not odd
+            d, px, py = best
+            clear = margin + (radius if crowns else TRUNK)
+            if odd and d > DEEP:
+                return None
+            if odd or d < clear:
+                out = (clear + SLACK) / (d or 1e-9) * (-1 if odd else 1)
+                x, y, moved = px + (x - px) * out, py + (y - py) * out, True
+        if not moved:
+            return x, y
+    return None
+
+
+def clear_of_buildings(stems: DataFrame, buildings: DataFrame, crowns: bool = True, reach: float = 40.0) -> DataFrame:
+    """``id, x, y, moved``: stems (``id, x, y, radius``) pushed out of buildings (``building_id, ring, margin``); those that cannot be are left out.
+
+    A stem meets the outlines within ``reach`` of it, in order of ``building_id``, in up to SWEEPS sweeps; each pushes it to the nearest edge and its
+    clearance beyond. One deep inside, or never clear, is removed. A stem pushed further than half of ``reach`` meets the outlines around its new place, until none is.
+    """
+    rings = buildings.select("building_id", "ring", F.col("margin").cast("double").alias("margin"))
+    kind = stems.schema["id"].dataType.simpleString()
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for i, x, y, radius, near in zip(f["id"], f["x"], f["y"], f["radius"], f["near"], strict=True):
+                outlines = [([(p["x"], p["y"]) for p in n["ring"]], n["margin"]) for n in near]
+                at = _cleared(outlines, x, y, radius, crowns) if outlines else (x, y)
+                if at is not None:
+                    out.append((i, *at, radius, math.hypot(at[0] - x, at[1] - y)))
+            yield pd.DataFrame(out, columns=["id", "x", "y", "radius", "step"])
+
+    open_ = stems.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.coalesce(F.col("radius").cast("double"), F.lit(0.0)).alias("radius"), F.lit(False).alias("moved"))
+    done = None
+    box = geo.bbox(F.col("ring"))
+    while True:
+        around = covering(rings, F.struct(*[(box[n] + s * reach).alias(n) for n, s in (("min_x", -1), ("min_y", -1), ("max_x", 1), ("max_y", 1))]), reach)
+        met = open_.withColumn("cx", cell(F.col("x"), reach)).withColumn("cy", cell(F.col("y"), reach)).join(around, ["cx", "cy"])
+        met = met.where((geo.path_distance(F.col("x"), F.col("y"), F.col("ring")) <= reach) | geo.in_ring(F.col("x"), F.col("y"), F.col("ring")))
+        met = met.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("building_id", "ring", "margin"))).alias("near"))
+        asked = open_.join(met, "id", "left").withColumn("near", F.coalesce("near", F.array().cast(met.schema["near"].dataType)))
+        was = open_.select(F.col("id").alias("of"), F.col("moved").alias("before"))
+        found = asked.select("id", "x", "y", "radius", "near").mapInPandas(run, f"id {kind}, x double, y double, radius double, step double")
+        found = checkpointed(found.join(was, F.col("id") == F.col("of")).select("id", "x", "y", "radius", "step", (F.col("before") | (F.col("step") > 0)).alias("moved")))
+        near = found.where(F.col("step") <= reach / 2).select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "moved")
+        done = near if done is None else done.union(near)
+        open_ = found.where(F.col("step") > reach / 2).drop("step")
+        if open_.isEmpty():
+            return done

@@ -123,3 +123,16 @@ def islands(series: DataFrame, key: str, order: str, flag: Column) -> DataFrame:
     start = F.coalesce(F.col("flag") != F.lag("flag").over(w), F.lit(True)).cast("int")
     runs = marked.withColumn("start", start).withColumn("run", F.sum("start").over(w))
     return runs.groupBy(key, "run").agg(F.first("flag").alias("flag"), F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).drop("run")
+
+
+def last_at(index: DataFrame, probes: DataFrame, key: str, time: str, value: str, probe_id: str) -> DataFrame:
+    """``probe_id, at, value``: of each probe (``probe_id, key, time``) the last row of ``index`` (``key, time, value``) not after it; null if there is none.
+
+    Both sides are one sorted stream per key, so a probe costs its place in it. Of rows at one time the largest value counts.
+    """
+    rows = index.where(F.col(time).isNotNull()).groupBy(key, time).agg(F.max(value).alias("value"))
+    rows = rows.select(key, F.col(time).alias("t"), F.lit(0).alias("side"), F.struct(F.col(time).alias("at"), "value").alias("row"), F.lit(None).cast(probes.schema[probe_id].dataType).alias(probe_id))
+    asked = probes.select(key, F.col(time).alias("t"), F.lit(1).alias("side"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"), probe_id)
+    before = Window.partitionBy(key).orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.union(asked).withColumn("row", F.last("row", ignorenulls=True).over(before)).where("side = 1")
+    return found.select(probe_id, "row.at", "row.value")

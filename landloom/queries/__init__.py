@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fuel, geometry, ground, hydro, ingest, land, layers, live, places, plan, process, scenario, water, weather, wildfire
+from . import fuel, geometry, ground, hydro, ingest, land, layers, live, places, plan, process, scenario, tools, water, weather, wildfire
 
-MODULES = (land, ground, weather, live, plan, scenario, layers, process, places, fuel, water, hydro, geometry, ingest, wildfire)
+MODULES = (land, ground, weather, live, plan, scenario, layers, process, places, fuel, water, hydro, geometry, ingest, wildfire, tools)
 
 
 def queries() -> dict:
