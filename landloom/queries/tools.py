@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from landloom import views as V
 from landloom.operators import packets as P
-from landloom.operators import stems, tools
+from landloom.operators import stems, survey, tools
 from landloom.operators import telemetry as T
 
 from .ground import GRID
@@ -87,3 +87,20 @@ def n19_table_functions(spark, d):
     return spark.sql("""select 'found' as tool, entity_id as name, round(distance, 6) as value from find_entities('supplier', 100, -50, 900)
         union all select 'summary', kind, cast(n as double) from region_summary(0, 0, 700)
         union all select 'sight', if(visible, 'visible', 'hidden'), round(clearance, 6) from can_see(-300, 310, 300, 210)""")
+
+
+_SURVEY = """staged as (select user_id as id, max((case when value < 20 then user_id * 10 else user_id * 10 + 1 end, user_id * 3, case when event_type = 'error' then 'gone' else 'alive' end, case when event_type <> 'view' then event_type end)) as r from events group by 1),
+  s as (select id, r[1] as x, r[3] as status, r[4] as name from staged), l as (select c_custkey as id, c_custkey * 10 as x, case when c_nationkey = 3 then 'dead' else 'alive' end as status, 'signup' as name from customer)"""
+
+
+@query(f"""with {_SURVEY} select coalesce(s.id, l.id) as id, case when s.id is null then 'absent' when s.status = 'gone' and (l.id is null or l.status = 'dead') then 'unchanged' when s.status = 'gone' then 'retired' when l.id is null or l.status = 'dead' then 'created'
+  when s.x <> l.x then 'moved' when s.name is not null and s.name <> l.name then 'updated' else 'unchanged' end as change from s full join l on s.id = l.id""")
+def a13_survey_changes(spark, d):
+    """Users as a survey saw them in events against the customers that the store has."""
+    u = F.col("user_id")
+    staged = V.table(spark, d, "events").select(
+        u.alias("id"), F.when(F.col("value") < 20, u * 10).otherwise(u * 10 + 1).cast("double").alias("x"), (u * 3).cast("double").alias("y"), F.when(F.col("event_type") == "error", "gone").otherwise("alive").alias("status"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("name"),
+    )
+    k = F.col("c_custkey").cast("long")
+    latest = V.table(spark, d, "customer").select(k.alias("id"), (k * 10).cast("double").alias("x"), (k * 3).cast("double").alias("y"), F.when(F.col("c_nationkey") == 3, "dead").otherwise("alive").alias("status"), F.lit("signup").alias("name"))
+    return survey.classify(staged, latest, ["name"]).select("id", "change")
