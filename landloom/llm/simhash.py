@@ -238,6 +238,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFram
 LEADERS = 128
 #: Parities kept of a set: a bound on how much two sets differ, without the sets.
 PARITY = 512
+#: Parities that a candidate pair is judged by before its sets are looked up.
+WIDE = 8192
 #: Counters of the table of frequent shingles; they set the order of shingles, never the result.
 COUNTERS = 1 << 20
 
@@ -282,12 +284,27 @@ def frequent_shingles(docs: DataFrame, words: int, seed: int) -> np.ndarray:
     return level
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The ``a, b`` pairs whose shingle sets have at least this Jaccard similarity."""
+def parities(codes: np.ndarray, n: int) -> np.ndarray:
+    """How many codes fall on each of ``n`` places, as bits: odd or even."""
+    odd = np.bincount((codes.view(np.uint64) >> np.uint64(32)).astype(np.int64) % n, minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float, kept: Scratch) -> DataFrame:
+    """The ``a, b`` pairs whose shingle sets have at least this Jaccard similarity.
+
+    ``sets`` has ``node, size, wide, shingles``. Two sets differ in at least as many members as in parities: a pair with more of those than its sizes
+    allow members is out, and only the others move their sets.
+    """
+    mark = lambda n: sets.select(F.col("node").alias(n), F.struct("size", "wide").alias("x" + n))
+    x, y = F.col("xa"), F.col("xb")
+    turned = F.aggregate(F.zip_with(x["wide"], y["wide"], lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
+    allowed = F.lit((1 - similarity) / (1 + similarity)) * (x["size"] + y["size"]) + F.lit(1e-6)
+    asked = kept.table(pairs.join(mark("a"), "a").join(mark("b"), "b").where(turned <= allowed).select("a", "b").distinct(), "judged-pairs")
     one, other = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     enough = both / (F.size("sa") + F.size("sb") - both) >= F.lit(similarity)
-    return pairs.join(one, "a").join(other, "b").where(enough).select("a", "b").distinct()
+    return asked.join(one, "a").join(other, "b").where(enough).select("a", "b").distinct()
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
@@ -340,8 +357,7 @@ def _similar(docs: DataFrame, words: int, similarity: float, seed: int, kept: Sc
                 x = ordered(code).view(np.int64)
                 sizes.append(len(x))
                 keys.append(x[: prefix_length(len(x), similarity)] if len(x) else x)
-                odd = np.bincount((x.view(np.uint64) >> np.uint64(32)).astype(np.int64) % PARITY, minlength=PARITY) & 1
-                parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                parity.append(parities(x, PARITY))
             same = np.array(same, np.uint64).reshape(-1, 2).view(np.int64)
             fps = np.array(fps, np.uint64).view(np.int64)
             parity = np.array(parity, np.int64).reshape(-1, PARITY // 64)
@@ -374,15 +390,16 @@ def _similar(docs: DataFrame, words: int, similarity: float, seed: int, kept: Sc
 
     def shingle(batches):
         for b in batches:
-            yield pa.record_batch([b.column(0), lists([np.unique(shingle_codes(words_of(t.as_py()), words, seed)).view(np.int64) for t in b.column(1)])], names=["node", "shingles"])
+            codes = [np.unique(shingle_codes(words_of(t.as_py()), words, seed)).view(np.int64) for t in b.column(1)]
+            yield pa.record_batch([b.column(0), pa.array([len(c) for c in codes], pa.int32()), lists([parities(c, WIDE) for c in codes]), lists(codes)], names=["node", "size", "wide", "shingles"])
 
     texts = docs.select(doc.alias("node"), "text").where(F.col("text").isNotNull())
-    sets = docs.sparkSession.createDataFrame([], "node long, shingles array<long>")
+    sets = docs.sparkSession.createDataFrame([], "node long, size int, wide array<long>, shingles array<long>")
 
     def with_sets(sets: DataFrame, pairs: DataFrame) -> DataFrame:
         """``sets`` and those of further nodes of the pairs; rows that repeat a doc_id speak for one node, each with its own."""
         asked = pairs.select("a").union(pairs.select("b")).toDF("node").distinct().join(sets.select("node"), "node", "left_anti")
-        new = texts.join(asked, "node", "left_semi").mapInArrow(shingle, "node long, shingles array<long>")
+        new = texts.join(asked, "node", "left_semi").mapInArrow(shingle, "node long, size int, wide array<long>, shingles array<long>")
         new = new.withColumn("same", F.xxhash64("shingles")).dropDuplicates(["node", "same"]).drop("same")
         return sets.union(kept.table(new, "shingle-sets"))
 
@@ -413,7 +430,7 @@ def _similar(docs: DataFrame, words: int, similarity: float, seed: int, kept: Sc
         found_any = not pairs.isEmpty()
         if found_any:
             sets = with_sets(sets, pairs)
-            new = kept.table(_alike(pairs, sets, similarity), "links")
+            new = kept.table(_alike(pairs, sets, similarity, kept), "links")
         rest = open_.withColumn("led", F.col("x.node")).join(leaders.select("key", F.col("x.node").alias("led")), ["key", "led"], "left_anti")
         if found_any and not new.isEmpty():
             for end in "ab":
