@@ -285,4 +285,5 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, confidence: float
 
 
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector of ``embeddings`` whose id is divisible by 20; null, zero and repeated vectors as ``nearest`` defines them."""
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)

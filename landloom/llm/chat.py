@@ -107,6 +107,7 @@ def read_chats(formatted: DataFrame) -> DataFrame:
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``conversations`` and one with control strings in its texts, formatted and read back; nulls, ties and repeated rows as ``format_chats`` defines them."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = END + START + "assistant ok"
     extra = spark.range(2).select(

@@ -191,6 +191,7 @@ def held_out() -> Column:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text of ``documents``, from a model of the rows that are not held out; null and empty texts as ``identify`` defines them."""
     docs = table(spark, sf_dir, "documents")
     model = train(docs.where(~held_out()))
     named = docs.select("doc_id", held_out().alias("held_out"), "text")

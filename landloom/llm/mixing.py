@@ -172,5 +172,6 @@ def mix_documents(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes from every row of ``documents``; null, empty and repeated rows as ``mix`` defines them."""
     docs = table(spark, sf_dir, "documents")
     return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

@@ -174,5 +174,6 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and the verdict of the rules for every whole text of ``documents``; null, empty and very long texts and repeated rows as ``judge`` defines them."""
     judged = judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")

@@ -467,5 +467,6 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all ``documents``; texts without words, null ids and repeated rows as ``near_duplicates`` defines them."""
     docs = table(spark, sf_dir, "documents")
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -162,6 +162,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record per row of ``pages``, written to an archive and read back; nulls, equal payloads and empty tables as ``write_archive`` defines them."""
     pages = table(spark, sf_dir, "pages")
     path = shared_path(spark, "warc")
     write_archive(pages.select(F.col("page_id").cast("long").alias("record_id"), F.col("url").alias("uri"), F.col("html").cast("binary").alias("payload")), path)
