@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 
 #: Projected dimensions; even, for the closed form of the chi-square distribution.
-DIMS = 16
+DIMS = 32
 #: At most this many projections fit the tree.
 SAMPLE = 20_000
 #: Vectors of a block, of a leaf of its tree, and queries of a chunk, about.
