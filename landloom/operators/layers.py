@@ -170,12 +170,13 @@ def path_offsets(points: DataFrame, paths: DataFrame, point_id: str, path_id: st
 
 
 def crowding(points: DataFrame, r: float, point_id: str) -> DataFrame:
-    """``point_id, n``: other points within ``r`` of each point, those without any included."""
-    from .spatial import within_distance
+    """``point_id, n``: other points within ``r`` of each point, those without any included. Ids are unique; places are counted once for all their points."""
+    from .spatial import dealt, within_distance
 
-    other = points.select(F.col(point_id).alias("other"), F.col("x").alias("rx"), F.col("y").alias("ry"))
-    n = within_distance(points, other, r).where(F.col(point_id) != F.col("other")).groupBy(point_id).agg(F.count("*").alias("n"))
-    return points.select(point_id).join(n, point_id, "left").select(point_id, F.coalesce("n", F.lit(0)).alias("n"))
+    places = points.groupBy("x", "y").agg(F.count("*").alias("here"))
+    other = places.select(F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("here").alias("there"))
+    n = within_distance(places, other, r).groupBy("x", "y").agg((F.sum("there") - 1).alias("n"))
+    return points.select(point_id, "x", "y").join(dealt(n), ["x", "y"], "left").select(point_id, F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def box_pairs(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
