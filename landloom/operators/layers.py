@@ -94,14 +94,16 @@ def fallback(points: DataFrame, rings: list[tuple[DataFrame, Grid]]) -> DataFram
 
 
 def point_slopes(points: DataFrame, cells: DataFrame, grid: Grid, point_id: str, step: float = 2.0) -> DataFrame:
-    """``point_id, slope`` in degrees from heights ``step`` to all four sides; points with a height missing are left out."""
+    """``point_id, slope`` in degrees from heights ``step`` to all four sides; points with a height missing are left out. Points at one place are asked for once."""
     from .raster import bilinear
+    from .spatial import at_places
 
     sides = F.array(*[F.struct(F.lit(n).alias("side"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for n, dx, dy in (("e", step, 0.0), ("w", -step, 0.0), ("n", 0.0, step), ("s", 0.0, -step))])
-    four = points.select(point_id, "x", "y", F.explode(sides).alias("o")).select(F.struct(F.col(point_id).alias("of"), F.col("o.side").alias("side")).alias("probe"), (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"))
+    four = points.select("x", "y").distinct().select("x", "y", F.explode(sides).alias("o")).select(F.struct("x", "y", F.col("o.side").alias("side")).alias("probe"), (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"))
     at = lambda s: F.max(F.when(F.col("probe.side") == s, F.col("v")))
-    h = bilinear(four, cells, grid, "probe").groupBy(F.col("probe.of").alias(point_id)).agg(*[at(s).alias(s) for s in "ewns"]).dropna()
-    return h.select(point_id, F.degrees(F.atan(F.hypot((F.col("e") - F.col("w")) / (2 * step), (F.col("n") - F.col("s")) / (2 * step)))).alias("slope"))
+    h = bilinear(four, cells, grid, "probe").groupBy("probe.x", "probe.y").agg(*[at(s).alias(s) for s in "ewns"]).dropna()
+    slope = h.select("x", "y", F.degrees(F.atan(F.hypot((F.col("e") - F.col("w")) / (2 * step), (F.col("n") - F.col("s")) / (2 * step)))).alias("slope"))
+    return at_places(points.select(point_id, "x", "y"), slope).select(point_id, "slope")
 
 
 def canopy(stems: DataFrame, grid: Grid) -> DataFrame:

@@ -52,7 +52,7 @@ def bilinear(points: DataFrame, cells: DataFrame, grid: Grid, point_id: str) ->
     corner = lambda dr, dc, w: F.struct((r + dr).alias("row"), (c + dc).alias("col"), w.alias("w"))
     four = F.array(corner(0, 0, (1 - fu) * (1 - ft)), corner(0, 1, fu * (1 - ft)), corner(1, 0, (1 - fu) * ft), corner(1, 1, fu * ft))
     want = points.select(point_id, F.explode(four).alias("k")).select(point_id, "k.*").where("w > 0")
-    found = want.join(cells.where("v is not null").select("row", "col", "v"), ["row", "col"])
+    found = want.join(cells.where("v is not null").select("row", "col", "v").hint("merge"), ["row", "col"])
     return found.groupBy(point_id).agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"))
 
 
