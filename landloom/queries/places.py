@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from landloom import views as V
 from landloom.functions import climate as C
 from landloom.functions import fire, geo, sky
-from landloom.operators import filters, raster, spatial, stems, store
+from landloom.operators import filters, raster, stems, store
 
 from .layers import GRID
 from .layers import stems as stem_rows
@@ -190,8 +190,7 @@ def k15_crown_conflicts(spark, d):
     """Crowns that reach into a footprint of 4.6 m around each site, of the stems within 30 m."""
     k = F.col("s_suppkey").cast("long")
     site = V.table(spark, d, "supplier").select("s_suppkey", (k * 41 % 500 - 250).cast("double").alias("x"), (k * 67 % 500 - 250).cast("double").alias("y"))
-    near = spatial.within_distance(site, stem_rows(spark, d).select(F.col("x").alias("rx"), F.col("y").alias("ry"), "radius"), 30.0)
-    return near.groupBy("s_suppkey").agg(F.count_if(F.sqrt("d2") <= 4.6 + F.col("radius")).alias("conflicts"))
+    return stems.crown_conflicts(site, stem_rows(spark, d).select(F.col("x").alias("rx"), F.col("y").alias("ry"), "radius"), "s_suppkey", 4.6, 30.0)
 
 
 @query("select o_orderkey, round(greatest(sin(radians(e)) * cos(radians(t)) + cos(radians(e)) * sin(radians(t)) * cos(radians(a - f)), 0), 9) as cosine from (select o_orderkey, o_orderkey % 90 as e, o_custkey % 360 as a, o_orderkey % 60 as t, o_custkey * 7 % 360 as f from orders)")
