@@ -275,7 +275,7 @@ def distance_field(cells: DataFrame, seed: Column, size: float) -> DataFrame:
     """``row, col, distance``: from each cell's centre to the nearest cell where ``seed`` holds, exactly; null if there is none.
 
     Two passes, linear in the cells of the bounding box: windows give the nearest seed of a cell's column, the lower envelope of parabolas
-    along each row the nearest of all. A task holds one row of cells at a time; a missing cell has no distance.
+    along each row the nearest of all. A task holds one row of cells at a time, or several of about 65,536 cells; a missing cell has no distance.
     """
     known = cells.select("row", "col", F.coalesce(seed, F.lit(False)).alias("seed"))
     box = known.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()
@@ -283,21 +283,24 @@ def distance_field(cells: DataFrame, seed: Column, size: float) -> DataFrame:
         return known.select("row", "col", F.lit(None).cast("double").alias("distance"))
     wide, i = box[3] - box[2] + 1, F.col("id")
     frame = cells.sparkSession.range((box[1] - box[0] + 1) * wide).select((F.floor(i / wide) + box[0]).alias("row"), (i % wide + box[2]).alias("col"))
-    marked = frame.join(known, ["row", "col"], "left").select("row", "col", F.col("seed").isNotNull().alias("have"), F.coalesce("seed", F.lit(False)).alias("seed"))
+    marked = frame.join(known.hint("merge"), ["row", "col"], "left").select("row", "col", F.col("seed").isNotNull().alias("have"), F.coalesce("seed", F.lit(False)).alias("seed"))
     up = Window.partitionBy("col").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy("col").orderBy("row").rowsBetween(0, Window.unboundedFollowing)
+    down = Window.partitionBy("col").orderBy(F.desc("row")).rowsBetween(Window.unboundedPreceding, 0)  # a frame to the end would be read anew for every row
     own = F.when(F.col("seed"), F.col("row"))
     gap = F.least(F.col("row") - F.max(own).over(up), F.min(own).over(down) - F.col("row"))
     columns = marked.select("row", "col", "have", gap.alias("gap"))
 
     def along(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("col")
-        near = f["gap"].notna().to_numpy()
-        at = f["col"].to_numpy(float)
+        f = f.sort_values(["row", "col"])
+        near, at, gap = f["gap"].notna().to_numpy(), f["col"].to_numpy(float), f["gap"].to_numpy(float)
         found = np.full(len(f), np.nan)
-        if near.any():
-            found = np.sqrt(_envelope(at[near], f["gap"].to_numpy(float)[near] ** 2, at)) * size
+        starts = np.flatnonzero(np.diff(f["row"].to_numpy(), prepend=f["row"].iloc[0] - 1))
+        for s in np.split(np.arange(len(f)), starts[1:]):
+            n = s[near[s]]
+            if len(n):
+                found[s] = np.sqrt(_envelope(at[n], gap[n] ** 2, at[s])) * size
         return pd.DataFrame({"row": f["row"], "col": f["col"], "distance": found})[f["have"].to_numpy()]
 
-    found = columns.groupBy("row").applyInPandas(along, "row long, col long, distance double")
+    rows = F.floor(F.col("row") / max(1, 65536 // wide)).alias("rows")
+    found = columns.groupBy(rows).applyInPandas(along, "row long, col long, distance double")
     return found.withColumn("distance", F.when(~F.isnan("distance"), F.col("distance")))

@@ -151,3 +151,11 @@ def test_distance_field_equals_brute_force(spark):
     assert shapes.distance_field(cells, F.col("s"), 5.0).count() == len(rows)
     assert {x.distance for x in shapes.distance_field(cells, F.lit(None).cast("boolean"), 5.0).collect()} == {None}
     assert shapes.distance_field(cells.limit(0), F.col("s"), 5.0).count() == 0
+
+
+def test_no_frame_of_the_distance_field_runs_to_the_end(spark):
+    """A frame up to the end of a column is read anew for each of its rows."""
+    cells = spark.range(3000).selectExpr("id as row", "id % 2 as col", "id % 1000 = 7 as s")
+    found = shapes.distance_field(cells, F.col("s"), 5.0)
+    assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert {(x.row, x.distance) for x in found.where("row in (2, 7, 506, 508, 2999)").collect()} == {(2, 5 * 26**0.5), (7, 0.0), (506, 5 * (499**2 + 1) ** 0.5), (508, 5 * (499**2 + 1) ** 0.5), (2999, 5 * 992.0)}
