@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from landloom import views as V
 from landloom.functions import climate as C
 from landloom.functions import fire, geo, sky
-from landloom.operators import filters, raster, stems, store
+from landloom.operators import filters, raster, spatial, stems, store
 
 from .layers import GRID
 from .layers import stems as stem_rows
@@ -72,15 +72,8 @@ def b25_visible_devices(spark, d):
   o as (select *, sign((bx-ax)*(cy-ay)-(by_-ay)*(cx-ax)) as o1, sign((bx-ax)*(dy-ay)-(by_-ay)*(dx-ax)) as o2, sign((dx-cx)*(ay-cy)-(dy-cy)*(ax-cx)) as o3, sign((dx-cx)*(by_-cy)-(dy-cy)*(bx-cx)) as o4 from pr)
 select one, other from o group by 1, 2 having bool_or(o1 * o2 < 0 and o3 * o4 < 0)""")
 def c11_crossing_paths(spark, d):
-    """Pairs of polylines that cross, by the boxes of their segments first: distance 0."""
-    seg = V.streams(spark, d).select("stream_id", F.explode(geo.edges(F.col("path"))).alias("e"))
-    box = lambda: F.struct(F.least("e.a.x", "e.b.x").alias("min_x"), F.least("e.a.y", "e.b.y").alias("min_y"), F.greatest("e.a.x", "e.b.x").alias("max_x"), F.greatest("e.a.y", "e.b.y").alias("max_y"))
-    from landloom.operators.layers import box_pairs
-
-    left = seg.select(F.col("stream_id").alias("one"), "e", box().alias("box"))
-    right = seg.select(F.col("stream_id").alias("other"), F.col("e").alias("f"), box().alias("rbox"))
-    crossed = geo.segments_cross(F.col("e.a"), F.col("e.b"), F.col("f.a"), F.col("f.b"))
-    return box_pairs(left, right, 2000.0).where(F.col("one") < F.col("other")).where(crossed).select("one", "other").distinct()
+    """Pairs of polylines that cross: distance 0."""
+    return spatial.crossings(V.streams(spark, d), "stream_id")
 
 
 @query(V.sql("terrain", "classes") + f""", {_P}, c as (select row, col, -320 + (col + 0.5) * 10.0::double as cx, 320 - (row + 0.5) * 10.0::double as cy from classes where v = 4),
