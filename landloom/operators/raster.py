@@ -117,8 +117,9 @@ def totals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def roots(edges: DataFrame) -> DataFrame:
-    """``c, root, steps`` for every node with an edge in a forest of ``c, t``: the last node downstream and how many edges away; by doubling."""
-    far = checkpointed(edges.select("c", F.col("t").alias("root"), F.lit(1).cast("long").alias("steps")))
+    """``c, root, steps`` for every node with an edge in a forest of ``c, t``: the last node downstream and how many edges away, or the sum of their ``steps`` if edges have such; by doubling."""
+    steps = F.col("steps") if "steps" in edges.columns else F.lit(1)
+    far = checkpointed(edges.select("c", F.col("t").alias("root"), steps.cast("long").alias("steps")))
     while True:
         ahead = far.select(F.col("c").alias("root"), F.col("root").alias("next"), F.col("steps").alias("more"))
         far = checkpointed(far.join(ahead, "root", "left").select("c", F.coalesce("next", "root").alias("root"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").isNotNull().alias("moved")))

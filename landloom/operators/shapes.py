@@ -20,7 +20,7 @@ from landloom.functions import geo
 from landloom.session import checkpointed
 
 from .raster import roots
-from .spatial import cell, covering
+from .spatial import cell, covering, dealt, touched
 
 #: Points nearer than this are one point.
 TOUCH = 1e-7
@@ -33,6 +33,42 @@ def _key(v: Column) -> Column:
     return F.round(v / TOUCH / 8).cast("long")
 
 
+#: About so many edges of a tile are chained in one task, before chains of all tiles are linked.
+TILE = 100_000
+
+
+def _chained(edges: pa.Table) -> pa.Table:
+    """Edges of a tile (``id, to``) with their ``chain``, named by its first edge, and place in it. A ring inside the tile begins at its smallest edge and is ``closed``.
+
+    At place 0 stand the chain's ``size``, the edge it goes on with (``out``), its ``least`` edge and the place of that (``first``).
+    """
+    ids, to = edges["id"].to_numpy(), edges["to"].to_numpy()
+    order = np.argsort(ids)
+    at = np.minimum(np.searchsorted(ids[order], to), len(ids) - 1)
+    next_ = np.where(ids[order][at] == to, order[at], -1)
+    headed = np.ones(len(ids), bool)
+    headed[next_[next_ >= 0]] = False
+    steps, seen = next_.tolist(), bytearray(len(ids))
+    chain, off = [0] * len(ids), [0] * len(ids)
+    closed, size, least, first, out = np.zeros(len(ids), bool), *np.zeros((4, len(ids)), np.int64)
+    number, goal = ids.tolist(), to.tolist()
+    # chains that come from elsewhere first; what is then left are rings, met at their smallest edge
+    for start in [*np.flatnonzero(headed).tolist(), *order.tolist()]:
+        if seen[start]:
+            continue
+        k, n, low, low_at = start, 0, number[start], 0
+        while k >= 0 and not seen[k]:
+            seen[k], chain[k], off[k] = 1, start, n
+            if number[k] < low:
+                low, low_at = number[k], n
+            last, k, n = k, steps[k], n + 1
+        closed[start] = k == start
+        size[start], least[start], first[start], out[start] = n, low, low_at, goal[last]
+    head = np.array(chain)
+    columns = {"closed": closed[head], "chain": ids[head], "off": np.array(off, np.int64), "size": size, "out": out, "least": least, "first": first}
+    return pa.table({"group": edges["group"], "x": edges["x1"], "y": edges["y1"], **columns})
+
+
 def rings(edges: DataFrame) -> DataFrame:
     """``group, ring, seq, x, y``: the corners of all rings that directed edges (``group, x1, y1, x2, y2``) form, from 0, without the closing one.
 
@@ -45,23 +81,37 @@ def rings(edges: DataFrame) -> DataFrame:
     after = e.select("group", F.col("sx").alias("ex"), F.col("sy").alias("ey"), F.col("id").alias("to"), (F.col("x2") - F.col("x1")).alias("ux"), (F.col("y2") - F.col("y1")).alias("uy"))
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     turn = F.atan2(dx * F.col("uy") - dy * F.col("ux"), dx * F.col("ux") + dy * F.col("uy"))
-    next_ = e.join(after, ["group", "ex", "ey"]).groupBy("id").agg(F.max(F.struct(turn.alias("turn"), (-F.col("to")).alias("m"))).alias("b")).select(F.col("id").alias("c"), (-F.col("b.m")).alias("t"))
-    next_ = checkpointed(next_)
-    # the smallest number among the next 2^k edges, until nothing gets smaller
-    least = checkpointed(next_.select("c", "t", F.least("c", "t").alias("ring")))
+    next_ = e.join(dealt(after), ["group", "ex", "ey"]).groupBy("id").agg(F.max(F.struct(turn.alias("turn"), (-F.col("to")).alias("m"))).alias("b")).select("id", (-F.col("b.m")).alias("to"))
+    at = e.agg(F.count("*"), F.min("x1"), F.max("x1"), F.min("y1"), F.max("y1")).first()
+    tiles, w, h = -(-at[0] // TILE) or 1, *((at[2] - at[1], at[4] - at[3]) if at[0] else (0.0, 0.0))
+    side = max(math.sqrt(w * h / tiles), w / tiles, h / tiles, 1e-3)
+    tile = [cell(F.col("x1"), side).alias("cx"), cell(F.col("y1"), side).alias("cy"), F.pmod(F.xxhash64("group"), F.lit(16)).alias("salt")]
+    members = e.select("id", "group", "x1", "y1", *tile).join(dealt(next_), "id")
+    kind = members.select("group", F.col("x1").alias("x"), F.col("y1").alias("y"), F.lit(True).alias("closed"), *[F.lit(0).cast("long").alias(n) for n in ("chain", "off", "size", "out", "least", "first")]).schema
+    members = checkpointed(members.groupBy("cx", "cy", "salt").applyInArrow(_chained, kind))
+    closed = members.where("closed").select("group", F.col("chain").alias("ring"), F.col("off").alias("seq"), "x", "y")
+    heads = checkpointed(members.where("not closed and off = 0").select(F.col("chain").alias("c"), F.col("out").alias("t"), "size", "least", "first"))
+    if heads.isEmpty():
+        return closed
+    # of the chains that go on in other tiles: the smallest number among the next 2^k, until nothing gets smaller
+    least = heads.select("c", "t", F.col("least").alias("ring"))
     while True:
         ahead = least.select(F.col("c").alias("t"), F.col("t").alias("t2"), F.col("ring").alias("other"))
         least = checkpointed(least.join(ahead, "t").select("c", F.col("t2").alias("t"), F.least("ring", "other").alias("ring"), (F.col("other") < F.col("ring")).alias("fell")))
         if least.where("fell").isEmpty():
             break
         least = least.drop("fell")
-    named = least.select("c", "ring")
-    chain = next_.join(named, "c").where("t <> ring").select("c", "t")
-    left = roots(chain).select("c", "steps")
-    placed = named.join(left, "c", "left").select(F.col("c").alias("id"), "ring", F.coalesce("steps", F.lit(0)).alias("steps"))
-    sizes = placed.groupBy("ring").agg(F.count("*").alias("n"))
-    found = e.join(placed, "id").join(sizes, "ring")
-    return checkpointed(found.select("group", "ring", (F.col("n") - 1 - F.col("steps")).alias("seq"), F.col("x1").alias("x"), F.col("y1").alias("y")))
+    named = checkpointed(heads.join(dealt(least.select("c", "ring")), "c"))
+    # a ring is opened before the chain with its smallest edge; what is left to the last chain gives each one's place
+    begin = named.where("least = ring").select("ring", F.col("c").alias("begin"))
+    open_ = named.join(dealt(begin), "ring").where("t <> begin").select("c", "t", F.col("size").alias("steps"))
+    placed = named.join(dealt(roots(open_).select("c", "steps")), "c", "left").withColumn("steps", F.coalesce("steps", F.lit(0)))
+    here = F.col("least") == F.col("ring")
+    whole = placed.groupBy("ring").agg(F.sum("size").alias("n"), F.max(F.when(here, F.col("steps"))).alias("all"), F.max(F.when(here, F.col("first"))).alias("start"))
+    placed = placed.join(dealt(whole), "ring").select(F.col("c").alias("chain"), "ring", "n", (F.col("all") - F.col("steps") - F.col("start")).alias("from"))
+    open_ = members.where("not closed").join(dealt(placed), "chain")
+    open_ = open_.select("group", "ring", F.pmod(F.col("from") + F.col("off"), F.col("n")).alias("seq"), "x", "y")
+    return checkpointed(closed.union(open_))
 
 
 def ring_areas(corners: DataFrame) -> DataFrame:
@@ -107,12 +157,13 @@ def overlay(parts: DataFrame, how: str, size: float = 100.0) -> DataFrame:
     all other parts (union) or inside all of them (intersection). Of pieces that coincide the smallest part's stays if they run the same way, else none.
     Holes of the result run clockwise. An empty result has no rows. Parts without an area are left out.
     """
-    whole = parts.select("group", F.col("part").cast("long").alias("part"), _left_handed(F.col("ring")).alias("ring")).where(geo.shoelace(F.col("ring")) > 0)
-    whole = checkpointed(whole.withColumn("box", geo.bbox(F.col("ring"))))
+    # equal parts are one; dealt before the work on their corners
+    whole = checkpointed(parts.groupBy("group", "ring").agg(F.min(F.col("part").cast("long")).alias("part")))
+    whole = whole.where(geo.shoelace(F.col("ring")) > 0).select("group", "part", _left_handed(F.col("ring")).alias("ring"))
+    whole = checkpointed(checkpointed(whole).withColumn("box", geo.bbox(F.col("ring"))))
     edge = whole.select("group", "part", F.posexplode(geo.edges(F.col("ring"))).alias("i", "e")).select("group", "part", "i", F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"), F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2"))
     edge = checkpointed(edge.where("x1 <> x2 or y1 <> y2"))
-    box = F.struct(*[f(F.col(a), F.col(b)).alias(n) for f, a, b, n in ((F.least, "x1", "x2", "min_x"), (F.least, "y1", "y2", "min_y"), (F.greatest, "x1", "x2", "max_x"), (F.greatest, "y1", "y2", "max_y"))])
-    near = covering(edge, box, size)
+    near = touched(edge, size)
     other = near.select("group", "cx", "cy", *[F.col(c).alias("o" + c) for c in ("part", "x1", "y1", "x2", "y2")])
     dx, dy, ox, oy = (F.col(b) - F.col(a) for a, b in (("x1", "x2"), ("y1", "y2"), ("ox1", "ox2"), ("oy1", "oy2")))
     length = F.hypot(dx, dy)
@@ -126,8 +177,8 @@ def overlay(parts: DataFrame, how: str, size: float = 100.0) -> DataFrame:
     cuts = F.array_compact(F.array(crossing, F.when(off("ox1", "oy1") < TOUCH, at("ox1", "oy1")), F.when(off("ox2", "oy2") < TOUCH, at("ox2", "oy2"))))
     inner = lambda t: (t > TOUCH / length) & (t < 1 - TOUCH / length)
     key = ["group", "part", "i"]
-    cut = near.join(other, ["group", "cx", "cy"]).where("part <> opart").select(*key, F.explode(F.filter(cuts, inner)).alias("t")).groupBy(*key).agg(F.sort_array(F.collect_set("t")).alias("ts"))
-    ends = edge.join(cut, key, "left").withColumn("ts", F.concat(F.array(F.lit(0.0)), F.coalesce("ts", F.array().cast("array<double>")), F.array(F.lit(1.0))))
+    cut = near.join(dealt(other), ["group", "cx", "cy"]).where("part <> opart").select(*key, F.explode(F.filter(cuts, inner)).alias("t")).groupBy(*key).agg(F.sort_array(F.collect_set("t")).alias("ts"))
+    ends = edge.join(dealt(cut), key, "left").withColumn("ts", F.concat(F.array(F.lit(0.0)), F.coalesce("ts", F.array().cast("array<double>")), F.array(F.lit(1.0))))
     pair = F.explode(F.zip_with(F.slice("ts", F.lit(1), F.size("ts") - 1), F.slice("ts", F.lit(2), F.size("ts") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
     on = lambda c, s: F.when(F.col(s) == 0, F.col(f"{c}1")).when(F.col(s) == 1, F.col(f"{c}2")).otherwise(F.col(f"{c}1") + (F.col(f"{c}2") - F.col(f"{c}1")) * F.col(s))
     piece = ends.withColumn("s", pair).where((F.col("s.b") - F.col("s.a")) * F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) > TOUCH)
@@ -136,17 +187,20 @@ def overlay(parts: DataFrame, how: str, size: float = 100.0) -> DataFrame:
     # which other parts hold a piece, and which it runs along
     mid = piece.withColumn("cx", cell(F.col("mx"), size)).withColumn("cy", cell(F.col("my"), size))
     one = [*key, "from"]
-    along = mid.join(other.withColumnsRenamed({"opart": "q"}), ["group", "cx", "cy"]).where("part <> q")
+    along = mid.join(dealt(other.withColumnsRenamed({"opart": "q"})), ["group", "cx", "cy"]).where("part <> q")
     ex, ey = F.col("ox2") - F.col("ox1"), F.col("oy2") - F.col("oy1")
     span = F.hypot(ex, ey)
     lies = (F.abs((F.col("mx") - F.col("ox1")) * ey - (F.col("my") - F.col("oy1")) * ex) / span < TOUCH) & (((F.col("mx") - F.col("ox1")) * ex + (F.col("my") - F.col("oy1")) * ey) / (span * span)).between(0.0, 1.0)
     same = (F.col("x2") - F.col("x1")) * ex + (F.col("y2") - F.col("y1")) * ey > 0
     along = along.where(lies).groupBy(*one, "q").agg(F.max(same).alias("same"))
+    # a part takes the cells that its ground touches, of those under its box
     held = covering(whole.select("group", F.col("part").alias("q"), "ring", "box"), F.col("box"), size).drop("box")
-    inside = mid.join(held, ["group", "cx", "cy"]).where("part <> q").where(geo.in_ring(F.col("mx"), F.col("my"), F.col("ring"))).select(*one, "q").join(along, [*one, "q"], "left_anti")
+    px, py = (F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size
+    held = held.where((geo.path_distance(px, py, F.col("ring")) <= size * 0.7072) | geo.in_ring(px, py, F.col("ring")))
+    inside = mid.join(dealt(held), ["group", "cx", "cy"]).where("part <> q").where(geo.in_ring(F.col("mx"), F.col("my"), F.col("ring"))).select(*one, "q").join(dealt(along), [*one, "q"], "left_anti")
     within = inside.groupBy(*one).agg(F.count("*").alias("inside"))
     beside = along.groupBy(*one).agg(F.count("*").alias("beside"), F.count_if(F.col("same") & (F.col("part") < F.col("q"))).alias("owned"))
-    known = piece.join(within, one, "left").join(beside, one, "left").fillna(0, ["inside", "beside", "owned"]).where("beside = owned")
+    known = piece.join(dealt(within), one, "left").join(dealt(beside), one, "left").fillna(0, ["inside", "beside", "owned"]).where("beside = owned")
     if how == "intersection":
         count = whole.groupBy("group").agg(F.count_distinct("part").alias("parts"))
         known = known.join(count, "group").where("inside + beside = parts - 1")

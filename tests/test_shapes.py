@@ -159,3 +159,24 @@ def test_no_frame_of_the_distance_field_runs_to_the_end(spark):
     found = shapes.distance_field(cells, F.col("s"), 5.0)
     assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
     assert {(x.row, x.distance) for x in found.where("row in (2, 7, 506, 508, 2999)").collect()} == {(2, 5 * 26**0.5), (7, 0.0), (506, 5 * (499**2 + 1) ** 0.5), (508, 5 * (499**2 + 1) ** 0.5), (2999, 5 * 992.0)}
+
+
+def test_rings_over_many_tiles_equal_those_of_one(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    cells = spark.createDataFrame([(r, c, int(v)) for (r, c), v in np.ndenumerate(rng.integers(0, 2, (24, 9)))], "row long, col long, v int")
+    grid = raster.Grid(0.0, 24.0, 1.0, 9, 24)
+
+    def turned(found):
+        """Every ring begun at its smallest corner that is met once, for comparison."""
+        return {g: sorted(min(ring[k:-1] + ring[:k] for k in range(len(ring) - 1)) for ring in rings) for g, rings in found.items()}
+
+    whole = turned(gathered(shapes.polygonise(cells, grid)))
+    monkeypatch.setattr(shapes, "TILE", 6)
+    assert turned(gathered(shapes.polygonise(cells, grid))) == whole
+
+
+def test_overlays_take_copies_as_one(spark):
+    square = lambda x, y: [(x, y), (x + 120, y), (x + 120, y + 120), (x, y + 120), (x, y)]
+    parts = frame(spark, [("a", k, square(k % 3 * 50, 0)) for k in range(40)])
+    for how, area in (("union", 220.0 * 120), ("intersection", 20.0 * 120)):
+        assert [r.area for r in shapes.ring_areas(shapes.overlay(parts, how)).collect()] == [pytest.approx(area)]
