@@ -113,4 +113,4 @@ def a30_water_surface(spark, d):
     wet = V.terrain(spark, d).where("z < 1800").select("row", "col", GRID.x(F.col("col")).alias("x"), GRID.y(F.col("row")).alias("y"))
     lakes = spatial.points_in_polygons(wet, V.parcels(spark, d)).select("row", "col")
     rest = wet.join(lakes, ["row", "col"], "left_anti").select("row", "col", F.lit(1).alias("v"))
-    return shapes.ring_areas(shapes.polygonise(rest, GRID)).agg(F.round(F.sum("area"), 3).alias("area"))
+    return shapes.ring_areas(shapes.polygonise(rest, GRID)).agg(F.coalesce(F.round(F.sum("area"), 3), F.lit(0.0)).alias("area"))
