@@ -19,36 +19,55 @@ from landloom.session import checkpointed
 
 from .raster import NEIGHBOURS
 
-TILE = 32
+TILE = 128
 
 
 def _solve(mode: str, size: float, rise: float = 0.0):
+    bearing = [math.atan2(dc, -dr) for dr, dc in NEIGHBOURS]
+    length = [size * math.hypot(dr, dc) for dr, dc in NEIGHBOURS]
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """Best values of a tile's own cells, from its start values and the rim around it."""
-        here = {(r, c): i for i, (r, c) in enumerate(zip(pdf["row"], pdf["col"]))}
         t, own, cost = pdf["t"].tolist(), pdf["own"].tolist(), pdf["cost"].tolist()
         ratio, facing = pdf["ratio"].tolist(), pdf["facing"].tolist()
-        new = [b > v for b, v in zip(pdf["before"].tolist(), t)]
-        heap = [(v, i) for i, v in enumerate(t) if v < math.inf and new[i]]
+        # cells lie in a frame one wider than the rim; only a tile's own cells can be reached
+        rows, cols = pdf["row"] - pdf["row"].min() + 1, pdf["col"] - pdf["col"].min() + 1
+        wide = int(cols.max()) + 2
+        place = (rows * wide + cols).tolist()
+        here = [-1] * (wide * (int(rows.max()) + 2))
+        for i, p in enumerate(place):
+            if own[i]:
+                here[p] = i
+        offsets = [dr * wide + dc for dr, dc in NEIGHBOURS]
+        ways = list(zip(offsets, bearing, length, strict=True))
+        heap = [(v, i) for i, (v, b) in enumerate(zip(t, pdf["before"].tolist(), strict=True)) if v < math.inf and b > v]
         heapq.heapify(heap)
-        rows, cols = pdf["row"].tolist(), pdf["col"].tolist()
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            v, i = heapq.heappop(heap)
+            v, i = pop(heap)
             if v > t[i]:
                 continue
-            for dr, dc in NEIGHBOURS:
-                j = here.get((rows[i] + dr, cols[i] + dc))
-                if j is None or not own[j]:
-                    continue
-                if mode == "fill":
-                    new = max(v + rise, cost[j])
-                else:
-                    e = math.sqrt(1 - 1 / (ratio[i] * ratio[i]))
-                    ros = cost[i] * (1 - e) / (1 - e * math.cos(math.atan2(dc, -dr) - math.radians(facing[i])))
-                    new = v + size * math.hypot(dr, dc) / ros if ros > 0 and cost[j] > 0 else math.inf
-                if new < t[j] - 1e-12:
-                    t[j] = new
-                    heapq.heappush(heap, (new, j))
+            p = place[i]
+            if mode == "fill":
+                v += rise
+                for o in offsets:
+                    j = here[p + o]
+                    if j >= 0:
+                        new = cost[j] if cost[j] > v else v
+                        if new < t[j] - 1e-12:
+                            t[j] = new
+                            push(heap, (new, j))
+                continue
+            e = math.sqrt(1 - 1 / (ratio[i] * ratio[i]))
+            head, towards = cost[i] * (1 - e), math.radians(facing[i])
+            for o, angle, far in ways:
+                j = here[p + o]
+                if j >= 0 and cost[j] > 0:
+                    ros = head / (1 - e * math.cos(angle - towards))
+                    new = v + far / ros if ros > 0 else math.inf
+                    if new < t[j] - 1e-12:
+                        t[j] = new
+                        push(heap, (new, j))
         pdf["t"] = t
         return pdf[pdf["own"]][["row", "col", "cost", "ratio", "facing", "before", "t"]]
 
@@ -63,7 +82,10 @@ def spread(cells: DataFrame, mode: str, size: float = 1.0, tile: int = TILE, ris
     around = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in NEIGHBOURS])
     here = [F.col("row"), F.col("col")]
     own = cells.select("row", "col", "cost", "ratio", "facing", F.lit(float("inf")).alias("before"), "t", F.lit(True).alias("own"), *at(*here))
-    now = checkpointed(own.groupBy("tr", "tc").applyInPandas(_solve(mode, size, rise), spec))
+    # few bytes mean much work here: tiles are dealt over all partitions, which are not merged by their size
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda df: df.repartition(parts, "tr", "tc").groupBy("tr", "tc")
+    now = checkpointed(dealt(own).applyInPandas(_solve(mode, size, rise), spec))
     while True:
         near = now.where("t < before").withColumn("o", F.explode(around))
         lent = near.select("*", *at(*here), *[c.alias(f"to_{c_}") for c, c_ in zip(at(F.col("row") + F.col("o.dr"), F.col("col") + F.col("o.dc")), ("tr", "tc"))])
@@ -74,7 +96,7 @@ def spread(cells: DataFrame, mode: str, size: float = 1.0, tile: int = TILE, ris
             return now.select("row", "col", "t")
         tiled = now.select("row", "col", "cost", "ratio", "facing", F.col("t").alias("before"), "t", F.lit(True).alias("own"), *at(*here))
         front = lent.select("tr", "tc").distinct()
-        again = tiled.join(front, ["tr", "tc"], "left_semi").unionByName(lent).groupBy("tr", "tc").applyInPandas(_solve(mode, size, rise), spec)
+        again = dealt(tiled.join(front, ["tr", "tc"], "left_semi").unionByName(lent)).applyInPandas(_solve(mode, size, rise), spec)
         now = checkpointed(tiled.join(front, ["tr", "tc"], "left_anti").select(*columns).union(again))
 
 

@@ -18,6 +18,8 @@ from .filters import QueryError
 # Thresholds of the crosswalk, codes that never carry crown fire, how far an ignition may be moved (m).
 FOREST_TREES, HARDWOOD_BELOW, MIXED_BELOW, CLOSED_COVER, LOW_TREES, LOW_SHARE, SHRUBS, PINES, LOW_COVER = 3, 0.35, 0.60, 40.0, 9.0, 0.15, 5, 0.50, 50.0
 LITTER, SNAP = (182, 186, 189), 60.0
+#: What cells need of a bed.
+BED = ("reaction", "base_ros", "wind_scale", "wind_power", "slope_scale")
 
 
 def crosswalk(base: Column, life: Column, cover: Column, trees: Column, shrubs: Column, small_share: Column, mean_height: Column, evergreen: Column, pine: Column, conifer: Column) -> Column:
@@ -105,9 +107,12 @@ def behaviour(cells: DataFrame, fuels: DataFrame, weather: Weather) -> DataFrame
     c = F.col
     damp = {"m_dead_1h": dead["m1"], "m_dead_10h": dead["m10"], "m_dead_100h": dead["m100"], "m_herb": live["herb"] / 100, "m_woody": live["woody"] / 100}
     barrier = F.coalesce(c("barrier"), lit(False)) if "barrier" in cells.columns else lit(False)
-    base = cells.select("row", "col", "code", "slope", "aspect", "cc_pct", "cbh_m", "cbd", barrier.alias("barrier")).withColumns(damp)
-    bed = B.with_fuel(base, B.beds(B.cured(fuels, live["herb"] / 100))).withColumn("burns", F.coalesce("burns", lit(False)) & ~c("barrier"))
-    found = B.reaction(B.reaction(bed.join(F.broadcast(B.beds(B.crown_fuel(spark), "crown_"))), "crown_"))
+    # moisture is that of the weather, so a bed reacts alike on all its cells: once per code, and once for the crowns
+    bed = B.reaction(B.beds(B.cured(fuels, live["herb"] / 100)).withColumns(damp)).select("code", "burnable", "dynamic", "burns", "residence", *BED)
+    crown = B.reaction(B.beds(B.crown_fuel(spark), "crown_").withColumns(damp), "crown_").select(*["crown_" + n for n in BED])
+    base = cells.select("row", "col", "code", "slope", "aspect", "cc_pct", "cbh_m", "cbd", barrier.alias("barrier"))
+    found = B.with_fuel(base, bed).withColumn("burns", F.coalesce("burns", lit(False)) & ~c("barrier"))
+    found = found.withColumns({n: F.when(c("burns"), c(n)).otherwise(0.0) for n in ("reaction", "base_ros")}).join(F.broadcast(crown))
     steep = F.tan(F.radians(c("slope")))
     wind = fire.midflame_wind(lit(weather.wind_mph * B.MPH), c("cc_pct"))
     found = B.with_wind_and_slope(found, wind, steep, c("aspect"), lit(float(weather.wind_to)))
