@@ -4,7 +4,7 @@ Cells drain along a forest: filled ground by steepest descent, each depression a
 cell's state over all time steps follows from the series of what arrives there, so the forest is cut into connected chunks of about
 ``CHUNK`` cells: along a river where the cells above pass a multiple of that, never through a depression. Chunks far from an outlet
 run first, all of a depth at once, and hand the series of their outflow to the chunk below. Rounds are the chunks along the longest
-river; a task holds one chunk.
+river; a task holds one chunk, or a pack of small ones.
 """
 
 from __future__ import annotations
@@ -135,16 +135,67 @@ def drainage(cells: DataFrame, size: float, width: int, chunk: int = CHUNK) -> D
     return checkpointed(graph.withColumn("u", unit).join(placed, "u").drop("u"))
 
 
-def _level_depth(ground: np.ndarray, room: np.ndarray, volume: float, area: float) -> np.ndarray:
-    """How deep water stands on each cell of a depression that holds ``volume``: one level, found where the ramps of its cells add up to it."""
-    at = np.concatenate([ground, ground + room])
-    turn = np.concatenate([np.ones(len(ground)), -np.ones(len(ground))])
-    by = np.argsort(at, kind="stable")
-    at, wet = at[by], np.cumsum(turn[by])
-    held = np.concatenate([[0.0], np.cumsum(np.diff(at) * wet[:-1])]) * area
-    i = min(int(np.searchsorted(held, volume, "left")), len(at) - 1)
-    level = at[i] if i == 0 or wet[i - 1] <= 0 else at[i - 1] + (min(volume, held[-1]) - held[i - 1]) / (wet[i - 1] * area)
-    return np.clip(level - ground, 0.0, room)
+class Ponds:
+    """The depressions of a chunk by number, ``of`` each cell (-1: none); all that hold water are levelled at once.
+
+    The volume below every level at which a cell begins or ends to fill is known beforehand: ramps of a pond's cells, added up.
+    """
+
+    def __init__(self, pond: np.ndarray, ground: np.ndarray, room: np.ndarray, area: float):
+        inside = np.flatnonzero(pond >= 0)
+        names, number, self.sizes = np.unique(pond[inside], return_inverse=True, return_counts=True)
+        self.of = np.full(len(pond), -1)
+        self.of[inside] = number
+        self.cells = inside[np.argsort(number, kind="stable")]
+        self.ground, self.room, self.area = ground[self.cells], room[self.cells], area
+        owner = np.repeat(np.arange(len(names)), self.sizes)
+        at = np.concatenate([self.ground, self.ground + self.room])
+        by = np.lexsort((at, np.concatenate([owner, owner])))
+        turn = np.repeat([1.0, -1.0], len(owner))
+        self.at, self.wet = at[by], np.cumsum(turn[by])  # as many ramps end in a pond as begin
+        self.ends = np.cumsum(2 * self.sizes)
+        self.starts = self.ends - 2 * self.sizes
+        self.below = np.zeros(len(at))
+        self.below[1:] = np.diff(self.at) * self.wet[:-1]
+        self.below[self.starts] = 0.0
+        for lo, hi in zip(self.starts, self.ends, strict=True):
+            np.cumsum(self.below[lo:hi], out=self.below[lo:hi])
+        self.below *= area
+        self.capacity, self.held = self.sums(self.room, self.sizes) * area, np.zeros(len(names))
+
+    @staticmethod
+    def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Sums of consecutive runs of values, none of them empty."""
+        return np.add.reduceat(values, np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0)
+
+    def depths(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ponds that hold water, their cells, and how deep it stands on these: one level in each, found where its ramps add up to what it holds."""
+        full = np.flatnonzero(self.held > 0)
+        volume, start, end = self.held[full], self.starts[full], self.ends[full]
+        lo, hi = start.copy(), end.copy()
+        while (open_ := lo < hi).any():
+            mid = np.minimum((lo + hi) // 2, end - 1)
+            less = self.below[mid] < volume
+            lo, hi = np.where(open_ & less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
+        i = np.minimum(lo, end - 1)
+        before = np.maximum(i - 1, 0)
+        rises = (i > start) & (self.wet[before] > 0)
+        rise = np.divide(np.minimum(volume, self.below[end - 1]) - self.below[before], self.wet[before] * self.area, out=np.zeros(len(full)), where=rises)
+        level = np.where(rises, self.at[before] + rise, self.at[i])
+        mine = np.repeat(self.held > 0, self.sizes)
+        return full, self.cells[mine], np.clip(np.repeat(level, self.sizes[full]) - self.ground[mine], 0.0, self.room[mine])
+
+    def catch(self, cells: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """What goes on of the water that leaves ``cells``, each of a pond, when ponds take what they have room for; cells of a pond in their order."""
+        out, left = out.copy(), np.flatnonzero(out > 0)
+        while len(left):
+            ponds, first = np.unique(self.of[cells[left]], return_index=True)
+            j = left[first]
+            kept = np.minimum(out[j], np.maximum(0.0, self.capacity[ponds] - self.held[ponds]))
+            self.held[ponds] += kept
+            out[j] -= kept
+            left = np.delete(left, first)
+        return out
 
 
 class Soil:
@@ -195,7 +246,7 @@ class Soil:
 
 def _event(hours: float, steps: int, area: float):
     def run(key, cells: pd.DataFrame, inflow: pd.DataFrame) -> pd.DataFrame:
-        """The event in one chunk; ``inflow`` has ``c, series`` from the chunks above."""
+        """The event in one chunk or pack; ``inflow`` has ``c, series`` from the chunks above."""
         cells = cells.sort_values("c").reset_index(drop=True)
         n, dt = len(cells), hours / steps
         number = pd.Series(np.arange(n), index=cells["c"])
@@ -212,10 +263,9 @@ def _event(hours: float, steps: int, area: float):
         if sum(map(len, waves)) != n:
             raise ValueError("the drainage graph has a cycle")
         pond = cells["pond"].fillna(-1).to_numpy(np.int64)
-        names, label = np.unique(pond, return_inverse=True)
-        members = [np.flatnonzero(label == i) if names[i] >= 0 else np.zeros(0, np.int64) for i in range(len(names))]
-        ground, room, leaves = cells["ground"].to_numpy(float), cells["room"].to_numpy(float), cells["leaves"].to_numpy(bool)
-        capacity, held = np.array([room[m].sum() * area for m in members]), np.zeros(len(names))
+        leaves = cells["leaves"].to_numpy(bool)
+        ponds = Ponds(pond, cells["ground"].to_numpy(float), cells["room"].to_numpy(float), area)
+        spilling = [np.flatnonzero(leaves[wave]) for wave in waves]
         arriving = np.zeros((steps, n))
         for c, series in zip(inflow["c"], inflow["series"], strict=True):
             arriving[:, number[c]] += series
@@ -229,16 +279,16 @@ def _event(hours: float, steps: int, area: float):
                 land.drain(dt / 2)
             most, free = land.capacity(dt)
             pooled = zero()
-            for i in np.flatnonzero(held > 0):
-                m = members[i]
-                pooled[m] = np.minimum.reduce([_level_depth(ground[m], room[m], held[i], area) * 1000, most[m], free[m]])
-                held[i] = max(0.0, held[i] - pooled[m].sum() / 1000 * area)
+            full, m, deep = ponds.depths()
+            if len(full):
+                pooled[m] = np.minimum.reduce([deep * 1000, most[m], free[m]])
+                ponds.held[full] = np.maximum(0.0, ponds.held[full] - ponds.sums(pooled[m], ponds.sizes[full]) / 1000 * area)
             if pooled.any():
                 land.take(pooled)
                 infiltrated += pooled / 1000 * area
                 most, free = np.maximum(0.0, most - pooled), np.maximum(0.0, free - pooled)
             routed = arriving[step].copy()
-            for wave in waves:
+            for wave, spills in zip(waves, spilling, strict=True):
                 local, come = rain[wave], routed[wave]
                 runon[wave] += come
                 there = local + come
@@ -254,21 +304,17 @@ def _event(hours: float, steps: int, area: float):
                 full = (free[wave] <= most[wave] + 1e-9) & (supply > free[wave] + 1e-9)
                 saturated[wave] += np.where(full, left, 0.0)
                 out = np.maximum(0.0, there - inside)
-                for j in np.flatnonzero(leaves[wave] & (out > 0)):
-                    i = label[wave[j]]
-                    kept = min(out[j], max(0.0, capacity[i] - held[i]))
-                    held[i] += kept
-                    out[j] -= kept
+                if len(spills):
+                    out[spills] = ponds.catch(wave[spills], out[spills])
                 flow[wave] += out
                 sent[step, wave] = out
                 down = to[wave] >= 0
                 np.add.at(routed, to[wave][down], out[down])
             land.drain(dt / 2)
         ponded, share_of = zero(), zero()
-        for i in np.flatnonzero(held > 0):
-            m = members[i]
-            ponded[m] = _level_depth(ground[m], room[m], held[i], area)
-            share_of[m[0]] = held[i]
+        full, m, deep = ponds.depths()
+        ponded[m] = deep
+        share_of[m[np.cumsum(ponds.sizes[full]) - ponds.sizes[full]]] = ponds.held[full]
         mm = lambda v: v / area * 1000
         pct = lambda v: 100 * np.clip(v / np.maximum(land.theta_s, 1e-6), 0.0, 1.0)
         leaving = (to < 0) & cells["to"].notna().to_numpy()
@@ -288,6 +334,14 @@ def step_count(hours: float) -> int:
     return max(LEAST_STEPS, int(np.ceil(hours / MOST_STEP_HOURS)))
 
 
+def _packs(graph: DataFrame) -> DataFrame:
+    """``chunk, pack, alone``: small chunks of a depth share tasks of about CHUNK cells, as every outlet has a chunk and most are small."""
+    sizes = graph.groupBy("depth", "chunk").agg(F.count("*").alias("n")).withColumn("alone", F.col("n") >= CHUNK // 4)
+    packs = sizes.where("not alone").groupBy("depth").agg(F.ceil(F.sum("n") / CHUNK).alias("packs"))
+    pack = F.when(F.col("alone"), F.col("chunk")).otherwise(F.pmod(F.xxhash64("chunk"), "packs"))
+    return sizes.join(packs, "depth", "left").select("chunk", pack.alias("pack"), "alone")
+
+
 def coupled_event(graph: DataFrame, state: DataFrame, hours: float, cell_area: float, steps: int | None = None) -> DataFrame:
     """The event on every cell: ``row, col``, the depths of DEPTHS and the volumes of VOLUMES.
 
@@ -295,18 +349,21 @@ def coupled_event(graph: DataFrame, state: DataFrame, hours: float, cell_area: f
     if the water that came does not equal, to 1e-8, what the soil holds, has drained, stands in ponds and has left.
     """
     steps = steps or step_count(hours)
-    cells = checkpointed(graph.join(state.drop("texture"), ["row", "col"]))
+    cells = checkpointed(graph.join(state.drop("texture"), ["row", "col"]).join(_packs(graph), "chunk"))
     deepest = cells.agg(F.max("depth")).first()[0]
     spec = "row long, col long, " + ", ".join(f"{n} double" for n in DEPTHS + VOLUMES) + ", to long, series array<double>"
-    where_to = cells.select(F.col("c").alias("to"), F.col("chunk").alias("under"))
+    where_to = cells.select(F.col("c").alias("to"), F.col("pack").alias("under"), F.col("alone").alias("under_alone"))
+    # few bytes mean much work here: packs are dealt over all partitions, which are not merged by their size
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda df: df.repartition(parts, "pack", "alone").groupBy("pack", "alone")
     done, series = [], None
     for depth in range(deepest if deepest is not None else -1, -1, -1):
-        part = cells.where(F.col("depth") == depth).groupBy("chunk")
+        part = dealt(cells.where(F.col("depth") == depth))
         if series is None:
-            series = cells.limit(0).select("chunk", "c", F.array(F.lit(0.0)).alias("series"))
-        found = checkpointed(part.cogroup(series.groupBy("chunk")).applyInPandas(_event(hours, steps, cell_area), spec))
+            series = cells.sparkSession.range(0).select(F.col("id").alias("pack"), F.lit(False).alias("alone"), F.col("id").alias("c"), F.array(F.lit(0.0)).alias("series"))
+        found = checkpointed(part.cogroup(dealt(series)).applyInPandas(_event(hours, steps, cell_area), spec))
         done.append(found)
-        series = found.where("series is not null").join(where_to, "to").select(F.col("under").alias("chunk"), F.col("to").alias("c"), "series")
+        series = found.where("series is not null").join(where_to, "to").select(F.col("under").alias("pack"), F.col("under_alone").alias("alone"), F.col("to").alias("c"), "series")
     result = cells.limit(0).sparkSession.createDataFrame([], spec) if not done else done[0]
     for more in done[1:]:
         result = result.union(more)
