@@ -25,11 +25,14 @@ def sweep(observers: DataFrame, cells: DataFrame, grid: Grid, azimuths: int = 36
     its ray. One running maximum per ray; rays are independent.
     """
     ground = sample(observers.select("observer_id", "x", "y", "agl"), cells, grid, "inner").select("observer_id", "x", "y", "agl", (F.col("v") + F.col("agl")).alias("eye"))
-    points = rays(ground, azimuths, step or grid.size, reach)
-    at = points.withColumn("row", grid.row(F.col("y"))).withColumn("col", grid.col(F.col("x"))).join(cells.select("row", "col", "v"), ["row", "col"])
-    eyes = ground.select("observer_id", "eye")
+    # a sample carries its eye's height, and those beyond the cells are left out before anything is dealt
+    box = cells.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()
+    points = rays(ground.withColumn("agl", F.col("eye")), azimuths, step or grid.size, reach).withColumnRenamed("agl", "eye")
+    points = points.withColumn("row", grid.row(F.col("y"))).withColumn("col", grid.col(F.col("x"))).where(F.col("row").between(*box[:2]) & F.col("col").between(*box[2:]))
+    at = points.select("observer_id", "az", "d", "row", "col", "eye").join(cells.select("row", "col", "v"), ["row", "col"])
     rise = F.col("v") - curvature_drop(F.col("d"), refraction) - F.col("eye")
-    at = at.join(eyes, "observer_id").withColumn("angle", F.atan2(rise, F.col("d"))).withColumn("target", F.atan2(rise + target_agl, F.col("d")))
+    at = at.withColumn("angle", F.atan2(rise, F.col("d"))).withColumn("target", F.atan2(rise + target_agl, F.col("d")))
+    at = at.select("observer_id", "az", "d", "row", "col", "angle", "target")
     nearer = Window.partitionBy("observer_id", "az").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
     seen = F.coalesce(F.col("target") > F.max("angle").over(nearer) + 1e-7, F.lit(True))
     return at.select("observer_id", "az", "d", "row", "col", "angle", seen.alias("visible"))

@@ -110,8 +110,8 @@ def b09_visible_region(spark, d):
 
 @query(_K2 + " select observer_id, count(distinct row * 64 + col) filter (where visible) * 100 as visible_m2, count(distinct row * 64 + col) * 100 as analysed_m2 from v group by 1")
 def e19_viewshed_area(spark, d):
-    c = F.col("row") * 64 + F.col("col")
-    return _swept(spark, d).groupBy("observer_id").agg((F.count_distinct(F.when(F.col("visible"), c)) * 100).alias("visible_m2"), (F.count_distinct(c) * 100).alias("analysed_m2"))
+    cells = _swept(spark, d).groupBy("observer_id", "row", "col").agg(F.max("visible").alias("visible"))
+    return cells.groupBy("observer_id").agg((F.count_if("visible") * 100).alias("visible_m2"), (F.count("*") * 100).alias("analysed_m2"))
 
 
 @query("""with m as (select month(o_orderdate) * 30 - 15 as yday, count(*)::double as beam from orders group by 1), t as (select yday, beam, h::double as hour, radians(23.45*sin(radians(360.0/365.0*(284+yday)))) as de, radians(15.0*(h-12)) as ha, radians(40.0) as phi from m, range(24) b(h)),

@@ -24,3 +24,15 @@ def test_beds_react_once_per_code(spark, monkeypatch):
     found = wildfire.behaviour(cells, fuels, wildfire.Weather()).orderBy("row").collect()
     assert rows == [1, 1] and len(found) == 50
     assert found[0].ros == 0 and not found[0].burnable and found[1].ros > 0 and found[1].burnable
+
+
+def test_eyes_are_not_joined_to_samples_again(spark):
+    from landloom.operators import raster, sight
+
+    grid = raster.Grid(0.0, 100.0, 10.0, 10, 10)
+    cells = spark.range(100).select(F.floor(F.col("id") / 10).alias("row"), (F.col("id") % 10).alias("col"), F.lit(5.0).alias("v"))
+    observers = spark.createDataFrame([(1, 55.0, 45.0, 1.7)], "observer_id long, x double, y double, agl double")
+    swept = sight.sweep(observers, cells, grid, azimuths=8, reach=1000.0)
+    assert swept._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2  # the eye's cell and those of the samples
+    # four ways along the grid, 4, 5, 5 and 4 steps, and four across it, 6, 7, 6 and 6
+    assert swept.count() == swept.where("visible").count() == 43
