@@ -36,3 +36,16 @@ def test_eyes_are_not_joined_to_samples_again(spark):
     assert swept._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2  # the eye's cell and those of the samples
     # four ways along the grid, 4, 5, 5 and 4 steps, and four across it, 6, 7, 6 and 6
     assert swept.count() == swept.where("visible").count() == 43
+
+
+def test_segments_are_dealt_before_they_are_exploded(spark):
+    from landloom.operators import spatial
+
+    at = lambda x, y: F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"))
+    paths = spark.range(1).select(F.col("id").alias("path_id"), F.array(at(0, 0), at(3000, 4000)).alias("path"))
+    points = spark.range(3).select(F.col("id").alias("point_id"), (F.col("id") * 600.0).alias("x"), (F.col("id") * 800.0).alias("y"))
+    found = spatial.paths_within(points, paths, "point_id", "path_id", 100.0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    explode, deal = plan.rindex("Generate explode(sequence"), plan.rindex("RepartitionByExpression [path_id")
+    assert explode < deal  # the lower in the plan comes first
+    assert sorted((r.point_id, round(r.distance, 6)) for r in found.collect()) == [(0, 0.0), (1, 0.0), (2, 0.0)]
