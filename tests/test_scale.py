@@ -49,3 +49,22 @@ def test_segments_are_dealt_before_they_are_exploded(spark):
     explode, deal = plan.rindex("Generate explode(sequence"), plan.rindex("RepartitionByExpression [path_id")
     assert explode < deal  # the lower in the plan comes first
     assert sorted((r.point_id, round(r.distance, 6)) for r in found.collect()) == [(0, 0.0), (1, 0.0), (2, 0.0)]
+
+
+def test_species_of_cells_take_less_than_a_byte_a_row(spark, tmp_path, monkeypatch):
+    """The product of cells and species is clustered by code, nothing is left out, and no side is broadcast."""
+    from landloom.queries import places
+
+    monkeypatch.setattr(places, "SPREAD", 2, raising=False)
+    n, parts = F.col("id"), 200_000
+    code = F.when(n < 2000, F.lit(7)).otherwise(n)  # a code with many cells
+    spark.range(150_000).select(F.when(n > 0, n).alias("event_id"), code.cast("long").alias("user_id")).write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(parts).select(n.alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    found = places.h24_species_at_cell(spark, str(tmp_path))
+    found.write.parquet(f"{tmp_path}/out")
+    back, of = spark.read.parquet(f"{tmp_path}/out"), lambda k: len(range(k % 2048, parts, 2048))
+    want = sum(of(7 if i < 2000 else i) for i in range(150_000))
+    assert back.count() == want and back.where("row is null").count() == of(7)
+    assert back.where("row = 500").distinct().count() == sum(of(i) for i in range(32_000, 32_064))
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < want
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
