@@ -26,7 +26,7 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, Scratch, materialise, table
@@ -236,6 +236,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFram
 
 #: Leaders of a bucket in the round after its smallest member; each further round takes eight times as many.
 LEADERS = 128
+#: Of a bucket of this many rows or fewer, all pairs meet at once.
+FEW = 16
 #: Parities kept of a set: a bound on how much two sets differ, without the sets.
 PARITY = 512
 #: Parities that a candidate pair is judged by before its sets are looked up.
@@ -381,8 +383,9 @@ def _similar(docs: DataFrame, words: int, similarity: float, seed: int, kept: Sc
     spoken = found.where("size > 0").join(classes.select("s1", "s2", "node"), ["s1", "s2"]).where(F.col("doc") == F.col("node"))
     spoken = kept.table(spoken.select("node", "size", *flags, "keys"), "speaking-prefixes")
     rows = spoken.select("node", "size", F.posexplode("keys").alias("at", "key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    held = rows.join(shared, "key").distinct().join(spoken.select("node", "size", *flags).distinct(), ["node", "size"])
+    shared = rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").distinct()
+    shared, marks = kept.table(shared, "shared-keys"), kept.table(spoken.select("node", "size", *flags).distinct(), "parities")
+    held = shared.where(F.col("n") > FEW).drop("n").join(marks, ["node", "size"])
     open_ = held.select("key", F.struct("node", "size", "at", *flags).alias("x"), F.col("node").alias("of"))
     open_, turn = kept.table(open_, "open-buckets"), 0
     kept.drop(spoken)
@@ -403,19 +406,29 @@ def _similar(docs: DataFrame, words: int, similarity: float, seed: int, kept: Sc
         new = new.withColumn("same", F.xxhash64("shingles")).dropDuplicates(["node", "same"]).drop("same")
         return sets.union(kept.table(new, "shingle-sets"))
 
-    def near(x, y):
-        """Whether two rows of one key can be similar: bounds by what lies before, at and after the key, and by parities.
+    def room(x, y):
+        """Whether two rows of one key can be similar by what lies before, at and after the key."""
+        most = F.least(x["at"], y["at"]) + F.least(x["size"] - x["at"], y["size"] - y["at"])
+        return (x["node"] != y["node"]) & (most >= F.lit(similarity / (1 + similarity)) * (x["size"] + y["size"]) - F.lit(1e-6))
+
+    def even(x, y):
+        """Whether two sets can be similar by parities.
 
         Sets of that similarity differ in at most (1 - s) / (1 + s) of their sizes' sum; every member that only one of
         them has turns one parity.
         """
-        both = x["size"] + y["size"]
-        most = F.least(x["at"], y["at"]) + F.least(x["size"] - x["at"], y["size"] - y["at"])
         turned = reduce(lambda a, b: a + b, [F.bit_count(x[f].bitwiseXOR(y[f])) for f in flags])
-        fits = (most >= F.lit(similarity / (1 + similarity)) * both - F.lit(1e-6)) & (turned <= F.lit((1 - similarity) / (1 + similarity)) * both + F.lit(1e-6))
-        return (x["node"] != y["node"]) & fits
+        return turned <= F.lit((1 - similarity) / (1 + similarity)) * (x["size"] + y["size"]) + F.lit(1e-6)
+
+    # of buckets of a few rows, all pairs: each once, however many keys it shares, and only then with its parities
+    few = shared.where(F.col("n") <= FEW).groupBy("key").agg(F.collect_list(F.struct("node", "size", "at")).alias("xs"))
+    few = few.select("xs", F.explode("xs").alias("x")).select("x", F.explode("xs").alias("y")).where((F.col("x.node") < F.col("y.node")) & room(F.col("x"), F.col("y")))
+    few = few.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    mark = lambda n: marks.select(F.col("node").alias(n), F.struct("size", *flags).alias("x" + n))
+    few = few.join(mark("a"), "a").join(mark("b"), "b").where(even(F.col("xa"), F.col("xb"))).select("a", "b")
+    close = kept.table(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(few).distinct(), "pairs-of-few")
 
-    while not open_.isEmpty():
+    while not turn or not open_.isEmpty():
         if turn == 0:
             leaders = open_.groupBy("key").agg(F.min(F.struct("x", "of")).alias("l"))
         else:
@@ -424,7 +437,7 @@ def _similar(docs: DataFrame, words: int, similarity: float, seed: int, kept: Sc
             leaders = open_.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("x.node", F.lit(turn)).alias("h"), "x", "of")).alias("l"))
         leaders = kept.table(leaders.select("key", "l.x", "l.of"), "leaders")
         others = leaders.select(F.col("key").alias("k"), F.col("x").alias("y"), F.col("of").alias("y_of"))
-        met = open_.join(others, (F.col("key") == F.col("k")) & (F.col("of") != F.col("y_of")) & near(F.col("x"), F.col("y")))
+        met = open_.join(others, (F.col("key") == F.col("k")) & (F.col("of") != F.col("y_of")) & room(F.col("x"), F.col("y")) & even(F.col("x"), F.col("y")))
         pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         pairs = kept.table((pairs if turn else pairs.union(close)).distinct(), "pairs")
         found_any = not pairs.isEmpty()

@@ -132,3 +132,25 @@ def test_no_kind_of_copy_is_missed(spark, kind):
     want = brute(rows)
     assert sum(d != c for d, c in want.items()) > 30
     assert {r.doc_id: r.component_id for r in simhash.similar_documents(frame(spark, rows)).collect()} == want
+
+
+def test_pairs_of_small_buckets_meet_once_without_parities_in_their_rows(spark, monkeypatch):
+    """Documents that share a passage by twos share many keys; only buckets of many rows are carried through rounds."""
+    rows_of = {}
+    real = simhash.Scratch.table
+
+    def table(self, df, label):
+        done = real(self, df, label)
+        rows_of.setdefault(label, []).append(done.count())
+        return done
+
+    monkeypatch.setattr(simhash.Scratch, "table", table)
+    rng, rows = random.Random(3), []
+    for g in range(40):
+        passage = prose(rng, 80)
+        rows += [(2 * g, " ".join(passage + prose(rng, 70))), (2 * g + 1, " ".join(passage + prose(rng, 10 if g % 2 else 70)))]
+    rows += [(1000 + g, t) for g, (_, t) in enumerate(rows[:10])] + [(2000 + g, t + " more") for g, (_, t) in enumerate(rows[:10])]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(frame(spark, rows)).collect()}
+    assert got == brute(rows)
+    assert rows_of["open-buckets"] == [0] * len(rows_of["open-buckets"])
+    assert 10 <= rows_of["pairs-of-few"][0] <= 60
