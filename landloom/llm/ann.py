@@ -110,6 +110,7 @@ class Block:
         leaf = Tree(p, max(0, math.ceil(math.log2(max(1, len(ids)) / LEAF)))).leaf(p)
         order = np.argsort(leaf, kind="stable")
         self.proj, self.x, self.ids, self.p = proj, x[order], ids[order], p[order]
+        self.half = (self.p * self.p).sum(1) / 2
         self.starts = np.flatnonzero(np.diff(leaf[order], prepend=-1))
         self.ends = np.append(self.starts[1:], len(ids))
         self.low, self.high = np.minimum.reduceat(self.p, self.starts), np.maximum.reduceat(self.p, self.starts)
@@ -119,7 +120,9 @@ class Block:
 
         Vectors come by rising projected distance: leaves open by the distance of their boxes, and a vector is ready once
         no closed leaf can hold a nearer one. They are verified in batches, each with its inner products, until the
-        next projected distance is over ``limit`` times the distance of the k-th neighbour found.
+        next projected distance is over ``limit`` times the distance of the k-th neighbour found. Leaves are opened in few
+        rounds, all in reach once there is a bound; products are taken by matrix and those that can count again one by one,
+        so that a score never depends on its batch.
         """
         proj, top, scale = self.proj, self.proj.top, self.proj.scale(q[None])[0]
         p = proj.query(q[None])[0]
@@ -130,25 +133,37 @@ class Block:
         slack = 1e-9 * top * top
         reach = lambda kth: limit * max(0.0, 2 * top * top - 2 * scale * kth) + slack if kth > -np.inf else np.inf
         best_s, best_i, kth = np.zeros(0), np.zeros(0, np.int64), floor
-        pool_d, pool_i, opened, batch, verified = np.zeros(0), np.zeros(0, np.int64), 0, k, 0
+        pool_d, pool_i, opened, batch, verified = np.zeros(0), np.zeros(0, np.int64), 0, 4 * k, 0
+        size = (p * p).sum()
         while True:
             ready = int(np.searchsorted(pool_d, gap[opened], "right"))
-            if ready < batch and gap[opened] <= reach(kth):
-                leaves = order[opened : opened + max(4, opened // 2)]
-                at = np.concatenate([np.arange(self.starts[i], self.ends[i]) for i in leaves])
-                opened += len(leaves)
-                d = self.p[at] - p
-                pool_d, pool_i = np.append(pool_d, (d * d).sum(1)), np.append(pool_i, at)
+            if ready < batch and opened < len(order) and gap[opened] <= reach(kth):
+                # without a bound a quarter of the leaves at a time, then all in reach
+                most = len(order) // 4 if kth == -np.inf else len(order)
+                n = max(1, min(most, int(np.searchsorted(gap[opened:-1], reach(kth), "right"))))
+                picked = np.zeros(len(order), bool)
+                picked[order[opened : opened + n]] = True
+                at = np.flatnonzero(np.repeat(picked, self.ends - self.starts))
+                opened += n
+                near = self.p if len(at) == len(self.p) else self.p[at]
+                d = np.maximum(2 * (self.half[at] - near @ p) + size, 0.0)
+                keep = d <= reach(kth)
+                pool_d, pool_i = np.append(pool_d, d[keep]), np.append(pool_i, at[keep])
                 by = np.argsort(pool_d, kind="stable")
                 pool_d, pool_i = pool_d[by], pool_i[by]
                 continue
             take = min(ready, batch, int(np.searchsorted(pool_d, reach(kth), "right")))
             if not take:
                 return best_i, best_s, verified
-            at, pool_d, pool_i, batch = pool_i[:take], pool_d[take:], pool_i[take:], min(2 * batch, 512)
+            at, pool_d, pool_i, batch = pool_i[:take], pool_d[take:], pool_i[take:], 4 * batch
             verified += take
-            score, ids = (self.x[at] * q).sum(1), self.ids[at]
-            fine = (score >= kth - slack) & (ids != own)
+            at = at[self.ids[at] != own]
+            x = self.x[at]
+            rough = x @ q
+            least = np.partition(rough, len(at) - k)[len(at) - k] if len(at) > k else -np.inf
+            good = rough >= max(kth, least) - 2 * slack
+            score, ids = (x[good] * q).sum(1), self.ids[at[good]]
+            fine = score >= kth - slack
             best_s, best_i = np.append(best_s, score[fine]), np.append(best_i, ids[fine])
             by = np.lexsort((best_i, -best_s))[:k]
             best_s, best_i = best_s[by], best_i[by]

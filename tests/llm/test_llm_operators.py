@@ -75,6 +75,21 @@ def test_block_search_stops_early_and_finds_most():
     assert hits >= 0.93 * 1600 and verified < 0.25 * 80 * 4000
 
 
+def test_block_of_few_vectors_and_few_rounds(monkeypatch):
+    """A block of fewer vectors than asked for gives all of them; a block without clusters sorts its pool a few times, not once for every few leaves."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((4000, 64))
+    proj = ann.Projection(64, float(np.sqrt((x * x).sum(1)).max()))
+    limit = ann.chi2_quantile(0.95, ann.DIMS)
+    ids, score, n = ann.Block(proj, np.arange(7), x[:7]).search(x[0], 0, 20, -np.inf, limit)
+    assert sorted(ids) == [1, 2, 3, 4, 5, 6] and list(score) == [(x[i] * x[0]).sum() for i in ids] and n == 7
+    block, sorts = ann.Block(proj, np.arange(4000), x), []
+    real = np.argsort
+    monkeypatch.setattr(ann.np, "argsort", lambda *a, **b: sorts.append(1) or real(*a, **b))
+    block.search(x[0], 0, 20, -np.inf, limit)
+    assert len(sorts) <= 6
+
+
 @pytest.mark.parametrize("block", [200, 4096])
 def test_nearest_against_brute_force(spark, block, monkeypatch):
     """One cell, and a tree of cells above the blocks."""
