@@ -303,6 +303,9 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float, kept: Scratch)
     turned = F.aggregate(F.zip_with(x["wide"], y["wide"], lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
     allowed = F.lit((1 - similarity) / (1 + similarity)) * (x["size"] + y["size"]) + F.lit(1e-6)
     asked = kept.table(pairs.join(mark("a"), "a").join(mark("b"), "b").where(turned <= allowed).select("a", "b").distinct(), "judged-pairs")
+    # sets that no judged pair asks for stay where they are
+    used = kept.table(asked.select("a").union(asked.select("b")).toDF("node").distinct(), "judged-nodes")
+    sets = sets.join(used, "node", "left_semi")
     one, other = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     enough = both / (F.size("sa") + F.size("sb") - both) >= F.lit(similarity)
@@ -319,7 +322,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     shingles (``links``) bring the closest copies together, in linear work even where thousands are alike. At 0.8 fingerprints
     differ by far more than two bits, so a prefix filter finds what is left: all sets are ordered alike, frequent
     shingles last; two sets of that similarity share a member of their first s - ceil(similarity * s) + 1, and each of
-    these is a key. The members of a key's bucket meet the smallest, and then leaders by rounds, 128 in the first and eight
+    these is a key. In buckets of at most FEW rows all pairs meet at once; the members of a larger one meet the smallest, and then leaders by rounds, 128 in the first and eight
     times as many in each further one; pairs that differ in too many parities are not looked up. A leader leaves after it
     has met all members of other groups; a bucket is done once its members are in one group. So a pair of one bucket is passed over only if other links join it already.
 

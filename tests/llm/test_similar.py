@@ -154,3 +154,4 @@ def test_pairs_of_small_buckets_meet_once_without_parities_in_their_rows(spark,
     assert got == brute(rows)
     assert rows_of["open-buckets"] == [0] * len(rows_of["open-buckets"])
     assert 10 <= rows_of["pairs-of-few"][0] <= 60
+    assert rows_of["judged-nodes"][0] == 20  # only these move their sets
