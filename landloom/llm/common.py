@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,6 +86,18 @@ class Scratch:
         forget(self.spark, self.places.pop(id(table))[1])
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Within the block, Python functions get at most so many rows at a time: a batch of whole texts stands in the JVM and in Python at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only. A pure ASCII value takes the faster built-in, which agrees there."""
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Scratch, materialise, table
+from .common import NULL_ID, Scratch, materialise, small_batches, table
 
 #: The generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY = 0b110001110101
@@ -244,6 +244,10 @@ PARITY = 512
 WIDE = 8192
 #: Counters of the table of frequent shingles; they set the order of shingles, never the result.
 COUNTERS = 1 << 20
+#: The most bits of a sieve of ids, 8 MB; a fuller sieve passes more rows to the exact join behind it.
+SIEVE = 1 << 26
+#: Texts that a task turns into sets at a time.
+SLICE = 256
 
 
 def shingle_codes(found: list[bytes], words: int, seed: int) -> np.ndarray:
@@ -292,24 +296,54 @@ def parities(codes: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float, kept: Scratch) -> DataFrame:
+def sieve(ids: DataFrame) -> np.ndarray:
+    """Bits that pass every one of ``ids`` (one column of longs) and few others: three of sixteen or more an id, SIEVE at most.
+
+    So rows that an exact join would leave out anyway need not be shuffled for it.
+    """
+    size = 1 << max(10, min((16 * ids.count()).bit_length(), SIEVE.bit_length() - 1))
+    h, rest = F.xxhash64(ids.columns[0]), F.lit(size - 1)
+    low, high = h.bitwiseAND(rest), F.shiftrightunsigned(h, 32).bitwiseAND(rest)
+    at = ids.select(F.explode(F.array(*[(low + i * high).bitwiseAND(rest) for i in range(3)])).alias("at"))
+    word = at.groupBy(F.shiftright("at", 3).alias("byte")).agg(F.expr("bit_or(shiftleft(1, cast(at & 7 as int)))").alias("bits")).toArrow()
+    bits = np.zeros(size >> 3, np.uint8)
+    bits[word.column("byte").to_numpy()] = word.column("bits").to_numpy()
+    return bits
+
+
+def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which ids a sieve passes, by their ``xxhash64``."""
+    h, rest = hashes.view(np.uint64), np.uint64(8 * len(bits) - 1)
+    at = [((h & rest) + np.uint64(i) * ((h >> np.uint64(32)) & rest)) & rest for i in range(3)]
+    return np.logical_and.reduce([bits[x >> np.uint64(3)] >> (x & np.uint64(7)).astype(np.uint8) & 1 for x in at]).astype(bool)
+
+
+def _ends(pairs: DataFrame, kept: Scratch) -> DataFrame:
+    """Every ``node`` of the pairs, once."""
+    return kept.table(pairs.select("a").union(pairs.select("b")).toDF("node").distinct(), "asked-nodes")
+
+
+def _alike(pairs: DataFrame, sets, similarity: float, kept: Scratch) -> DataFrame:
     """The ``a, b`` pairs whose shingle sets have at least this Jaccard similarity.
 
-    ``sets`` has ``node, size, wide, shingles``. Two sets differ in at least as many members as in parities: a pair with more of those than its sizes
-    allow members is out, and only the others move their sets.
+    ``sets(nodes, wide)`` has ``node, size`` and ``wide`` or else ``shingles``. Two sets differ in at least as many members as in parities: a pair with
+    more of those than its sizes allow members is out, and only the others move their sets.
     """
-    mark = lambda n: sets.select(F.col("node").alias(n), F.struct("size", "wide").alias("x" + n))
+    wide = kept.table(sets(_ends(pairs, kept), True), "wide-parities")
+    mark = lambda n: wide.select(F.col("node").alias(n), F.struct("size", "wide").alias("x" + n))
     x, y = F.col("xa"), F.col("xb")
     turned = F.aggregate(F.zip_with(x["wide"], y["wide"], lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
     allowed = F.lit((1 - similarity) / (1 + similarity)) * (x["size"] + y["size"]) + F.lit(1e-6)
     asked = kept.table(pairs.join(mark("a"), "a").join(mark("b"), "b").where(turned <= allowed).select("a", "b").distinct(), "judged-pairs")
-    # sets that no judged pair asks for stay where they are
-    used = kept.table(asked.select("a").union(asked.select("b")).toDF("node").distinct(), "judged-nodes")
-    sets = sets.join(used, "node", "left_semi")
-    one, other = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    kept.drop(wide)
+    # texts that no judged pair asks for give no set
+    used = kept.table(sets(_ends(asked, kept), False), "shingle-sets")
+    one, other = used.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), used.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     enough = both / (F.size("sa") + F.size("sb") - both) >= F.lit(similarity)
-    return asked.join(one, "a").join(other, "b").where(enough).select("a", "b").distinct()
+    links = kept.table(asked.join(one, "a").join(other, "b").where(enough).select("a", "b").distinct(), "links")
+    kept.drop(used)
+    return links
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
@@ -331,7 +365,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     doc_id are one document. Very long texts are one row in one task, with 8 bytes a word. Other columns are ignored; an
     empty table gives none.
     """
-    with Scratch(docs.sparkSession, "similar") as kept:
+    with Scratch(docs.sparkSession, "similar") as kept, small_batches(docs.sparkSession, SLICE):
         found = _similar(docs, words, similarity, seed, kept)
         return materialise(found, "similar-documents")
 
@@ -350,8 +384,11 @@ def _similar(docs: DataFrame, words: int, similarity: float, seed: int, kept: Sc
         offsets = np.cumsum([0, *map(len, columns)])
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *columns])))
 
+    def sliced(batches):
+        return (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE))
+
     def classify(batches):
-        for b in batches:
+        for b in sliced(batches):
             same, fps, sizes, keys, parity = [], [], [], [], []
             for t in b.column(1):
                 w = words_of(t.as_py())
@@ -394,20 +431,24 @@ def _similar(docs: DataFrame, words: int, similarity: float, seed: int, kept: Sc
     kept.drop(spoken)
     group = classes.select("node", F.col("node").alias("component")).distinct()
 
-    def shingle(batches):
-        for b in batches:
-            codes = [np.unique(shingle_codes(words_of(t.as_py()), words, seed)).view(np.int64) for t in b.column(1)]
-            yield pa.record_batch([b.column(0), pa.array([len(c) for c in codes], pa.int32()), lists([parities(c, WIDE) for c in codes]), lists(codes)], names=["node", "size", "wide", "shingles"])
+    texts = docs.select(doc.alias("node"), F.xxhash64(doc).alias("hash"), "text").where(F.col("text").isNotNull())
+    repeats = not found.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+    def sets(nodes: DataFrame, wide: bool) -> DataFrame:
+        """The parities or the sets of some nodes, read where the texts lie; rows that repeat a doc_id speak for one node, each with its own."""
+        bits, kind = sieve(nodes), "wide" if wide else "shingles"
 
-    texts = docs.select(doc.alias("node"), "text").where(F.col("text").isNotNull())
-    sets = docs.sparkSession.createDataFrame([], "node long, size int, wide array<long>, shingles array<long>")
+        def shingle(batches):
+            for b in sliced(batches):
+                b = b.filter(pa.array(passes(bits, b.column(1).to_numpy())))
+                codes = [np.unique(shingle_codes(words_of(t.as_py()), words, seed)).view(np.int64) for t in b.column(2)]
+                if codes:
+                    yield pa.record_batch([b.column(0), pa.array([len(c) for c in codes], pa.int32()), lists([parities(c, WIDE) for c in codes] if wide else codes)], names=["node", "size", kind])
 
-    def with_sets(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-        """``sets`` and those of further nodes of the pairs; rows that repeat a doc_id speak for one node, each with its own."""
-        asked = pairs.select("a").union(pairs.select("b")).toDF("node").distinct().join(sets.select("node"), "node", "left_anti")
-        new = texts.join(asked, "node", "left_semi").mapInArrow(shingle, "node long, size int, wide array<long>, shingles array<long>")
-        new = new.withColumn("same", F.xxhash64("shingles")).dropDuplicates(["node", "same"]).drop("same")
-        return sets.union(kept.table(new, "shingle-sets"))
+        new = texts.mapInArrow(shingle, f"node long, size int, {kind} array<long>")
+        if repeats:
+            new = new.join(nodes, "node", "left_semi").withColumn("same", F.xxhash64(kind)).dropDuplicates(["node", "size", "same"]).drop("same")
+        return new
 
     def room(x, y):
         """Whether two rows of one key can be similar by what lies before, at and after the key."""
@@ -445,8 +486,7 @@ def _similar(docs: DataFrame, words: int, similarity: float, seed: int, kept: Sc
         pairs = kept.table((pairs if turn else pairs.union(close)).distinct(), "pairs")
         found_any = not pairs.isEmpty()
         if found_any:
-            sets = with_sets(sets, pairs)
-            new = kept.table(_alike(pairs, sets, similarity, kept), "links")
+            new = _alike(pairs, sets, similarity, kept)
         rest = open_.withColumn("led", F.col("x.node")).join(leaders.select("key", F.col("x.node").alias("led")), ["key", "led"], "left_anti")
         if found_any and not new.isEmpty():
             for end in "ab":
@@ -469,17 +509,26 @@ def _similar(docs: DataFrame, words: int, similarity: float, seed: int, kept: Sc
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Keep one document, the smallest ``doc_id``, of each group of similar documents; all columns stay.
 
-    Of rows that repeat a kept doc_id, one stays.
+    Of rows that repeat a kept doc_id, one stays. Only texts of ids to drop, or repeated, and the few more that their sieve passes are shuffled.
     """
-    first = similar_documents(docs, words, similarity).where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("keep_id")).agg(F.count("*").alias("alike"))
-    first = materialise(first, "kept-ids")
-    same = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    kept = docs.join(first, same, "left_semi")
-    again = first.where("alike > 1").select("keep_id")
+    first = F.sum(F.col("doc_id").eqNullSafe(F.col("component_id")).cast("long"))
+    odd = similar_documents(docs, words, similarity).groupBy(F.col("doc_id").alias("odd_id")).agg(first.alias("alike")).where("alike <> 1")
+    odd = materialise(odd, "dropped-ids")
+    key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NULL_ID))
+    bits = sieve(odd.select(key("odd_id").alias("id")))
+
+    @F.arrow_udf("boolean")
+    def maybe(h: pa.Array) -> pa.Array:
+        return pa.array(passes(bits, h.to_numpy()))
+
+    asked = maybe(F.xxhash64(key("doc_id")))
+    same = F.col("doc_id").eqNullSafe(F.col("odd_id"))
+    kept = docs.where(~asked).union(docs.where(asked).join(odd, same, "left_anti"))
+    again = odd.where("alike > 1")
     if again.isEmpty():
         return kept
     # rows that repeat an id are one document
-    return kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+    return kept.union(docs.where(asked).join(again, same, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

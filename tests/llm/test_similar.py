@@ -3,10 +3,12 @@
 import collections
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from landloom.llm import simhash
+from landloom.llm.common import small_batches
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -155,3 +157,45 @@ def test_pairs_of_small_buckets_meet_once_without_parities_in_their_rows(spark,
     assert rows_of["open-buckets"] == [0] * len(rows_of["open-buckets"])
     assert 10 <= rows_of["pairs-of-few"][0] <= 60
     assert rows_of["judged-nodes"][0] == 20  # only these move their sets
+
+
+def test_a_sieve_passes_all_its_ids_and_few_others(spark):
+    ids = spark.range(-3000, 3000, 3).union(spark.createDataFrame([(-(2**63),), (2**63 - 1,)], "id long"))
+    bits = simhash.sieve(ids)
+    hashes = lambda df: df.select(F.xxhash64("id").alias("h")).toArrow().column("h").to_numpy()
+    assert simhash.passes(bits, hashes(ids)).all()
+    assert simhash.passes(bits, hashes(spark.range(10_000, 30_000))).mean() < 0.02
+    assert not simhash.passes(simhash.sieve(ids.limit(0)), hashes(ids)).any()
+
+
+def test_a_full_sieve_changes_no_result(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{i // 2}x{k}" for k in range(60)) + (" more" if i % 2 else "")) for i in range(40)] + [(8, "again " * 9), (None, "no id at all but six words")]
+    docs = frame(spark, rows)
+    want = sorted(map(str, simhash.drop_near_duplicates(docs).select("doc_id").collect()))
+    monkeypatch.setattr(simhash, "SIEVE", 1 << 3)
+    assert sorted(map(str, simhash.drop_near_duplicates(docs).select("doc_id").collect())) == want
+    assert len(want) == 21
+
+
+def test_only_texts_that_are_asked_for_are_shuffled(spark):
+    # without broadcasts, as ids are at scale: the texts to keep are on the branch of the union that has no join
+    rows = [(i, " ".join(f"{hash((i - i % 10 if i % 10 < 2 else i, k)) & 0xFFFFFFFF:x}" for k in range(300))) for i in range(400)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = simhash.drop_near_duplicates(frame(spark, rows))
+        assert kept.count() == 360
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+        assert "maybe" in plan and "LeftAnti" in plan and "Union" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_batches_are_small_within_the_block_only(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with pytest.raises(ValueError), small_batches(spark, 7):
+        sizes = spark.range(0, 20, 1, 1).mapInArrow(lambda bs: (pa.record_batch([pa.array([b.num_rows])], names=["n"]) for b in bs), "n long")
+        assert max(r.n for r in sizes.collect()) == 7
+        raise ValueError
+    assert spark.conf.get(name) == before
