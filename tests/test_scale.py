@@ -68,3 +68,24 @@ def test_species_of_cells_take_less_than_a_byte_a_row(spark, tmp_path, monkeypat
     assert back.where("row = 500").distinct().count() == sum(of(i) for i in range(32_000, 32_064))
     assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < want
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_of_species_keep_to_their_dictionaries(spark, tmp_path):
+    """A writer whose dictionary is full goes on with 8 bytes a value; copies and nulls of either side count as in a join."""
+    import pyarrow.parquet as pq
+
+    from landloom.queries import places
+
+    n, parts = F.col("id"), 400_000
+    spark.range(2048 * 16).select(n.alias("event_id"), F.when(n != 5, n).alias("user_id")).write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(parts).select(F.when(n == 7, n + 2048).when(n != 8, n).alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    places.h24_species_at_cell(spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    encodings = set()
+    for f in (tmp_path / "out").glob("*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        encodings |= {e for g in range(meta.num_row_groups) for c in range(3) for e in meta.row_group(g).column(c).encodings}
+    assert "PLAIN_DICTIONARY" in encodings and "PLAIN" not in encodings
+    back, of = spark.read.parquet(f"{tmp_path}/out"), lambda k: len(range(k % 2048, parts, 2048))
+    assert back.count() == sum(of(i) for i in range(2048 * 16)) - of(5) - 16  # less the cell without a code, and the species without a key once a cell
+    assert sorted(r.species for r in back.where("row = 0 and col = 7").collect()) == sorted([2055, *range(2055, parts, 2048)])
+    assert sorted(r.species for r in back.where("row = 0 and col = 8").collect()) == list(range(2056, parts, 2048))
