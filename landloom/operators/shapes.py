@@ -20,7 +20,7 @@ from landloom.functions import geo
 from landloom.session import checkpointed
 
 from .raster import roots
-from .spatial import cell, covering, dealt, touched
+from .spatial import cell, dealt, touched
 
 #: Points nearer than this are one point.
 TOUCH = 1e-7
@@ -66,30 +66,36 @@ def _chained(edges: pa.Table) -> pa.Table:
         size[start], least[start], first[start], out[start] = n, low, low_at, goal[last]
     head = np.array(chain)
     columns = {"closed": closed[head], "chain": ids[head], "off": np.array(off, np.int64), "size": size, "out": out, "least": least, "first": first}
-    return pa.table({"group": edges["group"], "x": edges["x1"], "y": edges["y1"], **columns})
+    return pa.table({"group": edges["group"], "x": edges["x1"], "y": edges["y1"], "x2": edges["x2"], "y2": edges["y2"], **columns})
 
 
 def rings(edges: DataFrame) -> DataFrame:
-    """``group, ring, seq, x, y``: the corners of all rings that directed edges (``group, x1, y1, x2, y2``) form, from 0, without the closing one.
+    """``group, ring, seq, x, y, x2, y2``: the corners of all rings that directed edges (``group, x1, y1, x2, y2``) form, from 0, without the closing one, each with the one after it.
 
     An edge goes on with the one that starts where it ends; of several, with the one furthest to the left, so that rings touch in
-    points but do not cross. ``ring`` is the smallest number of its edges. Edges have to form closed rings.
+    points but do not cross. ``ring`` is the smallest number of its edges. Edges have to form closed rings. Edges of a large group are chained by tile first,
+    those of other groups by group, many groups to a task.
     """
     e = edges.select("group", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
     numbered = e.withColumn("id", F.monotonically_increasing_id())
     e = checkpointed(numbered.withColumns({"sx": _key(F.col("x1")), "sy": _key(F.col("y1")), "ex": _key(F.col("x2")), "ey": _key(F.col("y2"))}))
-    after = e.select("group", F.col("sx").alias("ex"), F.col("sy").alias("ey"), F.col("id").alias("to"), (F.col("x2") - F.col("x1")).alias("ux"), (F.col("y2") - F.col("y1")).alias("uy"))
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    turn = F.atan2(dx * F.col("uy") - dy * F.col("ux"), dx * F.col("ux") + dy * F.col("uy"))
-    next_ = e.join(dealt(after), ["group", "ex", "ey"]).groupBy("id").agg(F.max(F.struct(turn.alias("turn"), (-F.col("to")).alias("m"))).alias("b")).select("id", (-F.col("b.m")).alias("to"))
+    after = e.select("group", F.col("sx").alias("ex"), F.col("sy").alias("ey"), F.col("id").alias("to"), F.col("x1").alias("ux"), F.col("y1").alias("uy"), F.col("x2").alias("vx"), F.col("y2").alias("vy"))
+    dx, dy, ux, uy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("vx") - F.col("ux"), F.col("vy") - F.col("uy")
+    turn = F.atan2(dx * uy - dy * ux, dx * ux + dy * uy)
+    # grouped by the keys of the join and more: nothing moves again
+    next_ = e.join(dealt(after), ["group", "ex", "ey"]).groupBy("group", "ex", "ey", "id", "x1", "y1").agg(F.max(F.struct(turn.alias("turn"), (-F.col("to")).alias("m"), "ux", "uy")).alias("b"))
+    members = next_.select("id", (-F.col("b.m")).alias("to"), "group", "x1", "y1", F.col("b.ux").alias("x2"), F.col("b.uy").alias("y2"))
     at = e.agg(F.count("*"), F.min("x1"), F.max("x1"), F.min("y1"), F.max("y1")).first()
     tiles, w, h = -(-at[0] // TILE) or 1, *((at[2] - at[1], at[4] - at[3]) if at[0] else (0.0, 0.0))
     side = max(math.sqrt(w * h / tiles), w / tiles, h / tiles, 1e-3)
-    tile = [cell(F.col("x1"), side).alias("cx"), cell(F.col("y1"), side).alias("cy"), F.pmod(F.xxhash64("group"), F.lit(16)).alias("salt")]
-    members = e.select("id", "group", "x1", "y1", *tile).join(dealt(next_), "id")
-    kind = members.select("group", F.col("x1").alias("x"), F.col("y1").alias("y"), F.lit(True).alias("closed"), *[F.lit(0).cast("long").alias(n) for n in ("chain", "off", "size", "out", "least", "first")]).schema
+    # at most one group in TILE edges is large
+    large = e.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > TILE).select("group", F.lit(True).alias("large"))
+    hashed = lambda n: F.pmod(F.xxhash64("group"), F.lit(n).cast("long"))
+    tile = [F.when(F.col("large"), cell(F.col("x1"), side)).otherwise(hashed(tiles * 16)).alias("cx"), F.when(F.col("large"), cell(F.col("y1"), side)).alias("cy"), F.when(F.col("large"), hashed(16)).alias("salt")]
+    members = members.join(F.broadcast(large), "group", "left").select("id", "to", "group", "x1", "y1", "x2", "y2", *tile)
+    kind = members.select("group", *[F.col(f"{c}1").alias(c) for c in "xy"], "x2", "y2", F.lit(True).alias("closed"), *[F.lit(0).cast("long").alias(n) for n in ("chain", "off", "size", "out", "least", "first")]).schema
     members = checkpointed(members.groupBy("cx", "cy", "salt").applyInArrow(_chained, kind))
-    closed = members.where("closed").select("group", F.col("chain").alias("ring"), F.col("off").alias("seq"), "x", "y")
+    closed = members.where("closed").select("group", F.col("chain").alias("ring"), F.col("off").alias("seq"), "x", "y", "x2", "y2")
     heads = checkpointed(members.where("not closed and off = 0").select(F.col("chain").alias("c"), F.col("out").alias("t"), "size", "least", "first"))
     if heads.isEmpty():
         return closed
@@ -110,22 +116,21 @@ def rings(edges: DataFrame) -> DataFrame:
     whole = placed.groupBy("ring").agg(F.sum("size").alias("n"), F.max(F.when(here, F.col("steps"))).alias("all"), F.max(F.when(here, F.col("first"))).alias("start"))
     placed = placed.join(dealt(whole), "ring").select(F.col("c").alias("chain"), "ring", "n", (F.col("all") - F.col("steps") - F.col("start")).alias("from"))
     open_ = members.where("not closed").join(dealt(placed), "chain")
-    open_ = open_.select("group", "ring", F.pmod(F.col("from") + F.col("off"), F.col("n")).alias("seq"), "x", "y")
+    open_ = open_.select("group", "ring", F.pmod(F.col("from") + F.col("off"), F.col("n")).alias("seq"), "x", "y", "x2", "y2")
     return checkpointed(closed.union(open_))
 
 
 def ring_areas(corners: DataFrame) -> DataFrame:
     """``group, ring, area, corners``: signed areas of ``rings``; a hole's is negative."""
-    after = corners.select("group", "ring", (F.col("seq") - 1).alias("seq"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     first = corners.where("seq = 0").select("group", "ring", F.col("x").alias("x0"), F.col("y").alias("y0"))
-    # cross products about the first corner: the closing edge adds nothing
-    both = corners.join(after, ["group", "ring", "seq"]).join(first, ["group", "ring"])
+    # cross products about the first corner: the edges at it add nothing
+    both = corners.join(dealt(first), ["group", "ring"])
     cross = (F.col("x") - F.col("x0")) * (F.col("y2") - F.col("y0")) - (F.col("x2") - F.col("x0")) * (F.col("y") - F.col("y0"))
-    return both.groupBy("group", "ring").agg((F.sum(cross) / 2).alias("area"), (F.count("*") + 1).alias("corners"))
+    return both.groupBy("group", "ring").agg((F.sum(cross) / 2).alias("area"), F.count("*").alias("corners"))
 
 
 def polygonise(cells: DataFrame, grid) -> DataFrame:
-    """``group, ring, seq, x, y``: outlines of the regions of equal ``v`` (the ``group``) of a raster, holes clockwise.
+    """``group, ring, seq, x, y, x2, y2``: outlines of the regions of equal ``v`` (the ``group``) of a raster, holes clockwise.
 
     Cells that only touch at a corner are not joined. Cells with a null ``v`` have no outline.
     """
@@ -150,20 +155,39 @@ def _left_handed(ring: Column) -> Column:
     return F.when(F.aggregate(cross, F.lit(0.0), lambda s, c: s + c) < 0, F.reverse(ring)).otherwise(ring)
 
 
+def _shared(whole: DataFrame, edge: DataFrame, size: float) -> tuple[DataFrame, DataFrame]:
+    """Cells of ``size`` that several parts of a group hold: the parts in them (``group, part, cx, cy``), and the cells (``group, cx, cy``). Elsewhere parts do not meet.
+
+    A part holds the cells that its edges touch, and those between two of them in a row of cells that are inside its ring: one is tested for all of a gap.
+    """
+    row = Window.partitionBy("group", "part", "cy").orderBy("cx")
+    rim = touched(edge, size).select("group", "part", "cx", "cy").withColumn("next", F.lead("cx").over(row)).where("next is null or next > cx")
+    rim = checkpointed(rim)
+    px, py = (F.col("cx") + 1.5) * size, (F.col("cy") + 0.5) * size
+    gaps = rim.where("next > cx + 1").join(dealt(whole), ["group", "part"]).where(geo.in_ring(px, py, F.col("ring")))
+    filled = gaps.select("group", "part", F.explode(F.sequence(F.col("cx") + 1, F.col("next") - 1)).alias("cx"), "cy")
+    many = F.count("*").over(Window.partitionBy("group", "cx", "cy"))
+    held = checkpointed(rim.drop("next").unionByName(filled).withColumn("many", many).where("many > 1").drop("many"))
+    return held, held.select("group", "cx", "cy").distinct()
+
+
 def overlay(parts: DataFrame, how: str, size: float = 100.0) -> DataFrame:
-    """``group, ring, seq, x, y``: the union or the intersection of all parts (``group, part, ring``, one closed ring each) of every group.
+    """``group, ring, seq, x, y, x2, y2``: the union or the intersection of all parts (``group, part, ring``, one closed ring each) of every group.
 
     Edges meet the edges of other parts that share a cell of ``size`` with them and are cut there; a piece stays if its middle is outside
     all other parts (union) or inside all of them (intersection). Of pieces that coincide the smallest part's stays if they run the same way, else none.
     Holes of the result run clockwise. An empty result has no rows. Parts without an area are left out.
     """
-    # equal parts are one; dealt before the work on their corners
-    whole = checkpointed(parts.groupBy("group", "ring").agg(F.min(F.col("part").cast("long")).alias("part")))
+    # equal parts are one; dealt before the work on their corners, of which the bytes tell little
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = checkpointed(parts.groupBy("group", "ring").agg(F.min(F.col("part").cast("long")).alias("part")).repartition(n, "group", "part"))
     whole = whole.where(geo.shoelace(F.col("ring")) > 0).select("group", "part", _left_handed(F.col("ring")).alias("ring"))
     whole = checkpointed(checkpointed(whole).withColumn("box", geo.bbox(F.col("ring"))))
     edge = whole.select("group", "part", F.posexplode(geo.edges(F.col("ring"))).alias("i", "e")).select("group", "part", "i", F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"), F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2"))
     edge = checkpointed(edge.where("x1 <> x2 or y1 <> y2"))
-    near = touched(edge, size)
+    held, cells = _shared(whole, edge, size)
+    place = ["group", "cx", "cy"]
+    near = checkpointed(touched(edge, size).join(dealt(cells), place, "left_semi"))
     other = near.select("group", "cx", "cy", *[F.col(c).alias("o" + c) for c in ("part", "x1", "y1", "x2", "y2")])
     dx, dy, ox, oy = (F.col(b) - F.col(a) for a, b in (("x1", "x2"), ("y1", "y2"), ("ox1", "ox2"), ("oy1", "oy2")))
     length = F.hypot(dx, dy)
@@ -177,7 +201,10 @@ def overlay(parts: DataFrame, how: str, size: float = 100.0) -> DataFrame:
     cuts = F.array_compact(F.array(crossing, F.when(off("ox1", "oy1") < TOUCH, at("ox1", "oy1")), F.when(off("ox2", "oy2") < TOUCH, at("ox2", "oy2"))))
     inner = lambda t: (t > TOUCH / length) & (t < 1 - TOUCH / length)
     key = ["group", "part", "i"]
-    cut = near.join(dealt(other), ["group", "cx", "cy"]).where("part <> opart").select(*key, F.explode(F.filter(cuts, inner)).alias("t")).groupBy(*key).agg(F.sort_array(F.collect_set("t")).alias("ts"))
+    # what cuts an edge lies within TOUCH of both
+    lo, hi = (lambda c, o="": F.least(f"{o}{c}1", f"{o}{c}2")), (lambda c, o="": F.greatest(f"{o}{c}1", f"{o}{c}2"))
+    meet = [(lo(c) <= hi(c, "o") + 2 * TOUCH) & (lo(c, "o") <= hi(c) + 2 * TOUCH) for c in "xy"]
+    cut = near.join(dealt(other), place).where("part <> opart").where(meet[0] & meet[1]).select(*key, F.explode(F.filter(cuts, inner)).alias("t")).groupBy(*key).agg(F.sort_array(F.collect_set("t")).alias("ts"))
     ends = edge.join(dealt(cut), key, "left").withColumn("ts", F.concat(F.array(F.lit(0.0)), F.coalesce("ts", F.array().cast("array<double>")), F.array(F.lit(1.0))))
     pair = F.explode(F.zip_with(F.slice("ts", F.lit(1), F.size("ts") - 1), F.slice("ts", F.lit(2), F.size("ts") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
     on = lambda c, s: F.when(F.col(s) == 0, F.col(f"{c}1")).when(F.col(s) == 1, F.col(f"{c}2")).otherwise(F.col(f"{c}1") + (F.col(f"{c}2") - F.col(f"{c}1")) * F.col(s))
@@ -187,20 +214,22 @@ def overlay(parts: DataFrame, how: str, size: float = 100.0) -> DataFrame:
     # which other parts hold a piece, and which it runs along
     mid = piece.withColumn("cx", cell(F.col("mx"), size)).withColumn("cy", cell(F.col("my"), size))
     one = [*key, "from"]
-    along = mid.join(dealt(other.withColumnsRenamed({"opart": "q"})), ["group", "cx", "cy"]).where("part <> q")
+    along = mid.join(dealt(other.withColumnsRenamed({"opart": "q"})), place).where("part <> q")
     ex, ey = F.col("ox2") - F.col("ox1"), F.col("oy2") - F.col("oy1")
     span = F.hypot(ex, ey)
+    beside = [F.col(f"m{c}").between(lo(c, "o") - 2 * TOUCH, hi(c, "o") + 2 * TOUCH) for c in "xy"]
     lies = (F.abs((F.col("mx") - F.col("ox1")) * ey - (F.col("my") - F.col("oy1")) * ex) / span < TOUCH) & (((F.col("mx") - F.col("ox1")) * ex + (F.col("my") - F.col("oy1")) * ey) / (span * span)).between(0.0, 1.0)
     same = (F.col("x2") - F.col("x1")) * ex + (F.col("y2") - F.col("y1")) * ey > 0
-    along = along.where(lies).groupBy(*one, "q").agg(F.max(same).alias("same"))
-    # a part takes the cells that its ground touches, of those under its box
-    held = covering(whole.select("group", F.col("part").alias("q"), "ring", "box"), F.col("box"), size).drop("box")
-    px, py = (F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size
-    held = held.where((geo.path_distance(px, py, F.col("ring")) <= size * 0.7072) | geo.in_ring(px, py, F.col("ring")))
-    inside = mid.join(dealt(held), ["group", "cx", "cy"]).where("part <> q").where(geo.in_ring(F.col("mx"), F.col("my"), F.col("ring"))).select(*one, "q").join(dealt(along), [*one, "q"], "left_anti")
-    within = inside.groupBy(*one).agg(F.count("*").alias("inside"))
-    beside = along.groupBy(*one).agg(F.count("*").alias("beside"), F.count_if(F.col("same") & (F.col("part") < F.col("q"))).alias("owned"))
-    known = piece.join(dealt(within), one, "left").join(dealt(beside), one, "left").fillna(0, ["inside", "beside", "owned"]).where("beside = owned")
+    along = along.where(beside[0] & beside[1]).where(lies).select(*one, "q", F.lit(False).alias("inside"), F.lit(True).alias("along"), same.alias("same"))
+    # a part is asked with its ring only for pieces in cells that it holds and under its box
+    asked = mid.select(*one, "mx", "my", *place[1:]).join(dealt(held.withColumnRenamed("part", "q")), place).where("part <> q").select(*one, "mx", "my", "q")
+    box = F.col("mx").between(F.col("box.min_x"), F.col("box.max_x")) & F.col("my").between(F.col("box.min_y"), F.col("box.max_y"))
+    inside = asked.join(dealt(whole.withColumnRenamed("part", "q")), ["group", "q"]).where(box).where(geo.in_ring(F.col("mx"), F.col("my"), F.col("ring")))
+    inside = inside.select(*one, "q", F.lit(True).alias("inside"), F.lit(False).alias("along"), F.lit(False).alias("same"))
+    # dealt by piece once, for both counts and the join
+    found = inside.union(along).repartition(n, *one).groupBy(*one, "q").agg(*[F.max(c).alias(c) for c in ("inside", "along", "same")])
+    found = found.groupBy(*one).agg(F.count_if(F.col("inside") & ~F.col("along")).alias("inside"), F.count_if("along").alias("beside"), F.count_if(F.col("same") & (F.col("part") < F.col("q"))).alias("owned"))
+    known = piece.join(dealt(found), one, "left").fillna(0, ["inside", "beside", "owned"]).where("beside = owned")
     if how == "intersection":
         count = whole.groupBy("group").agg(F.count_distinct("part").alias("parts"))
         known = known.join(count, "group").where("inside + beside = parts - 1")
@@ -212,7 +241,7 @@ def overlay(parts: DataFrame, how: str, size: float = 100.0) -> DataFrame:
 
 
 def buffer(paths: DataFrame, path_id: str, r: float, quarter: int = 6, path: str = "path", size: float | None = None) -> DataFrame:
-    """``group, ring, seq, x, y``: the outline at a distance ``r`` around every polyline, round ends and joints as polygons of ``quarter`` corners a quarter turn.
+    """``group, ring, seq, x, y, x2, y2``: the outline at a distance ``r`` around every polyline, round ends and joints as polygons of ``quarter`` corners a quarter turn.
 
     The union of one capsule a segment. A path of one point gives a disc.
     """
@@ -228,6 +257,8 @@ def buffer(paths: DataFrame, path_id: str, r: float, quarter: int = 6, path: str
 
     lone = F.array(F.struct(F.get(F.col(path), F.lit(0)).alias("a"), F.get(F.col(path), F.lit(0)).alias("b")))
     steps = F.when(F.size(path) > 1, geo.edges(F.col(path))).otherwise(lone)
+    # a small file of paths is one task: they are dealt before capsules are made
+    paths = paths.select(path_id, path).repartition(int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions")), path_id)
     parts = paths.where(F.size(path) > 0).select(F.col(path_id).alias("group"), F.posexplode(steps).alias("part", "e")).select("group", "part", capsule(F.col("e")).alias("ring"))
     return overlay(parts, "union", size or max(4 * r, 50.0))
 

@@ -68,8 +68,7 @@ def d17_polygonise(spark, d):
     bands = V.terrain(spark, d).select("row", "col", F.floor(F.col("z") / 40).alias("v"))
     corners = shapes.polygonise(bands, GRID)
     n = corners.groupBy("ring").agg(F.count("*").alias("n"))
-    after = corners.join(n, "ring").select("ring", F.pmod(F.col("seq") - 1, "n").alias("seq"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    side = corners.join(after, ["ring", "seq"]).join(n, "ring").select("group", "ring", "seq", "n", (F.col("x2") - F.col("x")).alias("dx"), (F.col("y2") - F.col("y")).alias("dy"))
+    side = corners.join(n, "ring").select("group", "ring", "seq", "n", (F.col("x2") - F.col("x")).alias("dx"), (F.col("y2") - F.col("y")).alias("dy"))
     before = side.select("ring", ((F.col("seq") + 1) % F.col("n")).alias("seq"), F.col("dx").alias("px"), F.col("dy").alias("py"))
     turned = F.col("dx") * F.col("py") != F.col("dy") * F.col("px")
     turns = side.join(before, ["ring", "seq"]).groupBy("group").agg(F.count("*").alias("sides"), F.count_if(turned).alias("turns"))

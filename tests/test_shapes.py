@@ -180,3 +180,51 @@ def test_overlays_take_copies_as_one(spark):
     parts = frame(spark, [("a", k, square(k % 3 * 50, 0)) for k in range(40)])
     for how, area in (("union", 220.0 * 120), ("intersection", 20.0 * 120)):
         assert [r.area for r in shapes.ring_areas(shapes.overlay(parts, how)).collect()] == [pytest.approx(area)]
+
+
+def test_parts_meet_only_in_cells_that_several_hold(spark, monkeypatch):
+    """Strips 20 km long that cross once, and a square in the middle of another: edges are kept only where parts meet, and no part is held against every cell under its box."""
+    tables = []
+    monkeypatch.setattr(shapes, "checkpointed", lambda df, real=shapes.checkpointed: tables.append(real(df)) or tables[-1])
+    monkeypatch.setattr(shapes.geo, "path_distance", None)
+    strip = lambda ax, ay, bx, by: [(ax - 10, ay), (ax + 10, ay), (bx + 10, by), (bx - 10, by), (ax - 10, ay)]
+    box = lambda x, y, r: [(x - r, y - r), (x + r, y - r), (x + r, y + r), (x - r, y + r), (x - r, y - r)]
+    rows = [("cross", 0, strip(0, 0, 20_000, 20_000)), ("cross", 1, strip(20_000, 0, 0, 20_000)), ("within", 0, box(3050, 3050, 3000)), ("within", 1, box(3050, 3050, 10)), ("within", 2, box(3050, 9000, 10))]
+    found = {g: sorted(round(r.area, 6) for r in rs) for g, rs in _by(shapes.ring_areas(shapes.overlay(frame(spark, rows), "union")).collect()).items()}
+    assert found == {"cross": [2 * 20 * 20_000 - 200], "within": [400, 36_000_000]}
+    near = [t.count() for t in tables if {"x1", "cx"} <= set(t.columns)]
+    assert near and max(near) < 60  # the strips alone touch more than 1,000 cells
+    held = [t for t in tables if t.columns == ["group", "part", "cx", "cy"]]
+    assert sorted({(r["group"], r["part"]) for t in held for r in t.collect()}) == [("cross", 0), ("cross", 1), ("within", 0), ("within", 1)]
+
+
+def test_groups_of_few_edges_are_chained_in_one_task(spark, monkeypatch):
+    """Rings of small groups do not end at the borders of tiles, however far they reach."""
+    monkeypatch.setattr(shapes, "TILE", 6)
+    monkeypatch.setattr(shapes, "roots", None)
+    rows = [(f"g{k}", [(0, 0), (1000 + k, 0), (1000 + k, 500), (0, 500), (0, 0)]) for k in range(9)]
+    edges = [(g, *map(float, a), *map(float, b)) for g, ring in rows for a, b in zip(ring, ring[1:], strict=False)]
+    found = gathered(shapes.rings(spark.createDataFrame(edges, "group string, x1 double, y1 double, x2 double, y2 double").repartition(5)))
+    assert {g: [sorted(ring[:-1]) for ring in rings] for g, rings in found.items()} == {g: [sorted(map(tuple, ring[:-1]))] for g, ring in rows}
+
+
+def test_touched_cells_are_those_near_the_segment(spark):
+    from landloom.operators import spatial
+
+    rng = np.random.default_rng(4)
+    segments = [*rng.uniform(-90, 90, (40, 4)).tolist(), [0, 5, 60, 5], [7, -30, 7, 40], [3, 3, 3, 3], [-10, -10, 20, 20], [0, 0, 50, 1e-9]]
+    df = spark.createDataFrame([(k, *map(float, s)) for k, s in enumerate(segments)], "k int, x1 double, y1 double, x2 double, y2 double")
+    for r in (0.0, 13.0):
+        got = {(x.k, x.cx, x.cy) for x in spatial.touched(df, 10.0, r).collect()}
+        want = set()
+        for k, (ax, ay, bx, by) in enumerate(segments):
+            lo, hi = (np.floor((f([ax, bx]) + s * r) / 10) for f, s in ((min, -1), (max, 1)))
+            low, high = (np.floor((f([ay, by]) + s * r) / 10) for f, s in ((min, -1), (max, 1)))
+            d = np.array([bx - ax, by - ay])
+            for cx in range(int(lo), int(hi) + 1):
+                for cy in range(int(low), int(high) + 1):
+                    p = np.array([cx * 10 + 5 - ax, cy * 10 + 5 - ay])
+                    t = np.clip(p @ d / (d @ d), 0, 1) if d @ d else 0.0
+                    if np.hypot(*(p - t * d)) <= r + 7.072:
+                        want.add((k, cx, cy))
+        assert got == want
