@@ -9,6 +9,7 @@ a ring of any length never meets in one task.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -198,15 +199,23 @@ def overlay(parts: DataFrame, how: str, size: float = 100.0) -> DataFrame:
     slack = TOUCH / F.hypot(ox, oy)
     crossing = F.when((F.abs(cross) > 1e-12 * length * F.hypot(ox, oy)) & u.between(-slack, 1 + slack), t)
     # an end of the other edge that lies on this one cuts it, too, also where both run along each other
-    cuts = F.array_compact(F.array(crossing, F.when(off("ox1", "oy1") < TOUCH, at("ox1", "oy1")), F.when(off("ox2", "oy2") < TOUCH, at("ox2", "oy2"))))
+    cuts = F.array(crossing, F.when(off("ox1", "oy1") < TOUCH, at("ox1", "oy1")), F.when(off("ox2", "oy2") < TOUCH, at("ox2", "oy2")))
     inner = lambda t: (t > TOUCH / length) & (t < 1 - TOUCH / length)
     key = ["group", "part", "i"]
-    # what cuts an edge lies within TOUCH of both
+    # what cuts an edge lies within TOUCH of both: their boxes meet, and neither is off the other's line on one side
     lo, hi = (lambda c, o="": F.least(f"{o}{c}1", f"{o}{c}2")), (lambda c, o="": F.greatest(f"{o}{c}1", f"{o}{c}2"))
     meet = [(lo(c) <= hi(c, "o") + 2 * TOUCH) & (lo(c, "o") <= hi(c) + 2 * TOUCH) for c in "xy"]
-    cut = near.join(dealt(other), place).where("part <> opart").where(meet[0] & meet[1]).select(*key, F.explode(F.filter(cuts, inner)).alias("t")).groupBy(*key).agg(F.sort_array(F.collect_set("t")).alias("ts"))
-    ends = edge.join(dealt(cut), key, "left").withColumn("ts", F.concat(F.array(F.lit(0.0)), F.coalesce("ts", F.array().cast("array<double>")), F.array(F.lit(1.0))))
-    pair = F.explode(F.zip_with(F.slice("ts", F.lit(1), F.size("ts") - 1), F.slice("ts", F.lit(2), F.size("ts") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    for one, other_ in (("", "o"), ("o", "")):
+        rx, ry = (F.col(f"{one}{c}2") - F.col(f"{one}{c}1") for c in "xy")
+        ends = [rx * (F.col(f"{other_}y{n}") - F.col(f"{one}y1")) - ry * (F.col(f"{other_}x{n}") - F.col(f"{one}x1")) for n in (1, 2)]
+        wide = 2 * TOUCH * (F.abs(rx) + F.abs(ry))
+        meet += [(F.least(*ends) <= wide) & (F.greatest(*ends) >= -wide)]
+    cut = near.join(dealt(other), place).where("part <> opart").where(reduce(Column.__and__, meet)).select(*key, "x1", "y1", "x2", "y2", F.explode(cuts).alias("t"))
+    cut = cut.where(inner(F.col("t"))).groupBy(*key).agg(F.sort_array(F.collect_set("t")).alias("ts"))
+    ends = edge.join(dealt(cut), key, "left").withColumn("ts", F.when(F.col("ts").isNotNull(), F.concat(F.array(F.lit(0.0)), "ts", F.array(F.lit(1.0)))))
+    between = F.zip_with(F.slice("ts", F.lit(1), F.size("ts") - 1), F.slice("ts", F.lit(2), F.size("ts") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    # most edges are one piece
+    pair = F.explode(F.when(F.col("ts").isNull(), F.array(F.struct(F.lit(0.0).alias("a"), F.lit(1.0).alias("b")))).otherwise(between))
     on = lambda c, s: F.when(F.col(s) == 0, F.col(f"{c}1")).when(F.col(s) == 1, F.col(f"{c}2")).otherwise(F.col(f"{c}1") + (F.col(f"{c}2") - F.col(f"{c}1")) * F.col(s))
     piece = ends.withColumn("s", pair).where((F.col("s.b") - F.col("s.a")) * F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) > TOUCH)
     piece = piece.select(*key, F.col("s.a").alias("from"), *[on(c, f"s.{s}").alias(f"{c}{n}") for c in "xy" for n, s in ((1, "a"), (2, "b"))])
@@ -222,9 +231,10 @@ def overlay(parts: DataFrame, how: str, size: float = 100.0) -> DataFrame:
     same = (F.col("x2") - F.col("x1")) * ex + (F.col("y2") - F.col("y1")) * ey > 0
     along = along.where(beside[0] & beside[1]).where(lies).select(*one, "q", F.lit(False).alias("inside"), F.lit(True).alias("along"), same.alias("same"))
     # a part is asked with its ring only for pieces in cells that it holds and under its box
-    asked = mid.select(*one, "mx", "my", *place[1:]).join(dealt(held.withColumnRenamed("part", "q")), place).where("part <> q").select(*one, "mx", "my", "q")
-    box = F.col("mx").between(F.col("box.min_x"), F.col("box.max_x")) & F.col("my").between(F.col("box.min_y"), F.col("box.max_y"))
-    inside = asked.join(dealt(whole.withColumnRenamed("part", "q")), ["group", "q"]).where(box).where(geo.in_ring(F.col("mx"), F.col("my"), F.col("ring")))
+    boxed = held.join(dealt(whole.select("group", "part", "box.*")), ["group", "part"]).withColumnRenamed("part", "q")
+    under = F.col("mx").between(F.col("min_x"), F.col("max_x")) & F.col("my").between(F.col("min_y"), F.col("max_y"))
+    asked = mid.select(*one, "mx", "my", *place[1:]).join(dealt(boxed), place).where("part <> q").where(under).select(*one, "mx", "my", "q").repartition(n, "group", "q")
+    inside = asked.join(dealt(whole.select("group", F.col("part").alias("q"), "ring")), ["group", "q"]).where(geo.in_ring(F.col("mx"), F.col("my"), F.col("ring")))
     inside = inside.select(*one, "q", F.lit(True).alias("inside"), F.lit(False).alias("along"), F.lit(False).alias("same"))
     # dealt by piece once, for both counts and the join
     found = inside.union(along).repartition(n, *one).groupBy(*one, "q").agg(*[F.max(c).alias(c) for c in ("inside", "along", "same")])
