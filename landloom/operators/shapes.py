@@ -156,6 +156,21 @@ def _left_handed(ring: Column) -> Column:
     return F.when(F.aggregate(cross, F.lit(0.0), lambda s, c: s + c) < 0, F.reverse(ring)).otherwise(ring)
 
 
+def _sides(ring: Column) -> Column:
+    """Edges of a ring as flat structs: walked for many points, they are not to be made anew for each."""
+    return F.transform(geo.edges(ring), lambda e: F.struct(*[e[p][c].alias(p_c) for p, c, p_c in (("a", "x", "ax"), ("a", "y", "ay"), ("b", "x", "bx"), ("b", "y", "by"))]))
+
+
+def _within(x: Column, y: Column, sides: Column) -> Column:
+    """``geo.in_ring`` by ``_sides``."""
+
+    def crossed(e: Column) -> Column:
+        at = (e["bx"] - e["ax"]) * (y - e["ay"]) / F.nullif(e["by"] - e["ay"], F.lit(0.0)) + e["ax"]
+        return ((e["by"] > y) != (e["ay"] > y)) & (x < at)
+
+    return F.size(F.filter(sides, crossed)) % 2 == 1
+
+
 def _shared(whole: DataFrame, edge: DataFrame, size: float) -> tuple[DataFrame, DataFrame]:
     """Cells of ``size`` that several parts of a group hold: the parts in them (``group, part, cx, cy``), and the cells (``group, cx, cy``). Elsewhere parts do not meet.
 
@@ -165,7 +180,7 @@ def _shared(whole: DataFrame, edge: DataFrame, size: float) -> tuple[DataFrame,
     rim = touched(edge, size).select("group", "part", "cx", "cy").withColumn("next", F.lead("cx").over(row)).where("next is null or next > cx")
     rim = checkpointed(rim)
     px, py = (F.col("cx") + 1.5) * size, (F.col("cy") + 0.5) * size
-    gaps = rim.where("next > cx + 1").join(dealt(whole), ["group", "part"]).where(geo.in_ring(px, py, F.col("ring")))
+    gaps = rim.where("next > cx + 1").join(dealt(whole), ["group", "part"]).where(_within(px, py, F.col("sides")))
     filled = gaps.select("group", "part", F.explode(F.sequence(F.col("cx") + 1, F.col("next") - 1)).alias("cx"), "cy")
     many = F.count("*").over(Window.partitionBy("group", "cx", "cy"))
     held = checkpointed(rim.drop("next").unionByName(filled).withColumn("many", many).where("many > 1").drop("many"))
@@ -183,8 +198,8 @@ def overlay(parts: DataFrame, how: str, size: float = 100.0) -> DataFrame:
     n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole = checkpointed(parts.groupBy("group", "ring").agg(F.min(F.col("part").cast("long")).alias("part")).repartition(n, "group", "part"))
     whole = whole.where(geo.shoelace(F.col("ring")) > 0).select("group", "part", _left_handed(F.col("ring")).alias("ring"))
-    whole = checkpointed(checkpointed(whole).withColumn("box", geo.bbox(F.col("ring"))))
-    edge = whole.select("group", "part", F.posexplode(geo.edges(F.col("ring"))).alias("i", "e")).select("group", "part", "i", F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"), F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2"))
+    whole = checkpointed(checkpointed(whole).select("group", "part", _sides(F.col("ring")).alias("sides"), geo.bbox(F.col("ring")).alias("box")))
+    edge = whole.select("group", "part", F.posexplode("sides").alias("i", "e")).select("group", "part", "i", F.col("e.ax").alias("x1"), F.col("e.ay").alias("y1"), F.col("e.bx").alias("x2"), F.col("e.by").alias("y2"))
     edge = checkpointed(edge.where("x1 <> x2 or y1 <> y2"))
     held, cells = _shared(whole, edge, size)
     place = ["group", "cx", "cy"]
@@ -234,7 +249,7 @@ def overlay(parts: DataFrame, how: str, size: float = 100.0) -> DataFrame:
     boxed = held.join(dealt(whole.select("group", "part", "box.*")), ["group", "part"]).withColumnRenamed("part", "q")
     under = F.col("mx").between(F.col("min_x"), F.col("max_x")) & F.col("my").between(F.col("min_y"), F.col("max_y"))
     asked = mid.select(*one, "mx", "my", *place[1:]).join(dealt(boxed), place).where("part <> q").where(under).select(*one, "mx", "my", "q").repartition(n, "group", "q")
-    inside = asked.join(dealt(whole.select("group", F.col("part").alias("q"), "ring")), ["group", "q"]).where(geo.in_ring(F.col("mx"), F.col("my"), F.col("ring")))
+    inside = asked.join(dealt(whole.select("group", F.col("part").alias("q"), "sides")), ["group", "q"]).where(_within(F.col("mx"), F.col("my"), F.col("sides")))
     inside = inside.select(*one, "q", F.lit(True).alias("inside"), F.lit(False).alias("along"), F.lit(False).alias("same"))
     # dealt by piece once, for both counts and the join
     found = inside.union(along).repartition(n, *one).groupBy(*one, "q").agg(*[F.max(c).alias(c) for c in ("inside", "along", "same")])
